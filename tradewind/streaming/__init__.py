@@ -1,0 +1 @@
+"""Intentionally empty: the refresh is one daily batch, there is nothing to stream."""
