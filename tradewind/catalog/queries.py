@@ -84,11 +84,9 @@ def stg_trim(spark, path):
 
 @query
 def stg_orders_dedupe(spark, path):
-    lines = staging.stage_orders(
-        S.joined_lines(spark, path).join(S.sku_brands(spark, path), "sku_id"),
-        keys=("order_id", "line_no", "order_date"),
-    )
-    return lines
+    delivered = S.joined_lines(spark, path)
+    branded = delivered.join(S.sku_brands(spark, path), "sku_id").select(*delivered.columns, "brand")
+    return staging.stage_orders(branded, keys=("order_id", "line_no", "order_date"))
 
 
 @query

@@ -1,53 +1,56 @@
-"""Number formats used in tiles, prose and summaries."""
+"""Number formats used in tiles, prose and summaries.
+
+Each takes the SQL of a DOUBLE (usually a column name) and gives a Column.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import half_even_units
+from .numeric import half_even_sql
 
 # Fixed value: text shown where a number is not computable.
 NOT_AVAILABLE = "n/a"
 
 
-def _digits(value: Column, digits: int, thousands: bool) -> Column:
+def _digits(value: str, digits: int, thousands: bool = False) -> str:
     """Unsigned fixed-point text of ``|value|``."""
-    units = half_even_units(value, digits)
-    scale = 10**digits
-    whole = F.floor(units / F.lit(scale)).cast("bigint") if digits else units
-    text = F.format_number(whole, 0) if thousands else whole.cast("string")
-    if not digits:
-        return text
-    return F.concat(text, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
+    unit = f"{10 ** -digits:.{digits}f}BD" if digits else "1BD"
+    exact = f"(cast({half_even_sql(value, digits)} as decimal(20,0)) * {unit})"
+    return f"format_number({exact}, {digits})" if thousands else f"string({exact})"
+
+
+def _signed(value: str, plus: str, minus: str, body: str) -> str:
+    return f"concat(if({value} < 0, '{minus}', '{plus}'), {body})"
 
 
-def fixed(value: Column, digits: int = 0, thousands: bool = False) -> Column:
-    """``12.3``, ``-1,234``; NULL stays NULL."""
-    return F.concat(F.when(value < 0, "-").otherwise(""), _digits(value, digits, thousands))
+def fixed(value: str, digits: int = 0) -> Column:
+    """``12.3``, ``-1234``; NULL stays NULL."""
+    return F.expr(_signed(value, "", "-", _digits(value, digits)))
 
 
-def number(value: Column, digits: int = 0) -> Column:
+def number(value: str, digits: int = 0) -> Column:
     """Fixed digits with thousands separators."""
-    return F.coalesce(fixed(value, digits, thousands=True), F.lit(NOT_AVAILABLE))
+    shown = _signed(value, "", "-", _digits(value, digits, thousands=True))
+    return F.expr(f"coalesce({shown}, '{NOT_AVAILABLE}')")
 
 
-def signed(value: Column, digits: int = 1) -> Column:
+def signed(value: str, digits: int = 1) -> Column:
     """``+1.2`` or ``-0.5``; NULL stays NULL."""
-    return F.concat(F.when(value < 0, "-").otherwise("+"), _digits(value, digits, thousands=False))
+    return F.expr(_signed(value, "+", "-", _digits(value, digits)))
 
 
-def signed_pct(value: Column) -> Column:
-    return F.coalesce(F.concat(signed(value, 1), F.lit("%")), F.lit(NOT_AVAILABLE))
+def signed_pct(value: str) -> Column:
+    return F.expr(f"coalesce(concat({_signed(value, '+', '-', _digits(value, 1))}, '%'), '{NOT_AVAILABLE}')")
 
 
-def currency(value: Column) -> Column:
-    return F.coalesce(
-        F.concat(F.when(value < 0, "-$").otherwise("$"), _digits(value, 0, thousands=True)),
-        F.lit(NOT_AVAILABLE),
-    )
+def currency(value: str) -> Column:
+    shown = _signed(value, "$", "-$", _digits(value, 0, thousands=True))
+    return F.expr(f"coalesce({shown}, '{NOT_AVAILABLE}')")
 
 
-def share(value: Column) -> Column:
+def share(value: str) -> Column:
     """A fraction as whole percent; NULL stays NULL."""
-    return F.concat(fixed(value * F.lit(100.0), 0), F.lit("%"))
+    percent = f"({value} * 100D)"
+    return F.expr(f"concat({_signed(percent, '', '-', _digits(percent, 0))}, '%')")

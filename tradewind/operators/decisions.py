@@ -86,30 +86,35 @@ def kpi_trend(decisions: DataFrame, points: DataFrame) -> DataFrame:
     return issue.join(known, ["lens", "series"]).select("lens", "issue_type", "kpi_to_monitor", "as_of", "value")
 
 
-Localizer = Callable[[Column, Column, str], Mapping[str, Column]]
+# Gives the texts to replace, from the item's ``affected`` and
+# ``supporting_kpi`` columns.
+Localizer = Callable[[str], Mapping[str, Column]]
 
 
-def _facts(issue_type: str, affected: Column, kpi: Column) -> dict[str, Column]:
-    names = {n: affected[n] for n in ("brand", "channel", "marketing_channel", "sku_id")}
+def _facts(issue_type: str) -> dict[str, Column]:
+    def kpi(name: str) -> str:
+        return f"supporting_kpi['{name}']"
+
+    names = {n: F.col("affected")[n] for n in ("brand", "channel", "marketing_channel", "sku_id")}
     if issue_type == "sales_decline":
         return names | {
-            "previous": text.number(kpi["previous_net_revenue"]),
-            "current": text.number(kpi["current_net_revenue"]),
-            "pct": text.signed_pct(kpi["pct_change"]),
+            "previous": text.number(kpi("previous_net_revenue")),
+            "current": text.number(kpi("current_net_revenue")),
+            "pct": text.signed_pct(kpi("pct_change")),
         }
     if issue_type == "marketing_efficiency_decline":
         return names | {
-            "previous": text.fixed(kpi["previous_roas"], 2),
-            "current": text.fixed(kpi["current_roas"], 2),
-            "pct": text.signed_pct(kpi["roas_change_pct"]),
-            "spend": text.number(kpi["current_spend"]),
+            "previous": text.fixed(kpi("previous_roas"), 2),
+            "current": text.fixed(kpi("current_roas"), 2),
+            "pct": text.signed_pct(kpi("roas_change_pct")),
+            "spend": text.number(kpi("current_spend")),
         }
     if issue_type == "customer_mix_shift":
-        return names | {"previous": text.share(kpi["previous_new_share"]), "current": text.share(kpi["current_new_share"])}
+        return names | {"previous": text.share(kpi("previous_new_share")), "current": text.share(kpi("current_new_share"))}
     return names | {
-        "velocity": text.fixed(kpi["velocity_per_day"], 1),
-        "on_hand": kpi["on_hand"].cast("bigint"),
-        "cover": text.fixed(kpi["days_of_cover"], 1),
+        "velocity": text.fixed(kpi("velocity_per_day"), 1),
+        "on_hand": F.expr(f"bigint({kpi('on_hand')})"),
+        "cover": text.fixed(kpi("days_of_cover"), 1),
     }
 
 
@@ -117,9 +122,9 @@ def builtin_localizer(issue_type: str) -> Localizer:
     """Headline, drivers and action of a built-in issue type, rebuilt from the
     facts on the item."""
 
-    def localize_one(affected: Column, kpi: Column, lang: str) -> dict[str, Column]:
+    def localize_one(lang: str) -> dict[str, Column]:
         words = LOCALIZED[issue_type][lang]
-        facts = _facts(issue_type, affected, kpi)
+        facts = _facts(issue_type)
         return {
             "headline": render(words["headline"], facts),
             "likely_drivers": F.array(render(words["driver"], facts)),
@@ -136,7 +141,6 @@ def localize(decisions: DataFrame, lang: str, localizers: Mapping[str, Localizer
         return decisions
     prose = {c: F.col(c) for c in ("headline", "likely_drivers", "possible_action")}
     for issue_type, localizer in localizers.items():
-        changed = localizer(F.col("affected"), F.col("supporting_kpi"), lang)
-        for column, words in changed.items():
+        for column, words in localizer(lang).items():
             prose[column] = F.when(F.col("issue_type") == issue_type, words).otherwise(prose[column])
     return decisions.withColumns(prose)

@@ -35,7 +35,7 @@ def executive_summary(
         ).alias("_headlines")
     )
     counts = severity_counts(decisions, sales_summary)
-    revenue = render(words["revenue"], {"pct": text.signed_pct(F.col("pct_net_revenue"))})
+    revenue = render(words["revenue"], {"pct": text.signed_pct("pct_net_revenue")})
     counted = render(words["counts"], {s: F.col(s) for s in ("high", "medium", "low")})
     listed = render(words["top"], {"headlines": F.col("_headlines")})
     return (
@@ -66,9 +66,9 @@ def sales_tiles(summary: DataFrame, lang: str) -> DataFrame:
         summary,
         lang,
         {
-            "net_revenue": (text.currency(F.col("current_net_revenue")), text.signed_pct(F.col("pct_net_revenue"))),
-            "orders": (F.col("current_orders").cast("string"), text.signed_pct(F.col("pct_orders"))),
-            "aov": (text.currency(F.col("current_aov")), text.signed_pct(F.col("pct_aov"))),
+            "net_revenue": (text.currency("current_net_revenue"), text.signed_pct("pct_net_revenue")),
+            "orders": (F.col("current_orders").cast("string"), text.signed_pct("pct_orders")),
+            "aov": (text.currency("current_aov"), text.signed_pct("pct_aov")),
         },
     )
 
@@ -76,10 +76,9 @@ def sales_tiles(summary: DataFrame, lang: str) -> DataFrame:
 def customer_tiles(mix: DataFrame, lang: str) -> DataFrame:
     """New-customer share; the delta is in percentage points, NULL where one
     of the shares is missing."""
-    current = F.col("current_new_share")
-    points = (current - F.col("previous_new_share")) * 100
-    value = F.coalesce(text.share(current), F.lit(text.NOT_AVAILABLE))
-    return _tiles(mix, lang, {"new_share": (value, F.concat(text.signed(points, 1), F.lit("pt")))})
+    points = text.signed("((current_new_share - previous_new_share) * 100)", 1)
+    value = F.coalesce(text.share("current_new_share"), F.lit(text.NOT_AVAILABLE))
+    return _tiles(mix, lang, {"new_share": (value, F.concat(points, F.lit("pt")))})
 
 
 def period_struct() -> Column:

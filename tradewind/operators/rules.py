@@ -91,9 +91,10 @@ def raised_texts(issue_type: str, facts: Mapping[str, Column]) -> dict[str, Colu
 
 def detect_sales_decline(segments: DataFrame, params: Thresholds, by: Sequence[str] = ("as_of",)) -> DataFrame:
     """Revenue of a brand and channel fell; judged on the rounded change."""
-    current, previous, pct = F.col("current_net_revenue"), F.col("previous_net_revenue"), F.col("pct_change")
+    pct = F.col("pct_change")
     fired = segments.filter(
-        (previous >= params["min_segment_previous_revenue"]) & (pct <= params["decline_medium_pct"])
+        (F.col("previous_net_revenue") >= params["min_segment_previous_revenue"])
+        & (pct <= params["decline_medium_pct"])
     )
     where = {"brand": F.col("brand"), "channel": F.col("channel")}
     return items(
@@ -102,15 +103,20 @@ def detect_sales_decline(segments: DataFrame, params: Thresholds, by: Sequence[s
         F.lit("sales_decline"),
         F.when(pct <= params["decline_high_pct"], "high").otherwise("medium"),
         kpi={
-            "current_net_revenue": round_half_even(current, 2),
-            "previous_net_revenue": round_half_even(previous, 2),
-            "pct_change": round_half_even(pct, 1),
+            "current_net_revenue": round_half_even("current_net_revenue", 2),
+            "previous_net_revenue": round_half_even("previous_net_revenue", 2),
+            "pct_change": round_half_even("pct_change", 1),
         },
         impact=F.col("change"),
         affected=where,
         texts=raised_texts(
             "sales_decline",
-            {**where, "previous": text.fixed(previous), "current": text.fixed(current), "pct": text.fixed(pct, 1)},
+            {
+                **where,
+                "previous": text.fixed("previous_net_revenue"),
+                "current": text.fixed("current_net_revenue"),
+                "pct": text.fixed("pct_change", 1),
+            },
         ),
         order_value=-F.abs("change"),
         order_key=list(where.values()),
@@ -120,8 +126,8 @@ def detect_sales_decline(segments: DataFrame, params: Thresholds, by: Sequence[s
 def detect_marketing_decline(segments: DataFrame, params: Thresholds, by: Sequence[str] = ("as_of",)) -> DataFrame:
     """ROAS of a brand and marketing channel fell; judged on the unrounded
     change. The impact is what the spend would have earned at the old ROAS."""
-    current, previous = F.col("current_roas"), F.col("previous_roas")
-    pct = F.try_divide(current - previous, previous) * 100
+    change = "(try_divide(current_roas - previous_roas, previous_roas) * 100)"
+    pct = F.expr(change)
     fired = segments.filter(
         (F.col("previous_spend") >= params["min_segment_spend"]) & (pct <= params["decline_medium_pct"])
     )
@@ -132,21 +138,21 @@ def detect_marketing_decline(segments: DataFrame, params: Thresholds, by: Sequen
         F.lit("marketing_efficiency_decline"),
         F.when(pct <= params["decline_high_pct"], "high").otherwise("medium"),
         kpi={
-            "current_roas": round_half_even(current, 2),
-            "previous_roas": round_half_even(previous, 2),
-            "roas_change_pct": round_half_even(pct, 1),
-            "current_spend": round_half_even(F.col("current_spend"), 2),
+            "current_roas": round_half_even("current_roas", 2),
+            "previous_roas": round_half_even("previous_roas", 2),
+            "roas_change_pct": round_half_even(change, 1),
+            "current_spend": round_half_even("current_spend", 2),
         },
-        impact=round_half_even(F.col("current_attributed_revenue") - F.col("current_spend") * previous, 2),
+        impact=round_half_even("(current_attributed_revenue - current_spend * previous_roas)", 2),
         affected=where,
         texts=raised_texts(
             "marketing_efficiency_decline",
             {
                 **where,
-                "previous_spend": text.fixed(F.col("previous_spend")),
-                "current_spend": text.fixed(F.col("current_spend")),
-                "previous_revenue": text.fixed(F.col("previous_attributed_revenue")),
-                "current_revenue": text.fixed(F.col("current_attributed_revenue")),
+                "previous_spend": text.fixed("previous_spend"),
+                "current_spend": text.fixed("current_spend"),
+                "previous_revenue": text.fixed("previous_attributed_revenue"),
+                "current_revenue": text.fixed("current_attributed_revenue"),
             },
         ),
         order_value=F.col("roas_change_pct"),
@@ -161,15 +167,15 @@ def detect_inventory_issues(risk: DataFrame, params: Thresholds, by: Sequence[st
     flags = risk_flags(params["stockout_days"], params["excess_days"])
     kpi = {
         "on_hand": F.col("on_hand"),
-        "velocity_per_day": round_half_even(F.col("velocity"), 2),
-        "days_of_cover": round_half_even(cover, 1),
+        "velocity_per_day": round_half_even("velocity", 2),
+        "days_of_cover": round_half_even("days_of_cover", 1),
     }
     where = {"brand": F.col("brand"), "sku_id": F.col("sku_id").cast("string")}
     facts = {
         **where,
-        "velocity": text.fixed(F.col("velocity"), 1),
+        "velocity": text.fixed("velocity", 1),
         "on_hand": F.col("on_hand").cast("string"),
-        "cover": text.fixed(cover, 1),
+        "cover": text.fixed("days_of_cover", 1),
     }
     flagged = risk.withColumns(flags).filter(F.col("stockout_risk") | F.col("excess_risk"))
     short = F.col("stockout_risk")
@@ -191,21 +197,24 @@ def detect_inventory_issues(risk: DataFrame, params: Thresholds, by: Sequence[st
 def detect_customer_mix(mix: DataFrame, params: Thresholds, by: Sequence[str] = ("as_of",)) -> DataFrame:
     """The new-customer share fell; judged on the unrounded change of the
     rounded shares. At most one item per as-of date."""
-    current, previous = F.col("current_new_share"), F.col("previous_new_share")
-    pct = F.try_divide(current - previous, previous) * 100
+    change = "(try_divide(current_new_share - previous_new_share, previous_new_share) * 100)"
+    pct = F.expr(change)
     return items(
         mix.filter(pct <= params["new_share_drop_medium_pct"]),
         by,
         F.lit("customer_mix_shift"),
         F.when(pct <= params["new_share_drop_high_pct"], "high").otherwise("medium"),
         kpi={
-            "current_new_share": current,
-            "previous_new_share": previous,
-            "pct_change": round_half_even(pct, 1),
+            "current_new_share": F.col("current_new_share"),
+            "previous_new_share": F.col("previous_new_share"),
+            "pct_change": round_half_even(change, 1),
         },
         impact=F.lit(None),
         affected={},
-        texts=raised_texts("customer_mix_shift", {"previous": text.share(previous), "current": text.share(current)}),
+        texts=raised_texts(
+            "customer_mix_shift",
+            {"previous": text.share("previous_new_share"), "current": text.share("current_new_share")},
+        ),
         order_value=F.lit(0.0),
     )
 

@@ -31,8 +31,21 @@ OPENING_STOCK_PER_SIZE = 5
 LINE_ORDER = ("ship_date", "sku_id", "extended_price", "quantity", "discount", "returned")
 
 
+# Columns of the source tables that are read. Declared, so no
+# file is opened to plan a query.
+SOURCE_COLUMNS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+    "l_discount DOUBLE, l_returnflag STRING, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+    "o_orderpriority STRING",
+    "part": "p_partkey BIGINT, p_brand STRING, p_size INT, p_retailprice DOUBLE",
+    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet")
+    return spark.read.schema(SOURCE_COLUMNS[name]).parquet(f"{path}/{name}.parquet")
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
