@@ -50,6 +50,7 @@ def half_even_sql(value: str, digits: int) -> str:
     return f"({below} + element_at(array(1L, {below} % 2L, 0L), int(signum({distance})) + 2))"
 
 
-def round_half_even(value: str, digits: int) -> Column:
-    """Nearest value with `digits` decimals, decided on the exact binary value."""
-    return F.expr(f"double({half_even_sql(value, digits)}) * if({value} < 0, -1D, 1D) / {10**digits}D")
+def round_half_even(value: str, digits: int) -> str:
+    """SQL for the nearest value with `digits` decimals, decided on the exact
+    binary value."""
+    return f"(double({half_even_sql(value, digits)}) * if({value} < 0, -1D, 1D) / {10**digits}D)"

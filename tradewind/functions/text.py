@@ -1,19 +1,27 @@
 """Number formats used in tiles, prose and summaries.
 
-Each takes the SQL of a DOUBLE (usually a column name) and gives a Column.
+Each takes the SQL of a DOUBLE (usually a column name) and gives the SQL of
+its text; wrap it in ``F.expr``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .numeric import half_even_sql
 
 # Fixed value: text shown where a number is not computable.
 NOT_AVAILABLE = "n/a"
 
 
+def quoted(words: str) -> str:
+    """A SQL string literal."""
+    escaped = words.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def or_not_available(shown: str) -> str:
+    return f"coalesce({shown}, {quoted(NOT_AVAILABLE)})"
+
+
 def _digits(value: str, digits: int, thousands: bool = False) -> str:
     """Unsigned fixed-point text of ``|value|``."""
     unit = f"{10 ** -digits:.{digits}f}BD" if digits else "1BD"
@@ -21,36 +29,33 @@ def _digits(value: str, digits: int, thousands: bool = False) -> str:
     return f"format_number({exact}, {digits})" if thousands else f"string({exact})"
 
 
-def _signed(value: str, plus: str, minus: str, body: str) -> str:
+def _with_sign(value: str, plus: str, minus: str, body: str) -> str:
     return f"concat(if({value} < 0, '{minus}', '{plus}'), {body})"
 
 
-def fixed(value: str, digits: int = 0) -> Column:
+def fixed(value: str, digits: int = 0) -> str:
     """``12.3``, ``-1234``; NULL stays NULL."""
-    return F.expr(_signed(value, "", "-", _digits(value, digits)))
+    return _with_sign(value, "", "-", _digits(value, digits))
 
 
-def number(value: str, digits: int = 0) -> Column:
+def number(value: str, digits: int = 0) -> str:
     """Fixed digits with thousands separators."""
-    shown = _signed(value, "", "-", _digits(value, digits, thousands=True))
-    return F.expr(f"coalesce({shown}, '{NOT_AVAILABLE}')")
+    return or_not_available(_with_sign(value, "", "-", _digits(value, digits, thousands=True)))
 
 
-def signed(value: str, digits: int = 1) -> Column:
+def signed(value: str, digits: int = 1) -> str:
     """``+1.2`` or ``-0.5``; NULL stays NULL."""
-    return F.expr(_signed(value, "+", "-", _digits(value, digits)))
+    return _with_sign(value, "+", "-", _digits(value, digits))
 
 
-def signed_pct(value: str) -> Column:
-    return F.expr(f"coalesce(concat({_signed(value, '+', '-', _digits(value, 1))}, '%'), '{NOT_AVAILABLE}')")
+def signed_pct(value: str) -> str:
+    return or_not_available(f"concat({signed(value, 1)}, '%')")
 
 
-def currency(value: str) -> Column:
-    shown = _signed(value, "$", "-$", _digits(value, 0, thousands=True))
-    return F.expr(f"coalesce({shown}, '{NOT_AVAILABLE}')")
+def currency(value: str) -> str:
+    return or_not_available(_with_sign(value, "$", "-$", _digits(value, 0, thousands=True)))
 
 
-def share(value: str) -> Column:
+def share(value: str) -> str:
     """A fraction as whole percent; NULL stays NULL."""
-    percent = f"({value} * 100D)"
-    return F.expr(f"concat({_signed(percent, '', '-', _digits(percent, 0))}, '%')")
+    return f"concat({fixed(f'({value} * 100D)', 0)}, '%')"

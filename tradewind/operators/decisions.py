@@ -31,7 +31,7 @@ def impact() -> Column:
 
 def by_materiality() -> list[Column]:
     """Severity first, then size of the impact; no estimate comes last."""
-    return [severity_rank(F.col("severity")).asc(), F.abs(impact()).desc_nulls_last(), *standing()]
+    return [severity_rank().asc(), F.abs(impact()).desc_nulls_last(), *standing()]
 
 
 def top_issues(decisions: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
@@ -86,16 +86,15 @@ def kpi_trend(decisions: DataFrame, points: DataFrame) -> DataFrame:
     return issue.join(known, ["lens", "series"]).select("lens", "issue_type", "kpi_to_monitor", "as_of", "value")
 
 
-# Gives the texts to replace, from the item's ``affected`` and
-# ``supporting_kpi`` columns.
-Localizer = Callable[[str], Mapping[str, Column]]
+# Gives, for a language, the texts to replace as SQL over the item's columns.
+Localizer = Callable[[str], Mapping[str, str]]
 
 
-def _facts(issue_type: str) -> dict[str, Column]:
+def _facts(issue_type: str) -> dict[str, str]:
     def kpi(name: str) -> str:
         return f"supporting_kpi['{name}']"
 
-    names = {n: F.col("affected")[n] for n in ("brand", "channel", "marketing_channel", "sku_id")}
+    names = {n: f"affected['{n}']" for n in ("brand", "channel", "marketing_channel", "sku_id")}
     if issue_type == "sales_decline":
         return names | {
             "previous": text.number(kpi("previous_net_revenue")),
@@ -113,7 +112,7 @@ def _facts(issue_type: str) -> dict[str, Column]:
         return names | {"previous": text.share(kpi("previous_new_share")), "current": text.share(kpi("current_new_share"))}
     return names | {
         "velocity": text.fixed(kpi("velocity_per_day"), 1),
-        "on_hand": F.expr(f"bigint({kpi('on_hand')})"),
+        "on_hand": f"bigint({kpi('on_hand')})",
         "cover": text.fixed(kpi("days_of_cover"), 1),
     }
 
@@ -122,12 +121,12 @@ def builtin_localizer(issue_type: str) -> Localizer:
     """Headline, drivers and action of a built-in issue type, rebuilt from the
     facts on the item."""
 
-    def localize_one(lang: str) -> dict[str, Column]:
+    def localize_one(lang: str) -> dict[str, str]:
         words = LOCALIZED[issue_type][lang]
         facts = _facts(issue_type)
         return {
             "headline": render(words["headline"], facts),
-            "likely_drivers": F.array(render(words["driver"], facts)),
+            "likely_drivers": f"array({render(words['driver'], facts)})",
             "possible_action": render(words["action"], facts),
         }
 
@@ -139,8 +138,9 @@ def localize(decisions: DataFrame, lang: str, localizers: Mapping[str, Localizer
     localizer, keeps the text the item was raised with."""
     if lang not in LANGUAGES:
         return decisions
-    prose = {c: F.col(c) for c in ("headline", "likely_drivers", "possible_action")}
+    cases: dict[str, list[str]] = {}
     for issue_type, localizer in localizers.items():
         for column, words in localizer(lang).items():
-            prose[column] = F.when(F.col("issue_type") == issue_type, words).otherwise(prose[column])
+            cases.setdefault(column, []).append(f"when {text.quoted(issue_type)} then {words}")
+    prose = {c: F.expr(f"case issue_type {' '.join(whens)} else {c} end") for c, whens in cases.items()}
     return decisions.withColumns(prose)

@@ -33,6 +33,11 @@ def is_baseline(day: Column, end: dt.date) -> Column:
     return day.between(F.lit(last - dt.timedelta(days=BASELINE_DAYS - 1)), F.lit(last))
 
 
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """By `keys` over all shuffle partitions, whatever the size now."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def units_by_sku_day(orders: DataFrame, day: str = "order_date") -> DataFrame:
     return orders.groupBy("sku_id", F.col(day).alias("date")).agg(
         F.sum(F.col("quantity").cast("bigint")).alias("units")
@@ -60,7 +65,9 @@ def dense_demand(units: DataFrame, skus: DataFrame, end: dt.date, days: int = HO
 
     Only the days with demand and one opening row per SKU are shuffled, by
     SKU. Each row then fills the days up to the next one in place, so the
-    dense grid is born partitioned the way the ledger windows need it.
+    dense grid is born partitioned the way the ledger windows need it. The
+    number of partitions is fixed: the few rows are about to become many, and
+    their size before that must not decide how many tasks share the work.
     """
     if days < RECENT_DAYS + BASELINE_DAYS:
         raise ValueError("the horizon must include the baseline window")
@@ -74,8 +81,7 @@ def dense_demand(units: DataFrame, skus: DataFrame, end: dt.date, days: int = HO
     run = whole.orderBy("_day")
     baseline = F.sum(F.when(is_baseline(F.col("_day"), end), F.col("units"))).over(whole)
     return (
-        opening.unionByName(sparse, allowMissingColumns=True)
-        .repartition("sku_id")
+        spread(opening.unionByName(sparse, allowMissingColumns=True), "sku_id")
         .select(
             "sku_id",
             "_day",

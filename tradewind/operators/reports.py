@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.prose import DEFAULT_LANGUAGE, FACTS_MARK, PROMPT_HEADER, SUMMARY, TILES, render
 from .decisions import DEFAULT_TOP, Localizer, localize, severity_counts, top_issues
+from .rules import SEVERITIES
 
 HEADLINES_IN_SUMMARY = 3
 JSON_OPTIONS = {"ignoreNullFields": "false"}
@@ -36,29 +37,25 @@ def executive_summary(
     )
     counts = severity_counts(decisions, sales_summary)
     revenue = render(words["revenue"], {"pct": text.signed_pct("pct_net_revenue")})
-    counted = render(words["counts"], {s: F.col(s) for s in ("high", "medium", "low")})
-    listed = render(words["top"], {"headlines": F.col("_headlines")})
+    counted = render(words["counts"], {s: s for s in SEVERITIES})
+    listed = render(words["top"], {"headlines": "_headlines"})
     return (
         sales_summary.select("as_of", "pct_net_revenue")
         .join(counts, "as_of")
         .join(headlines, "as_of", "left")
-        .select("as_of", F.concat_ws(" ", revenue, counted, listed).alias("summary"))
+        .select("as_of", F.expr(f"concat_ws(' ', {revenue}, {counted}, {listed})").alias("summary"))
     )
 
 
-def _tiles(frame: DataFrame, lang: str, tiles: Mapping[str, tuple[Column, Column]]) -> DataFrame:
-    rows = F.array(
-        *(
-            F.struct(
-                F.lit(key).alias("tile"),
-                F.lit(TILES[key].get(lang, TILES[key][DEFAULT_LANGUAGE])).alias("label"),
-                value.alias("value"),
-                delta.cast("string").alias("delta"),
-            )
-            for key, (value, delta) in tiles.items()
+def _tiles(frame: DataFrame, lang: str, tiles: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row per tile from the SQL of its value and delta."""
+    rows = []
+    for key, (value, delta) in tiles.items():
+        label = TILES[key].get(lang, TILES[key][DEFAULT_LANGUAGE])
+        rows.append(
+            f"struct({text.quoted(key)} as tile, {text.quoted(label)} as label, {value} as value, {delta} as delta)"
         )
-    )
-    return frame.select("as_of", F.inline(rows))
+    return frame.select("as_of", F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def sales_tiles(summary: DataFrame, lang: str) -> DataFrame:
@@ -67,7 +64,7 @@ def sales_tiles(summary: DataFrame, lang: str) -> DataFrame:
         lang,
         {
             "net_revenue": (text.currency("current_net_revenue"), text.signed_pct("pct_net_revenue")),
-            "orders": (F.col("current_orders").cast("string"), text.signed_pct("pct_orders")),
+            "orders": ("string(current_orders)", text.signed_pct("pct_orders")),
             "aov": (text.currency("current_aov"), text.signed_pct("pct_aov")),
         },
     )
@@ -77,8 +74,8 @@ def customer_tiles(mix: DataFrame, lang: str) -> DataFrame:
     """New-customer share; the delta is in percentage points, NULL where one
     of the shares is missing."""
     points = text.signed("((current_new_share - previous_new_share) * 100)", 1)
-    value = F.coalesce(text.share("current_new_share"), F.lit(text.NOT_AVAILABLE))
-    return _tiles(mix, lang, {"new_share": (value, F.concat(points, F.lit("pt")))})
+    value = text.or_not_available(text.share("current_new_share"))
+    return _tiles(mix, lang, {"new_share": (value, f"concat({points}, 'pt')")})
 
 
 def period_struct() -> Column:
@@ -86,11 +83,6 @@ def period_struct() -> Column:
     return F.struct(*(F.date_format(b, "yyyy-MM-dd").alias(b) for b in bounds))
 
 
-def plain(value: Column) -> Column:
-    """A two-decimal number that JSON shows without an exponent."""
-    return value.cast("decimal(28,2)")
-
-
 def sales_struct() -> Column:
     """The sales summary as ``{current, previous, pct_change}``."""
 

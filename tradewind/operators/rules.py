@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.numeric import round_half_even
@@ -23,25 +22,6 @@ SEVERITIES = ("high", "medium", "low")
 
 IMPACT = "estimated_revenue_impact"
 
-ITEM_FIELDS = [
-    T.StructField("issue_type", T.StringType(), False),
-    T.StructField("headline", T.StringType()),
-    T.StructField("severity", T.StringType(), False),
-    T.StructField("supporting_kpi", T.MapType(T.StringType(), T.DoubleType())),
-    T.StructField("likely_drivers", T.ArrayType(T.StringType())),
-    T.StructField("affected", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("possible_action", T.StringType()),
-    T.StructField("kpi_to_monitor", T.StringType()),
-]
-# Where the item stood in its section; keeps later sorts stable without
-# numbering rows.
-ORDER_FIELDS = [
-    T.StructField("order_value", T.DoubleType()),
-    T.StructField("order_key", T.ArrayType(T.StringType())),
-]
-ITEM_COLUMNS = [f.name for f in ITEM_FIELDS]
-ORDER_COLUMNS = [f.name for f in ORDER_FIELDS]
-
 Thresholds = Mapping[str, Column]
 
 
@@ -49,11 +29,10 @@ def literals(params: Mapping[str, float]) -> dict[str, Column]:
     return {key: F.lit(float(value)) for key, value in params.items()}
 
 
-def text_map(entries: Mapping[str, Column], value_type: str) -> Column:
-    if not entries:
-        return F.expr(f"cast(map() as map<string, {value_type}>)")
-    pairs = [c for k, v in entries.items() for c in (F.lit(k), v.cast(value_type))]
-    return F.create_map(*pairs)
+def sql_map(entries: Mapping[str, str], value_type: str) -> str:
+    """SQL of a map from names to the SQL of their values."""
+    pairs = ", ".join(f"{text.quoted(k)}, cast({v} as {value_type})" for k, v in entries.items())
+    return f"cast(map({pairs}) as map<string, {value_type}>)"
 
 
 def items(
@@ -61,34 +40,44 @@ def items(
     by: Sequence[str],
     issue_type: Column,
     severity: Column,
-    kpi: Mapping[str, Column],
-    impact: Column,
-    affected: Mapping[str, Column],
-    texts: Mapping[str, Column],
-    order_value: Column,
-    order_key: Sequence[Column] = (),
+    kpi: Mapping[str, str],
+    impact: str,
+    affected: Mapping[str, str],
+    texts: Mapping[str, str],
+    order_value: str,
+    order_key: Sequence[str] = (),
 ) -> DataFrame:
-    """Decision items in the common shape."""
-    key = F.array(*[c.cast("string") for c in order_key]) if order_key else F.expr("cast(array() as array<string>)")
+    """Decision items in the common shape. Facts and texts are SQL over the
+    columns of `rows`."""
+    key = ", ".join(f"string({k})" for k in order_key)
     return rows.select(
         *by,
         issue_type.alias("issue_type"),
-        texts["headline"].alias("headline"),
         severity.alias("severity"),
-        text_map({**kpi, IMPACT: impact}, "double").alias("supporting_kpi"),
-        F.array(texts["driver"]).alias("likely_drivers"),
-        text_map(affected, "string").alias("affected"),
-        texts["action"].alias("possible_action"),
-        texts["monitor"].alias("kpi_to_monitor"),
-        order_value.cast("double").alias("order_value"),
-        key.alias("order_key"),
+        *(
+            F.expr(sql).alias(name)
+            for name, sql in {
+                "headline": texts["headline"],
+                "supporting_kpi": sql_map({**kpi, IMPACT: impact}, "double"),
+                "likely_drivers": f"array({texts['driver']})",
+                "affected": sql_map(affected, "string"),
+                "possible_action": texts["action"],
+                "kpi_to_monitor": texts["monitor"],
+                "order_value": f"double({order_value})",
+                "order_key": f"cast(array({key}) as array<string>)",
+            }.items()
+        ),
     )
 
 
-def raised_texts(issue_type: str, facts: Mapping[str, Column]) -> dict[str, Column]:
+def raised_texts(issue_type: str, facts: Mapping[str, str]) -> dict[str, str]:
     return {part: render(words, facts) for part, words in RAISED[issue_type].items()}
 
 
+def columns(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
 def detect_sales_decline(segments: DataFrame, params: Thresholds, by: Sequence[str] = ("as_of",)) -> DataFrame:
     """Revenue of a brand and channel fell; judged on the rounded change."""
     pct = F.col("pct_change")
@@ -96,7 +85,12 @@ def detect_sales_decline(segments: DataFrame, params: Thresholds, by: Sequence[s
         (F.col("previous_net_revenue") >= params["min_segment_previous_revenue"])
         & (pct <= params["decline_medium_pct"])
     )
-    where = {"brand": F.col("brand"), "channel": F.col("channel")}
+    where = columns("brand", "channel")
+    facts = {
+        "previous": text.fixed("previous_net_revenue"),
+        "current": text.fixed("current_net_revenue"),
+        "pct": text.fixed("pct_change", 1),
+    }
     return items(
         fired,
         by,
@@ -107,19 +101,11 @@ def detect_sales_decline(segments: DataFrame, params: Thresholds, by: Sequence[s
             "previous_net_revenue": round_half_even("previous_net_revenue", 2),
             "pct_change": round_half_even("pct_change", 1),
         },
-        impact=F.col("change"),
+        impact="change",
         affected=where,
-        texts=raised_texts(
-            "sales_decline",
-            {
-                **where,
-                "previous": text.fixed("previous_net_revenue"),
-                "current": text.fixed("current_net_revenue"),
-                "pct": text.fixed("pct_change", 1),
-            },
-        ),
-        order_value=-F.abs("change"),
-        order_key=list(where.values()),
+        texts=raised_texts("sales_decline", {**where, **facts}),
+        order_value="-abs(change)",
+        order_key=list(where),
     )
 
 
@@ -131,7 +117,13 @@ def detect_marketing_decline(segments: DataFrame, params: Thresholds, by: Sequen
     fired = segments.filter(
         (F.col("previous_spend") >= params["min_segment_spend"]) & (pct <= params["decline_medium_pct"])
     )
-    where = {"brand": F.col("brand"), "marketing_channel": F.col("marketing_channel")}
+    where = columns("brand", "marketing_channel")
+    facts = {
+        "previous_spend": text.fixed("previous_spend"),
+        "current_spend": text.fixed("current_spend"),
+        "previous_revenue": text.fixed("previous_attributed_revenue"),
+        "current_revenue": text.fixed("current_attributed_revenue"),
+    }
     return items(
         fired,
         by,
@@ -145,52 +137,42 @@ def detect_marketing_decline(segments: DataFrame, params: Thresholds, by: Sequen
         },
         impact=round_half_even("(current_attributed_revenue - current_spend * previous_roas)", 2),
         affected=where,
-        texts=raised_texts(
-            "marketing_efficiency_decline",
-            {
-                **where,
-                "previous_spend": text.fixed("previous_spend"),
-                "current_spend": text.fixed("current_spend"),
-                "previous_revenue": text.fixed("previous_attributed_revenue"),
-                "current_revenue": text.fixed("current_attributed_revenue"),
-            },
-        ),
-        order_value=F.col("roas_change_pct"),
-        order_key=list(where.values()),
+        texts=raised_texts("marketing_efficiency_decline", {**where, **facts}),
+        order_value="roas_change_pct",
+        order_key=list(where),
     )
 
 
 def detect_inventory_issues(risk: DataFrame, params: Thresholds, by: Sequence[str] = ("as_of",)) -> DataFrame:
     """Stock-out or excess risk per SKU; a stock-out hides an excess. Flags are
     taken anew from the stored position under the given limits."""
-    cover = F.col("days_of_cover")
-    flags = risk_flags(params["stockout_days"], params["excess_days"])
-    kpi = {
-        "on_hand": F.col("on_hand"),
-        "velocity_per_day": round_half_even("velocity", 2),
-        "days_of_cover": round_half_even("days_of_cover", 1),
-    }
-    where = {"brand": F.col("brand"), "sku_id": F.col("sku_id").cast("string")}
+    flagged = risk.withColumns(risk_flags(params["stockout_days"], params["excess_days"])).filter(
+        "stockout_risk or excess_risk"
+    )
+    short = F.col("stockout_risk")
     facts = {
-        **where,
+        **columns("brand", "sku_id", "on_hand"),
         "velocity": text.fixed("velocity", 1),
-        "on_hand": F.col("on_hand").cast("string"),
         "cover": text.fixed("days_of_cover", 1),
     }
-    flagged = risk.withColumns(flags).filter(F.col("stockout_risk") | F.col("excess_risk"))
-    short = F.col("stockout_risk")
     out, over = raised_texts("stockout_risk", facts), raised_texts("excess_inventory_risk", facts)
     return items(
         flagged,
         by,
         F.when(short, "stockout_risk").otherwise("excess_inventory_risk"),
-        F.when(~short, "low").when(cover < params["high_severity_days"], "high").otherwise("medium"),
-        kpi=kpi,
-        impact=F.lit(None),
-        affected=where,
-        texts={part: F.when(short, out[part]).otherwise(over[part]) for part in out},
-        order_value=cover,
-        order_key=[F.col("sku_id")],
+        F.when(~short, "low")
+        .when(F.col("days_of_cover") < params["high_severity_days"], "high")
+        .otherwise("medium"),
+        kpi={
+            "on_hand": "on_hand",
+            "velocity_per_day": round_half_even("velocity", 2),
+            "days_of_cover": round_half_even("days_of_cover", 1),
+        },
+        impact="null",
+        affected=columns("brand", "sku_id"),
+        texts={part: f"if(stockout_risk, {out[part]}, {over[part]})" for part in out},
+        order_value="days_of_cover",
+        order_key=["sku_id"],
     )
 
 
@@ -199,29 +181,27 @@ def detect_customer_mix(mix: DataFrame, params: Thresholds, by: Sequence[str] =
     rounded shares. At most one item per as-of date."""
     change = "(try_divide(current_new_share - previous_new_share, previous_new_share) * 100)"
     pct = F.expr(change)
+    facts = {"previous": text.share("previous_new_share"), "current": text.share("current_new_share")}
     return items(
         mix.filter(pct <= params["new_share_drop_medium_pct"]),
         by,
         F.lit("customer_mix_shift"),
         F.when(pct <= params["new_share_drop_high_pct"], "high").otherwise("medium"),
         kpi={
-            "current_new_share": F.col("current_new_share"),
-            "previous_new_share": F.col("previous_new_share"),
+            **columns("current_new_share", "previous_new_share"),
             "pct_change": round_half_even(change, 1),
         },
-        impact=F.lit(None),
+        impact="null",
         affected={},
-        texts=raised_texts(
-            "customer_mix_shift",
-            {"previous": text.share("previous_new_share"), "current": text.share("current_new_share")},
-        ),
-        order_value=F.lit(0.0),
+        texts=raised_texts("customer_mix_shift", facts),
+        order_value="0",
     )
 
 
-def severity_rank(severity: Column) -> Column:
-    position = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
-    return F.when(position > 0, position - 1).otherwise(99)
+def severity_rank() -> Column:
+    """0 for the most severe; anything unknown comes last."""
+    names = ", ".join(text.quoted(s) for s in SEVERITIES)
+    return F.expr(f"coalesce(nullif(array_position(array({names}), severity), 0) - 1, 99)")
 
 
 def stamped(item_rows: DataFrame, lens: str, position: int) -> DataFrame:
@@ -231,7 +211,7 @@ def stamped(item_rows: DataFrame, lens: str, position: int) -> DataFrame:
 
 def by_severity() -> list[Column]:
     """Report order: severity, then viewpoint order, then section order."""
-    return [severity_rank(F.col("severity")).asc(), *standing()]
+    return [severity_rank().asc(), *standing()]
 
 
 def standing() -> list[Column]:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
 from ..operators import rules
 from ..operators.decisions import kpi_trend, localize, tag_lens
 from ..operators.periods import Anchors
@@ -105,22 +106,15 @@ def header_frame(
 ) -> DataFrame:
     """One row per as-of date: versions, period bounds, lenses, engine per
     lens, parameters; the narrative is filled in by others."""
+    ids = [text.quoted(lens.id) for lens in lenses]
+    values = [rules.sql_map({k: repr(float(v)) for k, v in params[lens.id].items()}, "double") for lens in lenses]
     return anchors.frame(spark).select(
         "as_of",
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.struct("current_start", "current_end", "previous_start", "previous_end").alias("period"),
-        F.array(*(F.lit(lens.id) for lens in lenses)).alias("lenses"),
-        F.create_map(*(c for lens in lenses for c in (F.lit(lens.id), F.lit(ENGINE)))).alias("metrics_source"),
-        F.create_map(
-            *(
-                c
-                for lens in lenses
-                for c in (
-                    F.lit(lens.id),
-                    rules.text_map({k: F.lit(float(v)) for k, v in params[lens.id].items()}, "double"),
-                )
-            )
-        ).alias("params"),
+        F.expr(f"array({', '.join(ids)})").alias("lenses"),
+        F.expr(f"map({', '.join(f'{i}, {text.quoted(ENGINE)}' for i in ids)})").alias("metrics_source"),
+        F.expr(f"map({', '.join(f'{i}, {v}' for i, v in zip(ids, values))})").alias("params"),
         F.lit(None).cast("string").alias("narrative"),
     )
 
