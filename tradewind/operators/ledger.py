@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # Horizon, comparison windows and replenishment policy.
@@ -19,7 +19,9 @@ REVIEW_INTERVAL_DAYS = 7
 FALLBACK_DAILY_DEMAND = 0.5
 UNIT_COST_FRACTION = 0.45
 
-BY_SKU = Window.partitionBy("sku_id").orderBy("date")
+
+def by_sku() -> WindowSpec:
+    return Window.partitionBy("sku_id").orderBy("date")
 
 
 def is_recent(day: Column, end: dt.date) -> Column:
@@ -109,7 +111,7 @@ def replenishment(grid: DataFrame, start: dt.date) -> DataFrame:
 
     Needs ``demand`` and ``daily_demand``. Independent of the stock level.
     """
-    week = F.sum("demand").over(BY_SKU.rowsBetween(-REVIEW_INTERVAL_DAYS, -1))
+    week = F.sum("demand").over(by_sku().rowsBetween(-REVIEW_INTERVAL_DAYS, -1))
     day_index = F.datediff("date", F.lit(start))
     first = F.bround(F.col("daily_demand") * F.lit(float(REVIEW_INTERVAL_DAYS)), 0).cast("bigint")
     return grid.withColumns(
@@ -131,7 +133,7 @@ def stock_ledger(grid: DataFrame) -> DataFrame:
     is ``S - least(0, lowest S so far)``; two running windows replace the loop.
     Needs ``opening0``, ``demand`` and ``receipts``.
     """
-    so_far = BY_SKU.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_sku().rowsBetween(Window.unboundedPreceding, 0)
     balance = grid.withColumn(
         "_balance", F.col("opening0") + F.sum(F.col("receipts") - F.col("demand")).over(so_far)
     )
@@ -139,7 +141,7 @@ def stock_ledger(grid: DataFrame) -> DataFrame:
         "closing_stock", F.col("_balance") - F.least(F.lit(0).cast("bigint"), F.min("_balance").over(so_far))
     )
     opened = closing.withColumn(
-        "opening_stock", F.coalesce(F.lag("closing_stock").over(BY_SKU), F.col("opening0"))
+        "opening_stock", F.coalesce(F.lag("closing_stock").over(by_sku()), F.col("opening0"))
     )
     return opened.select(
         "date",
