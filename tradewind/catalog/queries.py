@@ -386,7 +386,7 @@ def detect_customer_mix(spark, path):
 
 def together(spark, path, anchors: Anchors, store: bool = True) -> H.History:
     tables = S.commerce_tables(spark, path, anchors, store=store)
-    return H.build_history(spark, tables, anchors, store_sections=store)
+    return H.build_history(spark, tables, anchors, store_shared=store)
 
 
 def judged(spark, path, anchors: Anchors) -> DataFrame:
@@ -445,9 +445,8 @@ def kpi_trend(spark, path):
     return H.trend(built, latest)
 
 
-def _localized(spark, path, lang):
-    items = H.localized(judged(spark, path, TOGETHER), lang)
-    return items.select(
+def _localized(raised, lang):
+    return H.localized(raised, lang).select(
         F.lit(lang).alias("lang"),
         "as_of",
         "issue_type",
@@ -460,7 +459,8 @@ def _localized(spark, path, lang):
 
 @query
 def localized_decisions(spark, path):
-    return _localized(spark, path, "ko").unionByName(_localized(spark, path, "en"))
+    raised = storage.materialize(judged(spark, path, TOGETHER))
+    return _localized(raised, "ko").unionByName(_localized(raised, "en"))
 
 
 @query

@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def cents(amount: Column) -> Column:
-    """Amount (two decimals) as whole cents."""
-    return F.rint(amount * F.lit(100.0)).cast("bigint")
+def cents(amount: str) -> str:
+    """SQL for an amount with two decimals as whole cents."""
+    return f"bigint(rint({amount} * 100D))"
 
 
 def dollars(amount_cents: Column) -> Column:

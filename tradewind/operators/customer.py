@@ -18,7 +18,7 @@ def customer_mix(orders: DataFrame, anchors: Anchors) -> DataFrame:
         anchors,
         "order_date",
         [],
-        {"new": F.col("is_new_customer").cast("bigint"), "orders": F.lit(1).cast("bigint")},
+        {"new": "bigint(is_new_customer)", "orders": "1L"},
     )
     shares = totals.select(
         "as_of",
@@ -60,7 +60,7 @@ def customer_summary(orders: DataFrame, acquisition: DataFrame) -> DataFrame:
     per_customer = orders.groupBy("customer_id").agg(
         F.min("order_date").alias("first_order_date"),
         F.count("order_id").alias("total_orders"),
-        dollars(F.sum(cents(F.col("net_sales")))).alias("total_net_sales"),
+        dollars(F.expr(f"sum({cents('net_sales')})")).alias("total_net_sales"),
     )
     return per_customer.join(acquisition.select("customer_id", "acquisition_channel"), "customer_id", "left").select(
         "customer_id",

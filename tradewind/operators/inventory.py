@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
@@ -19,7 +19,7 @@ def sku_velocity(inventory: DataFrame, anchors: Anchors, velocity_window_days: i
         anchors.with_window(velocity_window_days),
         "date",
         ["sku_id"],
-        {"units": F.col("units_sold").cast("bigint"), "days": F.lit(1).cast("bigint")},
+        {"units": "bigint(units_sold)", "days": "1L"},
         previous=False,
     )
     return totals.select(
@@ -45,16 +45,35 @@ def inventory_risk(
     excess_days: float = 60.0,
 ) -> DataFrame:
     """Stock position per SKU on each as-of date; a SKU without a row on that
-    very date is left out."""
-    on_hand = inventory.filter(anchors.holds(F.col("date"))).select(
-        F.col("date").alias("as_of"), "sku_id", "brand", F.col("closing_stock").cast("bigint").alias("on_hand")
+    very date is left out.
+
+    The stock table is not deduplicated: equal rows are first folded into a
+    count, which bounds a SKU to its days and positions, and unfolded at the
+    end. One window per SKU then serves every as-of date, without a join.
+    """
+    trailing = anchors.with_window(velocity_window_days)
+    folded = (
+        inventory.filter(trailing.covers(F.col("date"), periods=1))
+        .groupBy("sku_id", "brand", "date", F.col("closing_stock").cast("bigint").alias("on_hand"))
+        .agg(F.sum(F.col("units_sold").cast("bigint")).alias("_units"), F.count(F.lit(1)).alias("_rows"))
+    )
+    days = (
+        Window.partitionBy("sku_id").orderBy(F.unix_date("date")).rangeBetween(-(velocity_window_days - 1), 0)
     )
-    velocity = sku_velocity(inventory, anchors, velocity_window_days)
-    cover = F.when(F.col("velocity") > 0, F.round(ratio(F.col("on_hand"), F.col("velocity")), 1))
+    mean = ratio(F.sum("_units").over(days), F.sum("_rows").over(days))
     return (
-        on_hand.join(velocity, ["as_of", "sku_id"], "left")
-        .withColumn("velocity", F.coalesce("velocity", F.lit(0.0)))
-        .withColumn("days_of_cover", cover)
+        folded.withColumn("velocity", F.coalesce(F.round(mean, 2), F.lit(0.0)))
+        .filter(anchors.holds(F.col("date")))
+        .select(
+            F.col("date").alias("as_of"),
+            "sku_id",
+            "brand",
+            "on_hand",
+            "velocity",
+            F.when(F.col("velocity") > 0, F.round(ratio(F.col("on_hand"), F.col("velocity")), 1)).alias("days_of_cover"),
+            F.explode(F.sequence(F.lit(1).cast("bigint"), "_rows")).alias("_copy"),
+        )
+        .drop("_copy")
         .withColumns(risk_flags(F.lit(float(stockout_days)), F.lit(float(excess_days))))
     )
 

@@ -75,13 +75,14 @@ def dense_demand(units: DataFrame, skus: DataFrame, end: dt.date, days: int = HO
         raise ValueError("the horizon must include the baseline window")
     start = end - dt.timedelta(days=days - 1)
     attributes = [c for c in skus.columns if c != "sku_id"]
-    opening = skus.select("sku_id", F.lit(start - dt.timedelta(days=1)).alias("_day"), F.struct(*attributes).alias("_sku"))
+    # Days are counted from `start`; whole numbers expand much faster than dates.
+    opening = skus.select("sku_id", F.lit(-1).alias("_day"), F.struct(*attributes).alias("_sku"))
     sparse = units.filter(F.col("date").between(F.lit(start), F.lit(end))).select(
-        "sku_id", F.col("date").alias("_day"), "units"
+        "sku_id", F.datediff("date", F.lit(start)).alias("_day"), "units"
     )
     whole = Window.partitionBy("sku_id")
     run = whole.orderBy("_day")
-    baseline = F.sum(F.when(is_baseline(F.col("_day"), end), F.col("units"))).over(whole)
+    baseline_day = is_baseline(F.date_add(F.lit(start), F.col("_day")), end)
     return (
         spread(opening.unionByName(sparse, allowMissingColumns=True), "sku_id")
         .select(
@@ -89,18 +90,18 @@ def dense_demand(units: DataFrame, skus: DataFrame, end: dt.date, days: int = HO
             "_day",
             "units",
             F.first("_sku").over(run).alias("_sku"),
-            F.date_sub(F.lead("_day", 1, end + dt.timedelta(days=1)).over(run), 1).alias("_until"),
-            daily_rate(baseline).alias("daily_demand"),
+            (F.lead("_day", 1, days).over(run) - 1).alias("_until"),
+            daily_rate(F.sum(F.when(baseline_day, F.col("units"))).over(whole)).alias("daily_demand"),
         )
         .filter(F.col("_sku").isNotNull())
-        .withColumn("date", F.explode(F.sequence("_day", "_until")))
-        .filter(F.col("date") >= F.lit(start))
+        .withColumn("_at", F.explode(F.sequence("_day", "_until")))
+        .filter(F.col("_at") >= 0)
         .select(
             "sku_id",
             *(F.col(f"_sku.{c}").alias(c) for c in attributes),
             "daily_demand",
-            "date",
-            F.when(F.col("date") == F.col("_day"), F.col("units")).otherwise(F.lit(0).cast("bigint")).alias("demand"),
+            F.date_add(F.lit(start), F.col("_at")).alias("date"),
+            F.when(F.col("_at") == F.col("_day"), F.col("units")).otherwise(F.lit(0).cast("bigint")).alias("demand"),
         )
     )
 

@@ -21,7 +21,7 @@ def marketing_by_segment(marketing: DataFrame, anchors: Anchors) -> DataFrame:
         anchors,
         "date",
         SEGMENT,
-        {"spend": cents(F.col("spend")), "revenue": cents(F.col("attributed_revenue"))},
+        {"spend": cents("spend"), "revenue": cents("attributed_revenue")},
     )
     columns = ["as_of", *SEGMENT]
     for side in ("current", "previous"):
@@ -42,14 +42,14 @@ def cac_by_channel(marketing: DataFrame, customers: DataFrame, anchors: Anchors)
     A channel may have only spend or only customers; the other side is 0.
     """
     spend = period_totals(
-        marketing, anchors, "date", ["marketing_channel"], {"spend": cents(F.col("spend"))}, previous=False
+        marketing, anchors, "date", ["marketing_channel"], {"spend": cents("spend")}, previous=False
     )
     acquired = period_totals(
         customers.withColumnRenamed("acquisition_channel", "marketing_channel"),
         anchors,
         "first_order_date",
         ["marketing_channel"],
-        {"customers": F.lit(1).cast("bigint")},
+        {"customers": "1L"},
         previous=False,
     )
     joined = spend.join(acquired, ["as_of", "marketing_channel"], "full")

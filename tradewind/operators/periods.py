@@ -199,12 +199,12 @@ def period_totals(
     anchors: Anchors,
     day: str,
     keys: Sequence[str],
-    measures: Mapping[str, Column],
+    measures: Mapping[str, str],
     previous: bool = True,
 ) -> DataFrame:
     """``current_<m>`` and ``previous_<m>`` sums per as-of date and `keys`.
 
-    `measures` are whole-number columns (counts or cents): totals over many
+    `measures` are the SQL of whole numbers (counts or cents): totals over many
     dates are built by adding and taking away days, which only exact numbers
     allow. Groups without a row in either period are left out; without `keys`
     every as-of date gets a row.
@@ -221,7 +221,7 @@ def period_totals(
     if len(anchors.dates) == 1:
         return _single_totals(inside, anchors, day, keys, measures, previous)
     daily = inside.groupBy(*keys, day).agg(
-        *(F.sum(c).alias(m) for m, c in measures.items()), F.count(F.lit(1)).alias("_rows")
+        *(F.expr(f"sum({sql})").alias(m) for m, sql in measures.items()), F.expr("count(1)").alias("_rows")
     )
     if not keys:
         return _overall_totals(daily, anchors, day, list(measures), previous)
@@ -233,17 +233,20 @@ def _sides(previous: bool) -> tuple[str, ...]:
 
 
 def _single_totals(inside, anchors, day, keys, measures, previous):
-    as_of = F.lit(anchors.latest)
-    side = period_of(F.col(day), as_of, anchors.window_days)
-    zero = F.lit(0).cast("bigint")
-    totals = inside.groupBy(*keys).agg(
-        *(
-            F.coalesce(F.sum(F.when(side == s, c).otherwise(zero)), zero).alias(f"{s}_{m}")
-            for s in _sides(previous)
-            for m, c in measures.items()
+    tagged = inside.withColumn("_period", period_of(F.col(day), F.lit(anchors.latest), anchors.window_days))
+    return (
+        tagged.groupBy(*keys)
+        .agg(
+            *(
+                F.expr(f"coalesce(sum(if(_period = '{s}', {sql}, 0L)), 0L)").alias(f"{s}_{m}")
+                for s in _sides(previous)
+                for m, sql in measures.items()
+            )
+        )
+        .select(
+            F.lit(anchors.latest).alias("as_of"), *keys, *(f"{s}_{m}" for s in _sides(previous) for m in measures)
         )
     )
-    return totals.select(as_of.alias("as_of"), *totals.columns)
 
 
 def _overall_totals(daily, anchors, day, names, previous):
@@ -257,19 +260,14 @@ def _overall_totals(daily, anchors, day, names, previous):
         .filter(F.col("_from") <= F.col("_last"))
         .withColumn("_at", F.explode(F.sequence("_from", "_last")))
     )
-    is_current = F.col("_at") < F.col("_moved")
-    zero = F.lit(0).cast("bigint")
+    inside = {"current": "_at < _moved", "previous": "_at >= _moved"}
     summed = spread.groupBy("_at").agg(
-        *(
-            F.sum(F.when(is_current if s == "current" else ~is_current, F.col(m)).otherwise(zero)).alias(f"{s}_{m}")
-            for s in _sides(previous)
-            for m in names
-        )
+        *(F.expr(f"sum(if({inside[s]}, {m}, 0L))").alias(f"{s}_{m}") for s in _sides(previous) for m in names)
     )
     every = daily.sparkSession.range(len(anchors.dates)).select(F.col("id").cast("int").alias("_at"))
     return every.join(summed, "_at", "left").select(
         anchors.date_at(F.col("_at")).alias("as_of"),
-        *(F.coalesce(f"{s}_{m}", zero).alias(f"{s}_{m}") for s in _sides(previous) for m in names),
+        *(F.expr(f"coalesce({s}_{m}, 0L)").alias(f"{s}_{m}") for s in _sides(previous) for m in names),
     )
 
 
@@ -292,7 +290,7 @@ def _running_totals(daily, anchors, day, keys, names, previous):
         .withColumn("_change", F.explode(changes))
         .filter(F.col("_change.at") < len(anchors.dates))
         .groupBy(*keys, F.col("_change.at").alias("_at"))
-        .agg(*(F.sum(F.col(m) * F.col(factor[s])).alias(f"{s}_{m}") for s in _sides(previous) for m in measured))
+        .agg(*(F.expr(f"sum({m} * {factor[s]})").alias(f"{s}_{m}") for s in _sides(previous) for m in measured))
     )
     order = Window.partitionBy(*keys).orderBy("_at")
     running = order.rowsBetween(Window.unboundedPreceding, 0)

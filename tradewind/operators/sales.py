@@ -21,7 +21,7 @@ def sales_summary(orders: DataFrame, anchors: Anchors) -> DataFrame:
         orders.filter(anchors.covers(F.col("order_date")))
         .groupBy("order_date")
         .agg(
-            F.sum(cents(F.col("net_sales"))).alias("net"),
+            F.expr(f"sum({cents('net_sales')})").alias("net"),
             F.count_distinct("order_id").alias("orders"),
             F.sum(F.col("quantity").cast("bigint")).alias("units"),
         )
@@ -32,7 +32,7 @@ def sales_summary(orders: DataFrame, anchors: Anchors) -> DataFrame:
 def summarize_daily_sales(daily: DataFrame, anchors: Anchors) -> DataFrame:
     """`sales_summary` from per-day totals ``net`` (cents), ``orders``, ``units``."""
     totals = period_totals(
-        daily, anchors, "order_date", [], {m: F.col(m) for m in ("net", "orders", "units")}
+        daily, anchors, "order_date", [], {m: m for m in ("net", "orders", "units")}
     )
 
     def aov(side: str):
@@ -62,7 +62,7 @@ def summarize_daily_sales(daily: DataFrame, anchors: Anchors) -> DataFrame:
 
 def sales_by_segment(orders: DataFrame, anchors: Anchors, group_cols: Sequence[str]) -> DataFrame:
     """Net revenue per segment: both periods, change and percent change."""
-    totals = period_totals(orders, anchors, "order_date", group_cols, {"net": cents(F.col("net_sales"))})
+    totals = period_totals(orders, anchors, "order_date", group_cols, {"net": cents("net_sales")})
     current, previous = F.col("current_net"), F.col("previous_net")
     return totals.select(
         "as_of",

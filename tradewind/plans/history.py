@@ -125,16 +125,17 @@ def build_history(
     anchors: Anchors,
     lenses: Sequence[Lens] | None = None,
     settings: Settings | None = None,
-    store_sections: bool = False,
+    store_shared: bool = False,
 ) -> History:
-    """All lenses for all as-of dates. With `store_sections` the KPI frames the
-    rules read are written once to the shared folder first, so detection,
-    reports and trends start from stored rows."""
+    """All lenses for all as-of dates. With `store_shared` the sections that
+    rules and reports share are written once to the shared folder first, so
+    detection, reports and trends start from stored rows."""
     settings = settings or Settings()
     chosen = list(lenses) if lenses is not None else load_lenses(settings.enabled)
     sections, params = compute_sections(chosen, tables, anchors, settings.params)
-    if store_sections:
-        sections = {lens: {n: materialize(f) for n, f in parts.items()} for lens, parts in sections.items()}
+    if store_shared:
+        for lens in chosen:
+            sections[lens.id].update({n: materialize(sections[lens.id][n]) for n in lens.shared})
     return History(
         lenses=chosen,
         params=params,

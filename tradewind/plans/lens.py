@@ -55,6 +55,8 @@ class Lens:
     detect: Callable[[Sections, Mapping[str, Column], Sequence[str]], DataFrame]
     params: tuple[Param, ...] = ()
     data_sources: tuple[DataSource, ...] = ()
+    # Sections that are read more than once: by the rules and by reports.
+    shared: tuple[str, ...] = ()
     localizers: Mapping[str, Localizer] = field(default_factory=dict)
     # KPI history as ``as_of, series, value`` and the series of an item.
     trend: Callable[[Sections], DataFrame] | None = None

@@ -209,22 +209,22 @@ def commerce_tables(
 ) -> dict[str, DataFrame]:
     """All tables on the order clock, for runs that combine lenses.
 
-    With `store` the staged lines of the periods in question and the stock
-    table are written once to the shared folder, because several KPI sections
-    start from them.
+    With `store` the staged lines of the periods in question are written once
+    to the shared folder, because several KPI sections start from them.
     """
     end = LAST_ORDER_DAY
-    keep = materialize if store else (lambda frame: frame)
-    staged = order_lines(spark, path).filter(anchors.covers(F.col("order_date")))
+    staged = (
+        order_lines(spark, path)
+        .filter(anchors.covers(F.col("order_date")))
+        .select("order_id", "order_date", "brand", "channel", "sku_id", "quantity", "net_sales")
+    )
     return {
-        "orders": keep(
-            staged.select("order_id", "order_date", "brand", "channel", "sku_id", "quantity", "net_sales")
-        ),
+        "orders": materialize(staged) if store else staged,
         "order_heads": orders(spark, path),
         "marketing": marketing(spark, path, end),
         "acquired": acquired_customers(spark, path, end),
         "customers": customers(spark, path),
-        "inventory": keep(inventory(spark, path, end)),
+        "inventory": inventory(spark, path, end),
     }
 
 
