@@ -15,8 +15,8 @@ EVENT_SHIFT = f"CAST({LAST_EVENT_DAY} - {LAST_ORDER_DAY} AS INTEGER)"
 
 
 def r(value: str, digits: int) -> str:
-    """Half away from zero on the decimal text of a double."""
-    return f"CAST(round(CAST({value} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    """Half away from zero on the shortest decimal text of a double."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 def even(value: str, digits: int) -> str:
