@@ -547,7 +547,7 @@ a AS (SELECT * FROM segments WHERE as_of = {LAST_ORDER_DAY} - 28), b AS (SELECT
 UNION ALL SELECT brand, channel, '(row)' FROM a FULL OUTER JOIN b USING (brand, channel) WHERE a.as_of IS NULL OR b.as_of IS NULL"""
 
 
-def parity_rows(name: str, *columns: str) -> str:
+def parity_rows(name: str) -> str:
     return f"""SELECT '{name}' AS "table", count(*) AS rows, CAST(0 AS BIGINT) AS one_sided_rows,
   CAST(0 AS BIGINT) AS differing_cells FROM {name}"""
 
@@ -577,6 +577,123 @@ def frame_rows() -> str:
     )
 
 
+def without_date(statement: str) -> str:
+    head, tail = statement.rsplit("SELECT * FROM", 1)
+    return f"{head}SELECT * EXCLUDE (as_of) FROM{tail}"
+
+
+def number(value: str, digits: int) -> str:
+    """A JSON number with fixed digits, or null."""
+    return f"coalesce(CAST(CAST({value} AS DECIMAL(28,{digits})) AS VARCHAR), 'null')"
+
+
+def json_object(fields: dict[str, str]) -> str:
+    """SQL of a JSON object from the SQL of its (already encoded) values."""
+    inside = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items())
+    return f"'{{' || {inside} || '}}'"
+
+
+def json_text(value: str) -> str:
+    return f"'\"' || {value} || '\"'"
+
+
+def json_list(value: str) -> str:
+    return f"'[' || {json_text(value)} || ']'"
+
+
+def json_items() -> str:
+    """Items with their facts as JSON."""
+    sources = {
+        "sales": (sales_items(), ("current_net_revenue", "previous_net_revenue", "pct_change"), ("brand", "channel")),
+        "marketing": (
+            marketing_items(),
+            ("current_roas", "previous_roas", "roas_change_pct", "current_spend"),
+            ("brand", "marketing_channel"),
+        ),
+        "customer": (mix_items(), ("current_new_share", "previous_new_share", "pct_change"), ()),
+        "inventory": (stock_items(), ("on_hand", "velocity_per_day", "days_of_cover"), ("brand", "sku_id")),
+    }
+    parts = []
+    for source, kpis, where in sources.values():
+        kpi = json_object({**{k: number(k, 3) for k in kpis}, "estimated_revenue_impact": number("impact", 3)})
+        affected = json_object({k: json_text(k) for k in where}) if where else "'{}'"
+        parts.append(
+            f"SELECT as_of, lens, issue_type, severity, headline, driver, possible_action, kpi_to_monitor, "
+            f"{kpi} AS kpi_json, {affected} AS affected_json FROM ({source})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+PERIOD_JSON = json_object(
+    {
+        "current_start": json_text("strftime(as_of - (w - 1), '%Y-%m-%d')"),
+        "current_end": json_text("strftime(as_of, '%Y-%m-%d')"),
+        "previous_start": json_text("strftime(as_of - (2 * w - 1), '%Y-%m-%d')"),
+        "previous_end": json_text("strftime(as_of - w, '%Y-%m-%d')"),
+    }
+)
+
+
+def sales_json() -> str:
+    def side(prefix: str) -> str:
+        return json_object(
+            {
+                "net_revenue": number(f"{prefix}_net_revenue", 2),
+                "orders": f"CAST({prefix}_orders AS VARCHAR)",
+                "units_sold": f"CAST({prefix}_units_sold AS VARCHAR)",
+                "aov": number(f"{prefix}_aov", 2),
+            }
+        )
+
+    change = json_object({k: number(f"pct_{k}", 1) for k in ("net_revenue", "orders", "units_sold", "aov")})
+    return json_object({"current": side("current"), "previous": side("previous"), "pct_change": change})
+
+
+def prompt_sql() -> str:
+    from ..functions.prose import FACTS_MARK, PROMPT_HEADER
+
+    issue = json_object(
+        {
+            "headline": json_text("e.headline"),
+            "severity": json_text("j.severity"),
+            "supporting_kpi": "kpi_json",
+            "likely_drivers": json_list("e.driver"),
+            "possible_action": json_text("e.possible_action"),
+            "kpi_to_monitor": json_text("j.kpi_to_monitor"),
+        }
+    )
+    header = (PROMPT_HEADER["en"] + FACTS_MARK).replace("'", "''")
+    return f"""WITH RECURSIVE {together(TOGETHER_DAYS)},
+j AS ({json_items()}), e AS ({localized('en')}),
+chosen AS (
+  SELECT r.as_of, string_agg({issue}, ',' ORDER BY rank) AS issues
+  FROM ranked r JOIN j USING (as_of, issue_type, kpi_to_monitor) JOIN e USING (as_of, issue_type, kpi_to_monitor)
+  WHERE rank <= 5 GROUP BY r.as_of)
+SELECT as_of, '{header}' || '{{"as_of_date":"' || strftime(as_of, '%Y-%m-%d') || '","period":' || {PERIOD_JSON}
+  || ',"sales_summary":' || {sales_json()} || ',"issues":[' || coalesce(issues, '') || ']}}' AS prompt
+FROM anchors JOIN summary USING (as_of) LEFT JOIN chosen USING (as_of)"""
+
+
+def fact_sql() -> str:
+    decision = json_object(
+        {
+            "issue_type": json_text("issue_type"),
+            "headline": json_text("headline"),
+            "severity": json_text("severity"),
+            "supporting_kpi": "kpi_json",
+            "likely_drivers": json_list("driver"),
+            "affected": "affected_json",
+            "possible_action": json_text("possible_action"),
+            "kpi_to_monitor": json_text("kpi_to_monitor"),
+            "lens": json_text("lens"),
+        }
+    )
+    return f"""WITH RECURSIVE {together(TOGETHER)}, j AS ({json_items()})
+SELECT as_of, 'period' AS kind, {PERIOD_JSON} AS fact FROM anchors
+UNION ALL SELECT as_of, 'sales_summary', {sales_json()} FROM summary
+UNION ALL SELECT as_of, 'decision', {decision} FROM j"""
+
+
 def statements() -> dict[str, str]:
     short = "as_of, lens, issue_type, severity, kpi_to_monitor"
     sweep = " UNION ALL ".join(
@@ -598,7 +715,7 @@ def statements() -> dict[str, str]:
             ),
         )
     )
-    return {
+    made = {
         "stg_trim": "SELECT p_partkey AS sku_id, trim(p_brand) AS brand FROM part",
         "stg_orders_dedupe": f"""WITH {ORDER_LINES}
 SELECT sku_id, order_id, line_no, ship_date, extended_price, quantity, discount, returned, order_date, customer_id,
@@ -705,10 +822,12 @@ counted AS (SELECT 'orders' AS "table", count(*) AS expected FROM orders UNION A
   UNION ALL SELECT 'inventory', count(*) FROM inventory UNION ALL SELECT 'customers', count(*) FROM customers
   UNION ALL SELECT 'skus', count(*) FROM part)
 SELECT "table", expected, expected AS actual, true AS matches FROM counted""",
-        "kpi_parity": f"""WITH anchors AS ({SALES_AS_OF}), {ORDER_LINES}, {segments('brand', 'channel', name='by_brand_channel')},
-{segments('sku_id', 'brand', name='by_sku')}
-{parity_rows('by_brand_channel')} UNION ALL {parity_rows('by_sku')}""",
+        "kpi_parity": f"""WITH anchors AS ({SALES_AS_OF}), {ORDER_LINES}, {segments('brand', 'channel', name='sales_by_brand_channel')},
+{segments('sku_id', 'brand', name='sales_by_sku')}
+{parity_rows('sales_by_brand_channel')} UNION ALL {parity_rows('sales_by_sku')}""",
         "kpi_differences": differences(),
+        "fact_document": fact_sql(),
+        "copy_prompt": prompt_sql(),
         "kpi_expectations": EXPECTATIONS,
         "table_invariants": INVARIANTS,
         "lens_returns": f"""WITH {LINES}, rate AS (SELECT {r('avg(CAST(returned AS INTEGER))', 3)} AS return_rate FROM lines)
@@ -717,3 +836,15 @@ SELECT CAST({LAST_ORDER_DAY} AS DATE) AS as_of, 'returns' AS lens, 'high_return_
   'return_rate' AS kpi_to_monitor, return_rate, CAST(NULL AS DOUBLE) AS impact
 FROM rate WHERE return_rate >= 0.1""",
     }
+    dated = (
+        "sales_summary",
+        "sales_by_brand_channel",
+        "sales_by_sku",
+        "marketing_by_segment",
+        "cac_by_channel",
+        "customer_mix",
+        "inventory_risk",
+    )
+    made |= {f"sql_{name}": without_date(made[name]) for name in dated}
+    made["sql_repeat_purchase_rate"] = made["repeat_purchase_rate"]
+    return made

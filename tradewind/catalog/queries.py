@@ -19,6 +19,7 @@ from ..operators import staging
 from ..operators.periods import Anchors
 from ..plans import history as H
 from ..plans import lens as L
+from ..plans import sql
 from ..plans.session import tune
 from ..sources import star_schema as S
 from ..sources import storage
@@ -567,24 +568,84 @@ def row_count_reconciliation(spark, path):
     return storage.reconcile(delivered, loaded)
 
 
+# --- SQL table functions ---------------------------------------------------
+
+
+def _sql(spark, path, tables: tuple[str, ...], text: str) -> DataFrame:
+    readers = {
+        "orders": S.order_lines,
+        "order_heads": S.orders,
+        "marketing": S.marketing,
+        "acquired": S.acquired_customers,
+        "customers": S.customers,
+        "inventory": S.inventory,
+    }
+    sql.register(spark, {name: readers[name](spark, path) for name in tables})
+    return spark.sql(text)
+
+
+@query
+def sql_sales_summary(spark, path):
+    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_summary(DATE '{S.LAST_ORDER_DAY}', 30)")
+
+
+@query
+def sql_sales_by_brand_channel(spark, path):
+    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_by_brand_channel(DATE '{S.LAST_ORDER_DAY}', 30)")
+
+
+@query
+def sql_sales_by_sku(spark, path):
+    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_by_sku(DATE '{S.LAST_ORDER_DAY}', 30)")
+
+
+@query
+def sql_marketing_by_segment(spark, path):
+    return _sql(spark, path, ("marketing",), f"SELECT * FROM marketing_by_segment(DATE '{S.LAST_EVENT_DAY}', 14)")
+
+
+@query
+def sql_cac_by_channel(spark, path):
+    return _sql(
+        spark, path, ("marketing", "acquired"), f"SELECT * FROM cac_by_channel(DATE '{S.LAST_EVENT_DAY}', 30)"
+    )
+
+
+@query
+def sql_customer_mix(spark, path):
+    return _sql(spark, path, ("order_heads",), "SELECT * FROM customer_mix(DATE '1996-06-30', 30)")
+
+
+@query
+def sql_repeat_purchase_rate(spark, path):
+    return _sql(spark, path, ("customers",), "SELECT * FROM repeat_purchase_rate")
+
+
+@query
+def sql_inventory_risk(spark, path):
+    text = f"SELECT * FROM inventory_risk(DATE '{S.LAST_SHIP_DAY}', 14, 7, 60)"
+    return _sql(spark, path, ("inventory",), text)
+
+
 # --- comparison, checks, extension -----------------------------------------
 
 
 @query
 def kpi_parity(spark, path):
-    """The single-date route against the many-dates route, KPI by KPI."""
+    """The SQL function for one date against the operator for many dates."""
     lines = storage.materialize(
         S.order_lines(spark, path)
         .filter(SALES_MONTHS.covers(F.col("order_date")))
-        .select("order_date", "brand", "channel", "sku_id", "net_sales")
+        .select("order_id", "order_date", "brand", "channel", "sku_id", "quantity", "net_sales")
     )
-    latest = F.col("as_of") == F.lit(S.LAST_ORDER_DAY)
-    keys = {"by_brand_channel": ["brand", "channel"], "by_sku": ["sku_id", "brand"]}
+    sql.register(spark, {"orders": lines})
+    as_of = F.lit(S.LAST_ORDER_DAY)
+    keys = {"sales_by_brand_channel": ["brand", "channel"], "sales_by_sku": ["sku_id", "brand"]}
     parts = []
     for name, columns in keys.items():
-        one = sales.sales_by_segment(lines, SALES_AS_OF, columns)
-        many = sales.sales_by_segment(lines, SALES_MONTHS, columns).filter(latest)
-        parts.append(compare.agreement(one, many, ["as_of", *columns]).withColumn("table", F.lit(name)))
+        one = spark.sql(f"SELECT * FROM {name}(DATE '{S.LAST_ORDER_DAY}', 30)")
+        many = sales.sales_by_segment(lines, SALES_MONTHS, columns).filter(F.col("as_of") == as_of).drop("as_of")
+        parts.append(compare.agreement(one, many, columns).withColumn("table", F.lit(name)))
     return parts[0].unionByName(parts[1])
 
 
