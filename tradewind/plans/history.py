@@ -157,6 +157,22 @@ def trend(history: History, decisions: DataFrame) -> DataFrame:
     return kpi_trend(tagged.withColumn("series", series), reduce(DataFrame.unionByName, points))
 
 
+def available_dates(header: DataFrame) -> DataFrame:
+    """The stored as-of dates, the latest one marked."""
+    latest = header.agg(F.max("as_of").alias("_latest")).scalar()
+    return header.select("as_of", (F.col("as_of") == latest).alias("is_latest"))
+
+
+def tiles(history: History, lang: str) -> DataFrame:
+    """Headline tiles of every lens that has some, per as-of date."""
+    shown = [
+        lens.headline_metrics(history.sections[lens.id], lang)
+        for lens in history.lenses
+        if lens.headline_metrics is not None
+    ]
+    return reduce(DataFrame.unionByName, shown)
+
+
 def localized(decisions: DataFrame, lang: str) -> DataFrame:
     return localize(decisions, lang, localizers())
 
