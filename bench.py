@@ -1,8 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores. Every query
-runs once to warm up the JVM on the smallest tables when they are there, then
-once on the bench tables with all rows produced.
+runs once on the smallest tables (if they are there) so that the JVM has
+compiled its code, then once, timed, on the bench tables with all rows produced.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def main() -> None:
 
     warm = Path(tables).parent / "sf0.001"
     if warm.is_dir():
-        for name in chosen[:3]:
+        for name in chosen:
             run(name, str(warm))
     seconds = {name: round(run(name, tables), 3) for name in chosen}
     print(
