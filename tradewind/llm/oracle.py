@@ -1,7 +1,103 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express, written from their definitions.
+
+Not here, as SQL can't express the model or is too slow on whole tables: the
+quality classifier, language model scores, toxicity, token files, BPE and the pipeline. Tests
+hold those against brute force, the tokenizers library or held-out labels."""
 
 from __future__ import annotations
 
+from tradewind.llm import licenses
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ITEM_WORDS = (
+    f"list_filter(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'),"
+    " lambda x: x <> '')"
+)
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_SHINGLE_WORDS = _WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, w, least(len(w), 10) AS k FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM s)),
+dw AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+       FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM s))),
+m AS (SELECT r, k, p, item_id FROM dw JOIN iw USING (k, g)),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM m) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+      FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+"""
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+             + (length(text) - length(replace(text, '</turn>', ''))) // 7
+             + list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)) AS escaped,
+             length(role) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, ':', ''))
+             + (length(role) - length(replace(role, '</turn>', ''))) // 7
+             + list_sum(list_transform(regexp_extract_all(role, '#{3,}'), lambda x: length(x) - 2)) AS head
+      FROM c),
+g AS (SELECT *, coalesce(escaped, length(text) + length(text) - length(replace(text, '\', ''))
+             + (length(text) - length(replace(text, '</turn>', ''))) // 7)
+             + coalesce(head, length(role) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, ':', ''))
+             + (length(role) - length(replace(role, '</turn>', ''))) // 7) + 15 AS chars FROM f)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM g GROUP BY conv_id
+"""
+
+_SHINGLES = f"""
+t AS (SELECT doc_id, {_SHINGLE_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM t WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
+
+JACCARD = f"""
+WITH RECURSIVE {_SHINGLES},
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN z x ON a = x.doc_id JOIN z y ON b = y.doc_id WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reach AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON reach.other = l.a)
+SELECT t.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM t JOIN reach USING (doc_id) LEFT JOIN z USING (doc_id) GROUP BY t.doc_id
+"""
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(column: str) -> str:
+    out = f"lower({column})"
+    for pattern, by in licenses.REWRITES:
+        out = f"regexp_replace({out}, {_literal(pattern)}, {_literal(by)}, 'g')"
+    return f"trim({out})"
+
+
+def _licenses() -> str:
+    known = ", ".join(f"({_literal(name)}, {_literal(text)})" for name, forms in licenses.KNOWN.items() for text in forms)
+    return f"""
+WITH k AS (SELECT sha256(form) AS digest, min(name) AS license
+           FROM (SELECT name, {_canonical("text")} AS form FROM (VALUES {known}) AS v(name, text)) GROUP BY 1),
+d AS (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM documents)
+SELECT doc_id, digest, license FROM d LEFT JOIN k USING (digest)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    return {
+        "op1_benchmark_decontamination": DECONTAMINATION,
+        "op6_chat_formatting": CHAT,
+        "op8_ngram_jaccard_join": JACCARD,
+        "op10_license_scans": _licenses(),
+    }

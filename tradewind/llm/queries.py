@@ -7,20 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import jaccard, perplexity, toxicity
-from tradewind.llm.stored import ship
+from tradewind.llm import bpe, chat, decontamination, divergence, jaccard, licenses, perplexity, suffixtree, tokenfile, toxicity
+from tradewind.llm.stored import shared_folder, ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Places of public vocabularies; every operator takes the place as a parameter.
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = suffixtree.vocabulary(docs)
+    return suffixtree.score(docs, suffixtree.fit(docs, counts), counts)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,16 +48,65 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    tokenfile.write(table(spark, sf_dir, "documents"), WORD_BPE, folder)
+    return tokenfile.checksums(tokenfile.read(spark, folder))
+
+
+#: A conversation whose texts hold the template's control strings.
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL).alias("text"),
+    )
+    record = F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record")
+    turns = chat.turns(rows.unionByName(extra).select("conv_id", record))
+    return chat.digests(stored(chat.formatted(turns)))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return divergence.judge(docs, divergence.references(docs))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return bpe.decode(encoded, BYTE_BPE).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op1_benchmark_decontamination,
         op2_quality_classifier,
+        op3_lm_scoring,
         op4_toxicity,
+        op5_token_id_output,
+        op6_chat_formatting,
+        op7_quality_rules,
         op8_ngram_jaccard_join,
+        op9_bpe,
+        op10_license_scans,
     )
 }
 
