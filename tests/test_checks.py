@@ -30,21 +30,22 @@ def test_rows_on_one_side_are_reported_once(spark):
 def test_items_are_compared_fact_by_fact(spark):
     schema = (
         "as_of date, lens string, issue_type string, kpi_to_monitor string, severity string, headline string, "
-        "possible_action string, likely_drivers array<string>, supporting_kpi map<string,double>"
+        "possible_action string, likely_drivers array<string>, supporting_kpi map<string,double>, affected map<string,string>"
     )
 
     def items(*data):
         return spark.createDataFrame(
-            [(day("2026-09-21"), "s", "t", k, sev, "h", "p", [drv], kpi) for k, sev, drv, kpi in data], schema
+            [(day("2026-09-21"), "s", "t", k, sev, "h", "p", [drv], kpi, {"brand": drv} if k == "e" else {}) for k, sev, drv, kpi in data], schema
         )
 
-    left = items(("a", "high", "x", {"pct_change": -42.3, "impact": None}), ("b", "low", "x", {"n": 1.0}), ("c", "low", "x", {}))
-    right = items(("a", "high", "y", {"pct_change": -42.2, "impact": None}), ("b", "high", "x", {"n": 1.1}), ("d", "low", "x", {}))
+    left = items(("a", "high", "x", {"pct_change": -42.3, "impact": None}), ("b", "low", "x", {"n": 1.0}), ("c", "low", "x", {}), ("e", "low", "x", {}))
+    right = items(("a", "high", "y", {"pct_change": -42.2, "impact": None}), ("b", "high", "x", {"n": 1.1}), ("d", "low", "x", {}), ("e", "low", "y", {}))
     got = compare.item_differences(left, right).select("kpi_to_monitor", "column", "a", "b")
     assert rows(got) == [
         ("b", "n", "1.0", "1.1"), ("b", "severity", "low", "high"), ("c", "(row)", "low", None), ("d", "(row)", None, "low"),
+        ("e", "affected.brand", "x", "y"),
     ]
-    assert tuple(compare.item_agreement(left, left).first()) == (3, 0, 0)
+    assert tuple(compare.item_agreement(left, left).first()) == (4, 0, 0)
 
 
 def test_violations_count_missing_values_and_broken_rules(spark):

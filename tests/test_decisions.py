@@ -179,7 +179,7 @@ def test_documents_are_json_with_nulls(spark, items, summary):
     prompt = reports.copy_prompt(data, summary, periods, "en", {}).first().prompt
     header, facts = prompt.split("\nFacts (JSON):\n")
     body = json.loads(facts)
-    assert header.startswith("You are an analyst assistant") and body["as_of_date"] == "2026-09-20"
+    assert header.startswith("Brief the person who runs this shop") and body["as_of_date"] == "2026-09-20"
     assert [i["kpi_to_monitor"] for i in body["issues"]] == ["7", "6", "5", "4", "3"]
     assert set(body["issues"][0]) == {"headline", "severity", "supporting_kpi", "likely_drivers", "possible_action", "kpi_to_monitor"}
     assert reports.copy_prompt(data.limit(0), summary, periods, "ko", {}).first().prompt.endswith('"issues":[]}')

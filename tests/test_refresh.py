@@ -110,7 +110,7 @@ def test_expectations_hold(built):
 
 
 def test_stored_history_can_be_judged_again(spark, folders, built):
-    stored = H.read_history(spark, f"{folders[1]}/history", built)
+    stored = H.open_history(spark, f"{folders[1]}/history")
     assert stored.decisions.count() == built.decisions.count()
     assert H.tiles(stored, "en").filter(F.col("as_of") == F.lit(END)).count() == 4
     strict = H.sweep(stored.lenses, stored.sections, stored.params, {"s": {"sales": {"decline_medium_pct": -90.0, "decline_high_pct": -90.0}}})

@@ -114,6 +114,17 @@ def test_resolution(spark):
     ]
 
 
+def test_resolution_of_one_frame(spark):
+    schema = "as_of date, lens string, issue_type string, kpi_to_monitor string, severity string"
+    first, last = day("2026-09-01"), day("2026-09-08")
+    data = [(first, "s", "t", "a", "high"), (first, "s", "t", "b", "low"), (last, "s", "t", "b", "high"),
+            (last, "s", "t", "c", "low"), (day("2026-09-03"), "s", "t", "d", "low")]
+    got = rules.resolution_between(spark.createDataFrame(data, schema), first, last)
+    assert rows(got.select("kpi_to_monitor", "severity_before", "severity_after", "status")) == [
+        ("a", "high", None, "resolved"), ("b", "low", "high", "persisting"), ("c", None, "low", "new"),
+    ]
+
+
 def test_report_order(spark):
     data = [("low", 0, None, ["a"]), ("high", 3, 2.0, ["a"]), ("high", 0, -5.0, ["b"]), ("high", 0, -5.0, ["a"]),
             ("medium", 1, 0.0, ["a"]), ("high", 3, None, ["z"])]

@@ -62,10 +62,22 @@ def test_render_quotes_text_and_fills_facts(spark):
 
 def test_money_sums_are_exact_in_any_order(spark):
     frame = spark.range(100_000).withColumn("amount", F.lit(0.1)).repartition(7)
-    total = frame.select(F.expr(f"sum({numeric.cents('amount')})").alias("c")).select(numeric.dollars(F.col("c")))
+    total = frame.select(F.expr(f"sum({numeric.amount('amount')})").alias("c")).select(numeric.dollars(F.col("c")))
     assert total.first()[0] == 10_000.0
 
 
+def test_fractions_of_a_cent_count(spark):
+    frame = spark.createDataFrame([(0.004,)] * 1000, "amount double")
+    total = frame.select(F.expr(f"sum({numeric.amount('amount')})").alias("c")).select(numeric.dollars(F.col("c"), 2))
+    assert total.first()[0] == 4.0
+
+
+def test_discounts_are_exact(spark):
+    frame = spark.createDataFrame([(100.0, 0.125), (19.99, 0.333333), (0.01, 0.5)], "price double, discount double")
+    got = [float(r[0]) for r in frame.select(numeric.discounted(F.col("price"), F.col("discount"))).collect()]
+    assert got == [87.5, 13.33, 0.01]
+
+
 def test_percent_change_needs_a_previous_value(spark):
     frame = spark.createDataFrame([(1, 0), (80, 100), (0, 4)], "c bigint, p bigint")
     assert [r[0] for r in frame.select(numeric.pct_change(F.col("c"), F.col("p"))).collect()] == [None, -20.0, -100.0]

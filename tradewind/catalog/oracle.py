@@ -19,13 +19,17 @@ def r(value: str, digits: int) -> str:
     return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
+def discounted(price: str) -> str:
+    return f"round(CAST({price} AS DECIMAL(18,6)) * (1 - CAST(discount AS DECIMAL(9,6))), 2)"
+
+
 def even(value: str, digits: int) -> str:
     """Half to even on the exact binary value."""
     return f"CAST(format('{{:.{digits}f}}', {value}) AS DOUBLE)"
 
 
 def pct(c: str, p: str) -> str:
-    return r(f"CASE WHEN {p} <> 0 THEN (CAST({c} AS DOUBLE) - {p}) / {p} * 100 END", 1)
+    return r(f"CASE WHEN {p} <> 0 THEN CAST({c} - {p} AS DOUBLE) / CAST({p} AS DOUBLE) * 100 END", 1)
 
 
 def days(count: int) -> str:
@@ -77,7 +81,7 @@ ORDER_LINES = f"""{LINES},
 order_lines AS (
   SELECT l.*, CAST(o_orderdate AS DATE) AS order_date, o_custkey AS customer_id, trim(o_orderpriority) AS channel,
     trim(p_brand) AS brand,
-    (CAST(round(extended_price * 100) AS BIGINT) * (100 - CAST(round(discount * 100) AS BIGINT)) + 50) // 100 AS net
+    {discounted('extended_price')} AS net
   FROM lines l JOIN orders ON o_orderkey = order_id JOIN part ON p_partkey = sku_id)"""
 
 HEADS = """heads AS (
@@ -89,7 +93,7 @@ HEADS = """heads AS (
 CUSTOMERS = """customers AS (
   SELECT o_custkey AS customer_id, any_value(c_mktsegment) AS acquisition_channel,
     min(CAST(o_orderdate AS DATE)) AS first_order_date, count(*) AS total_orders,
-    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS total_net_sales,
+    CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,6))), 2) AS DOUBLE) AS total_net_sales,
     count(*) > 1 AS is_returning
   FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey)"""
 
@@ -100,7 +104,7 @@ K = "CAST(json_extract(props, '$.k') AS INTEGER)"
 def marketing(shift: str = "0") -> str:
     def money(kind: str) -> str:
         return (
-            f"CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) FILTER (event_type = '{kind}'), 0) AS DOUBLE) / 100"
+            f"CAST(coalesce(sum(CAST(value AS DECIMAL(18,6))) FILTER (event_type = '{kind}'), 0) AS DOUBLE)"
         )
 
     return f"""marketing AS (
@@ -123,7 +127,7 @@ def acquired(shift: str = "0") -> str:
 
 SKUS = """skus AS (
   SELECT p_partkey AS sku_id, trim(p_brand) AS brand, p_retailprice AS base_price,
-    CAST((CAST(round(p_retailprice * 100) AS BIGINT) * 45 + 50) // 100 AS DOUBLE) / 100 AS unit_cost,
+    CAST(round(CAST(p_retailprice AS DECIMAL(18,6)) * 0.45, 2) AS DOUBLE) AS unit_cost,
     CAST(p_size AS BIGINT) * 5 AS opening0 FROM part)"""
 
 UNITS = """units AS (
@@ -175,16 +179,16 @@ def segments(*columns: str, name: str = "segments") -> str:
     sum(CASE WHEN {prev('order_date')} THEN net ELSE 0 END) AS p
   FROM order_lines JOIN anchors ON {both('order_date')} GROUP BY ALL),
 {name} AS (
-  SELECT as_of, {cols}, CAST(c AS DOUBLE) / 100 AS current_net_revenue, CAST(p AS DOUBLE) / 100 AS previous_net_revenue,
-    CAST(c - p AS DOUBLE) / 100 AS change, {pct('c', 'p')} AS pct_change FROM {name}_sums)"""
+  SELECT as_of, {cols}, CAST(c AS DOUBLE) AS current_net_revenue, CAST(p AS DOUBLE) AS previous_net_revenue,
+    CAST(c - p AS DOUBLE) AS change, {pct('c', 'p')} AS pct_change FROM {name}_sums)"""
 
 
 SUMMARY = f"""summary_sums AS (
   SELECT as_of,
-    coalesce(CAST(sum(net) FILTER ({cur('order_date')}) AS DOUBLE), 0) / 100 AS current_net_revenue,
+    coalesce(CAST(sum(net) FILTER ({cur('order_date')}) AS DOUBLE), 0) AS current_net_revenue,
     count(DISTINCT order_id) FILTER ({cur('order_date')}) AS current_orders,
     CAST(coalesce(sum(quantity) FILTER ({cur('order_date')}), 0) AS BIGINT) AS current_units_sold,
-    coalesce(CAST(sum(net) FILTER ({prev('order_date')}) AS DOUBLE), 0) / 100 AS previous_net_revenue,
+    coalesce(CAST(sum(net) FILTER ({prev('order_date')}) AS DOUBLE), 0) AS previous_net_revenue,
     count(DISTINCT order_id) FILTER ({prev('order_date')}) AS previous_orders,
     CAST(coalesce(sum(quantity) FILTER ({prev('order_date')}), 0) AS BIGINT) AS previous_units_sold
   FROM anchors LEFT JOIN order_lines ON {both('order_date')} GROUP BY as_of),
@@ -199,22 +203,22 @@ summary AS (
 
 MARKETING_SEGMENTS = f"""msums AS (
   SELECT as_of, brand, marketing_channel,
-    sum(CASE WHEN {cur('date')} THEN CAST(round(spend * 100) AS BIGINT) ELSE 0 END) AS cs,
-    sum(CASE WHEN {cur('date')} THEN CAST(round(attributed_revenue * 100) AS BIGINT) ELSE 0 END) AS cr,
-    sum(CASE WHEN {prev('date')} THEN CAST(round(spend * 100) AS BIGINT) ELSE 0 END) AS ps,
-    sum(CASE WHEN {prev('date')} THEN CAST(round(attributed_revenue * 100) AS BIGINT) ELSE 0 END) AS pr
+    sum(CASE WHEN {cur('date')} THEN CAST(spend AS DECIMAL(18,6)) ELSE 0 END) AS cs,
+    sum(CASE WHEN {cur('date')} THEN CAST(attributed_revenue AS DECIMAL(18,6)) ELSE 0 END) AS cr,
+    sum(CASE WHEN {prev('date')} THEN CAST(spend AS DECIMAL(18,6)) ELSE 0 END) AS ps,
+    sum(CASE WHEN {prev('date')} THEN CAST(attributed_revenue AS DECIMAL(18,6)) ELSE 0 END) AS pr
   FROM marketing JOIN anchors ON {both('date')} GROUP BY ALL),
 mseg AS (
-  SELECT as_of, brand, marketing_channel, CAST(cs AS DOUBLE) / 100 AS current_spend,
-    CAST(cr AS DOUBLE) / 100 AS current_attributed_revenue,
-    coalesce((CAST(cr AS DOUBLE) / 100) / nullif(CAST(cs AS DOUBLE) / 100, 0), 0.0) AS current_roas,
-    CAST(ps AS DOUBLE) / 100 AS previous_spend, CAST(pr AS DOUBLE) / 100 AS previous_attributed_revenue,
-    coalesce((CAST(pr AS DOUBLE) / 100) / nullif(CAST(ps AS DOUBLE) / 100, 0), 0.0) AS previous_roas
+  SELECT as_of, brand, marketing_channel, CAST(cs AS DOUBLE) AS current_spend,
+    CAST(cr AS DOUBLE) AS current_attributed_revenue,
+    coalesce((CAST(cr AS DOUBLE)) / nullif(CAST(cs AS DOUBLE), 0), 0.0) AS current_roas,
+    CAST(ps AS DOUBLE) AS previous_spend, CAST(pr AS DOUBLE) AS previous_attributed_revenue,
+    coalesce((CAST(pr AS DOUBLE)) / nullif(CAST(ps AS DOUBLE), 0), 0.0) AS previous_roas
   FROM msums),
 msegments AS (SELECT *, {pct('current_roas', 'previous_roas')} AS roas_change_pct FROM mseg)"""
 
 CAC = f"""spent AS (
-  SELECT as_of, marketing_channel, CAST(sum(CAST(round(spend * 100) AS BIGINT)) AS DOUBLE) / 100 AS spend
+  SELECT as_of, marketing_channel, CAST(sum(CAST(spend AS DECIMAL(18,6))) AS DOUBLE) AS spend
   FROM marketing JOIN anchors ON {cur('date')} GROUP BY ALL),
 gained AS (
   SELECT as_of, acquisition_channel AS marketing_channel, count(*) AS new_customers
@@ -349,7 +353,6 @@ TOGETHER_DAYS = anchors(LAST_ORDER_DAY, count=61, window=14)
 TWO_DATES = (
     f"SELECT CAST({LAST_ORDER_DAY} AS DATE) AS as_of, 14 AS w UNION ALL SELECT CAST({LAST_ORDER_DAY} - 28 AS DATE), 14"
 )
-SALES_MONTHS = anchors(LAST_ORDER_DAY, first=FIRST_ORDER_DAY, window=30, step=30)
 SALES_DAYS = anchors(LAST_ORDER_DAY, first=FIRST_ORDER_DAY, window=30)
 SALES_AS_OF = ONE(LAST_ORDER_DAY, 30)
 MARKETING_AS_OF = ONE(LAST_EVENT_DAY, 14)
@@ -720,7 +723,11 @@ def statements() -> dict[str, str]:
         "stg_orders_dedupe": f"""WITH {ORDER_LINES}
 SELECT sku_id, order_id, line_no, ship_date, extended_price, quantity, discount, returned, order_date, customer_id,
   channel, brand FROM order_lines""",
-        "stg_customers_dedupe": f"WITH {acquired()} SELECT * FROM acquired",
+        "stg_customers_dedupe": """SELECT customer_id, acquisition_channel, first_order_date FROM (
+  SELECT o_custkey AS customer_id, trim(c_mktsegment) AS acquisition_channel, CAST(o_orderdate AS DATE) AS first_order_date,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS rn
+  FROM orders JOIN customer ON c_custkey = o_custkey) WHERE rn = 1""",
+        "acquired_customers": f"WITH {acquired()} SELECT * FROM acquired",
         "stg_skus_dedupe": f"WITH {SKUS} SELECT * FROM skus WHERE sku_id IN (SELECT l_partkey FROM lineitem)",
         "stg_marketing_roas": f"""WITH {marketing()}
 SELECT *, CASE WHEN spend <> 0 THEN attributed_revenue / spend END AS roas FROM marketing""",
@@ -740,10 +747,10 @@ FROM picks""",
         "sales_summary": f"WITH anchors AS ({SALES_AS_OF}), {ORDER_LINES}, {SUMMARY} SELECT * FROM summary",
         "sales_summary_history": f"WITH anchors AS ({SALES_DAYS}), {ORDER_LINES}, {SUMMARY} SELECT * FROM summary",
         "sales_by_brand_channel": sales_history(SALES_AS_OF, "brand", "channel"),
-        "sales_by_brand_channel_history": sales_history(SALES_MONTHS, "brand", "channel"),
+        "sales_by_brand_channel_history": sales_history(SALES_DAYS, "brand", "channel"),
         "sales_by_sku": sales_history(SALES_AS_OF, "sku_id", "brand"),
-        "sales_by_sku_history": sales_history(SALES_MONTHS, "sku_id", "brand"),
-        "sales_by_channel": sales_history(SALES_MONTHS, "channel"),
+        "sales_by_sku_history": sales_history(SALES_DAYS, "sku_id", "brand"),
+        "sales_by_channel": sales_history(SALES_DAYS, "channel"),
         "marketing_by_segment": f"WITH anchors AS ({MARKETING_AS_OF}), {marketing()}, {MARKETING_SEGMENTS} SELECT * FROM msegments",
         "marketing_by_segment_history": f"WITH anchors AS ({MARKETING_DAYS}), {marketing()}, {MARKETING_SEGMENTS} SELECT * FROM msegments",
         "cac_by_channel": f"WITH anchors AS ({CAC_AS_OF}), {marketing()}, {acquired()}, {CAC} SELECT * FROM cac",
@@ -766,10 +773,10 @@ FROM picks""",
         "inventory_flag_counts": f"{with_risk(STOCK_DAYS)} SELECT as_of, count(*) FILTER (stockout_risk OR excess_risk) AS flagged, count(*) AS total FROM risk GROUP BY as_of",
         "net_sales_pricing": f"""WITH {LINES}, {SKUS}, priced AS (
   SELECT sku_id, order_id, line_no, quantity, discount, base_price,
-    (CAST(round(base_price * 100) AS BIGINT) * (100 - CAST(round(discount * 100) AS BIGINT)) + 50) // 100 AS price, unit_cost
+    {discounted('base_price')} AS price, unit_cost
   FROM lines JOIN skus USING (sku_id))
-SELECT * EXCLUDE (price), CAST(price AS DOUBLE) / 100 AS selling_price, CAST(price * quantity AS DOUBLE) / 100 AS net_sales FROM priced""",
-        "detect_sales_decline": f"""WITH anchors AS ({SALES_MONTHS}), {ORDER_LINES}, {segments('brand', 'channel')}
+SELECT * EXCLUDE (price), CAST(price AS DOUBLE) AS selling_price, CAST(price * quantity AS DOUBLE) AS net_sales FROM priced""",
+        "detect_sales_decline": f"""WITH anchors AS ({SALES_DAYS}), {ORDER_LINES}, {segments('brand', 'channel')}
 SELECT {flat('brand', 'channel', 'current_net_revenue', 'previous_net_revenue', 'pct_change')} FROM ({sales_items()})""",
         "detect_marketing_decline": f"""WITH anchors AS ({MARKETING_DAYS}), {marketing()}, {MARKETING_SEGMENTS}
 SELECT {flat('brand', 'marketing_channel', 'current_roas', 'previous_roas', 'roas_change_pct', 'current_spend')}
@@ -780,6 +787,8 @@ SELECT {flat('brand', 'sku_id', 'on_hand', 'velocity_per_day', 'days_of_cover')}
 SELECT {flat('current_new_share', 'previous_new_share', 'pct_change')} FROM ({mix_items()})""",
         "all_decisions": f"WITH RECURSIVE {together(TOGETHER)} SELECT {short}, headline, driver, impact FROM items",
         "threshold_sweep": f"WITH RECURSIVE {together(TOGETHER, items=False)} {sweep}",
+        "stored_history_sweep": f"""WITH RECURSIVE {together(TOGETHER, items=False)}
+SELECT * FROM ({sweep}) WHERE scenario IN ('strict', 'default')""",
         "issue_resolution": f"""WITH RECURSIVE {together(TWO_DATES)},
 a AS (SELECT * FROM items WHERE as_of = {LAST_ORDER_DAY} - 28), b AS (SELECT * FROM items WHERE as_of = {LAST_ORDER_DAY})
 SELECT lens, issue_type, kpi_to_monitor, a.severity AS severity_before, b.severity AS severity_after,
@@ -803,7 +812,7 @@ korean AS ({localized('ko')}),
 spoken AS (SELECT r.as_of, r.rank, r.headline, k.headline AS ko_headline FROM ranked r JOIN korean k
   ON k.as_of = r.as_of AND k.issue_type = r.issue_type AND k.kpi_to_monitor = r.kpi_to_monitor)
 {summary_text('ko')} UNION ALL {summary_text('en')}""",
-        "kpi_tiles": f"""WITH anchors AS ({SALES_MONTHS}), {ORDER_LINES}, {SUMMARY}, {HEADS}, {MIX}
+        "kpi_tiles": f"""WITH anchors AS ({SALES_DAYS}), {ORDER_LINES}, {SUMMARY}, {HEADS}, {MIX}
 {tile('net_revenue', 'Net revenue', money('current_net_revenue'), signed('pct_net_revenue'), 'summary')}
 UNION ALL {tile('orders', 'Orders', 'CAST(current_orders AS VARCHAR)', signed('pct_orders'), 'summary')}
 UNION ALL {tile('aov', 'AOV', money('current_aov'), signed('pct_aov'), 'summary')}
@@ -832,11 +841,21 @@ SELECT count(*) AS rows, CAST(0 AS BIGINT) AS one_sided_rows, CAST(0 AS BIGINT)
         "copy_prompt": prompt_sql(),
         "kpi_expectations": EXPECTATIONS,
         "table_invariants": INVARIANTS,
-        "lens_returns": f"""WITH {LINES}, rate AS (SELECT {r('avg(CAST(returned AS INTEGER))', 3)} AS return_rate FROM lines)
-SELECT CAST({LAST_ORDER_DAY} AS DATE) AS as_of, 'returns' AS lens, 'high_return_rate' AS issue_type, 'medium' AS severity,
-  'Return rate is high' AS headline, 'Returns exceed the tolerated rate.' AS driver, 'Review product quality.' AS possible_action,
-  'return_rate' AS kpi_to_monitor, return_rate, CAST(NULL AS DOUBLE) AS impact
-FROM rate WHERE return_rate >= 0.1""",
+        "lens_returns": f"""WITH anchors AS ({STOCK_AS_OF}), {LINES},
+sums AS (SELECT as_of, trim(p_brand) AS brand,
+    CAST(sum(CASE WHEN {cur('ship_date')} THEN quantity ELSE 0 END) AS DOUBLE) AS c,
+    CAST(sum(CASE WHEN {cur('ship_date')} AND returned THEN quantity ELSE 0 END) AS DOUBLE) AS cb,
+    CAST(sum(CASE WHEN {prev('ship_date')} THEN quantity ELSE 0 END) AS DOUBLE) AS p,
+    CAST(sum(CASE WHEN {prev('ship_date')} AND returned THEN quantity ELSE 0 END) AS DOUBLE) AS pb
+  FROM lines JOIN part ON p_partkey = sku_id JOIN anchors ON {both('ship_date')} GROUP BY ALL),
+shares AS (SELECT as_of, brand, c, {r('cb / nullif(c, 0) * 100', 1)} AS now, {r('pb / nullif(p, 0) * 100', 1)} AS before FROM sums)
+SELECT as_of, 'returns' AS lens, 'goods_coming_back' AS issue_type,
+  CASE WHEN now - before >= 4 THEN 'high' ELSE 'medium' END AS severity, 'More of ' || brand || ' is sent back' AS headline,
+  'Of the pieces shipped, ' || format('{{:.1f}}', now) || '% came back, against ' || format('{{:.1f}}', before) || '% before.' AS driver,
+  'Go through the complaints about ' || brand || ' and hold its next shipment if they agree.' AS possible_action,
+  'back_pct[' || brand || ']' AS kpi_to_monitor, brand, now AS current_back_pct, before AS previous_back_pct,
+  CAST(NULL AS DOUBLE) AS impact
+FROM shares WHERE c >= 100 AND now - before >= 2""",
     }
     dated = (
         "sales_summary",

@@ -28,7 +28,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FIRST_ORDER_DAY = dt.date(1995, 1, 1)
 SALES_AS_OF = Anchors.single(S.LAST_ORDER_DAY, 30)
-SALES_MONTHS = Anchors.back_from(S.LAST_ORDER_DAY, FIRST_ORDER_DAY, 30, spacing_days=30)
 SALES_DAYS = Anchors.back_from(S.LAST_ORDER_DAY, FIRST_ORDER_DAY, 30)
 MARKETING_AS_OF = Anchors.single(S.LAST_EVENT_DAY, 14)
 MARKETING_DAYS = Anchors.back_from(S.LAST_EVENT_DAY, dt.date(2024, 1, 1), 7)
@@ -92,6 +91,14 @@ def stg_orders_dedupe(spark, path):
 
 @query
 def stg_customers_dedupe(spark, path):
+    """One row per customer out of one row per order, the earliest first day."""
+    acquired = S.acquisition(spark, path)
+    rows = S.order_headers(spark, path).select("customer_id", F.col("order_date").alias("first_order_date"))
+    return staging.stage_customers(rows.join(acquired, "customer_id"))
+
+
+@query
+def acquired_customers(spark, path):
     return S.acquired_customers(spark, path)
 
 
@@ -142,10 +149,8 @@ def period_windows(spark, path):
 
 @query
 def period_tagged_orders(spark, path):
-    tagged = S.order_headers(spark, path).withColumn(
-        "period", P.period_of(F.col("order_date"), F.lit(S.LAST_ORDER_DAY), 30)
-    )
-    return tagged.filter(F.col("period").isNotNull())
+    inside = S.order_headers(spark, path).filter(SALES_AS_OF.covers(F.col("order_date")))
+    return inside.withColumn("period", P.period_of(F.col("order_date"), F.lit(SALES_AS_OF.latest), 30))
 
 
 @query
@@ -174,7 +179,7 @@ def sales_by_brand_channel(spark, path):
 
 @query
 def sales_by_brand_channel_history(spark, path):
-    return sales.sales_by_segment(S.order_lines(spark, path), SALES_MONTHS, ["brand", "channel"])
+    return sales.sales_by_segment(S.order_lines(spark, path), SALES_DAYS, ["brand", "channel"])
 
 
 @query
@@ -184,12 +189,12 @@ def sales_by_sku(spark, path):
 
 @query
 def sales_by_sku_history(spark, path):
-    return sales.sales_by_segment(S.order_lines(spark, path), SALES_MONTHS, ["sku_id", "brand"])
+    return sales.sales_by_segment(S.order_lines(spark, path), SALES_DAYS, ["sku_id", "brand"])
 
 
 @query
 def sales_by_channel(spark, path):
-    return sales.sales_by_segment(S.order_lines(spark, path), SALES_MONTHS, ["channel"])
+    return sales.sales_by_segment(S.order_lines(spark, path), SALES_DAYS, ["channel"])
 
 
 # --- marketing -------------------------------------------------------------
@@ -350,7 +355,7 @@ def _defaults(lens_id: str):
 
 @query
 def detect_sales_decline(spark, path):
-    segments = sales.sales_by_segment(S.order_lines(spark, path), SALES_MONTHS, ["brand", "channel"])
+    segments = sales.sales_by_segment(S.order_lines(spark, path), SALES_DAYS, ["brand", "channel"])
     found = rules.detect_sales_decline(segments, _defaults("sales"))
     return flat(found, "current_net_revenue", "previous_net_revenue", "pct_change", where=("brand", "channel"))
 
@@ -410,10 +415,7 @@ def threshold_sweep(spark, path):
 
 @query
 def issue_resolution(spark, path):
-    items = judged(spark, path, TWO_DATES)
-    return rules.resolution(
-        items.filter(F.col("as_of") == F.lit(EARLIER)), items.filter(F.col("as_of") == F.lit(LATER))
-    )
+    return rules.resolution_between(judged(spark, path, TWO_DATES), EARLIER, LATER)
 
 
 @query
@@ -431,13 +433,13 @@ def top_issues(spark, path):
 
 @query
 def filter_decisions(spark, path):
-    kept = decisions.filter_decisions(judged(spark, path, TOGETHER_DAYS), ["sales", "inventory"], ["high"])
+    kept = decisions.filter_decisions(judged(spark, path, TOGETHER_DAYS), ["sales", "inventory"], ["high"], L.issue_owners())
     return kept.select("as_of", "lens", "issue_type", "severity", "kpi_to_monitor")
 
 
 @query
 def filter_counts(spark, path):
-    return decisions.shown_and_total(judged(spark, path, TOGETHER_DAYS), ["sales", "inventory"], ["high"])
+    return decisions.shown_and_total(judged(spark, path, TOGETHER_DAYS), ["sales", "inventory"], ["high"], L.issue_owners())
 
 
 @query
@@ -479,8 +481,8 @@ def executive_summary(spark, path):
 
 @query
 def kpi_tiles(spark, path):
-    summary = sales.sales_summary(S.order_lines(spark, path), SALES_MONTHS)
-    mix = customer.customer_mix(S.orders(spark, path), SALES_MONTHS)
+    summary = sales.sales_summary(S.order_lines(spark, path), SALES_DAYS)
+    mix = customer.customer_mix(S.orders(spark, path), SALES_DAYS)
     return reports.sales_tiles(summary, "en").unionByName(reports.customer_tiles(mix, "en"))
 
 
@@ -543,11 +545,25 @@ def snapshot_roundtrip(spark, path):
     built = together(spark, path, TOGETHER_DAYS)
     target = storage.shared_dir(spark)
     H.write_history(built, target)
-    stored = H.read_history(spark, target, built)
+    stored = H.open_history(spark, target)
     again = H.run_detection(stored.lenses, stored.sections, stored.params)
     return again.select("as_of", "lens", "issue_type", "severity", "kpi_to_monitor", decisions.impact().alias("impact"))
 
 
+@query
+def stored_history_sweep(spark, path):
+    """Stores a history made under strict limits, opens it by itself and judges
+    it again under the limits it recorded and under the default ones."""
+    tables = S.commerce_tables(spark, path, TOGETHER)
+    built = H.build_history(spark, tables, TOGETHER, settings=L.Settings(params=SCENARIOS["strict"]))
+    target = storage.shared_dir(spark)
+    H.write_history(built, target)
+    stored = H.open_history(spark, target)
+    defaults = {lens.id: {k: lens.defaults()[k] for k in lens.runtime_keys()} for lens in stored.lenses}
+    items = H.sweep(stored.lenses, stored.sections, stored.params, {"strict": {}, "default": defaults})
+    return items.select("scenario", "as_of", "lens", "issue_type", "severity", "kpi_to_monitor")
+
+
 @query
 def csv_roundtrip(spark, path):
     target = storage.shared_dir(spark)
@@ -636,7 +652,7 @@ def kpi_parity(spark, path):
     """The SQL function for one date against the operator for many dates."""
     lines = storage.materialize(
         S.order_lines(spark, path)
-        .filter(SALES_MONTHS.covers(F.col("order_date")))
+        .filter(SALES_DAYS.covers(F.col("order_date")))
         .select("order_id", "order_date", "brand", "channel", "sku_id", "quantity", "net_sales")
     )
     sql.register(spark, {"orders": lines})
@@ -645,7 +661,7 @@ def kpi_parity(spark, path):
     parts = []
     for name, columns in keys.items():
         one = spark.sql(f"SELECT * FROM {name}(DATE '{S.LAST_ORDER_DAY}', 30)")
-        many = sales.sales_by_segment(lines, SALES_MONTHS, columns).filter(F.col("as_of") == as_of).drop("as_of")
+        many = sales.sales_by_segment(lines, SALES_DAYS, columns).filter(F.col("as_of") == as_of).drop("as_of")
         parts.append(compare.agreement(one, many, columns).withColumn("table", F.lit(name)))
     return parts[0].unionByName(parts[1])
 
@@ -698,5 +714,5 @@ def table_invariants(spark, path):
 def lens_returns(spark, path):
     lens = L.load_lens("tradewind.catalog.returns_lens")
     tables = L.read_sources(spark, path, [lens])
-    sections, params = H.compute_sections([lens], tables, SALES_AS_OF, {})
-    return flat(H.run_detection([lens], sections, params), "return_rate")
+    sections, params = H.compute_sections([lens], tables, STOCK_AS_OF, {})
+    return flat(H.run_detection([lens], sections, params), "current_back_pct", "previous_back_pct", where=("brand",))

@@ -1,8 +1,8 @@
 """Money, ratios and rounding as Catalyst expressions.
 
-Money is summed as whole cents in a BIGINT. The sum is exact, so it does not
-depend on row order or partitioning, and the 8-byte buffer keeps hash
-aggregation on the fast path. ANSI mode raises on overflow.
+Money is summed as DECIMAL with six decimals: no fraction of a cent is lost in a
+row, the sum is exact, and so it does not depend on row order or partitioning.
+It is rounded once, where a KPI is shown. ANSI mode raises on overflow.
 """
 
 from __future__ import annotations
@@ -11,13 +11,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def cents(amount: str) -> str:
-    """SQL for an amount with two decimals as whole cents."""
-    return f"bigint(rint({amount} * 100D))"
+def amount(value: str) -> str:
+    """SQL for an amount of money as an exact number."""
+    return f"cast({value} as decimal(18,6))"
 
 
-def dollars(amount_cents: Column) -> Column:
-    return amount_cents.cast("double") / F.lit(100.0)
+def dollars(total: Column, digits: int | None = None) -> Column:
+    """A sum of amounts as DOUBLE, rounded half away from zero if asked."""
+    return (total if digits is None else F.round(total, digits)).cast("double")
+
+
+def discounted(price: Column, discount: Column) -> Column:
+    """Price less a discount share, as exact money in whole cents."""
+    return F.round(price.cast("decimal(18,6)") * (F.lit(1).cast("decimal(1,0)") - discount.cast("decimal(9,6)")), 2)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -30,27 +36,16 @@ def pct_change(current: Column, previous: Column) -> Column:
     return F.round(ratio(current - previous, previous) * F.lit(100.0), 1)
 
 
-def half_even_sql(value: str, digits: int) -> str:
-    """SQL for ``|value|`` in units of ``10**-digits`` as a BIGINT, half to even.
-
-    The tie test looks at the exact binary value, as C ``printf`` does: 0.15 is
-    stored slightly below the tie and gives 1, 0.25 is a real tie and gives 2.
-    ``bround`` works on the shortest decimal text and would call both a tie.
-
-    `value` is the SQL of a DOUBLE: one parsed expression is much cheaper to
-    plan than the same tree built node by node.
-    """
-    size = f"abs({value})"
-    below = f"floor({size} * {10**digits}D)"
-    # Sign of `tie - value`, scaled. A 24-bit head and the rest keep both
-    # products exact, so the sign is exact too.
-    head = f"double(float({size}))"
-    double_unit = f"{2 * 10**digits}D"
-    distance = f"(double({below} * 2 + 1) - {head} * {double_unit}) - ({size} - {head}) * {double_unit}"
-    return f"({below} + element_at(array(1L, {below} % 2L, 0L), int(signum({distance})) + 2))"
+def digits_of(value: str, digits: int, thousands: bool = False) -> str:
+    """SQL for the fixed-point text of a DOUBLE, half to even on its exact
+    binary value: 0.15 is stored slightly below the tie and gives 0.1, 0.25 is
+    a real tie and gives 0.2."""
+    pattern = "0" + "." * (digits > 0) + "0" * digits
+    shown = str(digits) if thousands else f"'{pattern}'"
+    return f"format_number({value}, {shown})"
 
 
 def round_half_even(value: str, digits: int) -> str:
-    """SQL for the nearest value with `digits` decimals, decided on the exact
+    """SQL for the nearest DOUBLE with `digits` decimals, decided on the exact
     binary value."""
-    return f"(double({half_even_sql(value, digits)}) * if({value} < 0, -1D, 1D) / {10**digits}D)"
+    return f"double({digits_of(value, digits)})"

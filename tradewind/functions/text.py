@@ -6,7 +6,7 @@ its text; wrap it in ``F.expr``.
 
 from __future__ import annotations
 
-from .numeric import half_even_sql
+from .numeric import digits_of
 
 # Fixed value: text shown where a number is not computable.
 NOT_AVAILABLE = "n/a"
@@ -24,9 +24,7 @@ def or_not_available(shown: str) -> str:
 
 def _digits(value: str, digits: int, thousands: bool = False) -> str:
     """Unsigned fixed-point text of ``|value|``."""
-    unit = f"{10 ** -digits:.{digits}f}BD" if digits else "1BD"
-    exact = f"(cast({half_even_sql(value, digits)} as decimal(20,0)) * {unit})"
-    return f"format_number({exact}, {digits})" if thousands else f"string({exact})"
+    return digits_of(f"abs(double({value}))", digits, thousands)
 
 
 def _with_sign(value: str, plus: str, minus: str, body: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 # Size of the last rounded digit per KPI. A KPI that is not
 # listed must agree to one part in a million.
-ROUNDING_STEP = {
+_KPI_STEP = {
     "pct_change": 0.1,
     "roas_change_pct": 0.1,
     "days_of_cover": 0.1,
@@ -24,6 +24,13 @@ ROUNDING_STEP = {
     "previous_returning_share": 0.001,
     "repeat_purchase_rate": 0.001,
 }
+_SUMMARY_KPIS = ("net_revenue", "orders", "units_sold", "aov")
+# By column name: a KPI itself, its two sides, and its percent change.
+ROUNDING_STEP = {
+    **_KPI_STEP,
+    **{f"{side}_{kpi}": _KPI_STEP[kpi] for side in ("current", "previous") for kpi in ("net_revenue", "aov")},
+    **{f"pct_{kpi}": _KPI_STEP["pct_change"] for kpi in _SUMMARY_KPIS},
+}
 STEP_MARGIN = 1.01
 RELATIVE = 1e-6
 ABSOLUTE = 1e-9
@@ -87,7 +94,15 @@ def item_differences(left: DataFrame, right: DataFrame) -> DataFrame:
                 e["key"].alias("column"), e["value"].alias("number"), F.lit(None).cast("string").alias("text")
             ),
         )
-        tall = items.select(*ITEM_KEYS, F.inline(F.concat(F.array(*texts), numbers)))
+        where = F.transform(
+            F.map_entries("affected"),
+            lambda e: F.struct(
+                F.concat(F.lit("affected."), e["key"]).alias("column"),
+                F.lit(None).cast("double").alias("number"),
+                e["value"].cast("string").alias("text"),
+            ),
+        )
+        tall = items.select(*ITEM_KEYS, F.inline(F.concat(F.array(*texts), numbers, F.coalesce(where, F.array()))))
         return tall.select(*ITEM_KEYS, "column", F.struct("number", "text").alias(side))
 
     joined = facts(left, "a").join(facts(right, "b"), [*ITEM_KEYS, "column"], "full")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cents, dollars, ratio
+from ..functions.numeric import amount, dollars, ratio
 from .periods import Anchors, period_totals
 from .staging import dedupe_first
 
@@ -60,7 +60,7 @@ def customer_summary(orders: DataFrame, acquisition: DataFrame) -> DataFrame:
     per_customer = orders.groupBy("customer_id").agg(
         F.min("order_date").alias("first_order_date"),
         F.count("order_id").alias("total_orders"),
-        dollars(F.expr(f"sum({cents('net_sales')})")).alias("total_net_sales"),
+        dollars(F.expr(f"sum({amount('net_sales')})"), 2).alias("total_net_sales"),
     )
     return per_customer.join(acquisition.select("customer_id", "acquisition_channel"), "customer_id", "left").select(
         "customer_id",

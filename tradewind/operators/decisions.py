@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,35 +45,49 @@ def top_issues(decisions: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
     return decisions.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
 
 
-def filter_decisions(
-    decisions: DataFrame, lenses: Sequence[str] = (), severities: Sequence[str] = ()
-) -> DataFrame:
-    """Items of the chosen viewpoints and severities; no choice means all."""
-    kept = decisions
+def _chosen(lenses: Sequence[str], severities: Sequence[str], owners: Mapping[str, str]) -> Column:
+    """Whether an item is chosen; one without a known lens goes by its issue type."""
+    chosen = F.lit(True)
     if lenses:
-        kept = kept.filter(F.col("lens").isin(*lenses))
+        chosen = chosen & F.coalesce(_owner(owners).isin(*lenses), F.lit(False))
     if severities:
-        kept = kept.filter(F.col("severity").isin(*severities))
-    return kept
+        chosen = chosen & F.col("severity").isin(*severities)
+    return chosen
+
+
+def filter_decisions(
+    decisions: DataFrame,
+    lenses: Sequence[str] = (),
+    severities: Sequence[str] = (),
+    owners: Mapping[str, str] = MappingProxyType({}),
+) -> DataFrame:
+    """Items of the chosen viewpoints and severities; no choice means all.
+    `owners` (issue type to lens) places items that carry no lens."""
+    return decisions.filter(_chosen(lenses, severities, owners))
 
 
-def shown_and_total(decisions: DataFrame, lenses: Sequence[str] = (), severities: Sequence[str] = ()) -> DataFrame:
+def shown_and_total(
+    decisions: DataFrame,
+    lenses: Sequence[str] = (),
+    severities: Sequence[str] = (),
+    owners: Mapping[str, str] = MappingProxyType({}),
+) -> DataFrame:
     """How many items a filter shows, of how many, per as-of date."""
-    chosen = F.lit(True)
-    if lenses:
-        chosen = chosen & F.col("lens").isin(*lenses)
-    if severities:
-        chosen = chosen & F.col("severity").isin(*severities)
+    chosen = _chosen(lenses, severities, owners)
     return decisions.groupBy("as_of").agg(F.count_if(chosen).alias("shown"), F.count(F.lit(1)).alias("total"))
 
 
-def tag_lens(decisions: DataFrame, owners: Mapping[str, str]) -> DataFrame:
-    """Fills a missing ``lens`` from the issue type (items of older files)."""
+def _owner(owners: Mapping[str, str]) -> Column:
     owner = F.lit(None).cast("string")
     for issue_type, lens in owners.items():
         owner = F.when(F.col("issue_type") == issue_type, lens).otherwise(owner)
     known = F.when(F.col("lens").isin(*set(owners.values())), F.col("lens")) if owners else F.lit(None)
-    return decisions.withColumn("lens", F.coalesce(known, owner, F.col("lens")))
+    return F.coalesce(known, owner, F.col("lens"))
+
+
+def tag_lens(decisions: DataFrame, owners: Mapping[str, str]) -> DataFrame:
+    """Fills a missing ``lens`` from the issue type (items of older files)."""
+    return decisions.withColumn("lens", _owner(owners))
 
 
 def kpi_trend(decisions: DataFrame, points: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.numeric import discounted
+
 # Horizon, comparison windows and replenishment policy.
 HORIZON_DAYS = 120
 RECENT_DAYS = 30
@@ -35,9 +37,9 @@ def is_baseline(day: Column, end: dt.date) -> Column:
     return day.between(F.lit(last - dt.timedelta(days=BASELINE_DAYS - 1)), F.lit(last))
 
 
-def spread(frame: DataFrame, *keys: str) -> DataFrame:
-    """By `keys` over all shuffle partitions, whatever the size now."""
-    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(frame: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """By `keys` over `tasks` partitions (all shuffle partitions unless given), whatever the size now."""
+    return frame.repartition(tasks or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def units_by_sku_day(orders: DataFrame, day: str = "order_date") -> DataFrame:
@@ -61,7 +63,9 @@ def baseline_daily_demand(units: DataFrame, skus: DataFrame, end: dt.date) -> Da
     )
 
 
-def dense_demand(units: DataFrame, skus: DataFrame, end: dt.date, days: int = HORIZON_DAYS) -> DataFrame:
+def dense_demand(
+    units: DataFrame, skus: DataFrame, end: dt.date, days: int = HORIZON_DAYS, tasks: int | None = None
+) -> DataFrame:
     """Every SKU of `skus` (with its columns) on every day of the horizon;
     no demand counts as 0. Adds the baseline ``daily_demand`` of the SKU.
 
@@ -84,7 +88,7 @@ def dense_demand(units: DataFrame, skus: DataFrame, end: dt.date, days: int = HO
     run = whole.orderBy("_day")
     baseline_day = is_baseline(F.date_add(F.lit(start), F.col("_day")), end)
     return (
-        spread(opening.unionByName(sparse, allowMissingColumns=True), "sku_id")
+        spread(opening.unionByName(sparse, allowMissingColumns=True), "sku_id", tasks=tasks)
         .select(
             "sku_id",
             "_day",
@@ -165,19 +169,15 @@ def stock_ledger(grid: DataFrame) -> DataFrame:
 
 def price_orders(orders: DataFrame, skus: DataFrame) -> DataFrame:
     """Selling price from list price and discount, net sales from price and
-    quantity; whole cents throughout, halves away from zero."""
-    base = F.rint(F.col("base_price") * 100).cast("bigint")
-    rest = F.lit(100) - F.rint(F.col("discount") * 100).cast("bigint")
-    price = F.floor((base * rest + 50) / F.lit(100)).cast("bigint")
+    quantity; the price is in whole cents, halves away from zero."""
+    price = discounted(F.col("base_price"), F.col("discount"))
     return (
         orders.join(skus.select("sku_id", "base_price"), "sku_id")
-        .withColumn("selling_price", price.cast("double") / 100)
-        .withColumn("net_sales", (price * F.col("quantity").cast("bigint")).cast("double") / 100)
+        .withColumn("selling_price", price.cast("double"))
+        .withColumn("net_sales", (price * F.col("quantity").cast("bigint")).cast("double"))
     )
 
 
 def unit_cost(base_price: Column) -> Column:
-    """45 % of the list price, in whole cents."""
-    base = F.rint(base_price * 100).cast("bigint")
-    share = int(UNIT_COST_FRACTION * 100)
-    return F.floor((base * share + 50) / F.lit(100)).cast("double") / 100
+    """45 % of the list price, rounded to whole cents."""
+    return F.round(base_price.cast("decimal(18,6)") * F.lit(UNIT_COST_FRACTION).cast("decimal(3,2)"), 2).cast("double")

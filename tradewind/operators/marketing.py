@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cents, dollars, pct_change, ratio
+from ..functions.numeric import amount, dollars, pct_change, ratio
 from .periods import Anchors, period_totals
 
 SEGMENT = ("brand", "marketing_channel")
@@ -21,7 +21,7 @@ def marketing_by_segment(marketing: DataFrame, anchors: Anchors) -> DataFrame:
         anchors,
         "date",
         SEGMENT,
-        {"spend": cents("spend"), "revenue": cents("attributed_revenue")},
+        {"spend": amount("spend"), "revenue": amount("attributed_revenue")},
     )
     columns = ["as_of", *SEGMENT]
     for side in ("current", "previous"):
@@ -42,7 +42,7 @@ def cac_by_channel(marketing: DataFrame, customers: DataFrame, anchors: Anchors)
     A channel may have only spend or only customers; the other side is 0.
     """
     spend = period_totals(
-        marketing, anchors, "date", ["marketing_channel"], {"spend": cents("spend")}, previous=False
+        marketing, anchors, "date", ["marketing_channel"], {"spend": amount("spend")}, previous=False
     )
     acquired = period_totals(
         customers.withColumnRenamed("acquisition_channel", "marketing_channel"),
@@ -53,14 +53,14 @@ def cac_by_channel(marketing: DataFrame, customers: DataFrame, anchors: Anchors)
         previous=False,
     )
     joined = spend.join(acquired, ["as_of", "marketing_channel"], "full")
-    amount = F.coalesce(dollars(F.col("current_spend")), F.lit(0.0))
+    spent = F.coalesce(dollars(F.col("current_spend")), F.lit(0.0))
     count = F.coalesce("current_customers", F.lit(0).cast("bigint"))
     return joined.select(
         "as_of",
         "marketing_channel",
-        amount.alias("spend"),
+        spent.alias("spend"),
         count.alias("new_customers"),
-        F.round(ratio(amount, count), 2).alias("cac"),
+        F.round(ratio(spent, count), 2).alias("cac"),
     )
 
 

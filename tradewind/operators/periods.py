@@ -204,9 +204,9 @@ def period_totals(
 ) -> DataFrame:
     """``current_<m>`` and ``previous_<m>`` sums per as-of date and `keys`.
 
-    `measures` are the SQL of whole numbers (counts or cents): totals over many
-    dates are built by adding and taking away days, which only exact numbers
-    allow. Groups without a row in either period are left out; without `keys`
+    `measures` are the SQL of exact numbers (counts, or money as DECIMAL): totals
+    over many dates are built by adding and taking away days, which only exact
+    numbers allow. A NULL measure counts as 0. Groups without a row in either period are left out; without `keys`
     every as-of date gets a row.
 
     One date: a single conditional aggregation. Many dates: rows are first
@@ -221,7 +221,7 @@ def period_totals(
     if len(anchors.dates) == 1:
         return _single_totals(inside, anchors, day, keys, measures, previous)
     daily = inside.groupBy(*keys, day).agg(
-        *(F.expr(f"sum({sql})").alias(m) for m, sql in measures.items()), F.expr("count(1)").alias("_rows")
+        *(F.expr(f"coalesce(sum({sql}), 0L)").alias(m) for m, sql in measures.items()), F.expr("count(1)").alias("_rows")
     )
     if not keys:
         return _overall_totals(daily, anchors, day, list(measures), previous)

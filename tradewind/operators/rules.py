@@ -7,6 +7,7 @@ one KPI row stay in the task of that row; no rule shuffles.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -218,6 +219,18 @@ def standing() -> list[Column]:
     return [F.col("lens_order").asc(), F.col("order_value").asc_nulls_first(), F.col("order_key").asc()]
 
 
+def resolution_between(items: DataFrame, earlier: dt.date, later: dt.date) -> DataFrame:
+    """`resolution` of two as-of dates of one frame, in one pass over it."""
+
+    def severity(day: dt.date) -> Column:
+        # Of several items of an issue, the gravest.
+        rank = F.min(F.when(F.col("as_of") == F.lit(day), severity_rank()))
+        return F.get(F.array(*(F.lit(s) for s in SEVERITIES)), rank.cast("int"))
+
+    sides = items.filter(F.col("as_of").isin(earlier, later)).groupBy("lens", "issue_type", "kpi_to_monitor")
+    return _with_status(sides.agg(severity(earlier).alias("severity_before"), severity(later).alias("severity_after")))
+
+
 def resolution(before: DataFrame, after: DataFrame) -> DataFrame:
     """What became of each issue between two sets of items.
 
@@ -229,7 +242,10 @@ def resolution(before: DataFrame, after: DataFrame) -> DataFrame:
     def side(frame: DataFrame, name: str) -> DataFrame:
         return frame.select(*same, F.col("severity").alias(f"severity_{name}"))
 
-    joined = side(before, "before").join(side(after, "after"), same, "full")
+    return _with_status(side(before, "before").join(side(after, "after"), same, "full"))
+
+
+def _with_status(joined: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("severity_after").isNull(), "resolved")
         .when(F.col("severity_before").isNull(), "new")

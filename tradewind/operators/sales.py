@@ -7,36 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cents, dollars, pct_change, ratio
+from ..functions.numeric import amount, dollars, pct_change, ratio
 from .periods import Anchors, period_totals
 
 
 def sales_summary(orders: DataFrame, anchors: Anchors) -> DataFrame:
     """One row per as-of date: both periods and percent changes.
 
-    Distinct orders are counted per day and added up, which is right because
-    an order has one date.
+    Lines are summed per order and day first, so orders are counted without a
+    distinct, and added up over days, which is right because an order has one date.
     """
-    daily = (
+    per_order = (
         orders.filter(anchors.covers(F.col("order_date")))
-        .groupBy("order_date")
+        .groupBy("order_id", "order_date")
         .agg(
-            F.expr(f"sum({cents('net_sales')})").alias("net"),
-            F.count_distinct("order_id").alias("orders"),
-            F.sum(F.col("quantity").cast("bigint")).alias("units"),
+            F.expr(f"coalesce(sum({amount('net_sales')}), 0)").alias("net"),
+            F.coalesce(F.sum(F.col("quantity").cast("bigint")), F.lit(0).cast("bigint")).alias("units"),
         )
     )
+    daily = per_order.groupBy("order_date").agg(
+        F.sum("net").alias("net"), F.count("order_id").alias("orders"), F.sum("units").alias("units")
+    )
     return summarize_daily_sales(daily, anchors)
 
 
 def summarize_daily_sales(daily: DataFrame, anchors: Anchors) -> DataFrame:
-    """`sales_summary` from per-day totals ``net`` (cents), ``orders``, ``units``."""
+    """`sales_summary` from per-day totals ``net``, ``orders``, ``units``."""
     totals = period_totals(
         daily, anchors, "order_date", [], {m: m for m in ("net", "orders", "units")}
     )
 
     def aov(side: str):
-        per_order = ratio(dollars(F.col(f"{side}_net")), F.col(f"{side}_orders"))
+        per_order = ratio(dollars(F.col(f"{side}_net"), 2), F.col(f"{side}_orders"))
         return F.coalesce(F.round(per_order, 2), F.lit(0.0)).alias(f"{side}_aov")
 
     named = totals.select(
@@ -45,7 +47,7 @@ def summarize_daily_sales(daily: DataFrame, anchors: Anchors) -> DataFrame:
             column
             for side in ("current", "previous")
             for column in (
-                dollars(F.col(f"{side}_net")).alias(f"{side}_net_revenue"),
+                dollars(F.col(f"{side}_net"), 2).alias(f"{side}_net_revenue"),
                 F.col(f"{side}_orders"),
                 F.col(f"{side}_units").alias(f"{side}_units_sold"),
                 aov(side),
@@ -62,7 +64,7 @@ def summarize_daily_sales(daily: DataFrame, anchors: Anchors) -> DataFrame:
 
 def sales_by_segment(orders: DataFrame, anchors: Anchors, group_cols: Sequence[str]) -> DataFrame:
     """Net revenue per segment: both periods, change and percent change."""
-    totals = period_totals(orders, anchors, "order_date", group_cols, {"net": cents("net_sales")})
+    totals = period_totals(orders, anchors, "order_date", group_cols, {"net": amount("net_sales")})
     current, previous = F.col("current_net"), F.col("previous_net")
     return totals.select(
         "as_of",

@@ -8,6 +8,7 @@ date's rows in one place.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -21,10 +22,12 @@ from ..operators import rules
 from ..operators.decisions import kpi_trend, localize, tag_lens
 from ..operators.periods import Anchors
 from ..sources.storage import materialize, read_existing
-from .lens import Lens, Settings, Tables, issue_owners, load_lenses, localizers, resolve_params
+from .lens import Lens, Settings, Tables, issue_owners, load_lens, load_lenses, localizers, resolve_params
 
 # Fixed value: version of the stored layout.
 SCHEMA_VERSION = 2
+# Where a stored history describes its frames.
+SCHEMAS = "_schemas"
 ENGINE = "spark"
 
 
@@ -183,7 +186,11 @@ def write_history(history: History, path: str) -> None:
     The rebalance hint lets Spark put small dates together and split large
     ones, so the number of files follows the data and not the task count.
     """
-    for name, frame in history.frames().items():
+    frames = history.frames()
+    described = [(name, frame.schema.json()) for name, frame in frames.items()]
+    schemas = history.header.sparkSession.createDataFrame(described, "frame STRING, schema STRING")
+    schemas.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{SCHEMAS}")
+    for name, frame in frames.items():
         target = f"{path.rstrip('/')}/{name}"
         dated = "as_of" in frame.columns
         writer = (frame.hint("rebalance", "as_of") if dated else frame).write.mode("overwrite")
@@ -196,16 +203,27 @@ def read_frame(spark: SparkSession, path: str, name: str, schema: T.StructType)
     return read_existing(spark.read.schema(schema), f"{path.rstrip('/')}/{name}", f"history frame '{name}'")
 
 
-def read_history(spark: SparkSession, path: str, like: History) -> History:
-    """A stored history with the schemas of `like`."""
-    schemas = {name: frame.schema for name, frame in like.frames().items()}
+def open_history(spark: SparkSession, path: str) -> History:
+    """A stored history by itself: frames, and the lenses and parameters that its
+    header recorded. Lenses of others must be registered before.
+
+    The driver reads one row per frame and the latest header row.
+    """
+    known = read_frame(spark, path, SCHEMAS, T.StructType.fromDDL("frame STRING, schema STRING")).collect()
+    schemas = {r["frame"]: T.StructType.fromJson(json.loads(r["schema"])) for r in known}
     stored = {name: read_frame(spark, path, name, schema).select(*schema.names) for name, schema in schemas.items()}
+    head = stored["header"].orderBy(F.desc("as_of")).first()
+    if head is None:
+        raise ValueError(f"the history at {path} has no as-of date")
+    sections: dict[str, dict[str, DataFrame]] = {lens: {} for lens in head["lenses"]}
+    for name, frame in stored.items():
+        lens, dot, part = name.partition(".")
+        if dot:
+            sections[lens][part] = frame
     return History(
-        lenses=like.lenses,
-        params=like.params,
+        lenses=[load_lens(name) for name in head["lenses"]],
+        params={lens: dict(values) for lens, values in head["params"].items()},
         header=stored["header"],
-        sections={
-            lens: {n: stored[f"{lens}.{n}"] for n in parts} for lens, parts in like.sections.items()
-        },
+        sections=sections,
         decisions=stored["decisions"],
     )

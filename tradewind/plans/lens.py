@@ -31,7 +31,6 @@ class Param:
 
     key: str
     default: float
-    label: Mapping[str, str]
     min: float
     max: float
     step: float
@@ -86,7 +85,8 @@ def unregister(lens_id: str) -> None:
 
 
 def load_lens(name: str) -> Lens:
-    """A bare name is a built-in lens, a dotted one a module with ``LENS``."""
+    """A bare name is a built-in lens, or the one registered in its place; a
+    dotted one is a module with ``LENS``."""
     if "." in name:
         found = getattr(importlib.import_module(name), "LENS", None)
         if not isinstance(found, Lens):
@@ -94,6 +94,8 @@ def load_lens(name: str) -> Lens:
         return register(found)
     from .builtin import LENSES
 
+    if name in _registered:
+        return _registered[name]  # a lens the caller registered stays
     if name not in LENSES:
         raise ValueError(f"unknown lens '{name}'; built in are {sorted(LENSES)}")
     return register(LENSES[name])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..functions.numeric import amount
 from .lens import Tables
 
 VIEWS = ("orders", "order_heads", "marketing", "acquired", "customers", "inventory", "skus")
@@ -39,11 +40,10 @@ def _change(current: str, previous: str) -> str:
 
 
 def _segments(columns: str) -> str:
-    cents = "bigint(rint(net_sales * 100))"
-    return f"""SELECT {columns}, c / 100D AS current_net_revenue, p / 100D AS previous_net_revenue,
-    (c - p) / 100D AS change, {_change('c', 'p')} AS pct_change
+    return f"""SELECT {columns}, double(c) AS current_net_revenue, double(p) AS previous_net_revenue,
+    double(c - p) AS change, {_change('c', 'p')} AS pct_change
   FROM (SELECT {columns}, {_side(0, 'net')} AS c, {_side(1, 'net')} AS p
-        FROM ({_tagged('orders', 'order_date', f'{columns}, {cents} AS net')}) GROUP BY {columns})"""
+        FROM ({_tagged('orders', 'order_date', f'{columns}, {amount("net_sales")} AS net')}) GROUP BY {columns})"""
 
 
 _SUMMARY = f"""SELECT c_net AS current_net_revenue, c_orders AS current_orders, c_units AS current_units_sold,
@@ -53,26 +53,26 @@ _SUMMARY = f"""SELECT c_net AS current_net_revenue, c_orders AS current_orders,
     {_change('c_units', 'p_units')} AS pct_units_sold, {_change('c_aov', 'p_aov')} AS pct_aov
   FROM (SELECT *, coalesce(round(try_divide(c_net, c_orders), 2), 0D) AS c_aov,
           coalesce(round(try_divide(p_net, p_orders), 2), 0D) AS p_aov
-        FROM (SELECT {_side(0, 'net')} / 100D AS c_net, {_side(1, 'net')} / 100D AS p_net,
+        FROM (SELECT double(round({_side(0, 'net')}, 2)) AS c_net, double(round({_side(1, 'net')}, 2)) AS p_net,
                 count(DISTINCT order_id) FILTER (WHERE period = 0) AS c_orders,
                 count(DISTINCT order_id) FILTER (WHERE period = 1) AS p_orders,
                 {_side(0, 'quantity')} AS c_units, {_side(1, 'quantity')} AS p_units
-              FROM ({_tagged('orders', 'order_date', 'order_id, quantity, bigint(rint(net_sales * 100)) AS net')})))"""
+              FROM ({_tagged('orders', 'order_date', f'order_id, quantity, {amount("net_sales")} AS net')})))"""
 
 _MARKETING = f"""SELECT brand, marketing_channel, cs AS current_spend, cr AS current_attributed_revenue,
     c AS current_roas, ps AS previous_spend, pr AS previous_attributed_revenue, p AS previous_roas,
     {_change('c', 'p')} AS roas_change_pct
   FROM (SELECT *, coalesce(try_divide(cr, cs), 0D) AS c, coalesce(try_divide(pr, ps), 0D) AS p
-        FROM (SELECT brand, marketing_channel, {_side(0, 'spent')} / 100D AS cs, {_side(0, 'earned')} / 100D AS cr,
-                {_side(1, 'spent')} / 100D AS ps, {_side(1, 'earned')} / 100D AS pr
-              FROM ({_tagged('marketing', 'date', '''brand, marketing_channel, bigint(rint(spend * 100)) AS spent,
-                bigint(rint(attributed_revenue * 100)) AS earned''')})
+        FROM (SELECT brand, marketing_channel, double({_side(0, 'spent')}) AS cs, double({_side(0, 'earned')}) AS cr,
+                double({_side(1, 'spent')}) AS ps, double({_side(1, 'earned')}) AS pr
+              FROM ({_tagged('marketing', 'date', f'''brand, marketing_channel, {amount("spend")} AS spent,
+                {amount("attributed_revenue")} AS earned''')})
               GROUP BY brand, marketing_channel))"""
 
 _CAC = f"""SELECT marketing_channel, coalesce(spend, 0D) AS spend, coalesce(new_customers, 0L) AS new_customers,
     round(try_divide(coalesce(spend, 0D), coalesce(new_customers, 0L)), 2) AS cac
-  FROM (SELECT marketing_channel, sum(spent) / 100D AS spend
-        FROM ({_tagged('marketing', 'date', 'marketing_channel, bigint(rint(spend * 100)) AS spent', 1)})
+  FROM (SELECT marketing_channel, double(sum(spent)) AS spend
+        FROM ({_tagged('marketing', 'date', f'marketing_channel, {amount("spend")} AS spent', 1)})
         GROUP BY marketing_channel)
   FULL JOIN (SELECT acquisition_channel AS marketing_channel, count(1) AS new_customers
         FROM ({_tagged('acquired', 'first_order_date', 'acquisition_channel', 1)})

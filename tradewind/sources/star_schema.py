@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import discounted
 from ..operators import ledger
 from ..operators.customer import customer_summary, flag_new_customers
 from ..operators.periods import Anchors
@@ -80,10 +81,8 @@ def shipped_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def net_sales(extended_price: Column, discount: Column) -> Column:
-    """Price less discount, rounded to whole cents with integer arithmetic."""
-    price = F.rint(extended_price * 100).cast("bigint")
-    rest = F.lit(100) - F.rint(discount * 100).cast("bigint")
-    return F.floor((price * rest + 50) / F.lit(100)).cast("double") / 100
+    """Price less discount in whole cents, halves away from zero."""
+    return discounted(extended_price, discount).cast("double")
 
 
 def joined_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -156,8 +155,8 @@ def raw_marketing(spark: SparkSession, path: str, end: dt.date = LAST_EVENT_DAY)
     kind = F.col("event_type")
 
     def amount(event: str) -> Column:
-        paid = F.sum(F.when(kind == event, F.rint(F.col("value") * 100).cast("bigint")))
-        return F.coalesce(paid, F.lit(0).cast("bigint")).cast("double") / 100
+        paid = F.sum(F.when(kind == event, F.col("value").cast("decimal(18,6)")))
+        return F.coalesce(paid.cast("double"), F.lit(0.0))
 
     return (
         table(spark, path, "events")
@@ -231,5 +230,9 @@ def commerce_tables(
 
 
 def line_returns(spark: SparkSession, path: str) -> DataFrame:
-    """Every staged order line with whether it came back."""
-    return shipped_lines(spark, path).select("order_id", "returned")
+    """Pieces of every staged line, and how many of them came back."""
+    lines = shipped_lines(spark, path).join(sku_brands(spark, path), "sku_id")
+    back = F.when(F.col("returned"), F.col("quantity")).otherwise(F.lit(0).cast("bigint"))
+    return trim_columns(lines, ["brand"]).select(
+        "ship_date", "brand", F.col("quantity").alias("pieces"), back.alias("pieces_back")
+    )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Mapping
 from functools import reduce
@@ -20,13 +19,9 @@ class LoadMismatch(RuntimeError):
 
 def shared_dir(spark: SparkSession) -> str:
     """A new directory below the folder the cluster names in
-    ``spark.checkpoint.dir``; every executor can read it. Only a local session
-    without that setting falls back to a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.gettempdir()
+    ``spark.checkpoint.dir``, or below the warehouse where that is unset; every
+    executor can read both."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
     return f"{base.rstrip('/')}/tradewind-{uuid.uuid4().hex}"
 
 
