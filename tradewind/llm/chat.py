@@ -29,8 +29,9 @@ LOSS_ROLE = "assistant"
 #: Other names of roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
-_CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)")
-_ROLE_CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)|:")
+# Escapes go inside control strings, so that none of them is in an escaped text.
+_CONTROL = re.compile(r"\\|(?<=#)#(?=#)|(?<=<)/(?=turn>)")
+_ROLE_CONTROL = re.compile(r"\\|(?<=#)#(?=#)|(?<=<)/(?=turn>)|:")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*) </turn>\n", re.S)
 

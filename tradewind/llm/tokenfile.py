@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import LOWER, SLICE_BYTES, hashes, slices, texts, words
+from tradewind.llm.text import LOWER, hashes, slices, texts, words
 
 #: Id appended to each document.
 END = 2
 #: Ids of a block, or one document.
 BLOCK = 1 << 18
+#: Chunks whose ids a process keeps.
+REMEMBERED = 1_000_000
 
 # Chunks that the tokenizer sees by themselves: bytes are white space (0), small
 # letters and digits (1), the apostrophe and bytes beyond ASCII (2), or marks (3).
@@ -47,8 +49,8 @@ _APART = "\x01"
 
 
 class Encoder:
-    """The tokenizers library on different chunks only: chunks of a slice that
-    occurred are encoded once."""
+    """The tokenizers library on different chunks only: a chunk is encoded when a
+    process meets it first, and again only after REMEMBERED others."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
@@ -57,6 +59,22 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         (self.apart,) = self.tokenizer.encode(_APART, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        # Hashes of chunks, ascending, and where their ids are.
+        self.known = np.zeros(0, np.uint64)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _learn(self, hash_: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encode chunks that aren't known; hash_: ascending."""
+        flat, length = self.chunks(data, begin, end)
+        at = np.searchsorted(self.known, hash_)
+        self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.known = np.insert(self.known, at, hash_)
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
 
     def direct(self, all_: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(all_, add_special_tokens=False)]
@@ -103,15 +121,20 @@ class Encoder:
         owner = np.searchsorted(t.offsets, begin, side="right") - 1
         lower = LOWER[t.data]
         chunk = type(w)(begin, end, owner)
-        _, one, back = np.unique(hashes(lower, chunk, fold=False), return_index=True, return_inverse=True)
-        flat, length = self.chunks(lower, begin[one], end[one])
-        start = np.cumsum(length) - length
-        per = length[back]
+        hash_, one, back = np.unique(hashes(lower, chunk, fold=False), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.known, hash_)
+        new = self.known[np.minimum(at, len(self.known) - 1)] != hash_ if len(self.known) else np.ones(len(hash_), bool)
+        if new.any():
+            self._learn(hash_[new], lower, begin[one[new]], end[one[new]])
+            at = np.searchsorted(self.known, hash_)
+        start, per = self.start[at], self.length[at][back]
         # Texts with what may be an added token are encoded as they are.
         odd = [i for i in range(n) if b"<|" in t.data[t.offsets[i] : t.offsets[i + 1]].tobytes()] if b"<|" in t.data.tobytes() else []
         per[np.isin(owner, odd)] = 0
         cut = np.cumsum(per) - per
-        ids = flat[np.repeat(start[back] - cut, per) + np.arange(per.sum())]
+        ids = self.flat[np.repeat(start[back] - cut, per) + np.arange(per.sum())]
         size = np.bincount(owner, per, minlength=n).astype(np.int64)
         parts, ends = [], np.cumsum(size)
         if odd:
@@ -150,13 +173,24 @@ def unpacked(control: bytes, data: bytes, n: int) -> np.ndarray:
     return rank
 
 
+_loaded: dict[int, Encoder] = {}
+
+
+def _encoder(definition: str) -> Encoder:
+    """Made once per process."""
+    key = hash(definition)
+    if key not in _loaded:
+        _loaded[key] = Encoder(definition)
+    return _loaded[key]
+
+
 def _encoded(docs: DataFrame, path: str) -> DataFrame:
     with open(path, encoding="utf-8") as source:
         definition = source.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(definition)
-        for piece in slices(batches, "text", 2 * SLICE_BYTES):
+        encoder = _encoder(definition)
+        for piece in slices(batches, "text"):
             ids, size = encoder.encode(piece.column("text"))
             data = ids.astype("<u2" if int(ids.max(initial=0)) < 1 << 16 else "<u4")
             cut = np.append(0, np.cumsum(size) * data.itemsize).astype(np.int64)
