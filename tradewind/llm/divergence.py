@@ -37,10 +37,10 @@ COMMON = 100
 #: Share of all words under which a language has no reference of its own.
 RARE = 0.001
 #: Guards: distances count from so many words on.
-CHAR_WORDS = 20
-WORD_WORDS = 60
+CHAR_WORDS = 40
+WORD_WORDS = 40
 #: Largest distances of a kept document.
-CHAR_DISTANCE = 0.26
+CHAR_DISTANCE = 0.3
 WORD_DISTANCE = 0.5
 #: Counted words of a task are summed so many at a time.
 SUMMED = 1 << 20
