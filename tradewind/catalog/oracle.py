@@ -580,6 +580,42 @@ def frame_rows() -> str:
     )
 
 
+def contents() -> str:
+    """Every value of one date, column by column."""
+    change = "current_{0} previous_{0}".format
+    numbers = {
+        ("sales.summary", "summary", ""): " ".join(
+            f"{change(k)} pct_{k}" for k in ("net_revenue", "orders", "units_sold", "aov")
+        ),
+        ("sales.by_brand_channel", "segments", "brand channel"): f"{change('net_revenue')} change pct_change",
+        ("sales.by_sku", "sku_segments", "sku_id brand"): f"{change('net_revenue')} change pct_change",
+        ("marketing.by_segment", "msegments", "brand marketing_channel"): " ".join(
+            map(change, ("spend", "attributed_revenue", "roas"))
+        )
+        + " roas_change_pct",
+        ("marketing.cac_by_channel", "cac", "marketing_channel"): "spend new_customers cac",
+        ("customer.mix", "mix", ""): f"{change('new_share')} {change('returning_share')}",
+        ("customer.repeat_purchase_rate", "repeat_rate", ""): "repeat_purchase_rate",
+        ("inventory.risk_by_sku", "risk", "sku_id brand"): "on_hand velocity days_of_cover stockout_risk excess_risk",
+        ("decisions", "items", "lens issue_type kpi_to_monitor"): "impact",
+    }
+    worded = {("decisions", "items", "lens issue_type kpi_to_monitor"): "severity headline possible_action"}
+    parts = []
+    for columns, number, text in (
+        (numbers, "CAST({} AS DOUBLE)", "CAST(NULL AS VARCHAR)"),
+        (worded, "CAST(NULL AS DOUBLE)", "{}"),
+    ):
+        for (frame, source, keys), names in columns.items():
+            key = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys.split()) + ")" if keys else "''"
+            parts += [
+                f"SELECT as_of, '{frame}' AS frame, {key} AS key, '{n}' AS column, {number.format(n)} AS number, "
+                f"{text.format(n)} AS text FROM {source}"
+                for n in names.split()
+            ]
+    rate = f"SELECT as_of, {r('avg(CAST(is_returning AS INTEGER))', 3)} AS repeat_purchase_rate FROM anchors, customers GROUP BY as_of"
+    return f"WITH RECURSIVE {together(TOGETHER)}, repeat_rate AS ({rate}) " + " UNION ALL ".join(parts)
+
+
 def without_date(statement: str) -> str:
     head, tail = statement.rsplit("SELECT * FROM", 1)
     return f"{head}SELECT * EXCLUDE (as_of) FROM{tail}"
@@ -823,6 +859,7 @@ SELECT s.*, m.* EXCLUDE (as_of), c.* EXCLUDE (as_of), 2 AS schema_version, CAST(
   'sales,marketing,customer,inventory' AS lenses, 'spark' AS metrics_source, CAST(-35 AS DOUBLE) AS sales_decline_high_pct,
   CAST(14 AS DOUBLE) AS velocity_window_days, CAST(NULL AS VARCHAR) AS narrative
 FROM summary s JOIN mix m ON m.as_of = s.as_of JOIN counts c ON c.as_of = s.as_of""",
+        "snapshot_contents": contents(),
         "snapshot_history": f"WITH RECURSIVE {together(TOGETHER_DAYS)} {frame_rows()}",
         "snapshot_roundtrip": f"WITH RECURSIVE {together(TOGETHER_DAYS)} SELECT {short}, impact FROM items",
         "csv_roundtrip": f"WITH {CUSTOMERS} SELECT * FROM customers",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -533,6 +534,34 @@ def snapshot(spark, path):
     return header.join(kpis, "as_of").join(counts, "as_of")
 
 
+# Key columns of the frames of a snapshot.
+SNAPSHOT_KEYS = {
+    "sales.summary": (),
+    "sales.by_brand_channel": ("brand", "channel"),
+    "sales.by_sku": ("sku_id", "brand"),
+    "marketing.by_segment": ("brand", "marketing_channel"),
+    "marketing.cac_by_channel": ("marketing_channel",),
+    "customer.mix": (),
+    "customer.repeat_purchase_rate": (),
+    "inventory.risk_by_sku": ("sku_id", "brand"),
+    "decisions": ("lens", "issue_type", "kpi_to_monitor"),
+}
+
+
+@query
+def snapshot_contents(spark, path):
+    """Every value of every section and item of one date."""
+    built = together(spark, path, TOGETHER, store=False)
+    frames = built.frames()
+    frames["customer.repeat_purchase_rate"] = frames["customer.repeat_purchase_rate"].withColumn("as_of", F.lit(TOGETHER.latest))
+    frames["decisions"] = frames["decisions"].select(
+        "as_of", "lens", "issue_type", "kpi_to_monitor", "severity", "headline", "possible_action",
+        decisions.impact().alias("impact"),
+    )
+    parts = [H.cells(frames[name], name, keys) for name, keys in SNAPSHOT_KEYS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def snapshot_history(spark, path):
     """Every date's items and KPI rows, as rows per frame."""

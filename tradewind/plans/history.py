@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,6 +180,26 @@ def localized(decisions: DataFrame, lang: str) -> DataFrame:
     return localize(decisions, lang, localizers())
 
 
+def cells(frame: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Every value of a dated frame as a row: as_of, frame, key (the key columns'
+    values), column, and the value as a number (flags as 0 and 1) or as a text."""
+
+    def cell(field: T.StructField) -> Column:
+        worded = isinstance(field.dataType, T.StringType)
+        nothing = F.lit(None)
+        return F.struct(
+            F.lit(field.name).alias("column"),
+            (nothing.cast("double") if worded else F.col(field.name).cast("double")).alias("number"),
+            (F.col(field.name) if worded else nothing.cast("string")).alias("text"),
+        )
+
+    values = [f for f in frame.schema.fields if f.name not in ("as_of", *keys)]
+    key = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+    return frame.select(
+        "as_of", F.lit(name).alias("frame"), key.alias("key"), F.inline(F.array(*map(cell, values)))
+    )
+
+
 def write_history(history: History, path: str) -> None:
     """One JSON table per frame, partitioned by as-of date; NULLs are kept.
 
