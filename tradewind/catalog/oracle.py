@@ -349,7 +349,8 @@ ranked AS (
 
 
 TOGETHER = ONE(LAST_ORDER_DAY, 14)
-TOGETHER_DAYS = anchors(LAST_ORDER_DAY, count=61, window=14)
+TOGETHER_DAYS = anchors(LAST_ORDER_DAY, first=FIRST_ORDER_DAY, window=14)
+STORED_DAYS = anchors(LAST_ORDER_DAY, count=61, window=14)
 TWO_DATES = (
     f"SELECT CAST({LAST_ORDER_DAY} AS DATE) AS as_of, 14 AS w UNION ALL SELECT CAST({LAST_ORDER_DAY} - 28 AS DATE), 14"
 )
@@ -861,7 +862,7 @@ SELECT s.*, m.* EXCLUDE (as_of), c.* EXCLUDE (as_of), 2 AS schema_version, CAST(
 FROM summary s JOIN mix m ON m.as_of = s.as_of JOIN counts c ON c.as_of = s.as_of""",
         "snapshot_contents": contents(),
         "snapshot_history": f"WITH RECURSIVE {together(TOGETHER_DAYS)} {frame_rows()}",
-        "snapshot_roundtrip": f"WITH RECURSIVE {together(TOGETHER_DAYS)} SELECT {short}, impact FROM items",
+        "snapshot_roundtrip": f"WITH RECURSIVE {together(STORED_DAYS)} SELECT {short}, impact FROM items",
         "csv_roundtrip": f"WITH {CUSTOMERS} SELECT * FROM customers",
         "row_count_reconciliation": f"""WITH RECURSIVE {CUSTOMERS}, {marketing()}, {stock(LAST_SHIP_DAY)},
 counted AS (SELECT 'orders' AS "table", count(*) AS expected FROM orders UNION ALL SELECT 'marketing', count(*) FROM marketing

@@ -37,7 +37,9 @@ STOCK_AS_OF = Anchors.single(S.LAST_SHIP_DAY, 30)
 STOCK_DAYS = Anchors.back_from(S.LAST_SHIP_DAY, S.LAST_SHIP_DAY - dt.timedelta(days=119), 30)
 # All lenses together: the order clock, two weeks against two weeks.
 TOGETHER = Anchors.single(S.LAST_ORDER_DAY, 14)
-TOGETHER_DAYS = Anchors.back_from(S.LAST_ORDER_DAY, FIRST_ORDER_DAY, 14, count=61)
+TOGETHER_DAYS = Anchors.back_from(S.LAST_ORDER_DAY, FIRST_ORDER_DAY, 14)
+# Dates of the stored history that is read back; a folder per date and frame.
+STORED_DAYS = Anchors.back_from(S.LAST_ORDER_DAY, FIRST_ORDER_DAY, 14, count=61)
 EARLIER, LATER = S.LAST_ORDER_DAY - dt.timedelta(days=28), S.LAST_ORDER_DAY
 TWO_DATES = Anchors((EARLIER, LATER), 14)
 
@@ -571,7 +573,7 @@ def snapshot_history(spark, path):
 @query
 def snapshot_roundtrip(spark, path):
     """Writes the history as JSON, reads it back and judges the stored KPIs."""
-    built = together(spark, path, TOGETHER_DAYS)
+    built = together(spark, path, STORED_DAYS)
     target = storage.shared_dir(spark)
     H.write_history(built, target)
     stored = H.open_history(spark, target)
