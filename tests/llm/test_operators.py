@@ -403,7 +403,9 @@ def test_classifier_of_odd_documents(spark, none):
 def test_suffix_tree(spark, none):
     chance = random.Random(7)
     passage = " ".join(sentence(chance, 40, 10**6))
-    texts = [*odd_texts(), *(" ".join(sentence(chance, 30, 50)) + " " + passage for _ in range(60))]
+    # What follows "mid" depends on the word before it.
+    pairs = [" ".join(chance.choice(["ka mid ra", "ko mid ro", "ke mid re"]) for _ in range(8)) for _ in range(60)]
+    texts = [*odd_texts(), *(" ".join([*sentence(chance, 30, 50), passage, p]) for p in pairs)]
     docs = documents(spark, texts)
     counts = suffixtree.vocabulary(docs)
     tree = suffixtree.fit(docs, counts)
@@ -422,7 +424,7 @@ def test_suffix_tree(spark, none):
     assert held and all(r.score > r.base_score + 50 for r in held)
     # Each state's distribution over all tokens, the unseen one included, sums to one.
     root = tree.root()
-    for state in list(range(0, len(tree.word), 7)):
+    for state in range(0, len(tree.word), 40):
         for more in ([state], [chance.randrange(len(tree.word)), state], list(divmod(int(chance.choice(tree.levels[0].key)), 2**32))):
             k = len(tree.word)
             token = np.concatenate([np.append(tree.word[more], w) for w in tree.word])

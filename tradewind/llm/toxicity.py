@@ -95,7 +95,7 @@ def _hits(piece: pa.RecordBatch, model: Model) -> tuple[Words, np.ndarray, dict[
         hit = np.flatnonzero(model.key[at] == h)
         owners, begin = np.unique(w.owner[hit], return_index=True)
         origin = np.searchsorted(w.owner, owners)
-        for owner, o, a, b in zip(owners.tolist(), origin, begin, [*begin[1:], len(hit)], strict=True):
+        for owner, o, a, b in zip(owners.tolist(), origin, begin, np.append(begin, len(hit))[1:], strict=True):
             found[owner] = maximal_segments(hit[a:b] - o, model.weight[at[hit[a:b]]], model.other)
     return w, n, found
 
