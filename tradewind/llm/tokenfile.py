@@ -18,6 +18,7 @@ corpus gives empty tables. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import LOWER, hashes, slices, texts, words
+from tradewind.llm.text import LOWER, SLICE_BYTES, hashes, slices, texts, words
 
 #: Id appended to each document.
 END = 2
 #: Ids of a block, or one document.
 BLOCK = 1 << 18
 #: Chunks whose ids a process keeps.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 # Chunks that the tokenizer sees by themselves: bytes are white space (0), small
 # letters and digits (1), the apostrophe and bytes beyond ASCII (2), or marks (3).
@@ -53,6 +54,7 @@ class Encoder:
     process meets it first, and again only after REMEMBERED others."""
 
     def __init__(self, definition: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a process for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -87,8 +89,11 @@ class Encoder:
         flat = np.zeros(0, np.int64)
         plain = [c for c, m in zip(each, mine, strict=True) if not m]
         if plain:
-            joined = [f" {_APART} ".join(plain[i : i + 500]) + f" {_APART}" for i in range(0, len(plain), 500)]
-            flat = np.fromiter((i for e in self.direct(joined) for i in e), np.int64)
+            parts = []
+            for at in range(0, len(plain), 5000):  # what the library returns is large: a little at a time
+                joined = [f" {_APART} ".join(plain[i : i + 250]) + f" {_APART}" for i in range(at, min(at + 5000, len(plain)), 250)]
+                parts += [np.array(ids, np.int64) for ids in self.direct(joined)]
+            flat = np.concatenate(parts)
         ends = np.flatnonzero(flat == self.apart)
         length = np.zeros(len(each), np.int64)
         length[~mine] = np.diff(np.append(-1, ends)) - 1
@@ -190,7 +195,7 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition)
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", SLICE_BYTES // 4):
             ids, size = encoder.encode(piece.column("text"))
             data = ids.astype("<u2" if int(ids.max(initial=0)) < 1 << 16 else "<u4")
             cut = np.append(0, np.cumsum(size) * data.itemsize).astype(np.int64)
