@@ -125,8 +125,3 @@ def windows(h: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     for i in range(k):
         out = mixed(out * _STEP + h[first + i] + np.uint64(i + 1))
     return out, first
-
-
-def spans(owner: np.ndarray, n: int) -> np.ndarray:
-    """Offsets of n owners' rows, for owners in ascending order."""
-    return np.searchsorted(owner, np.arange(n + 1))
