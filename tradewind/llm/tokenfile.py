@@ -195,7 +195,7 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition)
-        for piece in slices(batches, "text", SLICE_BYTES // 4):
+        for piece in slices(batches, "text", SLICE_BYTES // 2):
             ids, size = encoder.encode(piece.column("text"))
             data = ids.astype("<u2" if int(ids.max(initial=0)) < 1 << 16 else "<u4")
             cut = np.append(0, np.cumsum(size) * data.itemsize).astype(np.int64)
