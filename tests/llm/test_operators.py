@@ -444,6 +444,26 @@ def test_suffix_tree(spark, none):
     assert suffixtree.score(again, suffixtree.fit(again, counts), counts).count() == len(odd_texts()) + 8
 
 
+def test_suffix_tree_does_not_depend_on_what_tasks_hold(spark, monkeypatch):
+    """States and n-grams of any share of the corpus count, and contexts of any length."""
+    chance = random.Random(8)
+    # What follows "mid", "of the" or "by and to" depends on the word before it.
+    runs = [f"k{i} {mid} r{i}" for mid in ("mid", "of the", "by and to") for i in range(3)]
+    texts = [" ".join([*sentence(chance, 60, 3000), *(chance.choice(runs) for _ in range(15))]) for _ in range(80)]
+    docs = documents(spark, texts)
+    counts = suffixtree.vocabulary(docs)
+    tree = suffixtree.fit(docs, counts)
+    assert tree.rest is None and len(tree.levels) == 4 == tree.longest - 1
+    want = {r.doc_id: r.score for r in suffixtree.score(docs, tree, counts).collect()}
+    for share in (0.003, 0.03, 1.0):  # some, few and no n-grams in the task
+        monkeypatch.setattr(suffixtree, "TASK_SHARE", share)
+        other = suffixtree.fit(docs, counts)
+        assert len(other.word) < len(tree.word) and other.rest.count()
+        got = suffixtree.score(docs, other, counts).collect()
+        assert {r.doc_id: pytest.approx(r.score) for r in got} == want
+    assert all(r.score > r.base_score + 20 for r in got)
+
+
 # 4. Toxicity
 
 

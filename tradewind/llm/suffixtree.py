@@ -1,28 +1,33 @@
 """Language model scores by a probabilistic suffix tree over words.
 
 The root is the smoothed distribution of single tokens. A state is a context of
-one to DEPTH words; it may exist only if it makes up LEAST_SHARE of all tokens,
-so that the tree has at most 1 / LEAST_SHARE states of a depth however large
-the corpus. Contexts grow word by word out of those that are frequent enough, each level
-counted over all training texts. A state lists the symbols that it makes
+words that occurs LEAST_COUNT times or more, at any size of the corpus; contexts
+grow by a word a level, each level counted over all training texts, until one
+from DEPTH on retains no state; longer contexts than that aren't looked for. A state lists the symbols that it makes
 likelier by RATIO than its longest proper suffix does, discounted; the mass left
 goes to all others in proportion to that suffix's distribution. It is retained if
 its divergence from that distribution, times its count, reaches DIVERGENCE. A
 token is scored in the longest retained suffix of the words before it.
 
-Exact counts of all tokens are joined for the base score; rare ones in a
-shuffle, the others, of which there is a proven number, in the task.
+Counts, probabilities and states are tables, joined level by level. The logarithm of a
+token's probability over that at the root is a sum: the weight of each retained
+context before it, and of each n-gram listed there that ends at it what it
+has over its suffix and that weight. So a text's n-grams are joined with those numbers
+in a shuffle and summed by text. Only n-grams with TASK_SHARE of all tokens, of
+which there are at most 1 / TASK_SHARE of a length, are looked up in the task instead:
+none of those joined is hot. A bitmap of fixed size keeps n-grams that aren't in a table from
+leaving their task. Exact counts of all tokens are joined the same way for the base score.
 
 Defined cases: a null text is an empty one, whose only token is its end; a null id is
 not held out; rows with null or repeated ids are scored, and learned from,
 row by row; without training texts each token has probability 1 in base and
-score. Words are compared as 64-bit hashes. Other columns are ignored.
+score. Words and n-grams are compared as 64-bit hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +35,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import NOT_SPACE, hashes, slices, texts, words
+from tradewind.llm.text import NOT_SPACE, hashes, mixed, slices, texts, words
 
+#: Levels that are counted in any case; more follow while the last one retains a state.
 DEPTH = 2
-#: Least share of all tokens of a context, and of a context with a listed symbol.
-LEAST_SHARE = 2.0**-20
+#: Least count of a context, and of a context with a listed symbol.
 LEAST_COUNT = 4
+#: Share of all tokens from which on an n-gram is looked up in the task, not joined.
+TASK_SHARE = 2.0**-20
 DISCOUNT = 0.75
 RATIO = 1.2
 #: Least divergence of a state, in nats over all its occurrences.
 DIVERGENCE = 10.0
 #: Counted n-grams of a task are summed so many at a time.
 SUMMED = 1 << 21
+#: Slots of a bitmap; more n-grams fill it up, and it then rules out less.
+SLOTS = 1 << 26
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def learned() -> Column:
@@ -80,11 +90,17 @@ class Level:
 
 @dataclass
 class Tree:
+    """The n-grams with TASK_SHARE of all tokens. Of all others, longest: words of the longest,
+    rest: key and value (what it adds to a score), bitmap: the slots of its keys."""
+
     word: np.ndarray
     count: np.ndarray
     tokens: int
     types: int
     levels: list[Level]
+    longest: int = 1
+    rest: DataFrame | None = None
+    bitmap: np.ndarray | None = None
 
     def root(self) -> np.ndarray:
         return np.log10((self.count + 1) / (self.tokens + self.types + 1))
@@ -103,20 +119,53 @@ class Tree:
         return out
 
 
-def _counted(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """key and n: how often each key occurs; summed in tasks before the shuffle."""
+def _gram(prefix: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    """Keys of n-grams of k words, of the key of the words before the last and of that."""
+    return mixed(prefix * _STEP + word + np.uint64(k))
+
+
+def _ending(token: np.ndarray, owner: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length from 2 on, the key of the n-gram that ends at each token, and
+    the tokens before which its text has words enough."""
+    start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    before = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
+    key = token
+    for k in range(2, longest + 1):
+        key = _gram(np.append(np.uint64(0), key[:-1]), token, k)
+        yield k, key, np.flatnonzero(before >= k - 1)
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The slots of a column key, 64 in a number."""
+    block = F.shiftright(F.col("key").bitwiseAND(SLOTS - 1), 6).alias("block")
+    rows = keys.groupBy(block).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toArrow()  # SLOTS / 64 at most
+    out = np.zeros(SLOTS >> 6, np.uint64)
+    out[np.asarray(rows["block"], np.int64)] = np.asarray(rows["bits"], np.int64).view(np.uint64)
+    return out
+
+
+def _may(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (bitmap[(key & np.uint64(SLOTS - 1)) >> np.uint64(6)] >> (key & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _counted(docs: DataFrame, columns: list[str], keys: Callable[[pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
+    """n: how often each key occurs, by these columns; the first array of
+    keys tells them apart, the others are the columns. Summed in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
 
         def summed() -> pa.RecordBatch:
-            key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            key, back = np.unique(key, return_inverse=True)
-            return pa.record_batch({"key": key.view(np.int64), "n": np.bincount(back, n).astype(np.int64)})
+            n, key, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, at, back = np.unique(key, return_index=True, return_inverse=True)
+            found = {c: x[at].view(np.int64) for c, x in zip(columns, more, strict=True)}
+            return pa.record_batch({**found, "n": np.bincount(back, n).astype(np.int64)})
 
         for piece in slices(batches, "text"):
-            parts.append(np.unique(keys(piece), return_counts=True))
-            rows += len(parts[-1][0])
+            key, *more = keys(piece)
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            parts.append((n, key, *(x[at] for x in more)))
+            rows += len(key)
             if rows >= SUMMED:
                 yield summed()
                 parts, rows = [], 0
@@ -124,74 +173,146 @@ def _counted(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> D
             yield summed()
 
     train = docs.where(learned()).select("text")
-    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _frequent(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, that occur so often, and counts: at most 1 / LEAST_SHARE."""
-    rows = counted.where(F.col("n") >= least).toArrow()
-    key, n = np.asarray(rows["key"], np.int64), np.asarray(rows["n"], np.int64)
-    return key, n
+    return train.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "n"])).groupBy(*columns).agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """key (a hash) and n of all training tokens."""
-    return stored(_counted(docs, lambda piece: _tokens(piece)[0]))
+    return stored(_counted(docs, ["key"], lambda piece: [_tokens(piece)[0]] * 2))
+
+
+def _grown(docs: DataFrame, below: DataFrame, k: int) -> DataFrame:
+    """context, word and n of the n-grams of k words that are frequent enough; below: those of a word less."""
+    bitmap = _bitmap(below)
+
+    def run(piece: pa.RecordBatch) -> list[np.ndarray]:
+        token, owner = _tokens(piece)
+        shorter = token
+        for n, key, at in _ending(token, owner, k):
+            if n < k:
+                shorter = key
+        may = _may(bitmap, shorter)
+        at = at[may[at] & may[at - 1]]
+        return [key[at], shorter[at - 1], token[at]]
+
+    return _counted(docs, ["context", "word"], run).where(F.col("n") >= LEAST_COUNT)
+
+
+def _named(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """key and suffix (the key without the first word) of n-grams of k words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, word, tail = (np.asarray(batch.column(c), np.int64).view(np.uint64) for c in ("context", "word", "tail"))
+            suffix = word if k == 2 else _gram(tail, word, k - 1)
+            yield pa.record_batch(
+                {
+                    "key": _gram(context, word, k).view(np.int64),
+                    "suffix": suffix.view(np.int64),
+                    **{c: batch.column(c) for c in ("context", "word", "n", "whole")},
+                }
+            )
+
+    return run
+
+
+def _smoothed(grown: DataFrame, below: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The n-grams of k words with the log10 probability of the last one (logp) and, where
+    listed, own and value; and the retained states of k - 1 words with their weight (back)."""
+    named = grown.join(below.select(F.col("key").alias("context"), F.col("suffix").alias("tail"), F.col("n").alias("whole")), "context")
+    named = named.mapInArrow(_named(k), "key long, suffix long, context long, word long, n long, whole long")
+    own = F.log10((F.col("n") - DISCOUNT) / F.col("whole"))
+    grams = stored(
+        named.join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("parent")), "suffix")
+        .withColumn("own", own)
+        .withColumn("listed", F.col("own") - F.col("parent") >= F.log10(F.lit(RATIO)))
+    )
+    total = lambda x: F.sum(F.when(F.col("listed"), x).otherwise(0.0))
+    ten = F.lit(10.0)
+    left = lambda c: F.greatest(1 - F.col(c), F.lit(1e-9))
+    states = stored(
+        grams.groupBy("context")
+        .agg(
+            F.max("whole").alias("n"),
+            total(F.pow(ten, "own")).alias("mass"),
+            total(F.pow(ten, "parent")).alias("other"),
+            total(F.col("n") * (F.col("own") - F.col("parent"))).alias("gain"),
+            total(F.col("n")).alias("inside"),
+        )
+        .withColumn("back", F.log10(left("mass") / left("other")))
+        .where((F.col("gain") + (F.col("n") - F.col("inside")) * F.col("back")) * float(np.log(10)) >= DIVERGENCE)
+        .select("context", "n", "back")
+    )
+    listed = F.col("listed") & F.col("back").isNotNull()
+    smooth = grams.join(states.select("context", "back"), "context", "left").select(
+        "key",
+        "suffix",
+        "context",
+        "word",
+        "n",
+        F.when(listed, F.col("own")).otherwise(F.col("parent") + F.coalesce("back", F.lit(0.0))).alias("logp"),
+        F.when(listed, F.col("own")).alias("own"),
+        F.when(listed, F.col("own") - F.col("parent") - F.col("back")).alias("value"),
+    )
+    return stored(smooth), states
+
+
+def _columns(frame: DataFrame, *names: str) -> list[np.ndarray]:
+    rows = frame.select(*names).toArrow()
+    return [rows[c].to_numpy() for c in names]
 
 
 def fit(docs: DataFrame, counts: DataFrame) -> Tree:
     """The tree of the texts learned from; counts: vocabulary(docs)."""
     tokens, types = counts.agg(F.sum("n"), F.count("*")).first()
     tokens = tokens or 0
-    least = max(LEAST_COUNT, tokens * LEAST_SHARE)
-    key, n = _frequent(counts, least)
-    order = np.argsort(key.view(np.uint64))
-    tree = Tree(key.view(np.uint64)[order], n[order], tokens, types, [])
-    for _ in range(DEPTH):
-
-        def grown(piece: pa.RecordBatch, tree: Tree = tree) -> np.ndarray:
-            token, owner = _tokens(piece)
-            place = tree.places(token, owner)
-            context = np.append(-1, place[-1][:-1])
-            same = np.append(False, owner[1:] == owner[:-1])
-            can = same & (context >= 0) & (place[-1] >= 0)
-            return context[can] << 32 | place[0][can]
-
-        key, n = _frequent(_counted(docs, grown), least)
-        if not len(key):
+    hot = max(LEAST_COUNT, tokens * TASK_SHARE)
+    key, n = _columns(counts.where(F.col("n") >= hot), "key", "n")
+    key = key.astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    tree = Tree(key[order], n.astype(np.int64)[order], tokens, types, [])
+    if not tokens:
+        return tree
+    # Keys of the n-grams of the last level that tasks hold, ascending, and their places.
+    held, place = tree.word, np.arange(len(tree.word))
+    root = F.log10((F.col("n") + 1) / F.lit(float(tokens + types + 1)))
+    below = stored(counts.where(F.col("n") >= LEAST_COUNT).select("key", F.lit(0).cast("long").alias("suffix"), "n", root.alias("logp")))
+    rest = []
+    while True:
+        k = tree.longest + 1
+        grown = stored(_grown(docs, below, k))
+        if grown.isEmpty():
+            break
+        level, states = _smoothed(grown, below, k)
+        none = states.isEmpty()
+        if none and k - 1 > DEPTH:
+            break
+        tree.longest = k
+        rest.append(states.where(F.col("n") < hot).select(F.col("context").alias("key"), F.col("back").alias("value")))
+        rest.append(level.where((F.col("n") < hot) & F.col("value").isNotNull()).select("key", "value"))
+        key, context, word, n, own = _columns(level.where(F.col("n") >= hot), "key", "context", "word", "n", "own")
+        if len(key):
+            key, context, word = (x.astype(np.int64).view(np.uint64) for x in (key, context, word))
+            code = place[_find(held, context)] << 32 | _find(tree.word, word)
+            order = np.argsort(code)
+            back = np.full(len(held), np.nan)
+            of, weight = _columns(states.where(F.col("n") >= hot), "context", "back")
+            back[place[_find(held, of.astype(np.int64).view(np.uint64))]] = weight
+            tree.levels.append(Level(code[order], n.astype(np.int64)[order], own.astype(float)[order], back))
+            key = key[order]
+            place = np.argsort(key)
+            held = key[place]
+        below = level
+        if none and k - 1 >= DEPTH:
             break
-        order = np.argsort(key)
-        tree.levels.append(Level(key[order], n[order]))
-    _smooth(tree)
+    if rest and hot > LEAST_COUNT:
+        tree.rest = rest[0]
+        for part in rest[1:]:
+            tree.rest = tree.rest.unionAll(part)
+        tree.bitmap = _bitmap(tree.rest)
     return tree
 
 
-def _smooth(tree: Tree) -> None:
-    """Probabilities of each level out of the one below."""
-    below_logp = tree.root()  # of each n-gram's last word, in its longest retained context
-    below_suffix = np.zeros(0, np.int64)
-    contexts = tree.count
-    for depth, level in enumerate(tree.levels, start=1):
-        context, word = level.key >> 32, level.key & 0xFFFFFFFF
-        if depth == 1:
-            suffix = word
-        else:  # the n-gram without its first word is one of the level below
-            suffix = _find(tree.levels[depth - 2].key, below_suffix[context] << 32 | word)
-        parent = below_logp[suffix]
-        own = np.log10((level.count - DISCOUNT) / contexts[context])
-        listed = own - parent >= np.log10(RATIO)
-        size = len(contexts)
-        add = lambda x: np.bincount(context[listed], x[listed], minlength=size)  # noqa: B023, E731
-        mass, other = add(10**own), add(10**parent)
-        back = np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - other, 1e-9))
-        gain = add(level.count * (own - parent)) + (contexts - add(level.count.astype(float))) * back
-        retained = gain * np.log(10) >= DIVERGENCE
-        level.back = np.where(retained, back, np.nan)
-        level.logp = np.where(listed & retained[context], own, np.nan)
-        below_logp = np.where(np.isnan(level.logp), parent + np.where(retained, back, 0.0)[context], own)
-        below_suffix, contexts = suffix, level.count
-
-
 def _gains(tree: Tree, place: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     """log10 of each token's probability over that at the root; first: tokens without a context."""
     n = len(place[0])
@@ -216,6 +337,7 @@ def _gains(tree: Tree, place: list[np.ndarray], first: np.ndarray) -> np.ndarray
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     denominator = np.log10(tree.tokens + tree.types + 1)
+    rest, tree = tree.rest, replace(tree, rest=None)  # tasks take no table along
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -226,16 +348,25 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             known = place[0] >= 0
             base = np.where(known, np.log10(tree.count[place[0]] + 1) if len(tree.count) else 0.0, 0.0)
             gain = _gains(tree, place, first)
-            # Rare words, by text.
+            # Rare words and n-grams, by text.
             rare = np.flatnonzero(~known)
-            order = rare[np.lexsort((token[rare], owner[rare]))]
+            keys, of = [token[rare]], [owner[rare]]
+            if tree.bitmap is not None:
+                for k, key, at in _ending(token, owner, tree.longest):
+                    at = at[_may(tree.bitmap, key[at])]
+                    if k <= len(place):
+                        at = at[place[k - 1][at] < 0]
+                    keys.append(key[at])
+                    of.append(owner[at])
+            key, of = np.concatenate(keys), np.concatenate(of)
+            order = np.lexsort((key, of))
+            key, of = key[order], of[order]
             new = np.ones(len(order), bool)
-            new[1:] = (token[order][1:] != token[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+            new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
             start = np.flatnonzero(new)
             times = np.diff(np.append(start, len(order)))
-            at = order[start]
-            cut = np.searchsorted(owner[at], np.arange(n + 1))
-            words_ = pa.StructArray.from_arrays([pa.array(token[at].view(np.int64)), pa.array(times.astype(np.int32))], ["key", "times"])
+            cut = np.searchsorted(of[start], np.arange(n + 1))
+            words_ = pa.StructArray.from_arrays([pa.array(key[start].view(np.int64)), pa.array(times.astype(np.int32))], ["key", "times"])
             yield pa.record_batch(
                 {
                     "row": piece.column("row"),
@@ -257,11 +388,16 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             " rare array<struct<key:bigint,times:int>>",
         )
     )
-    least = max(LEAST_COUNT, tree.tokens * LEAST_SHARE)
-    # Words under that count: none holds more than LEAST_SHARE of the tokens.
-    joined = found.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.times").join(counts.where(F.col("n") < least), "key")
+    hot = max(LEAST_COUNT, tree.tokens * TASK_SHARE)
+    # None of these words and n-grams holds more than TASK_SHARE of the tokens, or LEAST_COUNT.
+    values = counts.where(F.col("n") < hot).select("key", "n", F.lit(0.0).alias("value"))
+    if rest is not None:
+        values = values.unionAll(rest.select("key", F.lit(None).cast("long").alias("n"), "value"))
+    joined = found.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.times").join(values, "key")
     by_row = joined.groupBy("row").agg(
-        F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base")
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more_known"),
+        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"),
+        F.sum(F.col("times") * F.col("value")).alias("more_gain"),
     )
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(denominator))
     return (
@@ -274,6 +410,6 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
             F.lit(int(tree.tokens)).cast("long").alias("train_tokens"),
             base.alias("base_score"),
-            (base + F.col("gain")).alias("score"),
+            (base + F.col("gain") + F.coalesce("more_gain", F.lit(0.0))).alias("score"),
         )
     )
