@@ -319,6 +319,27 @@ def test_distance_and_references(spark):
     assert sorted(of_words["en"][1][:-1].tolist()) == [0.2, 0.2, 0.2, 0.4] and of_words["en"][1][-1] == 0
 
 
+def test_rare_languages_have_their_own_reference(spark, monkeypatch):
+    """Clean documents of a language stay, whatever its share of all words."""
+    chance = random.Random(9)
+    russian = [" ".join(chance.choice("и в не на что он как это по но из у за от до мы вы они".split()) for _ in range(120)) for _ in range(30)]
+    tiny = ["κ" * 3 + " " + " ".join(chance.choice("και το να του η της με".split()) for _ in range(60))]
+    # Words spread evenly over letters, far from the language.
+    odd = " ".join(f"{i:05d}" for i in range(100))
+    texts = [*russian, *tiny, odd, *(" ".join(sentence(chance, 200, 90)) for _ in range(100))]
+    docs = documents(spark, texts).withColumn("lang", F.expr("case when doc_id < 90 or doc_id = 93 then 'ru' when doc_id = 90 then 'el' else 'en' end"))
+    whole = {tuple(r) for r in divergence.judge(docs, divergence.references(docs)).collect()}
+    monkeypatch.setattr(divergence, "RARE", 0.5)
+    reference = divergence.references(docs)
+    assert set(reference[1]) == {"en", ()} and reference.rest.count() == 2
+    rows = {r.doc_id: r for r in divergence.judge(docs, reference).collect()}
+    assert all(rows[3 * i].kept == (not rows[3 * i].base_failed) for i in range(len(russian)))
+    assert rows[90].char_distance is not None and rows[90].kept == (not rows[90].base_failed)
+    assert rows[93].char_distance > divergence.CHAR_DISTANCE and not rows[93].kept and not rows[93].base_failed
+    as_told = lambda r: (*r[:7], round(r[7], 9), round(r[8], 9), r[9])
+    assert {as_told(tuple(r)) for r in rows.values()} == {as_told(r) for r in whole}
+
+
 # 10. Licence scans
 
 

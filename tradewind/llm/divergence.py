@@ -12,9 +12,11 @@ equal an earlier line; n_repeat_words words in windows of five that occur twice
 or more in the text. Words are compared as 64-bit hashes.
 
 Defined cases: a null text has no words and fails the base rule; a null language
-is a language of its own; languages with less than RARE of all words use
-the histograms of all documents, so that there are at most 1 / RARE references;
-rows with null or repeated ids are judged row by row. Other columns are ignored.
+is a language of its own, and every language has its own reference: those with RARE of
+all words or more, at most 1 / RARE, go to the tasks, those of others are joined with
+their documents, which are too few to be hot. In a language with fewer than LEAST_WORDS words
+distances are told but don't count; without a reference they are null. Rows
+with null or repeated ids are judged row by row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Words of each language's histogram.
 COMMON = 100
-#: Share of all words under which a language has no reference of its own.
+#: Share of all words under which a language's reference is joined, not held by tasks.
 RARE = 0.001
+#: Words of a language from which on its documents are judged by distances.
+LEAST_WORDS = 2000
 #: Guards: distances count from so many words on.
 CHAR_WORDS = 40
 WORD_WORDS = 40
@@ -78,7 +82,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
 
 
-def references(docs: DataFrame) -> tuple[dict, dict]:
+class References(tuple):
+    """Classes and words by language, as references() returns them; enough: the languages
+    of those with LEAST_WORDS words; rest: lang, classes, words, shares and enough
+    of all other languages, or None."""
+
+    enough: frozenset = frozenset()
+    rest: DataFrame | None = None
+
+
+def references(docs: DataFrame) -> References:
     """Histograms by language, and of all documents under the key (): classes as
     shares, and (hashes of words in order, shares with that of the others last)."""
 
@@ -150,7 +163,42 @@ def references(docs: DataFrame) -> tuple[dict, dict]:
     of_classes[()] = np.zeros(CLASSES)
     for r in by_class.groupBy("class").agg(F.sum("n").alias("n")).collect():
         of_classes[()][r["class"]] = r["n"]
-    return {k: v / max(v.sum(), 1) for k, v in of_classes.items()}, of_words
+    out = References(({k: v / max(v.sum(), 1) for k, v in of_classes.items()}, of_words))
+    out.enough = frozenset(r["lang"] for r in own.where(F.col("size") >= LEAST_WORDS).collect())
+    rare = stored(sizes.where(F.col("size") < RARE * whole))
+    if not rare.isEmpty():
+        out.rest = _rest(rare.withColumnRenamed("lang", "of"), counted, by_class)
+    return out
+
+
+def _rest(rare: DataFrame, counted: DataFrame, by_class: DataFrame) -> DataFrame:
+    """The references of the languages in rare (of, size), a row each."""
+    same = F.col("lang").eqNullSafe(F.col("of"))
+    first = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "word"))
+    share = F.struct("word", (F.col("n") / F.col("size")).alias("share"))
+    found = counted.join(rare, same).withColumn("rank", first).where(F.col("rank") <= COMMON)
+    found = found.groupBy("of", "size").agg(F.collect_list(share).alias("found"))  # COMMON at most
+    classes = by_class.join(rare.select("of"), same).groupBy("of").agg(F.collect_list(F.struct("class", "n")).alias("classes"))  # CLASSES at most
+    classes = classes.select(F.col("of").alias("lang"), "classes")
+    return stored(
+        found.join(classes, same).select("lang", "classes", F.col("found.word").alias("words"), F.col("found.share").alias("shares"), (F.col("size") >= LEAST_WORDS).alias("enough"))
+    )
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, bool]
+
+
+def _joined(piece: pa.RecordBatch, row: int) -> Found | None:
+    """The reference that was joined with a row."""
+    if not piece.column("words")[row].is_valid:
+        return None
+    classes = np.zeros(CLASSES)
+    for x in piece.column("classes")[row].as_py():
+        classes[x["class"]] = x["n"]
+    key = np.array(piece.column("words")[row].as_py(), np.int64).view(np.uint64)
+    share = np.array(piece.column("shares")[row].as_py())
+    order = np.argsort(key)
+    return classes / max(classes.sum(), 1), key[order], np.append(share[order], max(1 - share.sum(), 0)), piece.column("enough")[row].as_py()
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -193,9 +241,15 @@ def _base(t: Texts, w: Words, h: np.ndarray) -> dict[str, np.ndarray]:
     return found
 
 
-def judge(docs: DataFrame, reference: tuple[dict, dict]) -> DataFrame:
+def judge(docs: DataFrame, reference: References) -> DataFrame:
     """doc_id, base figures, base_failed, both distances (null where guarded) and kept for each row."""
     of_classes, of_words = reference
+    enough = reference.enough
+
+    def find(piece: pa.RecordBatch, lang: str | None, row: int) -> Found | None:
+        if lang in of_words:
+            return of_classes[lang], *of_words[lang], lang in enough
+        return _joined(piece, row) if "words" in piece.schema.names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -206,12 +260,16 @@ def judge(docs: DataFrame, reference: tuple[dict, dict]) -> DataFrame:
             found = _base(t, w, exact)
             histogram = _classes(t).astype(float)
             histogram /= np.maximum(histogram.sum(axis=1, keepdims=True), 1)
-            by_char, by_word = np.zeros(n), np.zeros(n)
+            by_char, by_word = np.full(n, np.nan), np.full(n, np.nan)
+            counts = np.zeros(n, bool)
             code, names = _language(piece)
             for i, lang in enumerate(names):
                 mine = code == i
-                by_char[mine] = distance(histogram[mine], of_classes.get(lang, of_classes[()]))
-                key, share = of_words.get(lang, of_words[()])
+                found_ = find(piece, lang, int(np.argmax(mine)))
+                if found_ is None:
+                    continue
+                classes, key, share, counts[mine] = found_
+                by_char[mine] = distance(histogram[mine], classes)
                 some = np.flatnonzero(mine[w.owner])
                 at = np.minimum(np.searchsorted(key, folded[some]), max(len(key) - 1, 0))
                 bin_ = np.where(key[at] == folded[some], at, len(key)) if len(key) else at
@@ -221,20 +279,27 @@ def judge(docs: DataFrame, reference: tuple[dict, dict]) -> DataFrame:
                 by_word[mine] = distance(count / np.maximum(count.sum(axis=1, keepdims=True), 1), share)
             failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
             short_char, short_word = found["n_words"] < CHAR_WORDS, found["n_words"] < WORD_WORDS
-            far = (~short_char & (by_char > CHAR_DISTANCE)) | (~short_word & (by_word > WORD_DISTANCE))
+            far = counts & ((~short_char & (by_char > CHAR_DISTANCE)) | (~short_word & (by_word > WORD_DISTANCE)))
             yield pa.record_batch(
                 {
                     "doc_id": piece.column("doc_id"),
                     **{k: v.astype(np.int64) for k, v in found.items()},
                     "base_failed": failed,
-                    "char_distance": pa.array(by_char, mask=short_char),
-                    "word_distance": pa.array(by_word, mask=short_word),
+                    "char_distance": pa.array(by_char, mask=short_char | np.isnan(by_char)),
+                    "word_distance": pa.array(by_word, mask=short_word | np.isnan(by_word)),
                     "kept": ~failed & ~far,
                 }
             )
 
-    return _rows(docs).mapInArrow(
-        run,
+    schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-        " base_failed boolean, char_distance double, word_distance double, kept boolean",
+        " base_failed boolean, char_distance double, word_distance double, kept boolean"
     )
+    rows = _rows(docs)
+    if reference.rest is None:
+        return rows.mapInArrow(run, schema)
+    held = F.col("lang").isin([x for x in of_words if isinstance(x, str)])
+    held = F.when(F.col("lang").isNull(), F.lit(None in of_words)).otherwise(held)
+    rest = reference.rest.withColumnRenamed("lang", "of")
+    others = rows.where(~held).join(rest, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
+    return rows.where(held).mapInArrow(run, schema).unionAll(others.mapInArrow(run, schema))
