@@ -340,6 +340,20 @@ def test_rare_languages_have_their_own_reference(spark, monkeypatch):
     assert {as_told(tuple(r)) for r in rows.values()} == {as_told(r) for r in whole}
 
 
+def test_texts_without_common_words_go(spark):
+    chance = random.Random(10)
+    common = [f"c{i}" for i in range(100)]
+    def text(n, share):
+        return " ".join(chance.choice(common) if chance.random() < share else f"r{chance.randrange(20_000)}" for _ in range(n))
+    clean = [text(chance.choice([150, 170, 300, 700]), 0.4) for _ in range(240)]
+    without = [text(150, 0), text(300, 0), text(700, 0), text(3000, 0)]  # the last one is longer than any clean text
+    docs = documents(spark, [*clean, *without]).withColumn("lang", F.lit("en"))
+    rows = sorted(divergence.judge(docs, divergence.references(docs)).collect(), key=lambda r: r.doc_id)
+    assert all(r.kept for r in rows[: len(clean)])
+    assert all(not r.base_failed and r.char_distance <= divergence.CHAR_DISTANCE for r in rows[len(clean) :])
+    assert all(r.word_distance < divergence.WORD_DISTANCE and not r.kept for r in rows[len(clean) :])
+
+
 # 10. Licence scans
 
 

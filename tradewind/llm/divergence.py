@@ -4,7 +4,9 @@ Reference histograms of a language are counted over all its documents: classes o
 characters, and the language's COMMON most frequent words with one bin for all
 others. A document's histograms are compared with them by the Jensen-Shannon
 distance (base 2, from 0 to 1). Short documents are guarded: a distance counts
-only from a least number of words on.
+only from a least number of words on. The largest distance of words in a kept document
+comes from the distances of its language's documents of about its length, as
+short texts are farther from their language by chance (see limits).
 
 Base figures: words are runs without white space; word_chars counts their code
 points; n_symbols the characters of #*$%&|<>; n_dup_lines lines with a word that
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
@@ -43,9 +45,18 @@ LEAST_WORDS = 2000
 #: Guards: distances count from so many words on.
 CHAR_WORDS = 40
 WORD_WORDS = 40
-#: Largest distances of a kept document.
+#: Largest distances of a kept document; that of words may be less.
 CHAR_DISTANCE = 0.3
 WORD_DISTANCE = 0.5
+#: From the median on, a limit is REACH times as far as the lower decile, or LEAST_REACH;
+#: what lies within SURE times that is clean.
+REACH = 3.5
+LEAST_REACH = 0.06
+SURE = 2
+#: Different distances of a class of lengths from which on it has a limit of its own.
+LEAST_DOCS = 30
+#: Distances are counted in steps of this size.
+STEP = 1e-3
 #: Counted words of a task are summed so many at a time.
 SUMMED = 1 << 20
 
@@ -261,7 +272,7 @@ def judge(docs: DataFrame, reference: References) -> DataFrame:
             histogram = _classes(t).astype(float)
             histogram /= np.maximum(histogram.sum(axis=1, keepdims=True), 1)
             by_char, by_word = np.full(n, np.nan), np.full(n, np.nan)
-            counts = np.zeros(n, bool)
+            counts, without = np.zeros(n, bool), np.full(n, np.nan)
             code, names = _language(piece)
             for i, lang in enumerate(names):
                 mine = code == i
@@ -270,6 +281,7 @@ def judge(docs: DataFrame, reference: References) -> DataFrame:
                     continue
                 classes, key, share, counts[mine] = found_
                 by_char[mine] = distance(histogram[mine], classes)
+                without[mine] = distance(np.append(np.zeros(len(key)), 1.0), share)
                 some = np.flatnonzero(mine[w.owner])
                 at = np.minimum(np.searchsorted(key, folded[some]), max(len(key) - 1, 0))
                 bin_ = np.where(key[at] == folded[some], at, len(key)) if len(key) else at
@@ -279,7 +291,6 @@ def judge(docs: DataFrame, reference: References) -> DataFrame:
                 by_word[mine] = distance(count / np.maximum(count.sum(axis=1, keepdims=True), 1), share)
             failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
             short_char, short_word = found["n_words"] < CHAR_WORDS, found["n_words"] < WORD_WORDS
-            far = counts & ((~short_char & (by_char > CHAR_DISTANCE)) | (~short_word & (by_word > WORD_DISTANCE)))
             yield pa.record_batch(
                 {
                     "doc_id": piece.column("doc_id"),
@@ -287,19 +298,60 @@ def judge(docs: DataFrame, reference: References) -> DataFrame:
                     "base_failed": failed,
                     "char_distance": pa.array(by_char, mask=short_char | np.isnan(by_char)),
                     "word_distance": pa.array(by_word, mask=short_word | np.isnan(by_word)),
-                    "kept": ~failed & ~far,
+                    "lang": piece.column("lang"),
+                    "without": pa.array(without, mask=np.isnan(without)),
+                    "enough": counts,
                 }
             )
 
     schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-        " base_failed boolean, char_distance double, word_distance double, kept boolean"
+        " base_failed boolean, char_distance double, word_distance double, lang string, without double, enough boolean"
     )
     rows = _rows(docs)
     if reference.rest is None:
-        return rows.mapInArrow(run, schema)
+        return _kept(stored(rows.mapInArrow(run, schema)))
     held = F.col("lang").isin([x for x in of_words if isinstance(x, str)])
     held = F.when(F.col("lang").isNull(), F.lit(None in of_words)).otherwise(held)
-    rest = reference.rest.withColumnRenamed("lang", "of")
+    rest = reference.rest.select(F.col("lang").alias("of"), "classes", "words", "shares", "enough")
     others = rows.where(~held).join(rest, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    return rows.where(held).mapInArrow(run, schema).unionAll(others.mapInArrow(run, schema))
+    return _kept(stored(rows.where(held).mapInArrow(run, schema).unionAll(others.mapInArrow(run, schema))))
+
+
+def _length() -> Column:
+    """The class of a text's length: two for each doubling of its words."""
+    return F.floor(2 * F.log2(F.greatest("n_words", F.lit(1))))
+
+
+def limits(measured: DataFrame) -> DataFrame:
+    """of, of_length and limit: the largest distance of words, by language and class of lengths.
+
+    Exact copies count once; the lower half of the distances tells how far clean
+    documents spread. Where those stay below the distance of a text
+    without any common word (without), so does the limit. A class of few documents
+    takes the limit of the next shorter one that has one."""
+    known = measured.where(F.col("enough") & F.col("word_distance").isNotNull()).select("lang", _length().alias("length"), "word_distance", "without")
+    bins = known.distinct().groupBy("lang", "length", F.round(F.col("word_distance") / STEP).alias("bin")).agg(F.count("*").alias("n"), F.max("without").alias("without"))
+    each = Window.partitionBy("lang", "length")
+    upto = F.sum("n").over(each.orderBy("bin")) / F.sum("n").over(each)
+    at = lambda share: STEP * F.min(F.when(F.col("upto") >= share, F.col("bin")))
+    spread = F.col("median") - F.col("decile")
+    reached = F.col("median") + F.greatest(REACH * spread, F.lit(LEAST_REACH))
+    below = F.col("without") - STEP
+    limit = F.least(F.lit(WORD_DISTANCE), F.when(below >= F.col("median") + SURE * spread, F.least(reached, below)).otherwise(reached))
+    shorter = Window.partitionBy("lang").orderBy("length")
+    return (
+        bins.withColumn("upto", upto)
+        .groupBy("lang", "length")
+        .agg(F.sum("n").alias("n"), F.max("without").alias("without"), at(0.5).alias("median"), at(0.1).alias("decile"))
+        .withColumn("own", F.when(F.col("n") >= LEAST_DOCS, limit))
+        .select(F.col("lang").alias("of"), F.col("length").alias("of_length"), F.last("own", ignorenulls=True).over(shorter).alias("limit"))
+    )
+
+
+def _kept(measured: DataFrame) -> DataFrame:
+    bounds = stored(limits(measured))  # a few rows a language; Spark joins them as their size asks for
+    far = (F.col("char_distance") > CHAR_DISTANCE) | (F.col("word_distance") > F.coalesce("limit", F.lit(WORD_DISTANCE)))
+    kept = ~F.col("base_failed") & ~(F.col("enough") & F.coalesce(far, F.lit(False)))
+    joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("of")) & (_length() == F.col("of_length")), "left")
+    return joined.select(*(c for c in measured.columns if c not in ("lang", "without", "enough")), kept.alias("kept"))
