@@ -432,6 +432,20 @@ def test_classifier_of_odd_documents(spark, none):
     assert perplexity.classify(docs, labels.limit(0)).where("not kept").count() == 0
 
 
+def test_languages_without_trusted_texts_have_limits_of_their_own(spark):
+    """Clean texts of a language that the model hasn't seen stay."""
+    chance = random.Random(11)
+    english = [" ".join(chance.choice("the cat ran and a dog saw it by the door".split()) for _ in range(60)) for _ in range(400)]
+    russian = [" ".join(chance.choice("и в не на что он как это по но из у за".split()) for _ in range(60)) for _ in range(40)]
+    bad = "#$%&* 0x99 ZZQ! " * 20
+    docs = documents(spark, [*english, *russian, bad]).withColumn("lang", F.expr("case when doc_id >= 1200 and doc_id < 1320 then 'ru' else 'en' end"))
+    labels = spark.createDataFrame([(3 * i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in perplexity.classify(docs, labels).collect()}
+    assert all(r.kept for r in rows.values() if r.lang == "ru")
+    assert max(r.perplexity for r in rows.values() if r.lang == "ru") > rows[0].high > rows[0].low
+    assert not rows[1320].kept and sum(r.kept for r in rows.values()) >= 435
+
+
 # 3. LM scoring
 
 
