@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe, chat, decontamination, divergence, jaccard, licenses, perplexity, suffixtree, tokenfile, toxicity
+from tradewind.llm import (
+    bpe,
+    chat,
+    decontamination,
+    divergence,
+    jaccard,
+    licenses,
+    perplexity,
+    phrases,
+    ranked,
+    suffixtree,
+    tagpaths,
+    tokenfile,
+    toxicity,
+)
 from tradewind.llm.stored import shared_folder, ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +108,18 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -107,6 +133,9 @@ QUERIES: dict[str, Query] = {
         op8_ngram_jaccard_join,
         op9_bpe,
         op10_license_scans,
+        op11_ranked_lexical_search,
+        op12_html_extraction,
+        op13_phrase_collocations,
     )
 }
 
