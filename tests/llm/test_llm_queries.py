@@ -17,7 +17,7 @@ import corpus_pipeline  # noqa: E402
 from tradewind.llm import oracle, perplexity, queries, toxicity  # noqa: E402
 
 QUERIES, SQL = queries.registered(), oracle.statements()
-NAMES = ("documents", "benchmark", "labels", "conversations")
+NAMES = ("documents", "benchmark", "labels", "conversations", "pages")
 
 
 @pytest.fixture(scope="module")
@@ -28,10 +28,10 @@ def duck():
     return connection
 
 
-def test_ten_queries_and_the_pipeline():
+def test_every_query_and_the_pipeline():
     import __spark_entry__ as driver
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
 
 

@@ -3,8 +3,8 @@
 A page is read as blocks of text, each under the path of block elements from the
 root to it. Per path, the text outside links and its punctuation are summed up
 and divided by the number of its blocks. Both ratios are smoothed with those of
-the containers above, halving with each level, and fused as their product. A
-path is content where the fused ratio reaches THRESHOLD of the page's highest
+the containers above (the next two and the landmark), halving with each, and fused as
+their product. A path is content where the fused ratio reaches THRESHOLD of the page's highest
 one; text inside `article` or `main` counts LANDMARK times for that, and where a
 page has such text, nothing outside it is content. Elements that are never
 part of an article (menus, forms, scripts, what class, id or role names as
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.text import slices
 
-THRESHOLD, LANDMARK, LEVELS = 0.05, 10.0, 3
+THRESHOLD, LANDMARK, LEVELS = 0.05, 100.0, 3
 _MARKUP = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)|</>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|</?[a-zA-Z][^>]*+\Z",
@@ -106,12 +106,12 @@ def _kind(name: str, attributes: str) -> tuple[bool, str]:
 class Page:
     """Blocks of a page: path, text and characters inside links.
 
-    Of each path: the one above, whether it is inside a landmark, and whether what
+    Of each path: the one above, the landmark it is inside of (or 0), and whether what
     it holds has nothing in common (root, html, body).
     """
 
     def __init__(self, html: str) -> None:
-        self.parents, self.inside, self.alone = [-1], [False], [True]
+        self.parents, self.inside, self.alone = [-1], [0], [True]
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []
         self.stack = [Open("", 0, False, False)]
@@ -191,7 +191,7 @@ class Page:
         path = self.paths.setdefault((top.path, step), len(self.parents))
         if path == len(self.parents):
             self.parents.append(top.path)
-            self.inside.append(self.inside[top.path] or name in LANDMARKS)
+            self.inside.append(self.inside[top.path] or (path if name in LANDMARKS else 0))
             self.alone.append(name in ("html", "body"))
         self.open[name] += 1
         self.stack.append(Open(name, path, top.out or out, top.landmark or name in LANDMARKS))
@@ -228,15 +228,20 @@ class Page:
         for path, sums in own.items():
             text, marks, weight = sums[0] / sums[2], sums[1] / sums[2], 1.0
             above, total = self.parents[path], 1.0
-            for _ in range(LEVELS - 1):
-                # The body, the root and containers of the landmark say nothing about a path.
-                if self.alone[above] or self.inside[above] != self.inside[path]:
+            containers = []
+            # The root, html and body say nothing about a path, nor does what holds the landmark.
+            while len(containers) < LEVELS - 1 and not self.alone[above] and path != self.inside[path]:
+                containers.append(above)
+                if above == self.inside[path]:
                     break
+                above = self.parents[above]
+            if self.inside[path] and path != self.inside[path] and containers[-1] != self.inside[path]:
+                containers.append(self.inside[path])
+            for above in containers:
                 weight /= 2
                 text += weight * below[above][0] / below[above][2]
                 marks += weight * below[above][1] / below[above][2]
                 total += weight
-                above = self.parents[above]
             fused[path] = text / total * marks / total
         least = THRESHOLD * max(fused.values(), default=0.0) / (LANDMARK if marked else 1.0)
         kept = {path for path, value in fused.items() if value >= least and own[path][0]}
