@@ -1,10 +1,12 @@
 import datetime as dt
 import random
 
+import pytest
 from conftest import day, in_order, rows
 from pyspark.sql import functions as F
 
-from tradewind.operators import ledger
+from tradewind.operators import inventory, ledger
+from tradewind.operators.periods import Anchors
 
 END = day("2026-09-21")
 
@@ -36,11 +38,12 @@ def test_baseline_rate_per_calendar_day(spark):
 
 
 def test_ledger_equals_a_plain_loop(spark):
+    """Over several blocks, with stock that runs out and never does."""
     pick = random.Random(3)
-    days = 120
+    days = 400
     demand = {}
     for sku in ("a", "b", "c"):
-        for age in range(0, 150):
+        for age in range(0, 450):
             if pick.random() < 0.5:
                 demand[sku, ago(age)] = pick.randrange(1, 9)
     demand["unlisted", ago(3)] = 4
@@ -48,9 +51,11 @@ def test_ledger_equals_a_plain_loop(spark):
     units = _units(spark, [(s, d, n) for (s, d), n in demand.items()])
     skus = _skus(spark, [(s, s.upper(), n) for s, n in opening.items()])
     start = ago(days - 1)
-    grid = ledger.dense_demand(units, skus, END, days)
-    assert grid.count() == days * len(opening)
-    got = ledger.stock_ledger(ledger.replenishment(grid, start))
+    moves = ledger.stock_moves(units, skus, start, END)
+    got = ledger.daily_stock(moves, start, END).select(*ledger.LEDGER_COLUMNS).select(
+        "date", "sku_id", "brand", "opening_stock", "receipts", "units_sold", "closing_stock"
+    )
+    assert got.count() == days * len(opening)
 
     want = []
     for sku, stock in opening.items():
@@ -73,6 +78,47 @@ def test_ledger_equals_a_plain_loop(spark):
     assert any(w[6] == 0 for w in want)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_floored_scan_at_any_block_size(spark, block):
+    pick = random.Random(block)
+    changes = {key: [pick.randrange(-9, 9) for _ in range(60)] for key in "abc"}
+    starts = {"a": 0, "b": 25, "c": 3}
+    data = [(k, i // block, i, d, starts[k] if i == 0 else None) for k, run in changes.items() for i, d in enumerate(run)]
+    moves = spark.createDataFrame(data, "key string, block int, day int, change bigint, start bigint")
+    got = ledger.floored_scan(moves, "key", "block", "day", "change", "start").select("key", "day", "before", "after")
+    want = []
+    for key, run in changes.items():
+        level = starts[key]
+        for i, d in enumerate(run):
+            want.append((key, i, level, max(0, level + d)))
+            level = max(0, level + d)
+    assert rows(got) == in_order(want)
+
+
+def test_no_ledger_window_holds_more_than_a_block(spark):
+    units = _units(spark, [("a", ago(3), 2)])
+    skus = _skus(spark, [("a", "A", 5)])
+    moves = ledger.stock_moves(units, skus, ago(2000), END)
+    text = ledger.daily_stock(moves, ago(2000), END)._jdf.queryExecution().analyzed().toString()
+    for line in text.splitlines():
+        if "windowspecdefinition(sku_id" in line:
+            assert "block" in line.split("windowspecdefinition(", 1)[1].split(" ASC")[0]
+    per_block = moves.groupBy("sku_id", "block").count().agg(F.max("count")).first()[0]
+    assert per_block <= ledger.BLOCK_DAYS
+
+
+def test_positions_from_spans_equal_those_from_days(spark):
+    pick = random.Random(9)
+    units = _units(spark, [(s, ago(a), pick.randrange(1, 6)) for s in "abc" for a in range(300) if pick.random() < 0.1])
+    skus = _skus(spark, [("a", "A", 3), ("b", "B", 90), ("c", "B", 0), ("d", "D", 7)])
+    start = ago(250)
+    moves = ledger.stock_moves(units, skus, start, END)
+    daily, spans = ledger.daily_stock(moves, start, END), ledger.stock_spans(moves, start, END)
+    for dates in (Anchors.single(END), Anchors.back_from(END, start, 7, 5), Anchors((start, ago(100), ago(3), END + dt.timedelta(2)))):
+        want = rows(inventory.inventory_risk(daily, dates, 14))
+        assert want and rows(inventory.inventory_risk(spans, dates, 14)) == want
+
+
 def test_units_and_prices(spark):
     orders = spark.createDataFrame(
         [("s", END, 2, 0.15), ("s", END, 3, 0.0)], "sku_id string, order_date date, quantity bigint, discount double"

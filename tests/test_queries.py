@@ -78,10 +78,10 @@ def test_many_dates_need_one_more_exchange_than_the_daily_sums(spark):
     lines = spark.read.parquet(f"{TABLES}/lineitem.parquet").selectExpr(
         "cast(l_shipdate as date) d", "l_partkey k", "bigint(l_quantity) n"
     )
-    from tradewind.catalog.queries import STOCK_DAYS
+    from tradewind.catalog.queries import Dates
     from tradewind.operators.periods import period_totals
 
-    text = plan(period_totals(lines, STOCK_DAYS, "d", ["k"], {"n": "n"}))
+    text = plan(period_totals(lines, Dates.of(spark, TABLES).stock_days, "d", ["k"], {"n": "n"}))
     assert text.count("Exchange hashpartitioning") == 2
 
 

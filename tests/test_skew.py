@@ -60,6 +60,7 @@ def test_the_busy_customer_has_one_first_order(lines):
 def test_the_busy_sku_is_a_row_per_day_in_the_ledger(spark, lines):
     units = ledger.units_by_sku_day(lines)
     skus = lines.select("sku_id", F.lit("B").alias("brand"), F.lit(5).cast("bigint").alias("opening0")).distinct()
-    grid = ledger.dense_demand(units, skus, LAST, DAYS)
+    start = LAST - dt.timedelta(days=DAYS - 1)
+    grid = ledger.daily_stock(ledger.stock_moves(units, skus, start, LAST), start, LAST)
     assert rows(grid.groupBy("sku_id").count().select("count").distinct()) == [(DAYS,)]
     assert grid.agg(F.sum("demand")).first()[0] == lines.agg(F.sum("quantity")).first()[0]

@@ -7,11 +7,14 @@ ledger, ``format`` for number texts.
 
 from __future__ import annotations
 
-LAST_ORDER_DAY = "DATE '2001-08-01'"
-LAST_SHIP_DAY = "DATE '2001-11-04'"
-LAST_EVENT_DAY = "DATE '2024-01-30'"
-FIRST_ORDER_DAY = "DATE '1995-01-01'"
+LAST_ORDER_DAY = "(SELECT max(CAST(o_orderdate AS DATE)) FROM orders)"
+FIRST_ORDER_DAY = "(SELECT min(CAST(o_orderdate AS DATE)) FROM orders)"
+LAST_SHIP_DAY = "(SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem)"
+FIRST_SHIP_DAY = "(SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)"
+LAST_EVENT_DAY = "(SELECT max(CAST(ts AS DATE)) FROM events)"
+FIRST_EVENT_DAY = "(SELECT min(CAST(ts AS DATE)) FROM events)"
 EVENT_SHIFT = f"CAST({LAST_EVENT_DAY} - {LAST_ORDER_DAY} AS INTEGER)"
+SHIPPING_LAG = f"CAST({LAST_SHIP_DAY} - {LAST_ORDER_DAY} AS INTEGER)"
 
 
 def r(value: str, digits: int) -> str:
@@ -136,15 +139,18 @@ UNITS = """units AS (
 
 def demand(end: str) -> str:
     return f"""{LINES}, {SKUS}, {UNITS},
+span AS (SELECT {FIRST_SHIP_DAY} AS first_day, {end} AS last_day),
 rate AS (
   SELECT s.sku_id, coalesce(CAST(sum(u.units) AS DOUBLE) / 30.0, 0.5) AS daily_demand
-  FROM skus s LEFT JOIN units u ON u.sku_id = s.sku_id AND u.date BETWEEN {end} - 59 AND {end} - 30
-  GROUP BY s.sku_id),
+  FROM skus s LEFT JOIN (SELECT units.* FROM units, span WHERE date BETWEEN last_day - 59 AND last_day - 30) u
+    ON u.sku_id = s.sku_id GROUP BY s.sku_id),
+calendar AS (
+  SELECT CAST(first_day + i AS DATE) AS date, CAST(i AS INTEGER) AS day_index
+  FROM span, ({days(20000)}) t(i) WHERE first_day + i <= last_day),
 grid AS (
-  SELECT s.sku_id, s.brand, s.opening0, daily_demand, CAST({end} - 119 + i AS DATE) AS date,
-    CAST(i AS INTEGER) AS day_index, coalesce(u.units, 0) AS demand
-  FROM skus s JOIN rate USING (sku_id), ({days(120)}) t(i)
-  LEFT JOIN units u ON u.sku_id = s.sku_id AND u.date = {end} - 119 + i),
+  SELECT s.sku_id, s.brand, s.opening0, daily_demand, c.date, day_index, coalesce(u.units, 0) AS demand
+  FROM skus s JOIN rate USING (sku_id), calendar c
+  LEFT JOIN units u ON u.sku_id = s.sku_id AND u.date = c.date),
 signal AS (
   SELECT g.*, CAST(coalesce(sum(demand) OVER (PARTITION BY sku_id ORDER BY date ROWS BETWEEN 7 PRECEDING
     AND 1 PRECEDING), 0) AS BIGINT) AS trailing_demand FROM grid g),
@@ -157,12 +163,12 @@ def stock(end: str) -> str:
     """The ledger as a plain loop over days. Needs WITH RECURSIVE."""
     return f"""{demand(end)},
 ledger AS (
-  SELECT sku_id, brand, date, day_index, opening0 AS opening_stock, receipts,
+  SELECT sku_id, brand, date, day_index, demand, opening0 AS opening_stock, receipts,
     least(demand, opening0 + receipts) AS units_sold,
     opening0 + receipts - least(demand, opening0 + receipts) AS closing_stock
   FROM plan WHERE day_index = 0
   UNION ALL
-  SELECT p.sku_id, p.brand, p.date, p.day_index, l.closing_stock, p.receipts,
+  SELECT p.sku_id, p.brand, p.date, p.day_index, p.demand, l.closing_stock, p.receipts,
     least(p.demand, l.closing_stock + p.receipts),
     l.closing_stock + p.receipts - least(p.demand, l.closing_stock + p.receipts)
   FROM ledger l JOIN plan p ON p.sku_id = l.sku_id AND p.day_index = l.day_index + 1),
@@ -237,6 +243,11 @@ mix AS (
     {r('1 - previous_new_share', 3)} AS previous_returning_share FROM mix_shares)"""
 
 
+STOCK_SUMS = ", ".join(
+    f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("opening_stock", "receipts", "units_sold", "closing_stock")
+)
+
+
 def risk(velocity_days: int = 14, stockout: float = 7, excess: float = 60) -> str:
     """Needs inventory and anchors."""
     return f"""velocity AS (
@@ -349,23 +360,22 @@ ranked AS (
 
 
 TOGETHER = ONE(LAST_ORDER_DAY, 14)
-TOGETHER_DAYS = anchors(LAST_ORDER_DAY, first=FIRST_ORDER_DAY, window=14)
-STORED_DAYS = anchors(LAST_ORDER_DAY, count=61, window=14)
+TOGETHER_DAYS = anchors(LAST_ORDER_DAY, first=FIRST_ORDER_DAY, window=14, step=7)
 TWO_DATES = (
     f"SELECT CAST({LAST_ORDER_DAY} AS DATE) AS as_of, 14 AS w UNION ALL SELECT CAST({LAST_ORDER_DAY} - 28 AS DATE), 14"
 )
 SALES_DAYS = anchors(LAST_ORDER_DAY, first=FIRST_ORDER_DAY, window=30)
 SALES_AS_OF = ONE(LAST_ORDER_DAY, 30)
 MARKETING_AS_OF = ONE(LAST_EVENT_DAY, 14)
-MARKETING_DAYS = anchors(LAST_EVENT_DAY, first="DATE '2024-01-01'", window=7)
+MARKETING_DAYS = anchors(LAST_EVENT_DAY, first=FIRST_EVENT_DAY, window=7)
 CAC_AS_OF = ONE(LAST_EVENT_DAY, 30)
 STOCK_AS_OF = ONE(LAST_SHIP_DAY, 30)
-STOCK_DAYS = anchors(LAST_SHIP_DAY, first=f"({LAST_SHIP_DAY} - 119)", window=30)
+STOCK_DAYS = anchors(LAST_SHIP_DAY, first=FIRST_SHIP_DAY, window=30, step=7)
 
 BOUNDS = f"""bounds AS (
   SELECT greatest((SELECT max(CAST(o_orderdate AS DATE)) FROM orders),
       (SELECT CAST(max(CAST(ts AS DATE)) - {EVENT_SHIFT} AS DATE) FROM events),
-      (SELECT CAST(max(CAST(l_shipdate AS DATE)) - 95 AS DATE) FROM lineitem)) AS latest,
+      (SELECT CAST(max(CAST(l_shipdate AS DATE)) - {SHIPPING_LAG} AS DATE) FROM lineitem)) AS latest,
     (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) AS earliest)"""
 
 
@@ -768,7 +778,8 @@ SELECT sku_id, order_id, line_no, ship_date, extended_price, quantity, discount,
         "stg_skus_dedupe": f"WITH {SKUS} SELECT * FROM skus WHERE sku_id IN (SELECT l_partkey FROM lineitem)",
         "stg_marketing_roas": f"""WITH {marketing()}
 SELECT *, CASE WHEN spend <> 0 THEN attributed_revenue / spend END AS roas FROM marketing""",
-        "stg_inventory": f"WITH RECURSIVE {stock(LAST_SHIP_DAY)} SELECT * FROM inventory",
+        "stg_inventory": f"""WITH RECURSIVE {stock(LAST_SHIP_DAY)}
+SELECT brand, date, {STOCK_SUMS} FROM inventory GROUP BY brand, date""",
         "latest_date": f"WITH {BOUNDS} SELECT * FROM bounds",
         "history_anchors": f"WITH {bound_anchors(1)} SELECT as_of FROM anchors",
         "period_windows": f"""WITH {bound_anchors(7)}
@@ -800,9 +811,16 @@ FROM picks""",
         "new_customer_flag": f"WITH {HEADS} SELECT order_id, order_date, customer_id, is_new_customer FROM heads",
         "units_by_sku_day": f"WITH {LINES}, {UNITS} SELECT * FROM units",
         "baseline_daily_demand": f"WITH {demand(LAST_SHIP_DAY)} SELECT sku_id, daily_demand FROM rate",
-        "dense_sku_day": f"WITH {demand(LAST_SHIP_DAY)} SELECT sku_id, brand, date, demand FROM grid",
-        "replenishment_signal": f"WITH {demand(LAST_SHIP_DAY)} SELECT sku_id, date, day_index, trailing_demand, receipts FROM plan",
-        "stock_ledger": f"WITH RECURSIVE {stock(LAST_SHIP_DAY)} SELECT * FROM inventory",
+        "dense_sku_day": f"""WITH RECURSIVE {stock(LAST_SHIP_DAY)}
+SELECT brand, date, count(*) AS skus, CAST(sum(demand) AS BIGINT) AS demand, CAST(sum(receipts) AS BIGINT) AS receipts,
+  CAST(sum(units_sold) AS BIGINT) AS units_sold, CAST(sum(closing_stock) AS BIGINT) AS closing_stock
+FROM ledger GROUP BY brand, date""",
+        "replenishment_signal": f"""WITH {demand(LAST_SHIP_DAY)}
+SELECT sku_id, date, day_index, trailing_demand, receipts FROM plan
+WHERE day_index = 0 OR (day_index % 7 = 0 AND trailing_demand > 0)""",
+        "stock_ledger": f"""WITH RECURSIVE {stock(LAST_SHIP_DAY)}
+SELECT i.*, CAST(demand AS BIGINT) AS demand FROM inventory i JOIN ledger l USING (sku_id, date)
+WHERE l.receipts > 0 OR demand > 0 OR day_index = 0""",
         "sku_velocity_rolling": f"{with_risk(STOCK_DAYS)} SELECT * FROM velocity",
         "inventory_risk": f"{with_risk(STOCK_AS_OF)} SELECT * FROM risk",
         "inventory_risk_history": f"{with_risk(STOCK_DAYS)} SELECT * FROM risk",
@@ -862,7 +880,7 @@ SELECT s.*, m.* EXCLUDE (as_of), c.* EXCLUDE (as_of), 2 AS schema_version, CAST(
 FROM summary s JOIN mix m ON m.as_of = s.as_of JOIN counts c ON c.as_of = s.as_of""",
         "snapshot_contents": contents(),
         "snapshot_history": f"WITH RECURSIVE {together(TOGETHER_DAYS)} {frame_rows()}",
-        "snapshot_roundtrip": f"WITH RECURSIVE {together(STORED_DAYS)} SELECT {short}, impact FROM items",
+        "snapshot_roundtrip": f"WITH RECURSIVE {together(TOGETHER_DAYS)} SELECT {short}, impact FROM items",
         "csv_roundtrip": f"WITH {CUSTOMERS} SELECT * FROM customers",
         "row_count_reconciliation": f"""WITH RECURSIVE {CUSTOMERS}, {marketing()}, {stock(LAST_SHIP_DAY)},
 counted AS (SELECT 'orders' AS "table", count(*) AS expected FROM orders UNION ALL SELECT 'marketing', count(*) FROM marketing

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,21 +28,68 @@ from ..sources import storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FIRST_ORDER_DAY = dt.date(1995, 1, 1)
-SALES_AS_OF = Anchors.single(S.LAST_ORDER_DAY, 30)
-SALES_DAYS = Anchors.back_from(S.LAST_ORDER_DAY, FIRST_ORDER_DAY, 30)
-MARKETING_AS_OF = Anchors.single(S.LAST_EVENT_DAY, 14)
-MARKETING_DAYS = Anchors.back_from(S.LAST_EVENT_DAY, dt.date(2024, 1, 1), 7)
-CAC_AS_OF = Anchors.single(S.LAST_EVENT_DAY, 30)
-STOCK_AS_OF = Anchors.single(S.LAST_SHIP_DAY, 30)
-STOCK_DAYS = Anchors.back_from(S.LAST_SHIP_DAY, S.LAST_SHIP_DAY - dt.timedelta(days=119), 30)
-# All lenses together: the order clock, two weeks against two weeks.
-TOGETHER = Anchors.single(S.LAST_ORDER_DAY, 14)
-TOGETHER_DAYS = Anchors.back_from(S.LAST_ORDER_DAY, FIRST_ORDER_DAY, 14)
-# Dates of the stored history that is read back; a folder per date and frame.
-STORED_DAYS = Anchors.back_from(S.LAST_ORDER_DAY, FIRST_ORDER_DAY, 14, count=61)
-EARLIER, LATER = S.LAST_ORDER_DAY - dt.timedelta(days=28), S.LAST_ORDER_DAY
-TWO_DATES = Anchors((EARLIER, LATER), 14)
+
+@dataclass(frozen=True)
+class Dates:
+    """The as-of dates that the data supports."""
+
+    clock: S.Clock
+
+    @classmethod
+    def of(cls, spark: SparkSession, path: str) -> Dates:
+        return cls(S.clock(spark, path))
+
+    @property
+    def sales_as_of(self) -> Anchors:
+        return Anchors.single(self.clock.last_order, 30)
+
+    @property
+    def sales_days(self) -> Anchors:
+        return Anchors.back_from(self.clock.last_order, self.clock.first_order, 30)
+
+    @property
+    def marketing_as_of(self) -> Anchors:
+        return Anchors.single(self.clock.last_event, 14)
+
+    @property
+    def marketing_days(self) -> Anchors:
+        return Anchors.back_from(self.clock.last_event, self.clock.first_event, 7)
+
+    @property
+    def cac_as_of(self) -> Anchors:
+        return Anchors.single(self.clock.last_event, 30)
+
+    @property
+    def stock_as_of(self) -> Anchors:
+        return Anchors.single(self.clock.last_ship, 30)
+
+    @property
+    def stock_days(self) -> Anchors:
+        """Weekly: a date holds every SKU."""
+        return Anchors.back_from(self.clock.last_ship, self.clock.first_ship, 30, spacing_days=7)
+
+    @property
+    def together(self) -> Anchors:
+        """All lenses: the order clock, two weeks against two weeks."""
+        return Anchors.single(self.clock.last_order, 14)
+
+    @property
+    def together_days(self) -> Anchors:
+        """Weekly, as `stock_days`, over the whole range."""
+        return Anchors.back_from(self.clock.last_order, self.clock.first_order, 14, spacing_days=7)
+
+    @property
+    def earlier(self) -> dt.date:
+        return self.clock.last_order - dt.timedelta(days=28)
+
+    @property
+    def later(self) -> dt.date:
+        return self.clock.last_order
+
+    @property
+    def two_dates(self) -> Anchors:
+        return Anchors((self.earlier, self.later), 14)
+
 
 SCENARIOS = {
     "default": {},
@@ -120,7 +168,10 @@ def stg_marketing_roas(spark, path):
 
 @query
 def stg_inventory(spark, path):
-    return S.inventory(spark, path)
+    """The staged stock table, as levels per brand and day."""
+    d = Dates.of(spark, path)
+    staged = S.inventory(spark, path, d.clock)
+    return staged.groupBy("brand", "date").agg(*(F.sum(c).alias(c) for c in ledger.LEDGER_COLUMNS[3:]))
 
 
 # --- periods ---------------------------------------------------------------
@@ -128,10 +179,11 @@ def stg_inventory(spark, path):
 
 def _bounds(spark, path) -> DataFrame:
     """Bounds of the three tables, all moved to the order clock."""
+    d = Dates.of(spark, path)
     return P.data_bounds(
         S.order_headers(spark, path),
-        S.raw_marketing(spark, path, S.LAST_ORDER_DAY).select("date"),
-        S.raw_lines(spark, path).select(F.date_sub("ship_date", S.SHIPPING_LAG).alias("date")),
+        S.raw_marketing(spark, path, d.clock.event_shift).select("date"),
+        S.raw_lines(spark, path).select(F.date_sub("ship_date", d.clock.shipping_lag).alias("date")),
     )
 
 
@@ -152,8 +204,9 @@ def period_windows(spark, path):
 
 @query
 def period_tagged_orders(spark, path):
-    inside = S.order_headers(spark, path).filter(SALES_AS_OF.covers(F.col("order_date")))
-    return inside.withColumn("period", P.period_of(F.col("order_date"), F.lit(SALES_AS_OF.latest), 30))
+    d = Dates.of(spark, path)
+    inside = S.order_headers(spark, path).filter(d.sales_as_of.covers(F.col("order_date")))
+    return inside.withColumn("period", P.period_of(F.col("order_date"), F.lit(d.sales_as_of.latest), 30))
 
 
 @query
@@ -167,37 +220,44 @@ def asof_anchor(spark, path):
 
 @query
 def sales_summary(spark, path):
-    return sales.sales_summary(S.order_lines(spark, path), SALES_AS_OF)
+    d = Dates.of(spark, path)
+    return sales.sales_summary(S.order_lines(spark, path), d.sales_as_of)
 
 
 @query
 def sales_summary_history(spark, path):
-    return sales.sales_summary(S.order_lines(spark, path), SALES_DAYS)
+    d = Dates.of(spark, path)
+    return sales.sales_summary(S.order_lines(spark, path), d.sales_days)
 
 
 @query
 def sales_by_brand_channel(spark, path):
-    return sales.sales_by_segment(S.order_lines(spark, path), SALES_AS_OF, ["brand", "channel"])
+    d = Dates.of(spark, path)
+    return sales.sales_by_segment(S.order_lines(spark, path), d.sales_as_of, ["brand", "channel"])
 
 
 @query
 def sales_by_brand_channel_history(spark, path):
-    return sales.sales_by_segment(S.order_lines(spark, path), SALES_DAYS, ["brand", "channel"])
+    d = Dates.of(spark, path)
+    return sales.sales_by_segment(S.order_lines(spark, path), d.sales_days, ["brand", "channel"])
 
 
 @query
 def sales_by_sku(spark, path):
-    return sales.sales_by_segment(S.order_lines(spark, path), SALES_AS_OF, ["sku_id", "brand"])
+    d = Dates.of(spark, path)
+    return sales.sales_by_segment(S.order_lines(spark, path), d.sales_as_of, ["sku_id", "brand"])
 
 
 @query
 def sales_by_sku_history(spark, path):
-    return sales.sales_by_segment(S.order_lines(spark, path), SALES_DAYS, ["sku_id", "brand"])
+    d = Dates.of(spark, path)
+    return sales.sales_by_segment(S.order_lines(spark, path), d.sales_days, ["sku_id", "brand"])
 
 
 @query
 def sales_by_channel(spark, path):
-    return sales.sales_by_segment(S.order_lines(spark, path), SALES_DAYS, ["channel"])
+    d = Dates.of(spark, path)
+    return sales.sales_by_segment(S.order_lines(spark, path), d.sales_days, ["channel"])
 
 
 # --- marketing -------------------------------------------------------------
@@ -205,27 +265,32 @@ def sales_by_channel(spark, path):
 
 @query
 def marketing_by_segment(spark, path):
-    return marketing.marketing_by_segment(S.marketing(spark, path), MARKETING_AS_OF)
+    d = Dates.of(spark, path)
+    return marketing.marketing_by_segment(S.marketing(spark, path), d.marketing_as_of)
 
 
 @query
 def marketing_by_segment_history(spark, path):
-    return marketing.marketing_by_segment(S.marketing(spark, path), MARKETING_DAYS)
+    d = Dates.of(spark, path)
+    return marketing.marketing_by_segment(S.marketing(spark, path), d.marketing_days)
 
 
 @query
 def cac_by_channel(spark, path):
-    return marketing.cac_by_channel(S.marketing(spark, path), S.acquired_customers(spark, path), CAC_AS_OF)
+    d = Dates.of(spark, path)
+    return marketing.cac_by_channel(S.marketing(spark, path), S.acquired_customers(spark, path), d.cac_as_of)
 
 
 @query
 def cac_by_channel_empty_side(spark, path):
-    return marketing.cac_by_channel(S.marketing(spark, path), S.acquired_customers(spark, path), MARKETING_AS_OF)
+    d = Dates.of(spark, path)
+    return marketing.cac_by_channel(S.marketing(spark, path), S.acquired_customers(spark, path), d.marketing_as_of)
 
 
 @query
 def cac_by_channel_history(spark, path):
-    return marketing.cac_by_channel(S.marketing(spark, path), S.acquired_customers(spark, path), MARKETING_DAYS)
+    d = Dates.of(spark, path)
+    return marketing.cac_by_channel(S.marketing(spark, path), S.acquired_customers(spark, path), d.marketing_days)
 
 
 # --- customers -------------------------------------------------------------
@@ -238,7 +303,8 @@ def customer_mix(spark, path):
 
 @query
 def customer_mix_history(spark, path):
-    return customer.customer_mix(S.orders(spark, path), SALES_DAYS)
+    d = Dates.of(spark, path)
+    return customer.customer_mix(S.orders(spark, path), d.sales_days)
 
 
 @query
@@ -259,69 +325,72 @@ def new_customer_flag(spark, path):
 # --- inventory -------------------------------------------------------------
 
 
-def _units(spark, path) -> DataFrame:
-    return ledger.units_by_sku_day(S.shipped_lines(spark, path), "ship_date")
-
-
-def _grid(spark, path) -> DataFrame:
-    plan = S.skus(spark, path).select("sku_id", "brand", "opening0")
-    return ledger.dense_demand(_units(spark, path), plan, S.LAST_SHIP_DAY)
-
-
-def _horizon_start() -> dt.date:
-    return S.LAST_SHIP_DAY - dt.timedelta(days=ledger.HORIZON_DAYS - 1)
-
-
 @query
 def units_by_sku_day(spark, path):
-    return _units(spark, path)
+    return S.units(spark, path)
 
 
 @query
 def baseline_daily_demand(spark, path):
-    return ledger.baseline_daily_demand(_units(spark, path), S.skus(spark, path), S.LAST_SHIP_DAY)
+    d = Dates.of(spark, path)
+    return ledger.baseline_daily_demand(S.units(spark, path), S.skus(spark, path), d.clock.last_ship)
 
 
 @query
 def dense_sku_day(spark, path):
-    return _grid(spark, path).select("sku_id", "brand", "date", "demand")
+    """Every SKU on every day of the range, as totals per brand and day."""
+    d = Dates.of(spark, path)
+    span = d.clock
+    daily = ledger.daily_stock(S.stock_moves(spark, path, span), span.first_ship, span.last_ship)
+    return daily.groupBy("brand", "date").agg(
+        F.count(F.lit(1)).alias("skus"),
+        *(F.sum(c).alias(c) for c in ("demand", "receipts", "units_sold", "closing_stock")),
+    )
 
 
 @query
 def replenishment_signal(spark, path):
-    return ledger.replenishment(_grid(spark, path), _horizon_start()).select(
-        "sku_id", "date", "day_index", "trailing_demand", "receipts"
-    )
+    d = Dates.of(spark, path)
+    span = d.clock
+    return ledger.replenishment(S.units(spark, path), S.skus(spark, path), span.first_ship, span.last_ship)
 
 
 @query
 def stock_ledger(spark, path):
-    return ledger.stock_ledger(ledger.replenishment(_grid(spark, path), _horizon_start()))
+    """The days on which stock moved; between them opening and closing equal the closing before."""
+    d = Dates.of(spark, path)
+    moved = ledger.moving_days(S.stock_moves(spark, path, d.clock))
+    return moved.select(*ledger.LEDGER_COLUMNS, "demand")
 
 
 @query
 def sku_velocity_rolling(spark, path):
-    return inventory.sku_velocity(S.inventory(spark, path), STOCK_DAYS, 14)
+    d = Dates.of(spark, path)
+    return inventory.sku_velocity(S.inventory(spark, path, d.clock), d.stock_days, 14)
 
 
 @query
 def inventory_risk(spark, path):
-    return inventory.inventory_risk(S.inventory(spark, path), STOCK_AS_OF)
+    d = Dates.of(spark, path)
+    return inventory.inventory_risk(S.stock_spans(spark, path, d.clock), d.stock_as_of)
 
 
 @query
 def inventory_risk_history(spark, path):
-    return inventory.inventory_risk(S.inventory(spark, path), STOCK_DAYS)
+    d = Dates.of(spark, path)
+    return inventory.inventory_risk(S.stock_spans(spark, path, d.clock), d.stock_days)
 
 
 @query
 def inventory_reflag(spark, path):
-    return inventory.reflag(inventory.inventory_risk(S.inventory(spark, path), STOCK_AS_OF), 21.0, 30.0)
+    d = Dates.of(spark, path)
+    return inventory.reflag(inventory.inventory_risk(S.stock_spans(spark, path, d.clock), d.stock_as_of), 21.0, 30.0)
 
 
 @query
 def inventory_flag_counts(spark, path):
-    return inventory.flag_counts(inventory.inventory_risk(S.inventory(spark, path), STOCK_DAYS))
+    d = Dates.of(spark, path)
+    return inventory.flag_counts(inventory.inventory_risk(S.stock_spans(spark, path, d.clock), d.stock_days))
 
 
 @query
@@ -358,14 +427,16 @@ def _defaults(lens_id: str):
 
 @query
 def detect_sales_decline(spark, path):
-    segments = sales.sales_by_segment(S.order_lines(spark, path), SALES_DAYS, ["brand", "channel"])
+    d = Dates.of(spark, path)
+    segments = sales.sales_by_segment(S.order_lines(spark, path), d.sales_days, ["brand", "channel"])
     found = rules.detect_sales_decline(segments, _defaults("sales"))
     return flat(found, "current_net_revenue", "previous_net_revenue", "pct_change", where=("brand", "channel"))
 
 
 @query
 def detect_marketing_decline(spark, path):
-    segments = marketing.marketing_by_segment(S.marketing(spark, path), MARKETING_DAYS)
+    d = Dates.of(spark, path)
+    segments = marketing.marketing_by_segment(S.marketing(spark, path), d.marketing_days)
     found = rules.detect_marketing_decline(segments, rules.literals({**L.load_lens("marketing").defaults(), "min_segment_spend": 100.0}))
     return flat(
         found,
@@ -379,56 +450,63 @@ def detect_marketing_decline(spark, path):
 
 @query
 def detect_inventory_issues(spark, path):
+    d = Dates.of(spark, path)
     found = rules.detect_inventory_issues(
-        inventory.inventory_risk(S.inventory(spark, path), STOCK_AS_OF), _defaults("inventory")
+        inventory.inventory_risk(S.stock_spans(spark, path, d.clock), d.stock_as_of), _defaults("inventory")
     )
     return flat(found, "on_hand", "velocity_per_day", "days_of_cover", where=("brand", "sku_id"))
 
 
 @query
 def detect_customer_mix(spark, path):
-    found = rules.detect_customer_mix(customer.customer_mix(S.orders(spark, path), SALES_DAYS), _defaults("customer"))
+    d = Dates.of(spark, path)
+    found = rules.detect_customer_mix(customer.customer_mix(S.orders(spark, path), d.sales_days), _defaults("customer"))
     return flat(found, "current_new_share", "previous_new_share", "pct_change")
 
 
 # --- all lenses ------------------------------------------------------------
 
 
-def together(spark, path, anchors: Anchors, store: bool = True) -> H.History:
-    tables = S.commerce_tables(spark, path, anchors, store=store)
+def together(spark, path, d: Dates, anchors: Anchors, store: bool = True) -> H.History:
+    tables = S.commerce_tables(spark, path, anchors, d.clock, store=store)
     return H.build_history(spark, tables, anchors, store_shared=store)
 
 
-def judged(spark, path, anchors: Anchors) -> DataFrame:
+def judged(spark, path, d: Dates, anchors: Anchors) -> DataFrame:
     """Items only: no section is read twice, so nothing is stored."""
-    return together(spark, path, anchors, store=False).decisions
+    return together(spark, path, d, anchors, store=False).decisions
 
 
 @query
 def all_decisions(spark, path):
-    return flat(judged(spark, path, TOGETHER)).drop("possible_action")
+    d = Dates.of(spark, path)
+    return flat(judged(spark, path, d, d.together)).drop("possible_action")
 
 
 @query
 def threshold_sweep(spark, path):
-    built = together(spark, path, TOGETHER, store=False)
+    d = Dates.of(spark, path)
+    built = together(spark, path, d, d.together, store=False)
     items = H.sweep(built.lenses, built.sections, built.params, SCENARIOS)
     return items.select("scenario", "as_of", "lens", "issue_type", "severity", "kpi_to_monitor")
 
 
 @query
 def issue_resolution(spark, path):
-    return rules.resolution_between(judged(spark, path, TWO_DATES), EARLIER, LATER)
+    d = Dates.of(spark, path)
+    return rules.resolution_between(judged(spark, path, d, d.two_dates), d.earlier, d.later)
 
 
 @query
 def severity_counts(spark, path):
-    return decisions.severity_counts(judged(spark, path, TOGETHER_DAYS), TOGETHER_DAYS.frame(spark))
+    d = Dates.of(spark, path)
+    return decisions.severity_counts(judged(spark, path, d, d.together_days), d.together_days.frame(spark))
 
 
 @query
 def top_issues(spark, path):
-    top = decisions.top_issues(judged(spark, path, TOGETHER_DAYS))
+    d = Dates.of(spark, path)
+    top = decisions.top_issues(judged(spark, path, d, d.together_days))
     return top.select(
         "as_of", "rank", "lens", "issue_type", "severity", "kpi_to_monitor", decisions.impact().alias("impact")
     )
@@ -436,19 +514,22 @@ def top_issues(spark, path):
 
 @query
 def filter_decisions(spark, path):
-    kept = decisions.filter_decisions(judged(spark, path, TOGETHER_DAYS), ["sales", "inventory"], ["high"], L.issue_owners())
+    d = Dates.of(spark, path)
+    kept = decisions.filter_decisions(judged(spark, path, d, d.together_days), ["sales", "inventory"], ["high"], L.issue_owners())
     return kept.select("as_of", "lens", "issue_type", "severity", "kpi_to_monitor")
 
 
 @query
 def filter_counts(spark, path):
-    return decisions.shown_and_total(judged(spark, path, TOGETHER_DAYS), ["sales", "inventory"], ["high"], L.issue_owners())
+    d = Dates.of(spark, path)
+    return decisions.shown_and_total(judged(spark, path, d, d.together_days), ["sales", "inventory"], ["high"], L.issue_owners())
 
 
 @query
 def kpi_trend(spark, path):
-    built = together(spark, path, TOGETHER_DAYS)
-    latest = built.decisions.filter(F.col("as_of") == F.lit(TOGETHER_DAYS.latest))
+    d = Dates.of(spark, path)
+    built = together(spark, path, d, d.together_days)
+    latest = built.decisions.filter(F.col("as_of") == F.lit(d.together_days.latest))
     return H.trend(built, latest)
 
 
@@ -466,13 +547,15 @@ def _localized(raised, lang):
 
 @query
 def localized_decisions(spark, path):
-    raised = storage.materialize(judged(spark, path, TOGETHER))
+    d = Dates.of(spark, path)
+    raised = storage.materialize(judged(spark, path, d, d.together))
     return _localized(raised, "ko").unionByName(_localized(raised, "en"))
 
 
 @query
 def executive_summary(spark, path):
-    built = together(spark, path, TOGETHER_DAYS)
+    d = Dates.of(spark, path)
+    built = together(spark, path, d, d.together_days)
     parts = [
         reports.executive_summary(
             built.decisions, built.sections["sales"]["summary"], lang, L.localizers()
@@ -484,22 +567,25 @@ def executive_summary(spark, path):
 
 @query
 def kpi_tiles(spark, path):
-    summary = sales.sales_summary(S.order_lines(spark, path), SALES_DAYS)
-    mix = customer.customer_mix(S.orders(spark, path), SALES_DAYS)
+    d = Dates.of(spark, path)
+    summary = sales.sales_summary(S.order_lines(spark, path), d.sales_days)
+    mix = customer.customer_mix(S.orders(spark, path), d.sales_days)
     return reports.sales_tiles(summary, "en").unionByName(reports.customer_tiles(mix, "en"))
 
 
 @query
 def fact_document(spark, path):
-    built = together(spark, path, TOGETHER)
-    return reports.fact_lines(built.decisions, built.sections["sales"]["summary"], TOGETHER.frame(spark))
+    d = Dates.of(spark, path)
+    built = together(spark, path, d, d.together)
+    return reports.fact_lines(built.decisions, built.sections["sales"]["summary"], d.together.frame(spark))
 
 
 @query
 def copy_prompt(spark, path):
-    built = together(spark, path, TOGETHER_DAYS)
+    d = Dates.of(spark, path)
+    built = together(spark, path, d, d.together_days)
     return reports.copy_prompt(
-        built.decisions, built.sections["sales"]["summary"], TOGETHER_DAYS.frame(spark), "en", L.localizers()
+        built.decisions, built.sections["sales"]["summary"], d.together_days.frame(spark), "en", L.localizers()
     )
 
 
@@ -520,7 +606,8 @@ def _section_counts(built: H.History) -> DataFrame:
 @query
 def snapshot(spark, path):
     """The header of one date with its headline KPIs and item counts."""
-    built = together(spark, path, TOGETHER)
+    d = Dates.of(spark, path)
+    built = together(spark, path, d, d.together)
     header = built.header.select(
         "as_of",
         "schema_version",
@@ -553,9 +640,10 @@ SNAPSHOT_KEYS = {
 @query
 def snapshot_contents(spark, path):
     """Every value of every section and item of one date."""
-    built = together(spark, path, TOGETHER, store=False)
+    d = Dates.of(spark, path)
+    built = together(spark, path, d, d.together, store=False)
     frames = built.frames()
-    frames["customer.repeat_purchase_rate"] = frames["customer.repeat_purchase_rate"].withColumn("as_of", F.lit(TOGETHER.latest))
+    frames["customer.repeat_purchase_rate"] = frames["customer.repeat_purchase_rate"].withColumn("as_of", F.lit(d.together.latest))
     frames["decisions"] = frames["decisions"].select(
         "as_of", "lens", "issue_type", "kpi_to_monitor", "severity", "headline", "possible_action",
         decisions.impact().alias("impact"),
@@ -567,13 +655,15 @@ def snapshot_contents(spark, path):
 @query
 def snapshot_history(spark, path):
     """Every date's items and KPI rows, as rows per frame."""
-    return _section_counts(together(spark, path, TOGETHER_DAYS))
+    d = Dates.of(spark, path)
+    return _section_counts(together(spark, path, d, d.together_days))
 
 
 @query
 def snapshot_roundtrip(spark, path):
     """Writes the history as JSON, reads it back and judges the stored KPIs."""
-    built = together(spark, path, STORED_DAYS)
+    d = Dates.of(spark, path)
+    built = together(spark, path, d, d.together_days)
     target = storage.shared_dir(spark)
     H.write_history(built, target)
     stored = H.open_history(spark, target)
@@ -585,8 +675,9 @@ def snapshot_roundtrip(spark, path):
 def stored_history_sweep(spark, path):
     """Stores a history made under strict limits, opens it by itself and judges
     it again under the limits it recorded and under the default ones."""
-    tables = S.commerce_tables(spark, path, TOGETHER)
-    built = H.build_history(spark, tables, TOGETHER, settings=L.Settings(params=SCENARIOS["strict"]))
+    d = Dates.of(spark, path)
+    tables = S.commerce_tables(spark, path, d.together, d.clock)
+    built = H.build_history(spark, tables, d.together, settings=L.Settings(params=SCENARIOS["strict"]))
     target = storage.shared_dir(spark)
     H.write_history(built, target)
     stored = H.open_history(spark, target)
@@ -605,10 +696,11 @@ def csv_roundtrip(spark, path):
 
 @query
 def row_count_reconciliation(spark, path):
+    d = Dates.of(spark, path)
     delivered = {
         "orders": S.order_headers(spark, path),
         "marketing": S.raw_marketing(spark, path),
-        "inventory": S.inventory(spark, path),
+        "inventory": S.inventory(spark, path, d.clock),
         "customers": S.customers(spark, path),
         "skus": S.raw_skus(spark, path),
     }
@@ -626,7 +718,7 @@ def _sql(spark, path, tables: tuple[str, ...], text: str) -> DataFrame:
         "marketing": S.marketing,
         "acquired": S.acquired_customers,
         "customers": S.customers,
-        "inventory": S.inventory,
+        "inventory": lambda spark, path: S.inventory(spark, path, S.clock(spark, path)),
     }
     sql.register(spark, {name: readers[name](spark, path) for name in tables})
     return spark.sql(text)
@@ -634,28 +726,33 @@ def _sql(spark, path, tables: tuple[str, ...], text: str) -> DataFrame:
 
 @query
 def sql_sales_summary(spark, path):
-    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_summary(DATE '{S.LAST_ORDER_DAY}', 30)")
+    d = Dates.of(spark, path)
+    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_summary(DATE '{d.clock.last_order}', 30)")
 
 
 @query
 def sql_sales_by_brand_channel(spark, path):
-    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_by_brand_channel(DATE '{S.LAST_ORDER_DAY}', 30)")
+    d = Dates.of(spark, path)
+    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_by_brand_channel(DATE '{d.clock.last_order}', 30)")
 
 
 @query
 def sql_sales_by_sku(spark, path):
-    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_by_sku(DATE '{S.LAST_ORDER_DAY}', 30)")
+    d = Dates.of(spark, path)
+    return _sql(spark, path, ("orders",), f"SELECT * FROM sales_by_sku(DATE '{d.clock.last_order}', 30)")
 
 
 @query
 def sql_marketing_by_segment(spark, path):
-    return _sql(spark, path, ("marketing",), f"SELECT * FROM marketing_by_segment(DATE '{S.LAST_EVENT_DAY}', 14)")
+    d = Dates.of(spark, path)
+    return _sql(spark, path, ("marketing",), f"SELECT * FROM marketing_by_segment(DATE '{d.clock.last_event}', 14)")
 
 
 @query
 def sql_cac_by_channel(spark, path):
+    d = Dates.of(spark, path)
     return _sql(
-        spark, path, ("marketing", "acquired"), f"SELECT * FROM cac_by_channel(DATE '{S.LAST_EVENT_DAY}', 30)"
+        spark, path, ("marketing", "acquired"), f"SELECT * FROM cac_by_channel(DATE '{d.clock.last_event}', 30)"
     )
 
 
@@ -671,7 +768,8 @@ def sql_repeat_purchase_rate(spark, path):
 
 @query
 def sql_inventory_risk(spark, path):
-    text = f"SELECT * FROM inventory_risk(DATE '{S.LAST_SHIP_DAY}', 14, 7, 60)"
+    d = Dates.of(spark, path)
+    text = f"SELECT * FROM inventory_risk(DATE '{d.clock.last_ship}', 14, 7, 60)"
     return _sql(spark, path, ("inventory",), text)
 
 
@@ -681,18 +779,19 @@ def sql_inventory_risk(spark, path):
 @query
 def kpi_parity(spark, path):
     """The SQL function for one date against the operator for many dates."""
+    d = Dates.of(spark, path)
     lines = storage.materialize(
         S.order_lines(spark, path)
-        .filter(SALES_DAYS.covers(F.col("order_date")))
+        .filter(d.sales_days.covers(F.col("order_date")))
         .select("order_id", "order_date", "brand", "channel", "sku_id", "quantity", "net_sales")
     )
     sql.register(spark, {"orders": lines})
-    as_of = F.lit(S.LAST_ORDER_DAY)
+    as_of = F.lit(d.clock.last_order)
     keys = {"sales_by_brand_channel": ["brand", "channel"], "sales_by_sku": ["sku_id", "brand"]}
     parts = []
     for name, columns in keys.items():
-        one = spark.sql(f"SELECT * FROM {name}(DATE '{S.LAST_ORDER_DAY}', 30)")
-        many = sales.sales_by_segment(lines, SALES_DAYS, columns).filter(F.col("as_of") == as_of).drop("as_of")
+        one = spark.sql(f"SELECT * FROM {name}(DATE '{d.clock.last_order}', 30)")
+        many = sales.sales_by_segment(lines, d.sales_days, columns).filter(F.col("as_of") == as_of).drop("as_of")
         parts.append(compare.agreement(one, many, columns).withColumn("table", F.lit(name)))
     return parts[0].unionByName(parts[1])
 
@@ -700,28 +799,31 @@ def kpi_parity(spark, path):
 @query
 def decision_parity(spark, path):
     """Items judged for one date against the same date within a history."""
-    single = storage.materialize(judged(spark, path, TOGETHER))
-    history = judged(spark, path, TOGETHER_DAYS).filter(F.col("as_of") == F.lit(TOGETHER.latest))
+    d = Dates.of(spark, path)
+    single = storage.materialize(judged(spark, path, d, d.together))
+    history = judged(spark, path, d, d.together_days).filter(F.col("as_of") == F.lit(d.together.latest))
     return compare.item_agreement(single, storage.materialize(history))
 
 
 @query
 def kpi_differences(spark, path):
     """What changed in the segment KPIs from one as-of date to the other."""
-    segments = sales.sales_by_segment(S.order_lines(spark, path), TWO_DATES, ["brand", "channel"])
-    before = segments.filter(F.col("as_of") == F.lit(EARLIER)).drop("as_of")
-    after = segments.filter(F.col("as_of") == F.lit(LATER)).drop("as_of")
+    d = Dates.of(spark, path)
+    segments = sales.sales_by_segment(S.order_lines(spark, path), d.two_dates, ["brand", "channel"])
+    before = segments.filter(F.col("as_of") == F.lit(d.earlier)).drop("as_of")
+    after = segments.filter(F.col("as_of") == F.lit(d.later)).drop("as_of")
     return compare.differences(before, after, ["brand", "channel"]).select("brand", "channel", "column")
 
 
 @query
 def kpi_expectations(spark, path):
-    tables = S.commerce_tables(spark, path, TOGETHER)
+    d = Dates.of(spark, path)
+    tables = S.commerce_tables(spark, path, d.together, d.clock)
     return quality.expectation_failures(
-        sales.sales_by_segment(tables["orders"], TOGETHER, ["brand", "channel"]),
-        marketing.marketing_by_segment(tables["marketing"], TOGETHER),
-        customer.customer_mix(tables["order_heads"], TOGETHER),
-        inventory.inventory_risk(tables["inventory"], TOGETHER),
+        sales.sales_by_segment(tables["orders"], d.together, ["brand", "channel"]),
+        marketing.marketing_by_segment(tables["marketing"], d.together),
+        customer.customer_mix(tables["order_heads"], d.together),
+        inventory.inventory_risk(tables["inventory"], d.together),
         sales_segment=("Brand#1", "1-URGENT"),
         marketing_segment=("B1", "paid_social"),
         sku=3,
@@ -730,11 +832,12 @@ def kpi_expectations(spark, path):
 
 @query
 def table_invariants(spark, path):
+    d = Dates.of(spark, path)
     lines = S.order_lines(spark, path).select("order_id", "line_no", "order_date", "brand", "channel", "sku_id", "customer_id", "quantity", "net_sales")
     return quality.table_invariants(
         lines,
         S.raw_marketing(spark, path),
-        S.inventory(spark, path),
+        S.inventory(spark, path, d.clock),
         S.customers(spark, path),
         S.raw_skus(spark, path),
         order_key=("order_id", "line_no"),
@@ -743,7 +846,8 @@ def table_invariants(spark, path):
 
 @query
 def lens_returns(spark, path):
+    d = Dates.of(spark, path)
     lens = L.load_lens("tradewind.catalog.returns_lens")
     tables = L.read_sources(spark, path, [lens])
-    sections, params = H.compute_sections([lens], tables, STOCK_AS_OF, {})
+    sections, params = H.compute_sections([lens], tables, d.stock_as_of, {})
     return flat(H.run_detection([lens], sections, params), "current_back_pct", "previous_back_pct", where=("brand",))

@@ -47,10 +47,25 @@ def inventory_risk(
     """Stock position per SKU on each as-of date; a SKU without a row on that
     very date is left out.
 
+    A table with ``until`` has a row only where stock moves, which stands for the days
+    up to ``until``, without sales after the first; see `_span_positions`.
+
     The stock table is not deduplicated: equal rows are first folded into a
     count, which bounds a SKU to its days and positions, and unfolded at the
     end. One window per SKU then serves every as-of date, without a join.
     """
+    positions = _span_positions if "until" in inventory.columns else _daily_positions
+    return (
+        positions(inventory, anchors, velocity_window_days)
+        .withColumn("velocity", F.coalesce(F.round(F.col("velocity"), 2), F.lit(0.0)))
+        .withColumn(
+            "days_of_cover", F.when(F.col("velocity") > 0, F.round(ratio(F.col("on_hand"), F.col("velocity")), 1))
+        )
+        .withColumns(risk_flags(F.lit(float(stockout_days)), F.lit(float(excess_days))))
+    )
+
+
+def _daily_positions(inventory: DataFrame, anchors: Anchors, velocity_window_days: int) -> DataFrame:
     trailing = anchors.with_window(velocity_window_days)
     folded = (
         inventory.filter(trailing.covers(F.col("date"), periods=1))
@@ -62,7 +77,7 @@ def inventory_risk(
     )
     mean = ratio(F.sum("_units").over(days), F.sum("_rows").over(days))
     return (
-        folded.withColumn("velocity", F.coalesce(F.round(mean, 2), F.lit(0.0)))
+        folded.withColumn("velocity", mean)
         .filter(anchors.holds(F.col("date")))
         .select(
             F.col("date").alias("as_of"),
@@ -70,11 +85,63 @@ def inventory_risk(
             "brand",
             "on_hand",
             "velocity",
-            F.when(F.col("velocity") > 0, F.round(ratio(F.col("on_hand"), F.col("velocity")), 1)).alias("days_of_cover"),
             F.explode(F.sequence(F.lit(1).cast("bigint"), "_rows")).alias("_copy"),
         )
         .drop("_copy")
-        .withColumns(risk_flags(F.lit(float(stockout_days)), F.lit(float(excess_days))))
+    )
+
+
+def _span_positions(spans: DataFrame, anchors: Anchors, velocity_window_days: int) -> DataFrame:
+    """Positions from rows that stand for spans of days, which follow each other without a gap.
+
+    A row changes a SKU's position at two as-of dates: where it begins, and where its
+    sales leave the trailing days. Positions are running values over those changes,
+    one exchange of the rows that move; days on which nothing moves are never made.
+    """
+    n = len(anchors.dates)
+    sold = F.col("units_sold").cast("bigint")
+    begins = F.struct(
+        anchors.index_from(F.col("date")).alias("at"),
+        F.struct("date", F.col("closing_stock").cast("bigint").alias("on_hand")).alias("level"),
+        sold.alias("units"),
+    )
+    leaves = F.struct(
+        anchors.index_from(F.date_add("date", velocity_window_days)).alias("at"),
+        F.lit(None).cast("struct<date:date,on_hand:bigint>").alias("level"),
+        (-sold).alias("units"),
+    )
+    changes = (
+        spans.filter(F.col("date") <= F.lit(anchors.latest))
+        .select("sku_id", "brand", "date", "until", F.explode(F.array(begins, leaves)).alias("_change"))
+        .groupBy("sku_id", "brand", F.col("_change.at").alias("_at"))
+        .agg(
+            F.max("_change.level").alias("_level"),
+            F.sum("_change.units").alias("_units"),
+            F.min("date").alias("_first"),
+            F.max("until").alias("_last"),
+        )
+    )
+    whole = Window.partitionBy("sku_id", "brand")
+    order = whole.orderBy("_at")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    day = anchors.date_at(F.col("_at"))
+    present = F.least(F.lit(velocity_window_days), F.datediff("as_of", "_first") + 1)
+    return (
+        changes.select(
+            "sku_id",
+            "brand",
+            "_at",
+            (F.lead("_at", 1, n).over(order) - 1).alias("_until"),
+            F.last("_level", ignorenulls=True).over(run)["on_hand"].alias("on_hand"),
+            F.sum("_units").over(run).alias("_units"),
+            F.min("_first").over(run).alias("_first"),
+            F.max("_last").over(whole).alias("_last"),
+        )
+        .filter(F.col("_at") < n)
+        .withColumn("_at", F.explode(F.sequence("_at", "_until")))
+        .select(day.alias("as_of"), "sku_id", "brand", "on_hand", "_units", "_first", "_last")
+        .filter(F.col("as_of") <= F.col("_last"))
+        .select("as_of", "sku_id", "brand", "on_hand", ratio(F.col("_units"), present).alias("velocity"))
     )
 
 

@@ -1,29 +1,26 @@
 """Demand, replenishment and the stock ledger per SKU and day.
 
-Every window here is partitioned by SKU over a daily grid, so a partition
-holds one row per day of the horizon however many order lines the SKU has.
+Days on which nothing moves have no row until a dense table is asked for. Windows
+are partitioned by SKU and block of days, or hold one row per block of a SKU.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import discounted
 
-# Horizon, comparison windows and replenishment policy.
-HORIZON_DAYS = 120
+# Comparison windows and replenishment policy.
 RECENT_DAYS = 30
 BASELINE_DAYS = 30
 REVIEW_INTERVAL_DAYS = 7
 FALLBACK_DAILY_DEMAND = 0.5
 UNIT_COST_FRACTION = 0.45
-
-
-def by_sku() -> WindowSpec:
-    return Window.partitionBy("sku_id").orderBy("date")
+# Days of a block, and with that the most rows of a SKU in one window.
+BLOCK_DAYS = 128
 
 
 def is_recent(day: Column, end: dt.date) -> Column:
@@ -37,11 +34,6 @@ def is_baseline(day: Column, end: dt.date) -> Column:
     return day.between(F.lit(last - dt.timedelta(days=BASELINE_DAYS - 1)), F.lit(last))
 
 
-def spread(frame: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
-    """By `keys` over `tasks` partitions (all shuffle partitions unless given), whatever the size now."""
-    return frame.repartition(tasks or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def units_by_sku_day(orders: DataFrame, day: str = "order_date") -> DataFrame:
     return orders.groupBy("sku_id", F.col(day).alias("date")).agg(
         F.sum(F.col("quantity").cast("bigint")).alias("units")
@@ -63,107 +55,183 @@ def baseline_daily_demand(units: DataFrame, skus: DataFrame, end: dt.date) -> Da
     )
 
 
-def dense_demand(
-    units: DataFrame, skus: DataFrame, end: dt.date, days: int = HORIZON_DAYS, tasks: int | None = None
-) -> DataFrame:
-    """Every SKU of `skus` (with its columns) on every day of the horizon;
-    no demand counts as 0. Adds the baseline ``daily_demand`` of the SKU.
+def day_count(start: dt.date, end: dt.date) -> int:
+    return (end - start).days + 1
+
 
-    Only the days with demand and one opening row per SKU are shuffled, by
-    SKU. Each row then fills the days up to the next one in place, so the
-    dense grid is born partitioned the way the ledger windows need it. The
-    number of partitions is fixed: the few rows are about to become many, and
-    their size before that must not decide how many tasks share the work.
+def first_receipt(daily_demand: Column) -> Column:
+    """The order on the first day covers a week at the baseline rate."""
+    return F.bround(daily_demand * F.lit(float(REVIEW_INTERVAL_DAYS)), 0).cast("bigint")
+
+
+def movements(units: DataFrame, skus: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Days on which stock of a SKU may move, from `start` to `end`: ``sku_id``,
+    ``block``, ``day`` (days since `start`), ``demand``, ``receipts``, and on the
+    first day of a SKU's first block ``opening0``.
+
+    Only days with demand, the review days after them and the first day of each
+    block have a row, whatever the length of the range. Receipts do not
+    depend on the stock level: every seventh day the demand of the seven days
+    before is reordered. SKUs that `skus` does not list are left out.
     """
-    if days < RECENT_DAYS + BASELINE_DAYS:
-        raise ValueError("the horizon must include the baseline window")
-    start = end - dt.timedelta(days=days - 1)
-    attributes = [c for c in skus.columns if c != "sku_id"]
-    # Days are counted from `start`; whole numbers expand much faster than dates.
-    opening = skus.select("sku_id", F.lit(-1).alias("_day"), F.struct(*attributes).alias("_sku"))
-    sparse = units.filter(F.col("date").between(F.lit(start), F.lit(end))).select(
-        "sku_id", F.datediff("date", F.lit(start)).alias("_day"), "units"
-    )
-    whole = Window.partitionBy("sku_id")
-    run = whole.orderBy("_day")
-    baseline_day = is_baseline(F.date_add(F.lit(start), F.col("_day")), end)
-    return (
-        spread(opening.unionByName(sparse, allowMissingColumns=True), "sku_id", tasks=tasks)
+    n = day_count(start, end)
+    nothing = F.lit(0).cast("bigint")
+    at = F.datediff("date", F.lit(start))
+    asked = F.col("units").cast("bigint")
+
+    def part(day: Column, demand: Column, receipts: Column, baseline: Column) -> Column:
+        return F.struct(day.alias("day"), demand.alias("demand"), receipts.alias("receipts"), baseline.alias("baseline"))
+
+    # A sale counts on its day, on the review day after its week, and where it is
+    # part of the baseline on the first day: one shuffle sums all three.
+    review = (F.floor(at / F.lit(REVIEW_INTERVAL_DAYS)) + 1).cast("int") * REVIEW_INTERVAL_DAYS
+    unknown = F.lit(None).cast("bigint")
+    sold = (
+        units.filter(F.col("date").between(F.lit(start), F.lit(end)))
         .select(
             "sku_id",
-            "_day",
-            "units",
-            F.first("_sku").over(run).alias("_sku"),
-            (F.lead("_day", 1, days).over(run) - 1).alias("_until"),
-            daily_rate(F.sum(F.when(baseline_day, F.col("units"))).over(whole)).alias("daily_demand"),
+            F.inline(
+                F.array(
+                    part(at, asked, nothing, unknown),
+                    part(review, nothing, asked, unknown),
+                    part(F.lit(0), nothing, nothing, F.when(is_baseline(F.col("date"), end), asked)),
+                )
+            ),
         )
-        .filter(F.col("_sku").isNotNull())
-        .withColumn("_at", F.explode(F.sequence("_day", "_until")))
-        .filter(F.col("_at") >= 0)
-        .select(
-            "sku_id",
-            *(F.col(f"_sku.{c}").alias(c) for c in attributes),
-            "daily_demand",
-            F.date_add(F.lit(start), F.col("_at")).alias("date"),
-            F.when(F.col("_at") == F.col("_day"), F.col("units")).otherwise(F.lit(0).cast("bigint")).alias("demand"),
+        .filter((F.col("day") < n) & ((F.col("demand") > 0) | (F.col("receipts") > 0) | F.col("baseline").isNotNull()))
+    )
+    opened = skus.select(
+        "sku_id", "opening0", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // BLOCK_DAYS))).alias("_block")
+    ).select(
+        "sku_id",
+        (F.col("_block") * BLOCK_DAYS).alias("day"),
+        nothing.alias("demand"),
+        nothing.alias("receipts"),
+        F.when(F.col("_block") == 0, F.col("opening0")).alias("opening0"),
+    )
+    block = F.floor(F.col("day") / F.lit(BLOCK_DAYS)).cast("int")
+    first = F.when(F.col("day") == 0, first_receipt(daily_rate(F.sum("baseline")))).otherwise(nothing)
+    return (
+        opened.unionByName(sold, allowMissingColumns=True)
+        .groupBy("sku_id", block.alias("block"), "day")
+        .agg(
+            F.sum("demand").alias("demand"), (F.sum("receipts") + first).alias("receipts"), F.max("opening0").alias("opening0")
         )
+        .join(skus.select("sku_id"), "sku_id", "left_semi")
     )
 
 
-def replenishment(grid: DataFrame, start: dt.date) -> DataFrame:
-    """Adds ``receipts``: every seventh day the demand of the seven days
-    before is reordered; the first order covers a week at the baseline rate.
+def floored_scan(moves: DataFrame, key: str, block: str, order: str, change: str, initial: str) -> DataFrame:
+    """Adds ``before`` and ``after``: a level that starts at `initial` (given on a
+    key's first row) and moves by `change`, but never below zero.
 
-    Needs ``demand`` and ``daily_demand``. Independent of the stock level.
+    A segmented scan. A change d maps a level s to max(0, s + d); a run of changes
+    composes to max(a, s + b), with b their sum and a what remains of a level of
+    zero. Rows are composed per block, blocks are composed along the key, and each
+    block is filled in from its opening level: a window holds the rows of one
+    block, or one row per block of a key. Within a block, with D the running sum
+    and L the lowest D so far, the level is D + max(s, -L).
     """
-    week = F.sum("demand").over(by_sku().rowsBetween(-REVIEW_INTERVAL_DAYS, -1))
-    day_index = F.datediff("date", F.lit(start))
-    first = F.bround(F.col("daily_demand") * F.lit(float(REVIEW_INTERVAL_DAYS)), 0).cast("bigint")
-    return grid.withColumns(
-        {
-            "day_index": day_index,
-            "trailing_demand": F.coalesce(week, F.lit(0).cast("bigint")),
-            "receipts": F.when(day_index == 0, first)
-            .when(day_index % REVIEW_INTERVAL_DAYS == 0, F.coalesce(week, F.lit(0).cast("bigint")))
-            .otherwise(F.lit(0).cast("bigint")),
-        }
+    rows = Window.partitionBy(key, block).orderBy(order)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
+    summed = moves.withColumn("_sum", F.sum(change).over(so_far))
+    within = summed.withColumns({"_low": F.min("_sum").over(so_far), "_low_before": F.min("_sum").over(earlier)})
+    composed = within.groupBy(key, block).agg(
+        F.max_by("_sum", order).alias("_b"), F.min("_low").alias("_lowest"), F.max(initial).alias("_initial")
+    )
+    blocks = Window.partitionBy(key).orderBy(block)
+    run = blocks.rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("_b").over(run)
+    # a = _b - _lowest is what a block leaves of an empty level; it counts against the sum after it.
+    levels = composed.select(
+        key, block, "_b", "_lowest", total.alias("_total"), F.first("_initial", ignorenulls=True).over(run).alias("_start")
+    ).select(
+        key,
+        block,
+        "_start",
+        (F.col("_total") + F.greatest("_start", F.max(F.col("_b") - F.col("_lowest") - F.col("_total")).over(run))).alias("_closing"),
+    )
+    opened = levels.select(key, block, F.coalesce(F.lag("_closing").over(blocks), F.col("_start")).alias("_level"))
+    # `greatest` skips the NULL before the first row of a block.
+    return within.join(opened, [key, block]).select(
+        *moves.columns,
+        (F.col("_sum") - F.col(change) + F.greatest("_level", -F.col("_low_before"))).alias("before"),
+        (F.col("_sum") + F.greatest("_level", -F.col("_low"))).alias("after"),
     )
 
 
-def stock_ledger(grid: DataFrame) -> DataFrame:
-    """Opening, receipts, units sold and closing per SKU and day.
+def stock_moves(units: DataFrame, skus: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """The stock ledger on the days of `movements`: ``date``, ``sku_id``, ``brand``,
+    ``opening_stock``, ``receipts``, ``units_sold``, ``closing_stock``, and ``demand``, ``block``, ``day``.
 
-    Stock never goes below zero and unmet demand is lost, so closing depends on
-    the day before. With ``S`` the running balance without the floor, closing
-    is ``S - least(0, lowest S so far)``. One running sum and one running
-    minimum replace the loop; the minimum up to the day before gives opening.
-    Needs ``opening0``, ``demand`` and ``receipts``.
+    Stock never goes below zero and unmet demand is lost. Between two rows of a
+    SKU nothing moves, and opening and closing equal the closing before.
     """
-    days = by_sku()
-    so_far = days.rowsBetween(Window.unboundedPreceding, 0)
-    before = days.rowsBetween(Window.unboundedPreceding, -1)
-    balance = grid.withColumn(
-        "_balance", F.col("opening0") + F.sum(F.col("receipts") - F.col("demand")).over(so_far)
-    )
-    lowest = balance.withColumns(
-        {"_lowest": F.min("_balance").over(so_far), "_lowest_before": F.min("_balance").over(before)}
-    )
-    # `least` skips the NULL of the first day, which opens with its full stock.
-    return lowest.selectExpr(
-        "date",
+    moves = movements(units, skus, start, end).withColumn("_change", F.col("receipts") - F.col("demand"))
+    level = floored_scan(moves, "sku_id", "block", "day", "_change", "opening0")
+    return level.join(skus.select("sku_id", "brand"), "sku_id").select(
+        F.date_add(F.lit(start), F.col("day")).alias("date"),
         "sku_id",
         "brand",
-        "_balance - receipts + demand - least(0L, _lowest_before) AS opening_stock",
+        F.col("before").alias("opening_stock"),
         "receipts",
-        "_balance - least(0L, _lowest) AS closing_stock",
-    ).select(
-        "date",
+        (F.col("before") + F.col("receipts") - F.col("after")).alias("units_sold"),
+        F.col("after").alias("closing_stock"),
+        "demand",
+        "block",
+        "day",
+    )
+
+
+def moving_days(moves: DataFrame) -> DataFrame:
+    """Without the block openings on which nothing moves, except for the first day."""
+    return moves.filter((F.col("receipts") > 0) | (F.col("demand") > 0) | (F.col("day") == 0))
+
+
+LEDGER_COLUMNS = ("date", "sku_id", "brand", "opening_stock", "receipts", "units_sold", "closing_stock")
+
+
+def _last_day(start: dt.date, end: dt.date) -> Column:
+    """The day before the next row of the block, or the block's last."""
+    by_block = Window.partitionBy("sku_id", "block").orderBy("day")
+    block_end = F.least((F.col("block") + 1) * BLOCK_DAYS, F.lit(day_count(start, end)))
+    return F.coalesce(F.lead("day").over(by_block), block_end) - 1
+
+
+def stock_spans(moves: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """The ledger with ``until``: the last day to which a row's closing stock stands and nothing moves."""
+    until = F.date_add(F.lit(start), _last_day(start, end))
+    return moves.withColumn("until", until).select(*LEDGER_COLUMNS, "until")
+
+
+def daily_stock(moves: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """The ledger and ``demand`` of every SKU on every day: each row fills the days
+    up to the next one of its block, on which nothing moves."""
+    filled = moves.withColumn("_until", _last_day(start, end)).withColumn("_at", F.explode(F.sequence("day", "_until")))
+    moving = F.col("_at") == F.col("day")
+    nothing = F.lit(0).cast("bigint")
+    return filled.select(
+        F.date_add(F.lit(start), F.col("_at")).alias("date"),
         "sku_id",
         "brand",
-        "opening_stock",
-        "receipts",
-        F.expr("opening_stock + receipts - closing_stock").alias("units_sold"),
+        F.when(moving, F.col("opening_stock")).otherwise(F.col("closing_stock")).alias("opening_stock"),
+        *(F.when(moving, F.col(c)).otherwise(nothing).alias(c) for c in ("receipts", "units_sold")),
         "closing_stock",
+        F.when(moving, F.col("demand")).otherwise(nothing).alias("demand"),
+    )
+
+
+def replenishment(units: DataFrame, skus: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Orders on the first day and on review days after a week with demand:
+    ``sku_id``, ``date``, ``day_index``, ``trailing_demand``, ``receipts``."""
+    ordered = movements(units, skus, start, end).filter((F.col("day") == 0) | (F.col("receipts") > 0))
+    return ordered.select(
+        "sku_id",
+        F.date_add(F.lit(start), F.col("day")).alias("date"),
+        F.col("day").alias("day_index"),
+        F.when(F.col("day") == 0, F.lit(0).cast("bigint")).otherwise(F.col("receipts")).alias("trailing_demand"),
+        "receipts",
     )
 
 

@@ -1,12 +1,14 @@
 """The commerce tables built from a star schema of order lines and events.
 
-Three source clocks differ: orders, shipments and events end on different
-days. Each builder takes the day its data should end on where that matters.
+Three source clocks differ: orders, shipments and events start and end on
+different days, which `clock` reads from the data.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,6 @@ from ..operators.periods import Anchors
 from ..operators.staging import dedupe_first, stage_inventory, stage_marketing, stage_skus, trim_columns
 from .storage import materialize
 
-# Last day of each source clock.
-LAST_ORDER_DAY = dt.date(2001, 8, 1)
-LAST_SHIP_DAY = dt.date(2001, 11, 4)
-LAST_EVENT_DAY = dt.date(2024, 1, 30)
-
-SHIPPING_LAG = (LAST_SHIP_DAY - LAST_ORDER_DAY).days
-
 # Names of the marketing channels; the fourth has no spend.
 MARKETING_CHANNELS = ("paid_search", "paid_social", "affiliate", "referral")
 
@@ -51,6 +46,41 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_COLUMNS[name]).parquet(f"{path}/{name}.parquet")
 
 
+@dataclass(frozen=True)
+class Clock:
+    """First and last day of each source."""
+
+    first_order: dt.date
+    last_order: dt.date
+    first_ship: dt.date
+    last_ship: dt.date
+    first_event: dt.date
+    last_event: dt.date
+
+    @property
+    def shipping_lag(self) -> int:
+        return (self.last_ship - self.last_order).days
+
+    @property
+    def event_shift(self) -> int:
+        """Days by which events run ahead of orders."""
+        return (self.last_event - self.last_order).days
+
+
+def clock(spark: SparkSession, path: str) -> Clock:
+    """The days the data spans; the driver reads one row per source."""
+    dated = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+    bounds = [
+        table(spark, path, name).agg(F.min(F.to_date(day)).alias("first"), F.max(F.to_date(day)).alias("last")).withColumn("name", F.lit(name))
+        for name, day in dated.items()
+    ]
+    found = {r["name"]: (r["first"], r["last"]) for r in reduce(DataFrame.unionByName, bounds).collect()}
+    empty = [name for name in dated if found[name][0] is None]
+    if empty:
+        raise ValueError(f"no dated rows in {empty}: cannot choose as-of dates")
+    return Clock(*(day for name in dated for day in found[name]))
+
+
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """Order lines as delivered: a line may be present more than once."""
     return table(spark, path, "lineitem").select(
@@ -137,8 +167,8 @@ def customers(spark: SparkSession, path: str) -> DataFrame:
     return customer_summary(order_headers(spark, path), acquisition(spark, path))
 
 
-def _event_day(end: dt.date) -> Column:
-    return F.date_sub(F.to_date("ts"), (LAST_EVENT_DAY - end).days)
+def _event_day(shift: int) -> Column:
+    return F.date_sub(F.to_date("ts"), shift)
 
 
 def _bucket() -> Column:
@@ -149,9 +179,9 @@ def _channel(index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in MARKETING_CHANNELS]), (index + 1).cast("int"))
 
 
-def raw_marketing(spark: SparkSession, path: str, end: dt.date = LAST_EVENT_DAY) -> DataFrame:
+def raw_marketing(spark: SparkSession, path: str, shift: int = 0) -> DataFrame:
     """Daily spend and response per brand and channel, from the event stream;
-    event days are moved so that the last one falls on `end`."""
+    event days are moved back by `shift`."""
     kind = F.col("event_type")
 
     def amount(event: str) -> Column:
@@ -161,7 +191,7 @@ def raw_marketing(spark: SparkSession, path: str, end: dt.date = LAST_EVENT_DAY)
     return (
         table(spark, path, "events")
         .groupBy(
-            _event_day(end).alias("date"),
+            _event_day(shift).alias("date"),
             F.concat(F.lit("B"), (_bucket() % 5).cast("string")).alias("brand"),
             _channel(F.col("user_id") % 3).alias("marketing_channel"),
         )
@@ -175,11 +205,11 @@ def raw_marketing(spark: SparkSession, path: str, end: dt.date = LAST_EVENT_DAY)
     )
 
 
-def marketing(spark: SparkSession, path: str, end: dt.date = LAST_EVENT_DAY) -> DataFrame:
-    return stage_marketing(raw_marketing(spark, path, end))
+def marketing(spark: SparkSession, path: str, shift: int = 0) -> DataFrame:
+    return stage_marketing(raw_marketing(spark, path, shift))
 
 
-def acquired_customers(spark: SparkSession, path: str, end: dt.date = LAST_EVENT_DAY) -> DataFrame:
+def acquired_customers(spark: SparkSession, path: str, shift: int = 0) -> DataFrame:
     """First sign-up per user, with the channel it came through."""
     signups = (
         table(spark, path, "events")
@@ -189,31 +219,41 @@ def acquired_customers(spark: SparkSession, path: str, end: dt.date = LAST_EVENT
     return dedupe_first(signups, ["customer_id"], ["ts", "event_id"]).select(
         "customer_id",
         _channel(_bucket() % 4).alias("acquisition_channel"),
-        _event_day(end).alias("first_order_date"),
+        _event_day(shift).alias("first_order_date"),
     )
 
 
-def inventory_from(units: DataFrame, sku_table: DataFrame, end: dt.date) -> DataFrame:
-    """The stock table over the horizon that ends on `end`."""
-    start = end - dt.timedelta(days=ledger.HORIZON_DAYS - 1)
-    grid = ledger.dense_demand(units, sku_table.select("sku_id", "brand", "opening0"), end)
-    return stage_inventory(ledger.stock_ledger(ledger.replenishment(grid, start)))
+def units(spark: SparkSession, path: str) -> DataFrame:
+    return ledger.units_by_sku_day(shipped_lines(spark, path), "ship_date")
+
+
+def stock_moves(spark: SparkSession, path: str, span: Clock, end: dt.date | None = None) -> DataFrame:
+    """The ledger from the first shipment to `end` (the last one), on days on which stock may move."""
+    plan = stage_skus(raw_skus(spark, path)).select("sku_id", "brand", "opening0")
+    return ledger.stock_moves(units(spark, path), plan, span.first_ship, end or span.last_ship)
+
+
+def inventory(spark: SparkSession, path: str, span: Clock, end: dt.date | None = None) -> DataFrame:
+    """The stock table: every SKU on every day from the first shipment to `end`."""
+    end = end or span.last_ship
+    daily = ledger.daily_stock(stock_moves(spark, path, span, end), span.first_ship, end)
+    return stage_inventory(daily.select(*ledger.LEDGER_COLUMNS))
 
 
-def inventory(spark: SparkSession, path: str, end: dt.date = LAST_SHIP_DAY) -> DataFrame:
-    units = ledger.units_by_sku_day(shipped_lines(spark, path), "ship_date")
-    return inventory_from(units, skus(spark, path), end)
+def stock_spans(spark: SparkSession, path: str, span: Clock, end: dt.date | None = None) -> DataFrame:
+    """The stock table with a row only where stock moves."""
+    end = end or span.last_ship
+    return stage_inventory(ledger.stock_spans(stock_moves(spark, path, span, end), span.first_ship, end))
 
 
 def commerce_tables(
-    spark: SparkSession, path: str, anchors: Anchors, store: bool = False
+    spark: SparkSession, path: str, anchors: Anchors, span: Clock, store: bool = False
 ) -> dict[str, DataFrame]:
     """All tables on the order clock, for runs that combine lenses.
 
     With `store` the staged lines of the periods in question are written once
     to the shared folder, because several KPI sections start from them.
     """
-    end = LAST_ORDER_DAY
     staged = (
         order_lines(spark, path)
         .filter(anchors.covers(F.col("order_date")))
@@ -222,10 +262,10 @@ def commerce_tables(
     return {
         "orders": materialize(staged) if store else staged,
         "order_heads": orders(spark, path),
-        "marketing": marketing(spark, path, end),
-        "acquired": acquired_customers(spark, path, end),
+        "marketing": marketing(spark, path, span.event_shift),
+        "acquired": acquired_customers(spark, path, span.event_shift),
         "customers": customers(spark, path),
-        "inventory": inventory(spark, path, end),
+        "inventory": stock_spans(spark, path, span, span.last_order),
     }
 
 
