@@ -574,57 +574,119 @@ def trend_points() -> str:
   UNION ALL SELECT 'inventory', 'days_of_cover[' || sku_id || ']', as_of, days_of_cover FROM risk)"""
 
 
-def frame_rows() -> str:
-    frames = {
-        "header": "anchors",
-        "sales.summary": "summary",
-        "sales.by_brand_channel": "segments",
-        "sales.by_sku": "sku_segments",
-        "marketing.by_segment": "msegments",
-        "marketing.cac_by_channel": "cac",
-        "customer.mix": "mix",
-        "inventory.risk_by_sku": "risk",
-        "decisions": "items",
-    }
-    return " UNION ALL ".join(
-        f"SELECT as_of, count(*) AS rows, '{name}' AS frame FROM {source} GROUP BY as_of" for name, source in frames.items()
+_change = "current_{0} previous_{0}".format
+# Frame, source and key columns of each section: its numeric columns.
+FRAME_NUMBERS = {
+    ("sales.summary", "summary", ""): " ".join(
+        f"{_change(k)} pct_{k}" for k in ("net_revenue", "orders", "units_sold", "aov")
+    ),
+    ("sales.by_brand_channel", "segments", "brand channel"): f"{_change('net_revenue')} change pct_change",
+    ("sales.by_sku", "sku_segments", "sku_id brand"): f"{_change('net_revenue')} change pct_change",
+    ("marketing.by_segment", "msegments", "brand marketing_channel"): " ".join(
+        map(_change, ("spend", "attributed_revenue", "roas"))
     )
-
-
-def contents() -> str:
-    """Every value of one date, column by column."""
-    change = "current_{0} previous_{0}".format
-    numbers = {
-        ("sales.summary", "summary", ""): " ".join(
-            f"{change(k)} pct_{k}" for k in ("net_revenue", "orders", "units_sold", "aov")
-        ),
-        ("sales.by_brand_channel", "segments", "brand channel"): f"{change('net_revenue')} change pct_change",
-        ("sales.by_sku", "sku_segments", "sku_id brand"): f"{change('net_revenue')} change pct_change",
-        ("marketing.by_segment", "msegments", "brand marketing_channel"): " ".join(
-            map(change, ("spend", "attributed_revenue", "roas"))
-        )
-        + " roas_change_pct",
-        ("marketing.cac_by_channel", "cac", "marketing_channel"): "spend new_customers cac",
-        ("customer.mix", "mix", ""): f"{change('new_share')} {change('returning_share')}",
-        ("customer.repeat_purchase_rate", "repeat_rate", ""): "repeat_purchase_rate",
-        ("inventory.risk_by_sku", "risk", "sku_id brand"): "on_hand velocity days_of_cover stockout_risk excess_risk",
-        ("decisions", "items", "lens issue_type kpi_to_monitor"): "impact",
-    }
-    worded = {("decisions", "items", "lens issue_type kpi_to_monitor"): "severity headline possible_action"}
+    + " roas_change_pct",
+    ("marketing.cac_by_channel", "cac", "marketing_channel"): "spend new_customers cac",
+    ("customer.mix", "mix", ""): f"{_change('new_share')} {_change('returning_share')}",
+    ("customer.repeat_purchase_rate", "repeat_rate", ""): "repeat_purchase_rate",
+    ("inventory.risk_by_sku", "risk", "sku_id brand"): "on_hand velocity days_of_cover stockout_risk excess_risk",
+    ("decisions", "items", "lens issue_type kpi_to_monitor"): "impact",
+}
+FRAME_TEXTS = {("decisions", "items", "lens issue_type kpi_to_monitor"): "severity headline possible_action"}
+
+
+def cells(left_out: tuple[str, ...] = (), where: str = "") -> str:
+    """Every value, column by column."""
     parts = []
     for columns, number, text in (
-        (numbers, "CAST({} AS DOUBLE)", "CAST(NULL AS VARCHAR)"),
-        (worded, "CAST(NULL AS DOUBLE)", "{}"),
+        (FRAME_NUMBERS, "CAST({} AS DOUBLE)", "CAST(NULL AS VARCHAR)"),
+        (FRAME_TEXTS, "CAST(NULL AS DOUBLE)", "{}"),
     ):
         for (frame, source, keys), names in columns.items():
+            if frame in left_out:
+                continue
             key = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys.split()) + ")" if keys else "''"
+            chosen = where if source == "items" else ""
             parts += [
                 f"SELECT as_of, '{frame}' AS frame, {key} AS key, '{n}' AS column, {number.format(n)} AS number, "
-                f"{text.format(n)} AS text FROM {source}"
+                f"{text.format(n)} AS text FROM {source} {chosen}"
                 for n in names.split()
             ]
-    rate = f"SELECT as_of, {r('avg(CAST(is_returning AS INTEGER))', 3)} AS repeat_purchase_rate FROM anchors, customers GROUP BY as_of"
-    return f"WITH RECURSIVE {together(TOGETHER)}, repeat_rate AS ({rate}) " + " UNION ALL ".join(parts)
+    return " UNION ALL ".join(parts)
+
+
+REPEAT_RATE = f"""repeat_rate AS (
+  SELECT as_of, {r('avg(CAST(is_returning AS INTEGER))', 3)} AS repeat_purchase_rate FROM anchors, customers GROUP BY as_of)"""
+
+
+def contents() -> str:
+    return f"WITH RECURSIVE {together(TOGETHER)}, {REPEAT_RATE} {cells()}"
+
+
+def frame_values() -> str:
+    """Per date, frame and column: how many values there are, and their sum or, of texts, length."""
+    parts = []
+    for columns, total in ((FRAME_NUMBERS, "CAST({} AS DECIMAL(28,4))"), (FRAME_TEXTS, "length({})")):
+        for (frame, source, _), names in columns.items():
+            if frame != "customer.repeat_purchase_rate":
+                parts += [
+                    f"SELECT as_of, '{frame}' AS frame, '{n}' AS column, count(*) AS rows, count({n}) AS filled, "
+                    f"CAST(sum({total.format(r(f'CAST({n} AS DOUBLE)', 4) if 'DECIMAL' in total else n)}) AS DOUBLE) AS total "
+                    f"FROM {source} GROUP BY as_of"
+                    for n in names.split()
+                ]
+    return f"WITH RECURSIVE {together(TOGETHER_DAYS)} {' UNION ALL '.join(parts)}"
+
+
+SHIPPED = "SELECT DISTINCT {0}order_id, ship_date FROM lines{1}"
+
+
+def shipped(step: int, *keys: str) -> str:
+    cols = "".join(f"{k}, " for k in keys)
+    source = SHIPPED.format(cols and "trim(p_brand) AS brand, ", " JOIN part ON p_partkey = sku_id" if keys else "")
+    counted = f"""count(DISTINCT order_id) FILTER ({cur('ship_date')}) AS current_orders,
+  count(DISTINCT order_id) FILTER ({prev('ship_date')}) AS previous_orders"""
+    return f"""WITH anchors AS ({anchors(LAST_SHIP_DAY, first=FIRST_SHIP_DAY, window=30, step=step)}), {LINES}, s AS ({source})
+SELECT as_of, {cols}{counted} FROM anchors {"" if keys else "LEFT "}JOIN s ON {both('ship_date')} GROUP BY ALL"""
+
+
+LIFETIMES = f"""WITH RECURSIVE {together(TOGETHER_DAYS)},
+places AS (SELECT as_of, row_number() OVER (ORDER BY as_of) AS i FROM anchors),
+raised AS (SELECT lens, issue_type, kpi_to_monitor, i, as_of,
+    min(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS grade
+  FROM items JOIN places USING (as_of) GROUP BY ALL),
+begun AS (SELECT *, CASE WHEN lag(i) OVER issue = i - 1 THEN 0 ELSE 1 END AS starts FROM raised
+  WINDOW issue AS (PARTITION BY lens, issue_type, kpi_to_monitor ORDER BY i)),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY lens, issue_type, kpi_to_monitor ORDER BY i) AS occurrence FROM begun)
+SELECT lens, issue_type, kpi_to_monitor, min(as_of) AS first_seen, max(as_of) AS last_seen, CAST(count(*) AS INTEGER) AS dates,
+  CASE min(grade) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS gravest, CAST(occurrence AS INTEGER) AS occurrence,
+  count(*) OVER (PARTITION BY lens, issue_type, kpi_to_monitor) AS occurrences, max(i) = (SELECT max(i) FROM places) AS open
+FROM numbered GROUP BY lens, issue_type, kpi_to_monitor, occurrence"""
+
+
+def placed(result: str, source: str, key: str, order: str) -> str:
+    return f"""SELECT as_of, '{result}' AS result, {key} AS row,
+  row_number() OVER (PARTITION BY as_of ORDER BY {order}) AS position FROM {source}"""
+
+
+def report_orders() -> str:
+    """Each result over its own dates."""
+    parts = {
+        "sales": (
+            f"WITH anchors AS ({SALES_DAYS}), {ORDER_LINES}, {segments('brand', 'channel')}",
+            placed("sales", "segments", "brand || ' / ' || channel", "abs(change) DESC, brand, channel"),
+        ),
+        "marketing": (
+            f"WITH anchors AS ({MARKETING_DAYS}), {marketing()}, {MARKETING_SEGMENTS}",
+            placed("marketing", "msegments", "brand || ' / ' || marketing_channel", "roas_change_pct ASC NULLS LAST, brand, marketing_channel"),
+        ),
+        "cac": (
+            f"WITH anchors AS ({MARKETING_DAYS}), {marketing()}, {acquired()}, {CAC}",
+            placed("cac", "cac", "marketing_channel", "marketing_channel"),
+        ),
+        "inventory": (with_risk(STOCK_DAYS), placed("inventory", "risk", "CAST(sku_id AS VARCHAR)", "days_of_cover ASC NULLS FIRST, sku_id")),
+    }
+    return " UNION ALL ".join(f"SELECT * FROM ({ctes} {body})" for ctes, body in parts.values())
 
 
 def without_date(statement: str) -> str:
@@ -879,7 +941,21 @@ SELECT s.*, m.* EXCLUDE (as_of), c.* EXCLUDE (as_of), 2 AS schema_version, CAST(
   CAST(14 AS DOUBLE) AS velocity_window_days, CAST(NULL AS VARCHAR) AS narrative
 FROM summary s JOIN mix m ON m.as_of = s.as_of JOIN counts c ON c.as_of = s.as_of""",
         "snapshot_contents": contents(),
-        "snapshot_history": f"WITH RECURSIVE {together(TOGETHER_DAYS)} {frame_rows()}",
+        "snapshot_history": frame_values(),
+        "ranked_issues": f"""WITH RECURSIVE {together(TOGETHER_DAYS)}
+SELECT as_of, rank, lens, issue_type, severity, kpi_to_monitor FROM ranked""",
+        "issue_lifetimes": LIFETIMES,
+        "report_orders": report_orders(),
+        "shipped_orders_history": shipped(1),
+        "shipped_orders_by_sku_brand": shipped(7, "brand"),
+        "content_reconciliation": f"""WITH {LINES}
+SELECT order_id, line_no, 'lost' AS status, 1 AS delivered_rows, 0 AS loaded_rows FROM lines WHERE order_id % 1000 = 7
+UNION ALL SELECT order_id, line_no, 'repeated', 1, 2 FROM lines WHERE order_id % 1000 = 8
+UNION ALL SELECT order_id, line_no, 'altered', 1, 1 FROM lines WHERE order_id % 1000 = 9
+UNION ALL SELECT order_id, line_no + 100, 'added', 0, 1 FROM lines WHERE order_id % 1000 = 10""",
+        "checked_replace": f"WITH {CUSTOMERS} SELECT *, true AS refused FROM customers",
+        "history_increment": f"""WITH RECURSIVE {together(TOGETHER_DAYS)}
+{cells(("sales.by_sku", "customer.repeat_purchase_rate", "inventory.risk_by_sku"), "WHERE lens <> 'inventory'")}""",
         "snapshot_roundtrip": f"WITH RECURSIVE {together(TOGETHER_DAYS)} SELECT {short}, impact FROM items",
         "csv_roundtrip": f"WITH {CUSTOMERS} SELECT * FROM customers",
         "row_count_reconciliation": f"""WITH RECURSIVE {CUSTOMERS}, {marketing()}, {stock(LAST_SHIP_DAY)},

@@ -12,16 +12,18 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, customer, decisions, inventory, ledger, marketing, quality, reports, rules, sales
+from ..operators import compare, customer, decisions, digest, inventory, ledger, marketing, quality, reports, rules, sales
 from ..operators import periods as P
 from ..operators import staging
 from ..operators.periods import Anchors
+from ..operators.ranking import positions
 from ..plans import history as H
 from ..plans import lens as L
 from ..plans import sql
+from ..plans.increment import update_history
 from ..plans.session import tune
 from ..sources import star_schema as S
 from ..sources import storage
@@ -260,6 +262,23 @@ def sales_by_channel(spark, path):
     return sales.sales_by_segment(S.order_lines(spark, path), d.sales_days, ["channel"])
 
 
+@query
+def shipped_orders_history(spark, path):
+    """Orders with a shipment in each period; the lines of an order ship on several days."""
+    d = Dates.of(spark, path)
+    dates = Anchors.back_from(d.clock.last_ship, d.clock.first_ship, 30)
+    return P.distinct_totals(S.shipped_lines(spark, path), dates, "ship_date", "order_id", name="orders")
+
+
+@query
+def shipped_orders_by_sku_brand(spark, path):
+    """The same per brand."""
+    d = Dates.of(spark, path)
+    dates = Anchors.back_from(d.clock.last_ship, d.clock.first_ship, 30, spacing_days=7)
+    lines = S.shipped_lines(spark, path).join(S.sku_brands(spark, path), "sku_id")
+    return P.distinct_totals(lines, dates, "ship_date", "order_id", ["brand"], "orders")
+
+
 # --- marketing -------------------------------------------------------------
 
 
@@ -512,6 +531,49 @@ def top_issues(spark, path):
     )
 
 
+@query
+def ranked_issues(spark, path):
+    """Every item of every date with its rank."""
+    d = Dates.of(spark, path)
+    ranked = decisions.ranked_issues(judged(spark, path, d, d.together_days))
+    return ranked.select("as_of", "rank", "lens", "issue_type", "severity", "kpi_to_monitor")
+
+
+@query
+def issue_lifetimes(spark, path):
+    """Every run of dates on which an issue was raised, over the whole history."""
+    d = Dates.of(spark, path)
+    return rules.lifetimes(judged(spark, path, d, d.together_days), d.together_days)
+
+
+def _kept_order(frame: DataFrame, result: str, key: list[str], order: list) -> DataFrame:
+    placed = positions(frame, order, ["as_of"])
+    return placed.select("as_of", F.lit(result).alias("result"), F.concat_ws(" / ", *key).alias("row"), "position")
+
+
+@query
+def report_orders(spark, path):
+    """The order in which each result is shown, as a column that storage keeps."""
+    d = Dates.of(spark, path)
+    lines, spend = S.order_lines(spark, path), S.marketing(spark, path)
+    brand_channel, medium = ["brand", "channel"], ["brand", "marketing_channel"]
+    parts = [
+        _kept_order(
+            sales.sales_by_segment(lines, d.sales_days, brand_channel), "sales", brand_channel, sales.by_change(brand_channel)
+        ),
+        _kept_order(marketing.marketing_by_segment(spend, d.marketing_days), "marketing", medium, marketing.by_roas_change()),
+        _kept_order(
+            marketing.cac_by_channel(spend, S.acquired_customers(spark, path), d.marketing_days), "cac", ["marketing_channel"],
+            [F.asc("marketing_channel")],
+        ),
+        _kept_order(
+            inventory.inventory_risk(S.stock_spans(spark, path, d.clock), d.stock_days), "inventory", ["sku_id"],
+            inventory.shortest_cover(),
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def filter_decisions(spark, path):
     d = Dates.of(spark, path)
@@ -592,15 +654,23 @@ def copy_prompt(spark, path):
 # --- snapshot, history, files ----------------------------------------------
 
 
-def _section_counts(built: H.History) -> DataFrame:
-    """Rows per as-of date and stored frame."""
-    counted = None
-    for name, frame in built.frames().items():
-        if "as_of" not in frame.columns:
-            continue
-        part = frame.groupBy("as_of").agg(F.count(F.lit(1)).alias("rows")).withColumn("frame", F.lit(name))
-        counted = part if counted is None else counted.unionByName(part)
-    return counted
+def _values(name: str, frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Per date and column of a frame: rows, values, and their sum or, of texts, length."""
+
+    def column(field) -> Column:
+        value = F.col(field.name)
+        worded = field.dataType.simpleString() == "string"
+        number = F.length(value) if worded else F.round(value.cast("double"), 4)
+        return F.struct(
+            F.lit(field.name).alias("column"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count(value).alias("filled"),
+            F.sum(number.cast("decimal(28,4)")).cast("double").alias("total"),
+        )
+
+    shown = [f for f in frame.schema.fields if f.name not in ("as_of", *keys)]
+    totals = frame.groupBy("as_of").agg(F.array(*map(column, shown)).alias("columns"))
+    return totals.select("as_of", F.lit(name).alias("frame"), F.inline("columns"))
 
 
 @query
@@ -637,6 +707,9 @@ SNAPSHOT_KEYS = {
 }
 
 
+DECISION_CELLS = ("as_of", "lens", "issue_type", "kpi_to_monitor", "severity", "headline", "possible_action")
+
+
 @query
 def snapshot_contents(spark, path):
     """Every value of every section and item of one date."""
@@ -644,19 +717,19 @@ def snapshot_contents(spark, path):
     built = together(spark, path, d, d.together, store=False)
     frames = built.frames()
     frames["customer.repeat_purchase_rate"] = frames["customer.repeat_purchase_rate"].withColumn("as_of", F.lit(d.together.latest))
-    frames["decisions"] = frames["decisions"].select(
-        "as_of", "lens", "issue_type", "kpi_to_monitor", "severity", "headline", "possible_action",
-        decisions.impact().alias("impact"),
-    )
+    frames["decisions"] = frames["decisions"].select(*DECISION_CELLS, decisions.impact().alias("impact"))
     parts = [H.cells(frames[name], name, keys) for name, keys in SNAPSHOT_KEYS.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def snapshot_history(spark, path):
-    """Every date's items and KPI rows, as rows per frame."""
+    """Every value of every date's KPI rows and items, summed up per column."""
     d = Dates.of(spark, path)
-    return _section_counts(together(spark, path, d, d.together_days))
+    frames = together(spark, path, d, d.together_days).frames()
+    frames["decisions"] = frames["decisions"].select(*DECISION_CELLS, decisions.impact().alias("impact"))
+    dated = [n for n in SNAPSHOT_KEYS if "as_of" in frames[n].columns]
+    return reduce(DataFrame.unionByName, [_values(n, frames[n], SNAPSHOT_KEYS[n]) for n in dated])
 
 
 @query
@@ -708,6 +781,61 @@ def row_count_reconciliation(spark, path):
     return storage.reconcile(delivered, loaded)
 
 
+@query
+def content_reconciliation(spark, path):
+    """Delivered order lines against a load in which some were lost, some are there
+    twice, some have another quantity, and some are new: all of them are found."""
+    delivered = S.shipped_lines(spark, path)
+    kind = F.col("order_id") % 1000
+    loaded = delivered.filter(kind != 7).withColumn("quantity", F.col("quantity") + F.when(kind == 9, 1).otherwise(0))
+    twice = loaded.filter(kind == 8)
+    new = loaded.filter(kind == 10).withColumn("line_no", F.col("line_no") + 100)
+    loaded = storage.materialize(loaded.unionByName(twice).unionByName(new))
+    return digest.row_differences(delivered, loaded, ["order_id", "line_no"])
+
+
+@query
+def checked_replace(spark, path):
+    """A load that holds what was delivered replaces the table; one that lost rows doesn't."""
+    root = storage.shared_dir(spark)
+    customers = S.customers(spark, path)
+    landed = f"{root}/landed"
+    delivered = storage.write_observed(customers, lambda rows: storage.write_csv(rows, landed))
+    whole = storage.read_table(spark, landed, customers.schema)
+    storage.replace_checked({"customers": whole}, {"customers": delivered}, root)
+    try:
+        storage.replace_checked({"customers": whole.filter("customer_id % 10 <> 3")}, {"customers": delivered}, root)
+        refused = False
+    except storage.LoadMismatch:
+        refused = True
+    return storage.read_current(spark, root, "customers", customers.schema).withColumn("refused", F.lit(refused))
+
+
+@query
+def history_increment(spark, path):
+    """A history stored without the last week, then brought up to date: every value of every date."""
+    d = Dates.of(spark, path)
+    dates = d.together_days
+    last = F.lit(dates.dates[-2])
+    after = {n: f for n, f in S.commerce_tables(spark, path, dates, d.clock, store=True).items() if n != "inventory"}
+    before = {
+        "orders": after["orders"].filter(F.col("order_date") <= last),
+        "order_heads": after["order_heads"].filter(F.col("order_date") <= last),
+        "marketing": after["marketing"].filter(F.col("date") <= last),
+        "acquired": after["acquired"].filter(F.col("first_order_date") <= last),
+        "customers": after["customers"],
+    }
+    settings = L.Settings(enabled=("sales", "marketing", "customer"))
+    target = storage.shared_dir(spark)
+    earlier = Anchors(dates.dates[:-1], dates.window_days)
+    H.write_history(H.build_history(spark, before, earlier, L.load_lenses(settings.enabled), settings, store_shared=True), target)
+    update_history(spark, target, before, after, dates, settings)
+    frames = H.open_history(spark, target).frames()
+    frames["decisions"] = frames["decisions"].select(*DECISION_CELLS, decisions.impact().alias("impact"))
+    names = [n for n in SNAPSHOT_KEYS if n in frames and "as_of" in frames[n].columns and n != "sales.by_sku"]
+    return reduce(DataFrame.unionByName, [H.cells(frames[n], n, SNAPSHOT_KEYS[n]) for n in names])
+
+
 # --- SQL table functions ---------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prose import LANGUAGES, LOCALIZED, render
 from ..functions import text
+from .ranking import positions
 from .rules import IMPACT, SEVERITIES, severity_rank, standing
 
 DEFAULT_TOP = 5
@@ -45,6 +46,11 @@ def top_issues(decisions: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
     return decisions.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
 
 
+def ranked_issues(decisions: DataFrame) -> DataFrame:
+    """All items with their ``rank`` per as-of date, however many a date has."""
+    return positions(decisions, by_materiality(), ["as_of"], "rank")
+
+
 def _chosen(lenses: Sequence[str], severities: Sequence[str], owners: Mapping[str, str]) -> Column:
     """Whether an item is chosen; one without a known lens goes by its issue type."""
     chosen = F.lit(True)

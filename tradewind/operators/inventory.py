@@ -164,4 +164,8 @@ def flag_counts(risk: DataFrame) -> DataFrame:
 
 def by_shortest_cover(risk: DataFrame) -> DataFrame:
     """Report order: SKUs that do not sell first, then shortest cover."""
-    return risk.orderBy("as_of", F.col("days_of_cover").asc_nulls_first(), "sku_id")
+    return risk.orderBy("as_of", *shortest_cover())
+
+
+def shortest_cover() -> list[Column]:
+    return [F.col("days_of_cover").asc_nulls_first(), F.asc("sku_id")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import amount, dollars, pct_change, ratio
@@ -66,4 +66,8 @@ def cac_by_channel(marketing: DataFrame, customers: DataFrame, anchors: Anchors)
 
 def by_worst_roas(segments: DataFrame) -> DataFrame:
     """Report order: steepest decline first, not computable last."""
-    return segments.orderBy("as_of", F.col("roas_change_pct").asc_nulls_last(), *SEGMENT)
+    return segments.orderBy("as_of", *by_roas_change())
+
+
+def by_roas_change() -> list[Column]:
+    return [F.col("roas_change_pct").asc_nulls_last(), *(F.asc(c) for c in SEGMENT)]

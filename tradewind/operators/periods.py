@@ -310,3 +310,57 @@ def _running_totals(daily, anchors, day, keys, names, previous):
             *(f"{s}_{m}" for s in _sides(previous) for m in names),
         )
     )
+
+
+def distinct_totals(
+    facts: DataFrame, anchors: Anchors, day: str, entity: str, keys: Sequence[str] = (), name: str = "entities"
+) -> DataFrame:
+    """``current_<name>`` and ``previous_<name>``: different values of `entity` with a
+    row in each period, per as-of date and `keys`.
+
+    An entity counts on the dates from a day it occurs on until its next day, or
+    until that day leaves the period: pieces that don't overlap. Each adds one
+    where it begins and takes one away where it ends, so an entity on many days counts
+    once in every window. Without `keys` every as-of date gets a row.
+    """
+    width, n = anchors.window_days, len(anchors.dates)
+    own = Window.partitionBy(entity, *keys).orderBy(day)
+    days = facts.filter(anchors.covers(F.col(day))).select(entity, *keys, day).distinct()
+    left = F.date_add(day, width)
+    until = F.least(left, F.coalesce(F.lead(day).over(own), left))
+    pieces = days.select(*keys, F.col(day).alias("_from"), until.alias("_to"))
+
+    def change(at: str, shift: int, side: str, step: int) -> Column:
+        one, none = F.lit(step).cast("bigint"), F.lit(0).cast("bigint")
+        return F.struct(
+            anchors.index_from(F.date_add(at, shift)).alias("_at"),
+            (one if side == "current" else none).alias("current"),
+            (one if side == "previous" else none).alias("previous"),
+        )
+
+    changes = F.array(
+        change("_from", 0, "current", 1), change("_to", 0, "current", -1),
+        change("_from", width, "previous", 1), change("_to", width, "previous", -1),
+    )
+    steps = (
+        pieces.select(*keys, F.inline(changes))
+        .filter(F.col("_at") < n)
+        .groupBy(*keys, "_at")
+        .agg(F.sum("current").alias("current"), F.sum("previous").alias("previous"))
+    )
+    if not keys:  # a row per as-of date, also where nothing changes
+        none = F.lit(0).cast("bigint")
+        every = facts.sparkSession.range(n).select(F.col("id").cast("int").alias("_at"), none.alias("current"), none.alias("previous"))
+        steps = steps.unionByName(every).groupBy("_at").agg(F.sum("current").alias("current"), F.sum("previous").alias("previous"))
+    # One row per as-of date at most, by key.
+    order = Window.partitionBy(*keys).orderBy("_at")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    sides = ("current", "previous")
+    totals = steps.select(
+        *keys, "_at", (F.lead("_at", 1, n).over(order) - 1).alias("_until"), *(F.sum(s).over(run).alias(s) for s in sides)
+    )
+    if keys:
+        totals = totals.filter(F.col("current") + F.col("previous") > 0)
+    return totals.withColumn("_at", F.explode(F.sequence("_at", "_until"))).select(
+        anchors.date_at(F.col("_at")).alias("as_of"), *keys, *(F.col(s).alias(f"{s}_{name}") for s in sides)
+    )

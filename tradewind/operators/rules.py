@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -252,3 +252,32 @@ def _with_status(joined: DataFrame) -> DataFrame:
         .otherwise("persisting")
     )
     return joined.withColumn("status", status)
+
+
+def lifetimes(items: DataFrame, anchors: Anchors) -> DataFrame:
+    """Every run of successive as-of dates on which an issue is raised: ``first_seen``,
+    ``last_seen``, ``dates``, its ``gravest`` severity, ``occurrence`` (from 1) of
+    ``occurrences`` of the issue, and ``open``: whether it lasts to the latest date.
+
+    Gaps and islands: within an issue the position of a date less its rank is the
+    same throughout a run. An issue has one row per as-of date at most.
+    """
+    same = ["lens", "issue_type", "kpi_to_monitor"]
+    order = Window.partitionBy(*same).orderBy("_at")
+    daily = items.groupBy(*same, anchors.index_from(F.col("as_of")).alias("_at")).agg(F.min(severity_rank()).alias("_rank"))
+    runs = (
+        daily.withColumn("_run", F.col("_at") - F.row_number().over(order))
+        .groupBy(*same, "_run")
+        .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.min("_rank").alias("_rank"))
+    )
+    whole = Window.partitionBy(*same)
+    return runs.select(
+        *same,
+        anchors.date_at(F.col("_first")).alias("first_seen"),
+        anchors.date_at(F.col("_last")).alias("last_seen"),
+        (F.col("_last") - F.col("_first") + 1).alias("dates"),
+        F.get(F.array(*(F.lit(s) for s in SEVERITIES)), F.col("_rank").cast("int")).alias("gravest"),
+        F.row_number().over(whole.orderBy("_first")).alias("occurrence"),
+        F.count(F.lit(1)).over(whole).alias("occurrences"),
+        (F.col("_last") == len(anchors.dates) - 1).alias("open"),
+    )

@@ -4,38 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import amount, dollars, pct_change, ratio
-from .periods import Anchors, period_totals
+from .periods import Anchors, distinct_totals, period_totals
 
 
 def sales_summary(orders: DataFrame, anchors: Anchors) -> DataFrame:
     """One row per as-of date: both periods and percent changes.
 
-    Lines are summed per order and day first, so orders are counted without a
-    distinct, and added up over days, which is right because an order has one date.
+    Revenue and units are summed per day; an order counts once in each period,
+    also where its lines have several dates.
     """
-    per_order = (
+    daily = (
         orders.filter(anchors.covers(F.col("order_date")))
-        .groupBy("order_id", "order_date")
+        .groupBy("order_date")
         .agg(
             F.expr(f"coalesce(sum({amount('net_sales')}), 0)").alias("net"),
             F.coalesce(F.sum(F.col("quantity").cast("bigint")), F.lit(0).cast("bigint")).alias("units"),
         )
     )
-    daily = per_order.groupBy("order_date").agg(
-        F.sum("net").alias("net"), F.count("order_id").alias("orders"), F.sum("units").alias("units")
-    )
-    return summarize_daily_sales(daily, anchors)
-
-
-def summarize_daily_sales(daily: DataFrame, anchors: Anchors) -> DataFrame:
-    """`sales_summary` from per-day totals ``net``, ``orders``, ``units``."""
-    totals = period_totals(
-        daily, anchors, "order_date", [], {m: m for m in ("net", "orders", "units")}
-    )
+    counted = distinct_totals(orders, anchors, "order_date", "order_id", name="orders")
+    totals = period_totals(daily, anchors, "order_date", [], {m: m for m in ("net", "units")}).join(counted, "as_of")
 
     def aov(side: str):
         per_order = ratio(dollars(F.col(f"{side}_net"), 2), F.col(f"{side}_orders"))
@@ -78,4 +69,8 @@ def sales_by_segment(orders: DataFrame, anchors: Anchors, group_cols: Sequence[s
 
 def by_largest_change(segments: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Report order: largest swings first."""
-    return segments.orderBy("as_of", F.abs("change").desc(), *group_cols)
+    return segments.orderBy("as_of", *by_change(group_cols))
+
+
+def by_change(group_cols: Sequence[str]) -> list[Column]:
+    return [F.abs("change").desc(), *(F.asc(c) for c in group_cols)]

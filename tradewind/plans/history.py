@@ -211,11 +211,22 @@ def write_history(history: History, path: str) -> None:
     schemas = history.header.sparkSession.createDataFrame(described, "frame STRING, schema STRING")
     schemas.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{SCHEMAS}")
     for name, frame in frames.items():
-        target = f"{path.rstrip('/')}/{name}"
-        dated = "as_of" in frame.columns
-        writer = (frame.hint("rebalance", "as_of") if dated else frame).write.mode("overwrite")
-        writer = writer.option("ignoreNullFields", "false")
-        (writer.partitionBy("as_of") if dated else writer).json(target)
+        _write_frame(frame, f"{path.rstrip('/')}/{name}", "overwrite")
+
+
+def append_history(history: History, path: str) -> None:
+    """Adds the dates of `history`, header last; frames without dates are replaced."""
+    frames = history.frames()
+    for name in sorted(frames, key=lambda n: n == "header"):
+        mode = "append" if "as_of" in frames[name].columns else "overwrite"
+        _write_frame(frames[name], f"{path.rstrip('/')}/{name}", mode)
+
+
+def _write_frame(frame: DataFrame, target: str, mode: str) -> None:
+    dated = "as_of" in frame.columns
+    writer = (frame.hint("rebalance", "as_of") if dated else frame).write.mode(mode)
+    writer = writer.option("ignoreNullFields", "false")
+    (writer.partitionBy("as_of") if dated else writer).json(target)
 
 
 def read_frame(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:

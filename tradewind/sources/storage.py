@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import digest
+from ..operators.digest import Digest
+
 
 class LoadMismatch(RuntimeError):
     """Loaded tables do not hold exactly the rows that were delivered."""
@@ -48,8 +51,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     )
 
 
+# Values are written as they are; the writer would trim them.
+CSV_WRITE = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").option("header", True).csv(path)
+    frame.write.mode("overwrite").options(**CSV_WRITE).csv(path)
 
 
 def declared_columns(frame: DataFrame, schema: T.StructType) -> DataFrame:
@@ -75,19 +82,61 @@ def replace_table(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").parquet(path)
 
 
-def land_run(frame: DataFrame, root: str, table: str, run_date: dt.date) -> str:
-    """Files one run under ``<root>/<table>/run_date=<day>``. Landing the same
-    day again replaces that day only; earlier runs are kept."""
-    path = f"{root.rstrip('/')}/{table}"
-    (
-        frame.withColumn("run_date", F.lit(run_date))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("header", True)
-        .partitionBy("run_date")
-        .csv(path)
-    )
-    return path
+def write_observed(frame: DataFrame, write: Callable[[DataFrame], None]) -> Digest:
+    """The digest of exactly the rows that `write` wrote, from that same pass."""
+    seen = Observation()
+    write(frame.observe(seen, *digest.measures(frame.columns)))
+    return Digest.of(seen.get)
+
+
+def replace_checked(frames: Mapping[str, DataFrame], expected: Mapping[str, Digest], root: str) -> dict[str, DataFrame]:
+    """Full replacement of several tables below `root`, all of them or none.
+
+    Each frame is read once and written to a new folder, its content observed on
+    the way; where a digest isn't the expected one (or there is none), the error says so and
+    the tables stay as they were. Otherwise a one-row file per table is
+    replaced last, which names the folder that readers take. Folders of earlier
+    loads are left to the store's retention policy.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    version = uuid.uuid4().hex
+    wrong = []
+    for name, frame in frames.items():
+        found = write_observed(frame, lambda f, n=name: f.write.parquet(f"{root}/{n}/{version}"))
+        if name not in expected:
+            wrong.append(f"{name}: nothing says what was delivered")
+        elif found != expected[name]:
+            what = f"expected {expected[name].rows}, found {found.rows}" if found.rows != expected[name].rows else "other values"
+            wrong.append(f"{name}: {what}")
+    if wrong:
+        raise LoadMismatch(f"loaded tables differ from the delivered ones: {'; '.join(wrong)}")
+    for name in frames:
+        current = spark.createDataFrame([(version,)], "version STRING")
+        current.coalesce(1).write.mode("overwrite").json(f"{root}/{name}/_current")
+    return {name: read_current(spark, root, name, frame.schema) for name, frame in frames.items()}
+
+
+def read_current(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """The rows of the last load of a table that was checked."""
+    version = read_existing(spark.read.schema("version STRING"), f"{root}/{name}/_current", f"loaded table '{name}'").first()
+    return spark.read.schema(schema).parquet(f"{root}/{name}/{version['version']}")
+
+
+def land_run(frame: DataFrame, root: str, table: str, run_date: dt.date) -> Digest:
+    """Files one run under ``<root>/<table>/run_date=<day>`` and returns its digest.
+    Landing the same day again replaces that day only; earlier runs are kept."""
+
+    def write(rows: DataFrame) -> None:
+        (
+            rows.withColumn("run_date", F.lit(run_date))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .options(**CSV_WRITE)
+            .partitionBy("run_date")
+            .csv(f"{root.rstrip('/')}/{table}")
+        )
+
+    return write_observed(frame, write)
 
 
 def read_run(spark: SparkSession, root: str, table: str, schema: T.StructType, run_date: dt.date) -> DataFrame:
