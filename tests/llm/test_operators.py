@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow as pa
 import pytest
 from cases import documents, item_words, linked, lower, odd_texts, sentence, shingles, space_words, with_odd_ids
 from hypothesis import given, settings
@@ -169,12 +171,20 @@ def vocabulary():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text("theinrasTION '\n\t  1", max_size=80), st.text("=-*#\\/", max_size=60)))
+@given(
+    st.one_of(
+        st.text(max_size=60),
+        st.text("theinrasTION '\n\t  1", max_size=80),
+        st.text("=-*#\\/", max_size=60),
+        st.text("aé\u0085\u00a0\u1680\u2003\u2028\u202f\u205f\u3000\x1c\x7f  \n中\u2014", max_size=40),
+        st.lists(st.sampled_from(["<|endoftext|>", " ", "a b", "<|", "\n"]), max_size=12).map("".join),
+    )
+)
 def test_bpe_cuts(vocabulary, text):
     library = test_bpe_cuts.__dict__.setdefault("library", Tokenizer.from_file(BYTE_BPE))
-    ids, length = vocabulary.encode([text, text])
+    ids, length = vocabulary.encode(pa.array([text, None, text]))
     want = library.encode(text, add_special_tokens=False).ids
-    assert ids.tolist() == want + want and length.tolist() == [len(want)] * 2
+    assert ids.tolist() == want + want and length.tolist() == [len(want), 0, len(want)]
 
 
 def test_bpe_verifies(vocabulary):
@@ -222,7 +232,6 @@ def test_packing(ranks):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(max_size=40) | st.text("aZ.,'’ \n1é\u0338=<|", max_size=40), min_size=1, max_size=5))
 def test_chunks_are_encoded_as_texts(texts):
-    import pyarrow as pa
 
     store = test_chunks_are_encoded_as_texts.__dict__
     encoder = store.setdefault("encoder", tokenfile.Encoder(open(WORD_BPE, encoding="utf-8").read()))
@@ -410,7 +419,6 @@ def test_kneser_ney(spark):
     words = ["the cat", "a dog. ", "it ran", "\nBy 12"]
     codes = Counter()
     text = " ".join(chance.choice(words) for _ in range(200))
-    import pyarrow as pa
 
     code, _ = perplexity._grams(pa.record_batch({"text": pa.array([text])}))
     codes.update(code.tolist())

@@ -6,6 +6,10 @@ compatible, that is, merging the pair's bytes gives the pair. All adjacent
 pairs are looked up at once in a sorted table of pairs judged so far; only words
 with a failing token or pair are merged exactly, in n log n steps.
 
+Texts are cut where a blank follows something else, which is a word's
+beginning wherever it occurs; a process cuts and merges each different chunk between two
+such places once and gathers the ids of all others by number.
+
 Defined cases: a null text is an empty one, which has no tokens; rows with null
 or repeated ids are encoded row by row. Strings of the vocabulary's added tokens
 become those tokens, as the tokenizers library has it. Other columns are ignored.
@@ -24,12 +28,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.text import slices
+from tradewind.llm.text import Texts, slices, texts
 
 #: Words of byte-level BPE, as the vocabulary's pre-tokenizer defines them (fixed value).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Different words kept between batches of a task.
-REMEMBERED = 400_000
+#: Different chunks, and different words, kept between batches of a task.
+REMEMBERED = 300_000
+_codes = np.arange(256)
+_BLANK = (_codes == 32) | ((_codes >= 9) & (_codes <= 13))
+#: Bytes after which a blank begins a chunk: printing ASCII, and ends of characters beyond it.
+_SOLID = (_codes > 32) & (_codes != 127)
+
+
+def _chunks(t: Texts) -> np.ndarray:
+    """First bytes of chunks. Characters beyond ASCII that are white space end in one of
+    the pairs of bytes left out here."""
+    data = t.data
+    begins = np.zeros(len(data) + 1, bool)
+    begins[t.offsets] = True
+    if len(data) > 1:
+        turn = _BLANK[data[1:]] & _SOLID[data[:-1]]
+        two, one = np.append(np.uint8(0), data[:-2]), data[:-1]
+        odd = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+        odd |= ((two == 0x9A) & (one == 0x80)) | ((two == 0x81) & (one == 0x9F))
+        odd |= (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF)) & (one >= 0x80)
+        begins[1:-1] |= turn & ~odd
+    return np.flatnonzero(begins[:-1])
 
 
 def _byte_of() -> dict[str, int]:
@@ -39,6 +63,26 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Known:
+    """Ids of keys met so far."""
+
+    def __init__(self) -> None:
+        self.place: dict = {}
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def add(self, keys: list, flat: np.ndarray, length: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.start), len(self.start) + len(keys)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, flat])
+
+    def at(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return _gathered(self.flat, self.start[at], self.length[at])
+
+
 class Vocabulary:
     def __init__(self, definition: str) -> None:
         parsed = json.loads(definition)
@@ -55,19 +99,17 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # Lengths of tokens by their first bytes, those by one and two bytes for what has no longer match.
         lengths: dict[bytes, set[int]] = {}
         for token in self.id:
-            lengths.setdefault(token[:2], set()).add(len(token))
+            for n in range(1, min(len(token), 4) + 1):
+                if n == 4 or n == len(token):
+                    lengths.setdefault(token[:n], set()).add(len(token))
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         self.solid = np.zeros(size, np.int8)  # 1: merges to itself, -1: doesn't, 0: not judged yet
         self.pairs = np.zeros(0, np.int64)
         self.good = np.zeros(0, bool)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.chunks, self.words = Known(), Known()
 
     def merged(self, word: bytes) -> list[int]:
         """The word's tokens by definition: merge the pair of least rank, the first of equal ones, until none is left."""
@@ -97,12 +139,14 @@ class Vocabulary:
             return [whole]
         out, at, size = [], 0, len(word)
         while at < size:
-            for n in self.lengths.get(word[at : at + 2], ()):
-                token = self.id.get(word[at : at + n])
-                if token is not None and at + n <= size:
+            token = None
+            for first in (4, 3, 2, 1):
+                for n in self.lengths.get(word[at : at + first], ()) if at + first <= size else ():
+                    if (token := self.id.get(word[at : at + n])) is not None and at + n <= size:
+                        break
+                    token = None
+                if token is not None:
                     break
-            else:
-                n, token = 1, self.id[word[at : at + 1]]
             out.append(token)
             at += n
         return out
@@ -136,62 +180,99 @@ class Vocabulary:
             order = np.argsort(self.pairs)
             self.pairs, self.good = self.pairs[order], np.concatenate([self.good, good])[order]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
-        if len(self.place) > REMEMBERED:
-            self._forget()
-        found: list[str] = []
-        ends, marks = [], []
-        for text in texts:
-            if self.split and self.split.search(text):
-                for i, part in enumerate(self.split.split(text)):
-                    if i % 2:
-                        marks.append((len(found), self.special[part]))
-                        found.append("")
-                    else:
-                        found += WORD.findall(part)
-            else:
-                found += WORD.findall(text)
-            ends.append(len(found))
-        place = self.place
-        new = list({w for w in found if w not in place})
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and how many each has."""
+        new = list({w for w in words if w not in self.words.place})
         if new:
-            flat, length = self.cut([w.encode() for w in new])
-            place.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-            self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, flat])
-        at = np.fromiter((place[w] for w in found), np.int64, len(found))
-        length = self.length[at]
-        begin = self.start[at]
-        flat = self.flat
-        if marks:  # added tokens aren't words
-            where, token = (np.array(x) for x in zip(*marks, strict=True))
-            length[where], begin[where] = 1, len(flat) + np.arange(len(where))
-            flat = np.concatenate([flat, token.astype(np.uint32)])
-        cut = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(begin - cut[:-1], length) + np.arange(cut[-1])]
-        return ids, np.diff(cut[np.concatenate([[0], ends]).astype(np.int64)])
+            self.words.add(new, *self.cut([w.encode() for w in new]))
+        at = self.words.at(words)
+        return self.words.ids(at), self.words.length[at]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Ids of chunks that weren't met before."""
+        words = [WORD.findall(c.decode()) for c in chunks]
+        many = np.fromiter(map(len, words), np.int64, len(words))
+        flat, length = self._ids([w for found in words for w in found])
+        ends = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(many))]
+        self.chunks.add(chunks, flat, np.diff(ends))
+
+    def _marked(self, text: str) -> np.ndarray:
+        """Ids of a text that holds added tokens."""
+        out = []
+        for i, part in enumerate(self.split.split(text)):
+            if i % 2:
+                out.append(np.array([self.special[part]], np.uint32))
+            else:
+                out.append(self._ids(WORD.findall(part))[0])
+        return np.concatenate(out)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        if len(self.chunks.place) > REMEMBERED:
+            self.chunks = Known()
+        if len(self.words.place) > REMEMBERED:
+            self.words = Known()
+        t = texts(column)
+        n = len(column)
+        first = _chunks(t)
+        offsets = np.append(first, len(t.data)).astype(np.int64)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(t.data)])
+        coded = chunks.dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        if new := [c for c in found if c not in self.chunks.place]:
+            self._learn(new)
+        at = self.chunks.at(found)[np.asarray(coded.indices, np.int64)]
+        owner = np.searchsorted(t.offsets, first, side="right") - 1
+        length = self.chunks.length[at]
+        whole = t.data.tobytes() if self.split else b""
+        marked = {}
+        if any(s.encode() in whole for s in self.special):
+            cuts = [whole[a:b].decode() for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)]
+            marked = {i: self._marked(x) for i, x in enumerate(cuts) if self.split.search(x)}
+            length = np.where(np.isin(owner, list(marked)), 0, length)
+        ids = _gathered(self.chunks.flat, self.chunks.start[at], length)
+        size = np.bincount(owner, length, minlength=n).astype(np.int64)
+        if marked:
+            ends = np.append(0, np.cumsum(size))
+            ids = np.concatenate([marked[i] if i in marked else ids[ends[i] : ends[i + 1]] for i in range(n)])
+            size[list(marked)] = [len(x) for x in marked.values()]
+        return ids, size
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at start, one after the other."""
+    cut = np.cumsum(length) - length
+    return flat[np.repeat(start - cut, length) + np.arange(int(length.sum()))]
+
+
+class Decoder:
+    """The bytes of each id, nothing else."""
+
+    def __init__(self, definition: str) -> None:
+        parsed = json.loads(definition)
+        byte = _byte_of()
+        known = {i: bytes(byte[c] for c in token) for token, i in parsed["model"]["vocab"].items()}
+        known |= {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
+        each = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.size = np.fromiter(map(len, each), np.int64, len(each))
+        self.table, self.start = np.frombuffer(b"".join(each), np.uint8), np.cumsum(self.size) - self.size
 
     def decode(self, ids: np.ndarray, length: np.ndarray) -> list[str]:
         """The texts of rows of ids; bytes that aren't UTF-8 become U+FFFD."""
-        if not hasattr(self, "table"):
-            self.size = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
-            self.table, self.from_ = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.size) - self.size
         size = self.size[ids]
-        cut = np.concatenate([[0], np.cumsum(size)])
-        data = self.table[np.repeat(self.from_[ids] - cut[:-1], size) + np.arange(cut[-1])].tobytes()
-        ends = cut[np.cumsum(length)].tolist()
+        data = _gathered(self.table, self.start[ids], size).tobytes()
+        ends = np.append(0, np.cumsum(size))[np.cumsum(length)].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[tuple[type, int], Vocabulary | Decoder] = {}
 
 
-def _vocabulary(definition: str) -> Vocabulary:
-    """Parsed once per process."""
-    key = hash(definition)
+def _made(kind: type, definition: str) -> Vocabulary | Decoder:
+    """Made once per process."""
+    key = (kind, hash(definition))
     if key not in _loaded:
-        _loaded[key] = Vocabulary(definition)
+        _loaded[key] = kind(definition)
     return _loaded[key]
 
 
@@ -202,9 +283,9 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
         definition = source.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(definition)
+        vocabulary = _made(Vocabulary, definition)
         for piece in slices(batches, "text"):
-            ids, length = vocabulary.encode(piece.column("text").fill_null("").to_pylist())
+            ids, length = vocabulary.encode(piece.column("text"))
             data = ids.astype("<u4").tobytes()
             cut = [0, *(4 * np.cumsum(length)).tolist()]
             column = pa.array([data[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
@@ -220,13 +301,13 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFra
         definition = source.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(definition)
+        decoder = _made(Decoder, definition)
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 piece = batch.slice(first, 1000)
                 data = [x or b"" for x in piece.column("ids").to_pylist()]
                 length = np.fromiter(map(len, data), np.int64, len(data)) // 4
-                text = vocabulary.decode(np.frombuffer(b"".join(data), "<u4"), length)
+                text = decoder.decode(np.frombuffer(b"".join(data), "<u4"), length)
                 ids = piece.column("ids")
                 column = pa.array(text, pa.string(), mask=np.asarray(ids.is_null()))
                 yield pa.record_batch({**{c: piece.column(c) for c in ("doc_id", *keep)}, "ids": ids, "text": column})

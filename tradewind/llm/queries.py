@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from tradewind.llm.stored import shared_folder, ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Places of public vocabularies; every operator takes the place as a parameter.
-BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
-WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
