@@ -39,6 +39,8 @@ from tradewind.llm.text import LOWER, Words, hashes, mixed, slices, texts, words
 LEAST, FIRST, SHARDS = 10, 2000, 2
 LONGEST = 3
 MOST_SLOTS = 1 << 28
+#: Phrases that a task holds before it adds up their counts and hands them on.
+HELD = 1 << 18
 #: Parts of a language's candidates that are ranked apart before the language is.
 PARTS = 64
 _codes = np.arange(256)
@@ -200,12 +202,19 @@ def counts(docs: DataFrame, known: Known) -> DataFrame:
     """lang, phrase, size and f of phrases whose key may be known; words of a language as the phrase of size 0."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
+    def added_up(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = [pa.table({"lang": lang, "phrase": phrase, "size": size, "f": many}) for lang, phrase, size, many in found]
+        total = pa.concat_tables(rows).group_by(["lang", "phrase", "size"]).aggregate([("f", "sum")])
+        total = total.select(["lang", "phrase", "size", "f_sum"]).rename_columns(["lang", "phrase", "size", "f"])
+        yield from total.set_column(1, "phrase", total["phrase"].cast(pa.string())).to_batches(max_chunksize=1 << 14)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
         for piece in slices(batches, "text"):
             p = Pieces(piece)
             pairs = p.pair_keys() if len(p.word) > 1 else np.zeros(0, np.uint64)
             total = np.bincount(p.lang, p.many, minlength=len(p.langs)).astype(np.int64)
-            out = [(p.langs, pa.array([b""] * len(p.langs), pa.binary()), np.zeros(len(p.langs), np.int64), total)]
+            held.append((p.langs, pa.array([b""] * len(p.langs), pa.binary()), np.zeros(len(p.langs), np.int64), total))
             for length in (1, 2, 3):
                 at = p.at[length]
                 key = p.keys[1][p.word[at]] if length == 1 else pairs[at] if length == 2 else p.triple_keys(pairs, at)
@@ -217,9 +226,13 @@ def counts(docs: DataFrame, known: Known) -> DataFrame:
                 _, one, many = np.unique(number, return_index=True, return_counts=True)
                 at = at[one]
                 langs = p.langs.take(pa.array(p.lang[p.word[at]]))
-                out.append((langs, p.phrases(at, length), np.full(len(at), length, np.int64), many))
-            for langs, phrase, size, many in out:
-                yield pa.record_batch({"lang": langs, "phrase": phrase.cast(pa.string()), "size": size, "f": many})
+                held.append((langs, p.phrases(at, length), np.full(len(at), length, np.int64), many))
+                waiting += len(at)
+            if waiting > HELD:
+                yield from added_up(held)
+                held, waiting = [], 0
+        if held:
+            yield from added_up(held)
 
     found = _rows(docs).mapInArrow(run, "lang string, phrase string, size long, f long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
