@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import NOT_SPACE, Texts, Words, hashes, slices, texts, windows, words
+from tradewind.llm.text import NOT_SPACE, Texts, Words, slices, spread_hashes, texts, windows, words
 
 #: Base rule.
 MIN_WORDS = 10
@@ -120,7 +120,7 @@ def references(docs: DataFrame) -> References:
         for piece in slices(batches, "text"):
             t = texts(piece.column("text"))
             w = words(t, NOT_SPACE)
-            h = hashes(t.data, w, fold=True)
+            h = spread_hashes(t.data, w, fold=True)
             code, names = _language(piece)
             of = code[w.owner]
             for i, lang in enumerate(names):
@@ -233,7 +233,7 @@ def _base(t: Texts, w: Words, h: np.ndarray) -> dict[str, np.ndarray]:
     cut = np.append(0, np.cumsum(NOT_SPACE[t.data]))
     with_word = cut[line.end] > cut[line.start]
     line = Words(line.start[with_word], line.end[with_word], line.owner[with_word])
-    key = hashes(t.data, line, fold=False)
+    key = spread_hashes(t.data, line, fold=False)
     order = np.lexsort((key, line.owner))
     same = (key[order][1:] == key[order][:-1]) & (line.owner[order][1:] == line.owner[order][:-1])
     found["n_dup_lines"] = np.bincount(line.owner[order][1:][same], minlength=n)
@@ -267,7 +267,7 @@ def judge(docs: DataFrame, reference: References) -> DataFrame:
             t = texts(piece.column("text"))
             n = piece.num_rows
             w = words(t, NOT_SPACE)
-            exact, folded = hashes(t.data, w, fold=False), hashes(t.data, w, fold=True)
+            exact, folded = spread_hashes(t.data, w, fold=False), spread_hashes(t.data, w, fold=True)
             found = _base(t, w, exact)
             histogram = _classes(t).astype(float)
             histogram /= np.maximum(histogram.sum(axis=1, keepdims=True), 1)

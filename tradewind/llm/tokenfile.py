@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import LOWER, SLICE_BYTES, hashes, slices, texts, words
+from tradewind.llm.text import LOWER, SLICE_BYTES, slices, spread_hashes, texts, words
 
 #: Id appended to each document.
 END = 2
@@ -126,7 +126,7 @@ class Encoder:
         owner = np.searchsorted(t.offsets, begin, side="right") - 1
         lower = LOWER[t.data]
         chunk = type(w)(begin, end, owner)
-        hash_, one, back = np.unique(hashes(lower, chunk, fold=False), return_index=True, return_inverse=True)
+        hash_, one, back = np.unique(spread_hashes(lower, chunk, fold=False), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self._forget()
         at = np.searchsorted(self.known, hash_)
