@@ -20,6 +20,7 @@ SOURCES = ("lineitem", "orders", "part", "customer", "events")
 COMBINED = {
     "threshold_sweep", "issue_resolution", "severity_counts", "filter_decisions", "filter_counts", "kpi_trend",
     "executive_summary", "snapshot", "snapshot_roundtrip", "copy_prompt", "kpi_expectations", "localized_decisions",
+    "history_increment",
 }
 CHECKED = [n for n in QUERIES if (os.environ.get("TRADEWIND_ALL") or n not in COMBINED)]
 
@@ -55,6 +56,7 @@ def plan(frame) -> str:
 
 UNSTORED = [n for n in QUERIES if n not in COMBINED and n not in {
     "top_issues", "snapshot_history", "fact_document", "csv_roundtrip", "row_count_reconciliation", "kpi_parity",
+    "ranked_issues", "report_orders", "content_reconciliation", "checked_replace",
 }]
 
 

@@ -26,7 +26,10 @@ def sales_summary(orders: DataFrame, anchors: Anchors) -> DataFrame:
         )
     )
     counted = distinct_totals(orders, anchors, "order_date", "order_id", name="orders")
-    totals = period_totals(daily, anchors, "order_date", [], {m: m for m in ("net", "units")}).join(counted, "as_of")
+    totals = period_totals(daily, anchors, "order_date", [], {m: m for m in ("net", "units")})
+    # Both have one row per as-of date, which fills the other's columns.
+    both = totals.unionByName(counted, allowMissingColumns=True)
+    totals = both.groupBy("as_of").agg(*(F.max(c).alias(c) for c in both.columns if c != "as_of"))
 
     def aov(side: str):
         per_order = ratio(dollars(F.col(f"{side}_net"), 2), F.col(f"{side}_orders"))
