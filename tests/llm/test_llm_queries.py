@@ -89,3 +89,14 @@ def test_stages_take_odd_documents(spark):
 def test_near_copies_without_ids_stay_once_per_text(spark):
     out = corpus_pipeline.drop_near_copies(spark, with_odd_ids(spark), TABLES)
     assert out.where("doc_id = 33").count() == 0  # a near copy of 30
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(set(left)) == len(left)
+
+
+def test_near_copies_judge_rows_of_one_id_by_their_texts(spark):
+    prose = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"thing{i}" for i in range(80))
+    rows_ = [(None, prose), (None, prose), (5, other), (5, other), (5, other + " end"), (5, "something else"), (6, None), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1, "x") for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long, own_id string")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, TABLES).collect()]
+    assert sorted(left, key=str) == sorted([(None, prose), next(x for x in left if (x[1] or "").startswith("thing")), (5, "something else"), (6, None), (7, "")], key=str)

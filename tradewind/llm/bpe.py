@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.text import Texts, slices, texts
+from tradewind.llm.text import Texts, slices, texts, tidied
 
 #: Words of byte-level BPE, as the vocabulary's pre-tokenizer defines them (fixed value).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -292,7 +292,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
             yield pa.record_batch({**{c: piece.column(c) for c in ("doc_id", *keep)}, "ids": column})
 
     rows = docs.select(F.col("doc_id").cast("long"), *keep, "text")
-    return rows.mapInArrow(run, T.StructType([*rows.drop("text").schema.fields, T.StructField("ids", T.BinaryType())]))
+    return rows.mapInArrow(tidied(run), T.StructType([*rows.drop("text").schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -313,4 +313,4 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFra
                 yield pa.record_batch({**{c: piece.column(c) for c in ("doc_id", *keep)}, "ids": ids, "text": column})
 
     rows = encoded.select("doc_id", *keep, "ids")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
+    return rows.mapInArrow(tidied(run), T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))

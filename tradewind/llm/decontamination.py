@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import ALNUM, Words, hashes, mixed, slices, texts, windows, words
+from tradewind.llm.text import ALNUM, Words, hashes, mixed, slices, texts, tidied, windows, words
 
 WINDOW = 10
 #: Slots of the bitmap; more hashes of items fill it up, and it then rules out less.
@@ -69,7 +69,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return (
         benchmark.select(F.col("item_id").cast("string"), "text")
         .where("item_id is not null")
-        .mapInArrow(run, "item_id string, words array<bigint>")
+        .mapInArrow(tidied(run), "item_id string, words array<bigint>")
         .where(F.size("words") > 0)
         .groupBy("words")
         .agg(F.collect_set("item_id").alias("ids"))
@@ -88,7 +88,7 @@ def _item_prints(items: DataFrame) -> DataFrame:
             print_, at, item = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.record_batch({"print": print_.view(np.int64), "item_at": at, "item": item})
 
-    return items.select("item", "words").mapInArrow(run, "print long, item_at long, item long")
+    return items.select("item", "words").mapInArrow(tidied(run), "print long, item_at long, item long")
 
 
 def _document_prints(docs: DataFrame, lengths: list[int], bitmap: np.ndarray) -> DataFrame:
@@ -121,7 +121,7 @@ def _document_prints(docs: DataFrame, lengths: list[int], bitmap: np.ndarray) ->
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(
-        run, "row long, doc_id long, n_words long, prints array<struct<print:bigint,at:bigint>>, words array<bigint>"
+        tidied(run), "row long, doc_id long, n_words long, prints array<struct<print:bigint,at:bigint>>, words array<bigint>"
     )
 
 
@@ -164,7 +164,7 @@ def runs(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, D
         .join(rows.where(F.size("words") > 0).select("row", "words"), "row")
         .select("row", "item", "offset", here.alias("here"))
     )
-    found = placed.join(items.select("item", "words"), "item").mapInArrow(_extended, "row long, item long, begin long, end long")
+    found = placed.join(items.select("item", "words"), "item").mapInArrow(tidied(_extended), "row long, item long, begin long, end long")
     return rows.select("row", "doc_id", "n_words"), stored(found.distinct()), items.select("item", "ids")
 
 

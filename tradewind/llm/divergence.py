@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import NOT_SPACE, Texts, Words, slices, spread_hashes, texts, windows, words
+from tradewind.llm.text import NOT_SPACE, Texts, Words, slices, spread_hashes, texts, tidied, windows, words
 
 #: Base rule.
 MIN_WORDS = 10
@@ -144,7 +144,7 @@ def references(docs: DataFrame) -> References:
             yield pa.record_batch({"lang": pa.array([lang] * CLASSES, pa.string()), "class": np.arange(CLASSES), "n": n.astype(np.int64)})
 
     counted = stored(
-        _rows(docs).mapInArrow(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        _rows(docs).mapInArrow(tidied(count), "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
     sizes = counted.groupBy("lang").agg(F.sum("n").alias("size"))
     whole = counted.agg(F.sum("n")).first()[0] or 0
@@ -153,7 +153,7 @@ def references(docs: DataFrame) -> References:
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = frequent.withColumn("rank", first).where(F.col("rank") <= COMMON).select("lang", "word", "n", "size")
     every = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
-    by_class = _rows(docs).mapInArrow(classes, "lang string, class long, n long").groupBy("lang", "class").agg(F.sum("n").alias("n"))
+    by_class = _rows(docs).mapInArrow(tidied(classes), "lang string, class long, n long").groupBy("lang", "class").agg(F.sum("n").alias("n"))
     by_class = stored(by_class)
     of_words, of_classes = {}, {}
 
@@ -310,12 +310,12 @@ def judge(docs: DataFrame, reference: References) -> DataFrame:
     )
     rows = _rows(docs)
     if reference.rest is None:
-        return _kept(stored(rows.mapInArrow(run, schema)))
+        return _kept(stored(rows.mapInArrow(tidied(run), schema)))
     held = F.col("lang").isin([x for x in of_words if isinstance(x, str)])
     held = F.when(F.col("lang").isNull(), F.lit(None in of_words)).otherwise(held)
     rest = reference.rest.select(F.col("lang").alias("of"), "classes", "words", "shares", "enough")
     others = rows.where(~held).join(rest, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    return _kept(stored(rows.where(held).mapInArrow(run, schema).unionAll(others.mapInArrow(run, schema))))
+    return _kept(stored(rows.where(held).mapInArrow(tidied(run), schema).unionAll(others.mapInArrow(tidied(run), schema))))
 
 
 def _length() -> Column:

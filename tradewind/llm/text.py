@@ -7,7 +7,9 @@ single text, never the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -67,6 +69,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             first = last
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(task: Task) -> Task:
+    """The task, after which its worker gives unused memory back: Spark keeps idle
+    workers, and allocators keep what a large slice once took."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return run
+
+
 def words(t: Texts, keep: np.ndarray) -> Words:
     """Maximal runs of bytes of a class; no run crosses two texts."""
     if not len(t.data):

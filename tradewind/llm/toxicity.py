@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import ALNUM, Words, hashes, slices, texts, windows, words
+from tradewind.llm.text import ALNUM, Words, hashes, slices, texts, tidied, windows, words
 
 #: At most so many labelled texts are fitted on: those with the smallest hash of their id.
 FIT_ROWS = 50_000
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                 yield pa.record_batch({"key": key.view(np.int64), "clean": n * (1 - label), "toxic": n * label})
 
     counted = (
-        train.mapInArrow(count, "key long, clean long, toxic long")
+        train.mapInArrow(tidied(count), "key long, clean long, toxic long")
         .groupBy("key")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )
@@ -187,7 +187,7 @@ def _without_copies(train: DataFrame) -> DataFrame:
                     least[owner] = np.minimum.reduceat(got, at)
             yield pa.record_batch({"toxic": piece.column("toxic"), "text": piece.column("text"), "least": least.view(np.int64)})
 
-    marked = train.mapInArrow(run, "toxic int, text string, least long")
+    marked = train.mapInArrow(tidied(run), "toxic int, text string, least long")
     return stored(marked.groupBy("toxic", "least").agg(F.min("text").alias("text")).select("text", "toxic"))
 
 
@@ -219,7 +219,7 @@ def _calibrated(train: DataFrame, model: Model) -> Model:
                 top[owner], number[owner] = max((s for *_, s in segments), default=0.0), len(segments)
             yield pa.record_batch({"toxic": piece.column("toxic"), "n": n, "top": top, "number": number})
 
-    clean = train.where("toxic = 0").mapInArrow(measure, "toxic int, n long, top double, number long")
+    clean = train.where("toxic = 0").mapInArrow(tidied(measure), "toxic int, n long, top double, number long")
     seen = clean.agg(F.sum("n"), F.sum("number"), F.min(F.when(F.col("top") > 0, F.col("top")))).first()
     model.k = float(min((seen[1] + 0.5) * np.exp(min(model.decay * (seen[2] or 0.0), 20.0)) / max(seen[0], 1), 1.0))
 
@@ -230,7 +230,7 @@ def _calibrated(train: DataFrame, model: Model) -> Model:
             yield pa.record_batch({"toxic": piece.column("toxic"), "best": best, "share": share})
 
     # Three numbers of each fitted text: at most fit_rows rows.
-    rows = train.mapInArrow(features, "toxic int, best double, share double").toArrow()
+    rows = train.mapInArrow(tidied(features), "toxic int, best double, share double").toArrow()
     y = np.asarray(rows["toxic"], float)
     x = np.stack([np.ones(len(y)), np.asarray(rows["best"]), 10 * np.asarray(rows["share"])], axis=1)
     order = np.lexsort((x[:, 2], x[:, 1], y))
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch({"doc_id": piece.column("doc_id"), "score": p, "n_passages": count, "best": best})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, score double, n_passages long, best double"
+        tidied(run), "doc_id long, score double, n_passages long, best double"
     )
 
 
@@ -297,5 +297,5 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, first_word long, last_word long, score double, expectation double, passage string"
+        tidied(run), "doc_id long, first_word long, last_word long, score double, expectation double, passage string"
     )
