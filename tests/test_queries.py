@@ -56,7 +56,7 @@ def plan(frame) -> str:
 
 UNSTORED = [n for n in QUERIES if n not in COMBINED and n not in {
     "top_issues", "snapshot_history", "fact_document", "csv_roundtrip", "row_count_reconciliation", "kpi_parity",
-    "ranked_issues", "report_orders", "content_reconciliation", "checked_replace",
+    "ranked_issues", "report_orders", "content_reconciliation", "checked_replace", "section_parity", "load_rejects",
 }]
 
 

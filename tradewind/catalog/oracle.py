@@ -566,6 +566,36 @@ def parity_rows(name: str) -> str:
   CAST(0 AS BIGINT) AS differing_cells FROM {name}"""
 
 
+def section_parity() -> str:
+    """Rows of either side and what was changed among the SKUs."""
+    wrong = ("count(*) FILTER (sku_id % 50 = 7)", "count(*) FILTER (sku_id % 50 = 9 AND current_net_revenue IS NOT NULL)")
+    parts = [
+        f"SELECT '{frame}' AS frame, count(*) AS rows, {one} AS one_sided_rows, {cell} AS differing_cells FROM {source}"
+        for frame, source, _ in FRAME_NUMBERS
+        for one, cell in [wrong if frame == "sales.by_sku" else ("0", "0")]
+    ]
+    return f"WITH RECURSIVE {together(TOGETHER)}, {REPEAT_RATE} {' UNION ALL '.join(parts)}"
+
+
+LOAD_REJECTS = """WITH delivered AS (
+  SELECT CASE WHEN l_orderkey % 100 = 7 THEN -l_orderkey ELSE l_orderkey END AS order_id, l_linenumber AS line_no,
+    CAST(l_shipdate AS DATE) AS ship_date, CASE WHEN l_orderkey % 100 = 8 THEN -l_partkey ELSE l_partkey END AS sku_id,
+    CASE WHEN l_orderkey % 100 = 9 THEN -l_extendedprice ELSE l_extendedprice END AS extended_price,
+    CASE WHEN l_orderkey % 100 <> 10 THEN CAST(l_quantity AS BIGINT) END AS quantity, l_discount, l_returnflag = 'R' AS returned
+  FROM lineitem),
+reasons AS (SELECT *, CASE WHEN ship_date IS NULL THEN 'no ship date' WHEN quantity IS NULL OR quantity < 0 THEN 'quantity'
+    WHEN extended_price IS NULL OR extended_price < 0 THEN 'price' WHEN l_discount IS NULL OR l_discount NOT BETWEEN 0 AND 1 THEN 'discount'
+    WHEN order_id IS NULL OR line_no IS NULL THEN 'no key'
+    WHEN order_id NOT IN (SELECT o_orderkey FROM orders) THEN 'no order'
+    WHEN sku_id NOT IN (SELECT p_partkey FROM part) THEN 'no sku' END AS why FROM delivered),
+dealt AS (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN row_number() OVER (PARTITION BY why IS NULL, order_id, line_no
+    ORDER BY ship_date, sku_id, extended_price, quantity, l_discount, returned) = 1 THEN 'kept' ELSE 'duplicate' END AS reason FROM reasons)
+SELECT order_id, line_no, ship_date, sku_id, extended_price, quantity, reason, count(*) AS copies
+FROM dealt WHERE reason <> 'kept' GROUP BY ALL
+UNION ALL SELECT NULL, NULL, NULL, NULL, CAST(sum(CAST(extended_price AS DECIMAL(18,2))) AS DOUBLE), CAST(sum(quantity) AS BIGINT), 'kept', count(*)
+FROM dealt WHERE reason = 'kept'"""
+
+
 def trend_points() -> str:
     return """points AS (
   SELECT 'sales' AS lens, 'net_revenue[' || brand || ' / ' || channel || ']' AS kpi_to_monitor, as_of, current_net_revenue AS value FROM segments
@@ -953,6 +983,7 @@ SELECT order_id, line_no, 'lost' AS status, 1 AS delivered_rows, 0 AS loaded_row
 UNION ALL SELECT order_id, line_no, 'repeated', 1, 2 FROM lines WHERE order_id % 1000 = 8
 UNION ALL SELECT order_id, line_no, 'altered', 1, 1 FROM lines WHERE order_id % 1000 = 9
 UNION ALL SELECT order_id, line_no + 100, 'added', 0, 1 FROM lines WHERE order_id % 1000 = 10""",
+        "load_rejects": LOAD_REJECTS,
         "checked_replace": f"WITH {CUSTOMERS} SELECT *, true AS refused FROM customers",
         "history_increment": f"""WITH RECURSIVE {together(TOGETHER_DAYS)}
 {cells(("sales.by_sku", "customer.repeat_purchase_rate", "inventory.risk_by_sku"), "WHERE lens <> 'inventory'")}""",
@@ -968,6 +999,7 @@ SELECT "table", expected, expected AS actual, true AS matches FROM counted""",
 {parity_rows('sales_by_brand_channel')} UNION ALL {parity_rows('sales_by_sku')}""",
         "decision_parity": f"""WITH RECURSIVE {together(TOGETHER)}
 SELECT count(*) AS rows, CAST(0 AS BIGINT) AS one_sided_rows, CAST(0 AS BIGINT) AS differing_cells FROM items""",
+        "section_parity": section_parity(),
         "kpi_differences": differences(),
         "fact_document": fact_sql(),
         "copy_prompt": prompt_sql(),

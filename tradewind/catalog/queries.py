@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, customer, decisions, digest, inventory, ledger, marketing, quality, reports, rules, sales
+from ..operators import compare, customer, decisions, digest, inventory, ledger, marketing, parity, quality, rejects, reports, rules, sales
 from ..operators import periods as P
 from ..operators import staging
 from ..operators.periods import Anchors
@@ -794,6 +794,34 @@ def content_reconciliation(spark, path):
     return digest.row_differences(delivered, loaded, ["order_id", "line_no"])
 
 
+@query
+def load_rejects(spark, path):
+    """Delivered order lines, among which some have an order or a SKU that isn't there, no
+    quantity or a negative price: what is rejected, why, and how often; and what stays, summed up."""
+    kind = F.col("order_id") % 100
+    delivered = S.raw_lines(spark, path).select(
+        F.when(kind == 7, -F.col("order_id")).otherwise(F.col("order_id")).alias("order_id"),
+        "line_no",
+        "ship_date",
+        F.when(kind == 8, -F.col("sku_id")).otherwise(F.col("sku_id")).alias("sku_id"),
+        F.when(kind == 9, -F.col("extended_price")).otherwise(F.col("extended_price")).alias("extended_price"),
+        F.when(kind != 10, F.col("quantity")).alias("quantity"),
+        "discount",
+        "returned",
+    )
+    dealt = storage.materialize(S.sorted_lines(spark, path, delivered))
+    shown = ["order_id", "line_no", "ship_date", "sku_id", "extended_price", "quantity"]
+    gone = rejects.rejected(dealt).groupBy(*shown, "reason").agg(F.sum("copies").alias("copies"))
+    stays = rejects.kept(dealt).agg(
+        *(F.lit(None).cast(t).alias(c) for c, t in zip(shown[:4], ("bigint", "int", "date", "bigint"))),
+        F.sum(F.col("extended_price").cast("decimal(18,2)")).cast("double").alias("extended_price"),
+        F.sum("quantity").alias("quantity"),
+        F.lit("kept").alias("reason"),
+        F.count(F.lit(1)).alias("copies"),
+    )
+    return gone.unionByName(stays)
+
+
 @query
 def checked_replace(spark, path):
     """A load that holds what was delivered replaces the table; one that lost rows doesn't."""
@@ -933,6 +961,24 @@ def decision_parity(spark, path):
     return compare.item_agreement(single, storage.materialize(history))
 
 
+@query
+def section_parity(spark, path):
+    """Every section and item of one date, computed for that date alone, against the same
+    date within a history. In the latter some SKUs were lost, some have another revenue, and some
+    one that differs by less than a rounding step: the first two are found, nothing else."""
+    d = Dates.of(spark, path)
+    one = together(spark, path, d, d.together, store=False).frames()
+    latest = F.col("as_of") == F.lit(d.together.latest)
+    many = together(spark, path, d, d.together_days, store=False).frames()
+    many = {n: f.filter(latest) if "as_of" in f.columns else f for n, f in many.items()}
+    kind, step = F.col("sku_id") % 50, compare.ROUNDING_STEP["current_net_revenue"]
+    moved = F.when(kind == 9, 1.0).when(kind == 10, step / 4).otherwise(0.0)
+    by_sku = many["sales.by_sku"].filter(kind != 7)
+    many["sales.by_sku"] = by_sku.withColumn("current_net_revenue", F.col("current_net_revenue") + moved)
+    stored = [{n: storage.materialize(side[n]) for n in SNAPSHOT_KEYS} for side in (one, many)]
+    return parity.history_agreement(*stored, SNAPSHOT_KEYS)
+
+
 @query
 def kpi_differences(spark, path):
     """What changed in the segment KPIs from one as-of date to the other."""

@@ -124,15 +124,15 @@ def item_differences(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def item_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
     """Items compared, items on one side only and differing facts."""
-    return _counted(left, item_differences(left, right))
+    return counted(left, item_differences(left, right))
 
 
 def agreement(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows compared, rows on one side only and differing cells."""
-    return _counted(left, differences(left, right, keys))
+    return counted(left, differences(left, right, keys))
 
 
-def _counted(left: DataFrame, found: DataFrame) -> DataFrame:
+def counted(left: DataFrame, found: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     rows = left.agg(F.count(F.lit(1)).alias("rows")).select("rows", zero.alias("one_sided"), zero.alias("cells"))
     wrong = found.agg(

@@ -17,6 +17,7 @@ from ..functions.numeric import discounted
 from ..operators import ledger
 from ..operators.customer import customer_summary, flag_new_customers
 from ..operators.periods import Anchors
+from ..operators.rejects import Parent, sorted_out
 from ..operators.staging import dedupe_first, stage_inventory, stage_marketing, stage_skus, trim_columns
 from .storage import materialize
 
@@ -133,6 +134,22 @@ def order_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def sorted_lines(spark: SparkSession, path: str, delivered: DataFrame | None = None) -> DataFrame:
+    """Delivered lines (the raw ones) with what becomes of each; `rejects.kept` of it are the staged lines."""
+    malformed = {
+        "no ship date": F.col("ship_date").isNotNull(),
+        "quantity": F.col("quantity") >= 0,
+        "price": F.col("extended_price") >= 0,
+        "discount": F.col("discount").between(0, 1),
+    }
+    parents = [
+        Parent("no order", order_headers(spark, path), "order_id"),
+        Parent("no sku", sku_brands(spark, path), "sku_id"),
+    ]
+    rows = raw_lines(spark, path) if delivered is None else delivered
+    return sorted_out(rows, ["order_id", "line_no"], LINE_ORDER, malformed, parents)
+
+
 def sku_brands(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "part").select(F.col("p_partkey").alias("sku_id"), F.col("p_brand").alias("brand"))
 
