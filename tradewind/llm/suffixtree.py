@@ -1,14 +1,20 @@
 """Language model scores by a probabilistic suffix tree over words.
 
 The root is the smoothed distribution of single tokens. A state is a context of
-words that occurs LEAST_COUNT times or more, at any size of the corpus; contexts
-grow by a word a level, each level counted over all training texts, until one
-from DEPTH on retains no state; longer contexts than that aren't looked for. A state lists the symbols that it makes
-likelier by RATIO than its longest proper suffix does, discounted; the mass left
+words that occurs LEAST_COUNT times or more, at any size of the corpus. It lists the symbols that
+follow it as often and that it makes likelier by RATIO than its longest proper suffix does, discounted; the mass left
 goes to all others in proportion to that suffix's distribution. It is retained if
 its divergence from that distribution, times its count, reaches DIVERGENCE. A
 token is scored in the longest retained suffix of the words before it.
 
+Contexts grow by a word a level, each level counted over all training texts. A context is
+extended only if the symbols it may list cost DIVERGENCE or more, in all their occurrences, as
+they are predicted now. That cut loses nothing: a longer context gains at most what its own
+occurrences of those symbols cost, and they are some of these. So well-predicted
+passages, however often copied, end after few words, and the levels end when no context is left.
+The few contexts that go on, as at the end of a copied passage, are counted for up to twice as many words in one
+reading of the texts.
+
 Counts, probabilities and states are tables, joined level by level. The logarithm of a
 token's probability over that at the root is a sum: the weight of each retained
 context before it, and of each n-gram listed there that ends at it what it
@@ -27,7 +33,8 @@ score. Words and n-grams are compared as 64-bit hashes. Other columns are ignore
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
-from tradewind.llm.text import NOT_SPACE, hashes, mixed, slices, texts, words
+from tradewind.llm.text import NOT_SPACE, mixed, slices, spread_hashes, texts, words
 
-#: Levels that are counted in any case; more follow while the last one retains a state.
-DEPTH = 2
 #: Least count of a context, and of a context with a listed symbol.
 LEAST_COUNT = 4
 #: Share of all tokens from which on an n-gram is looked up in the task, not joined.
@@ -47,6 +52,8 @@ DISCOUNT = 0.75
 RATIO = 1.2
 #: Least divergence of a state, in nats over all its occurrences.
 DIVERGENCE = 10.0
+#: Several levels are counted at once if that takes at most one n-gram for so many tokens.
+READ_AHEAD = 16
 #: Counted n-grams of a task are summed so many at a time.
 SUMMED = 1 << 21
 #: Slots of a bitmap; more n-grams fill it up, and it then rules out less.
@@ -65,7 +72,7 @@ def _tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     t = texts(piece.column("text"))
     w = words(t, NOT_SPACE)
     last = np.searchsorted(w.owner, np.arange(piece.num_rows), side="right")
-    return np.insert(hashes(t.data, w, fold=True), last, END), np.insert(w.owner, last, np.arange(piece.num_rows))
+    return np.insert(spread_hashes(t.data, w, fold=True), last, END), np.insert(w.owner, last, np.arange(piece.num_rows))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -76,63 +83,34 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
-class Level:
-    """N-grams of one length: keys (place of the context in the level below, 32 bits,
-    then place of the word), counts; log10 probability where listed, else nan; and
-    as a state, log10 of the weight of its suffix, nan if not retained."""
-
-    key: np.ndarray
-    count: np.ndarray
-    logp: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    back: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-
 @dataclass
 class Tree:
-    """The n-grams with TASK_SHARE of all tokens. Of all others, longest: words of the longest,
-    rest: key and value (what it adds to a score), bitmap: the slots of its keys."""
+    """The words and n-grams with TASK_SHARE of all tokens: hash and count of words; key and
+    value (what it adds to a score) of n-grams, ascending. Of all n-grams, longest: words of the longest,
+    rest: key and value of the others, bitmap: the slots of all keys,
+    inner: those of n-grams and contexts that longer ones may end in."""
 
     word: np.ndarray
     count: np.ndarray
     tokens: int
     types: int
-    levels: list[Level]
+    gram: np.ndarray
+    value: np.ndarray
     longest: int = 1
     rest: DataFrame | None = None
     bitmap: np.ndarray | None = None
+    inner: np.ndarray | None = None
 
-    def root(self) -> np.ndarray:
-        return np.log10((self.count + 1) / (self.tokens + self.types + 1))
 
-    def places(self, token: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
-        """For each length, the place of the n-gram that ends at each token, or -1."""
-        first = _find(self.word, token)
-        out = [first]
-        same = np.append(False, owner[1:] == owner[:-1])
-        for level in self.levels:
-            context = np.append(-1, out[-1][:-1])
-            can = np.flatnonzero(same & (context >= 0) & (out[-1] >= 0))
-            place = np.full(len(token), -1, np.int64)
-            place[can] = _find(level.key, context[can] << 32 | first[can])
-            out.append(place)
-        return out
+def _gram(shorter: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    """Keys of n-grams of k words, of the key of the words after the first and of that."""
+    return mixed(shorter * _STEP + word + np.uint64(k))
 
 
-def _gram(prefix: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
-    """Keys of n-grams of k words, of the key of the words before the last and of that."""
-    return mixed(prefix * _STEP + word + np.uint64(k))
-
-
-def _ending(token: np.ndarray, owner: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length from 2 on, the key of the n-gram that ends at each token, and
-    the tokens before which its text has words enough."""
+def _before(owner: np.ndarray) -> np.ndarray:
+    """How many tokens of its text are before each."""
     start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    before = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
-    key = token
-    for k in range(2, longest + 1):
-        key = _gram(np.append(np.uint64(0), key[:-1]), token, k)
-        yield k, key, np.flatnonzero(before >= k - 1)
+    return np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -149,8 +127,8 @@ def _may(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _counted(docs: DataFrame, columns: list[str], keys: Callable[[pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
-    """n: how often each key occurs, by these columns; the first array of
-    keys tells them apart, the others are the columns. Summed in tasks before the shuffle."""
+    """n: how often each key occurs, by these columns, of which the first tells
+    the others. Summed in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
@@ -158,7 +136,7 @@ def _counted(docs: DataFrame, columns: list[str], keys: Callable[[pa.RecordBatch
         def summed() -> pa.RecordBatch:
             n, key, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
             _, at, back = np.unique(key, return_index=True, return_inverse=True)
-            found = {c: x[at].view(np.int64) for c, x in zip(columns, more, strict=True)}
+            found = {c: x[at].view(np.int64) for c, x in zip(columns, [key, *more], strict=True)}
             return pa.record_batch({**found, "n": np.bincount(back, n).astype(np.int64)})
 
         for piece in slices(batches, "text"):
@@ -178,88 +156,121 @@ def _counted(docs: DataFrame, columns: list[str], keys: Callable[[pa.RecordBatch
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """key (a hash) and n of all training tokens."""
-    return stored(_counted(docs, ["key"], lambda piece: [_tokens(piece)[0]] * 2))
-
-
-def _grown(docs: DataFrame, below: DataFrame, k: int) -> DataFrame:
-    """context, word and n of the n-grams of k words that are frequent enough; below: those of a word less."""
-    bitmap = _bitmap(below)
-
-    def run(piece: pa.RecordBatch) -> list[np.ndarray]:
-        token, owner = _tokens(piece)
-        shorter = token
-        for n, key, at in _ending(token, owner, k):
-            if n < k:
-                shorter = key
-        may = _may(bitmap, shorter)
-        at = at[may[at] & may[at - 1]]
-        return [key[at], shorter[at - 1], token[at]]
-
-    return _counted(docs, ["context", "word"], run).where(F.col("n") >= LEAST_COUNT)
+    return stored(_counted(docs, ["key"], lambda piece: [_tokens(piece)[0]]))
 
 
-def _named(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """key and suffix (the key without the first word) of n-grams of k words."""
+@dataclass
+class Open:
+    """What may be extended, as bitmaps by length: n-grams that a longer context may list, and contexts.
+    pairs: all frequent n-grams of two words, once they are known."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, word, tail = (np.asarray(batch.column(c), np.int64).view(np.uint64) for c in ("context", "word", "tail"))
-            suffix = word if k == 2 else _gram(tail, word, k - 1)
-            yield pa.record_batch(
-                {
-                    "key": _gram(context, word, k).view(np.int64),
-                    "suffix": suffix.view(np.int64),
-                    **{c: batch.column(c) for c in ("context", "word", "n", "whole")},
-                }
-            )
+    grams: dict[int, np.ndarray]
+    contexts: dict[int, np.ndarray]
+    pairs: np.ndarray | None = None
 
-    return run
 
+def _grown(docs: DataFrame, first: int, last: int, to: Open) -> DataFrame:
+    """The frequent n-grams of these lengths that end in an open one: key, size, context (the key without
+    the last word), suffix (without the first), n; and the contexts of three words or more that they
+    may have, with context and suffix 0."""
 
-def _smoothed(grown: DataFrame, below: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The n-grams of k words with the log10 probability of the last one (logp) and, where
-    listed, own and value; and the retained states of k - 1 words with their weight (back)."""
-    named = grown.join(below.select(F.col("key").alias("context"), F.col("suffix").alias("tail"), F.col("n").alias("whole")), "context")
-    named = named.mapInArrow(_named(k), "key long, suffix long, context long, word long, n long, whole long")
+    def run(piece: pa.RecordBatch) -> list[np.ndarray]:
+        token, owner = _tokens(piece)
+        before = _before(owner)
+        begins = np.ones(len(token), bool)  # whether the pair that ends here is frequent, or may be
+        if to.pairs is not None:
+            begins[1:] = _may(to.pairs, _gram(token[1:], token[:-1], 2))
+        else:
+            begins[1:] = _may(to.grams[1], token[:-1])
+        out: list[list[np.ndarray]] = []
+
+        def grow(at: np.ndarray, longest: int, bitmaps: dict[int, np.ndarray], listing: bool) -> None:
+            key = token[at]
+            context = token[at - 1]
+            for k in range(1, longest + 1):
+                if k > 1:
+                    suffix = key
+                    word = token[at - (k - 1)]
+                    key = _gram(suffix, word, k)
+                    if listing:
+                        context = _gram(context, word, k - 1) if k > 2 else word
+                        if k >= first:
+                            out.append([key, np.full(len(at), k, np.uint64), context, suffix])
+                    elif k >= max(3, first - 1):
+                        none = np.zeros(len(at), np.uint64)
+                        out.append([key, np.full(len(at), k, np.uint64), none, none])
+                go = before[at] >= k
+                if k in bitmaps:
+                    go &= _may(bitmaps[k], key)
+                go &= begins[at - (k - 1)]  # the first pair of one that is a word longer
+                at, key, context = at[go], key[go], context[go]
+
+        every = np.arange(len(token))
+        grow(every, last, to.grams, True)
+        if last > 3 or first > 3:
+            grow(every, last - 1, to.contexts, False)
+        if not out:
+            return [np.zeros(0, np.uint64)] * 4
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    return _counted(docs, ["key", "size", "context", "suffix"], run).where(F.col("n") >= LEAST_COUNT)
+
+
+def _smoothed(grown: DataFrame, whole: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The n-grams with the log10 probability of the last word (logp), whether their context may
+    be extended (open), and value where listed in a retained state; and the contexts, with their
+    count and, if retained, weight (back). whole: key and n of contexts; below: key and logp of suffixes."""
     own = F.log10((F.col("n") - DISCOUNT) / F.col("whole"))
     grams = stored(
-        named.join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("parent")), "suffix")
-        .withColumn("own", own)
+        grown.join(whole.select(F.col("key").alias("context"), F.col("n").alias("whole")), "context")
+        .join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("parent")), "suffix")
+        .select("key", "context", "n", "whole", "parent", own.alias("own"))
         .withColumn("listed", F.col("own") - F.col("parent") >= F.log10(F.lit(RATIO)))
     )
     total = lambda x: F.sum(F.when(F.col("listed"), x).otherwise(0.0))
-    ten = F.lit(10.0)
+    other = lambda x: F.sum(F.when(F.col("listed"), 0.0).otherwise(x))
+    ten, nats = F.lit(10.0), float(np.log(10))
     left = lambda c: F.greatest(1 - F.col(c), F.lit(1e-9))
-    states = stored(
+    n, gain = F.col("n"), F.col("n") * (F.col("own") - F.col("parent"))
+    weight = F.log10(left("mass") / left("before"))
+    retained = (F.col("gain") + (n - F.col("inside")) * weight) * nats >= DIVERGENCE
+    kept = F.col("own_sum") + F.col("other_sum") + F.col("outside") * F.col("back")
+    contexts = stored(
         grams.groupBy("context")
         .agg(
             F.max("whole").alias("n"),
             total(F.pow(ten, "own")).alias("mass"),
-            total(F.pow(ten, "parent")).alias("other"),
-            total(F.col("n") * (F.col("own") - F.col("parent"))).alias("gain"),
-            total(F.col("n")).alias("inside"),
+            total(F.pow(ten, "parent")).alias("before"),
+            total(gain).alias("gain"),
+            total(n).alias("inside"),
+            other(n).alias("outside"),
+            total(n * F.col("own")).alias("own_sum"),
+            other(n * F.col("parent")).alias("other_sum"),
+            F.sum(n * F.col("parent")).alias("parent_sum"),
         )
-        .withColumn("back", F.log10(left("mass") / left("other")))
-        .where((F.col("gain") + (F.col("n") - F.col("inside")) * F.col("back")) * float(np.log(10)) >= DIVERGENCE)
-        .select("context", "n", "back")
+        .withColumn("back", F.when(retained, weight))
+        .withColumn("cost", -F.coalesce(kept, F.col("parent_sum")) * nats)
+        .select("context", "n", "back", (F.col("cost") >= DIVERGENCE).alias("open"))
     )
     listed = F.col("listed") & F.col("back").isNotNull()
-    smooth = grams.join(states.select("context", "back"), "context", "left").select(
+    value = F.when(listed, F.col("own") - F.col("parent") - F.col("back"))
+    smooth = grams.join(contexts.select("context", "back", "open"), "context").select(
         "key",
-        "suffix",
-        "context",
-        "word",
         "n",
+        "open",
         F.when(listed, F.col("own")).otherwise(F.col("parent") + F.coalesce("back", F.lit(0.0))).alias("logp"),
-        F.when(listed, F.col("own")).alias("own"),
-        F.when(listed, F.col("own") - F.col("parent") - F.col("back")).alias("value"),
+        value.alias("value"),
     )
-    return stored(smooth), states
+    return stored(smooth), contexts
 
 
-def _columns(frame: DataFrame, *names: str) -> list[np.ndarray]:
-    rows = frame.select(*names).toArrow()
-    return [rows[c].to_numpy() for c in names]
+def _hot(parts: list[DataFrame], hot: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and values of the n-grams that tasks hold."""
+    found = [part.where(F.col("n") >= hot).select("key", "value").toArrow() for part in parts]  # 2 / TASK_SHARE a length at most
+    keys = np.concatenate([np.zeros(0, np.int64), *(x["key"].to_numpy() for x in found)]).view(np.uint64)
+    values = np.concatenate([np.zeros(0), *(x["value"].to_numpy() for x in found)])
+    key, at = np.unique(keys, return_inverse=True)  # an n-gram may be listed and a state as well
+    return key, np.bincount(at, values, minlength=len(key))
 
 
 def fit(docs: DataFrame, counts: DataFrame) -> Tree:
@@ -267,97 +278,82 @@ def fit(docs: DataFrame, counts: DataFrame) -> Tree:
     tokens, types = counts.agg(F.sum("n"), F.count("*")).first()
     tokens = tokens or 0
     hot = max(LEAST_COUNT, tokens * TASK_SHARE)
-    key, n = _columns(counts.where(F.col("n") >= hot), "key", "n")
-    key = key.astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    tree = Tree(key[order], n.astype(np.int64)[order], tokens, types, [])
+    rows = counts.where(F.col("n") >= hot).select("key", "n").toArrow()
+    word, count = rows["key"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
+    order = np.argsort(word)
+    tree = Tree(word[order], count[order], tokens, types, np.zeros(0, np.uint64), np.zeros(0))
     if not tokens:
         return tree
-    # Keys of the n-grams of the last level that tasks hold, ascending, and their places.
-    held, place = tree.word, np.arange(len(tree.word))
     root = F.log10((F.col("n") + 1) / F.lit(float(tokens + types + 1)))
-    below = stored(counts.where(F.col("n") >= LEAST_COUNT).select("key", F.lit(0).cast("long").alias("suffix"), "n", root.alias("logp")))
-    rest = []
-    while True:
-        k = tree.longest + 1
-        grown = stored(_grown(docs, below, k))
-        if grown.isEmpty():
-            break
-        level, states = _smoothed(grown, below, k)
-        none = states.isEmpty()
-        if none and k - 1 > DEPTH:
-            break
-        tree.longest = k
-        rest.append(states.where(F.col("n") < hot).select(F.col("context").alias("key"), F.col("back").alias("value")))
-        rest.append(level.where((F.col("n") < hot) & F.col("value").isNotNull()).select("key", "value"))
-        key, context, word, n, own = _columns(level.where(F.col("n") >= hot), "key", "context", "word", "n", "own")
-        if len(key):
-            key, context, word = (x.astype(np.int64).view(np.uint64) for x in (key, context, word))
-            code = place[_find(held, context)] << 32 | _find(tree.word, word)
-            order = np.argsort(code)
-            back = np.full(len(held), np.nan)
-            of, weight = _columns(states.where(F.col("n") >= hot), "context", "back")
-            back[place[_find(held, of.astype(np.int64).view(np.uint64))]] = weight
-            tree.levels.append(Level(code[order], n.astype(np.int64)[order], own.astype(float)[order], back))
-            key = key[order]
-            place = np.argsort(key)
-            held = key[place]
-        below = level
-        if none and k - 1 >= DEPTH:
-            break
-    if rest and hot > LEAST_COUNT:
-        tree.rest = rest[0]
-        for part in rest[1:]:
-            tree.rest = tree.rest.unionAll(part)
-        tree.bitmap = _bitmap(tree.rest)
+    below = stored(counts.where(F.col("n") >= LEAST_COUNT).select("key", "n", root.alias("logp")))
+    parts, extended = [], [below.select("key")]
+    whole, to = below, Open({1: _bitmap(below)}, {})
+    k, ahead = 2, 1
+    left = below.agg(F.sum("n")).first()[0]
+    while left:
+        last = k + ahead - 1
+        counted = stored(_grown(docs, k, last, to))
+        for k in range(k, last + 1):
+            sized = counted.where(F.col("size") == k)
+            if k > 3:
+                whole = counted.where((F.col("size") == k - 1) & (F.col("suffix") == 0))
+            level, found = _smoothed(sized.where(F.col("suffix") != 0), whole, below)
+            states = found.where(F.col("back").isNotNull())
+            parts.append(states.select(F.col("context").alias("key"), "n", F.col("back").alias("value")))
+            parts.append(level.where(F.col("value").isNotNull()).select("key", "n", "value"))
+            below = level.where("open")
+            contexts = found.where("open").select(F.col("context").alias("key"))
+            extended += [below.select("key"), contexts]
+            left = below.agg(F.sum("n")).first()[0]
+            if not left:
+                break
+            if k == 2:  # all frequent pairs are here, and so are the contexts of the next level
+                whole, to.pairs = level, _bitmap(level)
+        else:
+            to.grams[k], to.contexts[k - 1] = _bitmap(below), _bitmap(contexts)
+            k += 1
+            ahead = int(min(k - 1, max(1, tokens // (READ_AHEAD * left))))
+    tree.longest = k
+    tree.gram, tree.value = _hot(parts, hot)
+    every = reduce(DataFrame.unionAll, parts)
+    tree.bitmap, tree.inner = _bitmap(every), _bitmap(reduce(DataFrame.unionAll, extended))
+    if hot > LEAST_COUNT:
+        tree.rest = every.where(F.col("n") < hot).select("key", "value")
     return tree
 
 
-def _gains(tree: Tree, place: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability over that at the root; first: tokens without a context."""
-    n = len(place[0])
-    total, open_ = np.zeros(n), np.ones(n, bool)
-    root = tree.root()
-    for depth in range(len(tree.levels), 0, -1):
-        level = tree.levels[depth - 1]
-        state = np.append(-1, place[depth - 1][:-1])
-        state[first] = -1
-        back = np.where(state >= 0, level.back[state], np.nan)
-        inside = open_ & ~np.isnan(back)
-        here = place[depth]
-        logp = np.where(here >= 0, level.logp[here], np.nan)
-        listed = inside & ~np.isnan(logp)
-        total[listed] += logp[listed] - root[place[0][listed]]
-        open_ &= ~listed
-        rest = inside & ~listed
-        total[rest] += back[rest]
-    return total
-
-
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     denominator = np.log10(tree.tokens + tree.types + 1)
     rest, tree = tree.rest, replace(tree, rest=None)  # tasks take no table along
+    more = rest is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             n = piece.num_rows
             token, owner = _tokens(piece)
-            place = tree.places(token, owner)
-            first = np.append(True, owner[1:] != owner[:-1])
-            known = place[0] >= 0
-            base = np.where(known, np.log10(tree.count[place[0]] + 1) if len(tree.count) else 0.0, 0.0)
-            gain = _gains(tree, place, first)
-            # Rare words and n-grams, by text.
+            place = _find(tree.word, token)
+            known = place >= 0
+            base = np.where(known, np.log10(tree.count[place] + 1) if len(tree.count) else 0.0, 0.0)
+            gain = np.zeros(n)
+            # Rare words and n-grams, by text; what the others add is summed here.
             rare = np.flatnonzero(~known)
             keys, of = [token[rare]], [owner[rare]]
             if tree.bitmap is not None:
-                for k, key, at in _ending(token, owner, tree.longest):
-                    at = at[_may(tree.bitmap, key[at])]
-                    if k <= len(place):
-                        at = at[place[k - 1][at] < 0]
-                    keys.append(key[at])
-                    of.append(owner[at])
+                before = _before(owner)
+                at, key = np.arange(len(token)), token
+                for k in range(1, tree.longest + 1):
+                    if k > 1:
+                        key = _gram(key, token[at - (k - 1)], k)
+                    there = np.flatnonzero(_may(tree.bitmap, key))
+                    held = _find(tree.gram, key[there])
+                    here = held >= 0
+                    gain += np.bincount(owner[at[there[here]]], tree.value[held[here]], minlength=n)
+                    if more and k > 1:  # rare words are there already
+                        keys.append(key[there[~here]])
+                        of.append(owner[at[there[~here]]])
+                    go = (before[at] >= k) & _may(tree.inner, key)
+                    at, key = at[go], key[go]
             key, of = np.concatenate(keys), np.concatenate(of)
             order = np.lexsort((key, of))
             key, of = key[order], of[order]
@@ -375,7 +371,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                     "n_tokens": np.bincount(owner, minlength=n),
                     "known": np.bincount(owner[known], minlength=n),
                     "base": np.bincount(owner, base, minlength=n),
-                    "gain": np.bincount(owner, gain, minlength=n),
+                    "gain": gain,
                     "rare": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), words_),
                 }
             )
