@@ -457,10 +457,10 @@ def test_languages_without_trusted_texts_have_limits_of_their_own(spark):
 # 3. LM scoring
 
 
-def plain_tree(texts):
+def plain_tree(texts, longest=16):
     """The probability of a word after others, and the retained states, by definition: every
-    context is looked at, however long."""
-    grams = Counter(tuple(ws[i:j]) for ws in texts for i in range(len(ws)) for j in range(i + 1, len(ws) + 1))
+    context is looked at, up to this many words with the next, whose suffixes are all rarer than their own."""
+    grams = Counter(tuple(ws[i:j]) for ws in texts for i in range(len(ws)) for j in range(i + 1, min(len(ws), i + longest) + 1))
     n = sum(map(len, texts))
     types = sum(len(g) == 1 for g in grams)
     after = {}
@@ -478,8 +478,13 @@ def plain_tree(texts):
         listed, back = states[context]
         return listed[word] if word in listed else chance(context[1:], word) * back
 
+    looked = {()}
     for context in sorted(after, key=len):
         whole = grams[context]
+        suffix = context[1:]
+        if suffix not in looked or (suffix and grams[suffix] == (grams[suffix[1:]] if suffix[1:] else n)):
+            continue
+        looked.add(context)
         own = {w: (times - suffixtree.DISCOUNT) / whole for w, times in after[context].items()}
         before = {w: chance(context[1:], w) for w in own}
         listed = {w: p for w, p in own.items() if math.log10(p) - math.log10(before[w]) >= math.log10(suffixtree.RATIO)}
@@ -504,7 +509,7 @@ def test_suffix_tree(spark, none):
     out = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 == 2}
     seen = Counter(w for i, ws in tokens.items() if i not in out for w in ws)
     n, v = sum(seen.values()), len(seen)
-    assert (tree.tokens, tree.types) == (n, v) 
+    assert (tree.tokens, tree.types) == (n, v) and tree.longest <= 16
     rows = suffixtree.score(docs, tree, counts).collect()
     for r in rows:
         ws = tokens[r.doc_id]

@@ -11,9 +11,10 @@ Contexts grow by a word a level, each level counted over all training texts. A c
 extended only if the symbols it may list cost DIVERGENCE or more, in all their occurrences, as
 they are predicted now. That cut loses nothing: a longer context gains at most what its own
 occurrences of those symbols cost, and they are some of these. So well-predicted
-passages, however often copied, end after few words, and the levels end when no context is left.
-The few contexts that go on, as at the end of a copied passage, are counted for up to twice as many words in one
-reading of the texts.
+passages, however often copied, end after few words. Nor is a context extended that occurs as
+often as its suffix does: its first word was always there and tells nothing. This is part of what the tree is:
+where copied passages go on in different ways, it doesn't look for words before the passage. The levels end
+when no context is left; where few are, several lengths are counted in one reading of the texts.
 
 Counts, probabilities and states are tables, joined level by level. The logarithm of a
 token's probability over that at the root is a sum: the weight of each retained
@@ -219,12 +220,13 @@ def _grown(docs: DataFrame, first: int, last: int, to: Open) -> DataFrame:
 def _smoothed(grown: DataFrame, whole: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The n-grams with the log10 probability of the last word (logp), whether their context may
     be extended (open), and value where listed in a retained state; and the contexts, with their
-    count and, if retained, weight (back). whole: key and n of contexts; below: key and logp of suffixes."""
+    count and, if retained, weight (back). whole: key and n of contexts; below: key and logp of suffixes, and n of
+    the context there (whole)."""
     own = F.log10((F.col("n") - DISCOUNT) / F.col("whole"))
     grams = stored(
         grown.join(whole.select(F.col("key").alias("context"), F.col("n").alias("whole")), "context")
-        .join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("parent")), "suffix")
-        .select("key", "context", "n", "whole", "parent", own.alias("own"))
+        .join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("parent"), F.col("whole").alias("around")), "suffix")
+        .select("key", "context", "n", "whole", "around", "parent", own.alias("own"))
         .withColumn("listed", F.col("own") - F.col("parent") >= F.log10(F.lit(RATIO)))
     )
     total = lambda x: F.sum(F.when(F.col("listed"), x).otherwise(0.0))
@@ -239,6 +241,7 @@ def _smoothed(grown: DataFrame, whole: DataFrame, below: DataFrame) -> tuple[Dat
         grams.groupBy("context")
         .agg(
             F.max("whole").alias("n"),
+            F.max("around").alias("around"),
             total(F.pow(ten, "own")).alias("mass"),
             total(F.pow(ten, "parent")).alias("before"),
             total(gain).alias("gain"),
@@ -250,13 +253,14 @@ def _smoothed(grown: DataFrame, whole: DataFrame, below: DataFrame) -> tuple[Dat
         )
         .withColumn("back", F.when(retained, weight))
         .withColumn("cost", -F.coalesce(kept, F.col("parent_sum")) * nats)
-        .select("context", "n", "back", (F.col("cost") >= DIVERGENCE).alias("open"))
+        .select("context", "n", "back", ((F.col("cost") >= DIVERGENCE) & (n < F.col("around"))).alias("open"))
     )
     listed = F.col("listed") & F.col("back").isNotNull()
     value = F.when(listed, F.col("own") - F.col("parent") - F.col("back"))
     smooth = grams.join(contexts.select("context", "back", "open"), "context").select(
         "key",
         "n",
+        "whole",
         "open",
         F.when(listed, F.col("own")).otherwise(F.col("parent") + F.coalesce("back", F.lit(0.0))).alias("logp"),
         value.alias("value"),
@@ -285,7 +289,7 @@ def fit(docs: DataFrame, counts: DataFrame) -> Tree:
     if not tokens:
         return tree
     root = F.log10((F.col("n") + 1) / F.lit(float(tokens + types + 1)))
-    below = stored(counts.where(F.col("n") >= LEAST_COUNT).select("key", "n", root.alias("logp")))
+    below = stored(counts.where(F.col("n") >= LEAST_COUNT).select("key", "n", F.lit(tokens).alias("whole"), root.alias("logp")))
     parts, extended = [], [below.select("key")]
     whole, to = below, Open({1: _bitmap(below)}, {})
     k, ahead = 2, 1
