@@ -521,7 +521,7 @@ def test_suffix_tree(spark, none):
     assert {len(c) for c in states} >= {1, 2}
     for r in rows:
         ws = tokens[r.doc_id]
-        assert r.score == pytest.approx(sum(math.log10(chances(ws[:i], w)) for i, w in enumerate(ws)))
+        assert r.score == pytest.approx(sum(math.log10(chances(ws[max(0, i - 16) : i], w)) for i, w in enumerate(ws)))
     # Each state's distribution over all tokens, the unseen ones included, sums to one.
     for state in [*states][::7]:
         unseen = chances(state, "unseen") / chances((), "unseen") * (1 - sum(chances((), w) for w in seen))
@@ -547,7 +547,7 @@ def test_longer_contexts_are_found_beyond_a_level_without_states(spark):
     assert ("p", "q", "mid") in states and not any(len(c) == 2 for c in states)
     for r in suffixtree.score(docs, suffixtree.fit(docs, counts), counts).collect():
         ws = [*ids[r.doc_id].split(), None]
-        assert r.score == pytest.approx(sum(math.log10(chances(ws[:i], w)) for i, w in enumerate(ws)))
+        assert r.score == pytest.approx(sum(math.log10(chances(ws[max(0, i - 16) : i], w)) for i, w in enumerate(ws)))
 
 
 def test_suffix_tree_does_not_depend_on_what_tasks_hold(spark, monkeypatch):

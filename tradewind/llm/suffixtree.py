@@ -127,9 +127,13 @@ def _may(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bitmap[(key & np.uint64(SLOTS - 1)) >> np.uint64(6)] >> (key & np.uint64(63))) & np.uint64(1) == 1
 
 
+#: Arrays of an n-gram; the first tells the others.
+GRAM = ("key", "size", "context", "suffix")
+
+
 def _counted(docs: DataFrame, columns: list[str], keys: Callable[[pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
-    """n: how often each key occurs, by these columns, of which the first tells
-    the others. Summed in tasks before the shuffle."""
+    """n: how often each n-gram of keys (arrays as in GRAM) occurs, by those of them that tell it.
+    Summed in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
@@ -137,7 +141,7 @@ def _counted(docs: DataFrame, columns: list[str], keys: Callable[[pa.RecordBatch
         def summed() -> pa.RecordBatch:
             n, key, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
             _, at, back = np.unique(key, return_index=True, return_inverse=True)
-            found = {c: x[at].view(np.int64) for c, x in zip(columns, [key, *more], strict=True)}
+            found = {c: x[at].view(np.int64) for c, x in zip(GRAM, [key, *more]) if c in columns}
             return pa.record_batch({**found, "n": np.bincount(back, n).astype(np.int64)})
 
         for piece in slices(batches, "text"):
@@ -173,7 +177,7 @@ class Open:
 def _grown(docs: DataFrame, first: int, last: int, to: Open) -> DataFrame:
     """The frequent n-grams of these lengths that end in an open one: key, size, context (the key without
     the last word), suffix (without the first), n; and the contexts of three words or more that they
-    may have, with context and suffix 0."""
+    may have, with context and suffix 0 and all bits of the key turned."""
 
     def run(piece: pa.RecordBatch) -> list[np.ndarray]:
         token, owner = _tokens(piece)
@@ -199,7 +203,7 @@ def _grown(docs: DataFrame, first: int, last: int, to: Open) -> DataFrame:
                             out.append([key, np.full(len(at), k, np.uint64), context, suffix])
                     elif k >= max(3, first - 1):
                         none = np.zeros(len(at), np.uint64)
-                        out.append([key, np.full(len(at), k, np.uint64), none, none])
+                        out.append([~key, np.full(len(at), k, np.uint64), none, none])  # not to be one with the n-gram
                 go = before[at] >= k
                 if k in bitmaps:
                     go &= _may(bitmaps[k], key)
@@ -214,7 +218,20 @@ def _grown(docs: DataFrame, first: int, last: int, to: Open) -> DataFrame:
             return [np.zeros(0, np.uint64)] * 4
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
-    return _counted(docs, ["key", "size", "context", "suffix"], run).where(F.col("n") >= LEAST_COUNT)
+    enough = F.col("n") >= LEAST_COUNT
+    if last > 2:
+        return _counted(docs, [*GRAM], run).where(enough)
+    # Pairs, the most numerous by far, are shuffled as their two words.
+    pairs = _counted(docs, ["context", "suffix"], run).where(enough)
+    return pairs.mapInArrow(_named_pairs, "key long, size long, context long, suffix long, n long")
+
+
+def _named_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        word, context = (np.asarray(batch.column(c), np.int64) for c in ("suffix", "context"))
+        key = _gram(word.view(np.uint64), context.view(np.uint64), 2).view(np.int64)
+        size = np.full(len(key), 2, np.int64)
+        yield pa.record_batch({"key": key, "size": size, "context": context, "suffix": word, "n": batch.column("n")})
 
 
 def _smoothed(grown: DataFrame, whole: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -300,7 +317,8 @@ def fit(docs: DataFrame, counts: DataFrame) -> Tree:
         for k in range(k, last + 1):
             sized = counted.where(F.col("size") == k)
             if k > 3:
-                whole = counted.where((F.col("size") == k - 1) & (F.col("suffix") == 0))
+                held = counted.where((F.col("size") == k - 1) & (F.col("suffix") == 0))
+                whole = held.select(F.bitwise_not("key").alias("key"), "n")
             level, found = _smoothed(sized.where(F.col("suffix") != 0), whole, below)
             states = found.where(F.col("back").isNotNull())
             parts.append(states.select(F.col("context").alias("key"), "n", F.col("back").alias("value")))
