@@ -115,16 +115,21 @@ def _before(owner: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """The slots of a column key, 64 in a number."""
+    """The slots of a column key, 64 in a number; halved while most would be empty, as each
+    bitmap is sent to all executors and lies on their disks."""
     block = F.shiftright(F.col("key").bitwiseAND(SLOTS - 1), 6).alias("block")
     rows = keys.groupBy(block).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toArrow()  # SLOTS / 64 at most
     out = np.zeros(SLOTS >> 6, np.uint64)
     out[np.asarray(rows["block"], np.int64)] = np.asarray(rows["bits"], np.int64).view(np.uint64)
+    filled = int(np.bitwise_count(out).sum())
+    while len(out) > 1024 and filled * 32 < len(out) * 64:
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
     return out
 
 
 def _may(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return (bitmap[(key & np.uint64(SLOTS - 1)) >> np.uint64(6)] >> (key & np.uint64(63))) & np.uint64(1) == 1
+    slot = key & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 #: Arrays of an n-gram; the first tells the others.
