@@ -625,3 +625,27 @@ def test_toxicity(spark, none):
     assert toxicity.score(docs, unlabelled).where("score > 0.001").count() == 0
     flipped = labels.withColumn("toxic", F.lit(1))
     assert toxicity.score(docs, toxicity.fit(docs, flipped)).where("score < 0.5").count() == 0
+
+
+def last_by_hash(spark, n):
+    """The rows of 0 to n - 1 outside the held-out fold, least hash of the id first."""
+    ids = spark.range(n).withColumnRenamed("id", "doc_id").where(~toxicity.held_out(5))
+    return [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+
+
+def test_fits_learn_from_every_labelled_text(spark):
+    """What only the last texts in the order of their hashes hold is learned too, beyond 50,000 texts."""
+    ids = last_by_hash(spark, 64_000)
+    assert len(ids) > 50_500
+    late = F.col("doc_id").isin(ids[-300:])
+    own = F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij")
+    words = [F.concat(own, F.lit(c)) for c in "klmnop"]
+    docs = spark.range(64_000).withColumnRenamed("id", "doc_id").select(
+        "doc_id", F.concat_ws(" ", F.when(late, "vile 7 scum rot").otherwise("a fine day"), *words).alias("text"), F.lit("en").alias("lang")
+    )
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), late.cast("int").alias("toxic"))
+    digit = int(perplexity._SYMBOL[ord("7")])
+    assert digit in perplexity.fit(docs, labels)["code1"]
+    model = toxicity.fit(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs.where(F.col("doc_id").isin(ids[0], ids[-1])), model).collect()}
+    assert len(model.key) and scores[ids[-1]] > scores[ids[0]]
