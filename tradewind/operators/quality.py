@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Days whose rows `duplicate_days` counts side by side.
+SPAN_DAYS = 32
+
+
 def violations(name: str, table: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Violations per rule, all rules in one pass over the table. A rule that
     is NULL for a row counts as violated; ``no_nulls`` is always added."""
@@ -21,6 +25,17 @@ def violations(name: str, table: DataFrame, rules: Mapping[str, Column]) -> Data
     return counted.select(F.lit(name).alias("table"), F.inline(pairs))
 
 
+def duplicate_days(name: str, table: DataFrame, key: str, day: str) -> DataFrame:
+    """`duplicate_keys` of a table that has `key` on most days: its rows are counted per day in one
+    row for each SPAN_DAYS days of a key, which is all that a shuffle sees of them."""
+    # Rows without a day are one key, in a span of their own.
+    at, span = F.coalesce(F.pmod(F.unix_date(day), F.lit(SPAN_DAYS)), F.lit(0)), F.floor(F.unix_date(day) / F.lit(SPAN_DAYS))
+    spans = table.groupBy(key, span.alias("_span")).agg(*(F.count_if(at == i).alias(f"_{i}") for i in range(SPAN_DAYS)))
+    repeated = reduce(lambda a, b: a + b, ((F.col(f"_{i}") > 1).cast("long") for i in range(SPAN_DAYS)))
+    found = spans.agg(F.coalesce(F.sum(repeated), F.lit(0).cast("long")).alias("violations"))
+    return found.select(F.lit(name).alias("table"), F.lit("unique_key").alias("rule"), "violations")
+
+
 def duplicate_keys(name: str, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once."""
     repeated = table.groupBy(*keys).count().agg(F.count_if(F.col("count") > 1).alias("violations"))
@@ -48,7 +63,7 @@ def table_invariants(
                 "stock_balances": c("closing_stock") == c("opening_stock") + c("receipts") - c("units_sold"),
             },
         ),
-        duplicate_keys("inventory", inventory, ["sku_id", "date"]),
+        duplicate_days("inventory", inventory, "sku_id", "date"),
         violations("customers", customers, {"has_orders": c("total_orders") > 0}),
         duplicate_keys("customers", customers, ["customer_id"]),
         violations("skus", skus, {"price_above_cost": c("base_price") > c("unit_cost")}),
