@@ -109,7 +109,7 @@ def refresh(
         before["orders"] = storage.materialize(before["orders"])
         update_history(spark, path, before, tables, anchors, settings)
         return open_history(spark, path)
-    built = build_history(spark, tables, anchors, lenses, settings, store_shared=True)
+    built = build_history(spark, tables, anchors, lenses, settings, store_shared=True, by_date=True)
     write_history(built, path)
     return built
 
