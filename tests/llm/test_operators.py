@@ -570,6 +570,27 @@ def test_suffix_tree_does_not_depend_on_what_tasks_hold(spark, monkeypatch):
     assert all(r.score > r.base_score + 20 for r in got)
 
 
+def test_long_contexts_are_worked_out_several_lengths_at_once(spark, monkeypatch):
+    """Runs of one word end after few or many: each length of context tells something."""
+    chance = random.Random(10)
+    texts = [" ".join(f"{chance.choice('ab')} {' '.join(['x'] * chance.randint(1, 18))} y" for _ in range(10)) for _ in range(60)]
+    docs = documents(spark, texts)
+    counts = suffixtree.vocabulary(docs)
+    ids = {r.doc_id: r.text for r in docs.collect()}
+    chances, states = plain_tree([[*ids[i].split(), None] for i in ids if zlib.crc32(str(i).encode()) % 7 != 2], 24)
+    assert max(map(len, states)) > 8
+    want = {i: sum(math.log10(chances(([*t.split(), None])[max(0, j - 24) : j], w)) for j, w in enumerate([*t.split(), None])) for i, t in ids.items()}
+    levels = []
+    joined = suffixtree._smoothed
+    monkeypatch.setattr(suffixtree, "_smoothed", lambda *tables: levels.append(1) or joined(*tables))
+    for rooted in (suffixtree.ROOTED, 1):  # together, and where a root has too many n-grams for that
+        monkeypatch.setattr(suffixtree, "ROOTED", rooted)
+        levels.clear()
+        got = suffixtree.score(docs, suffixtree.fit(docs, counts), counts).collect()
+        assert {r.doc_id: pytest.approx(r.score) for r in got} == want
+        assert len(levels) <= 3 if rooted > 1 else len(levels) > 8
+
+
 # 4. Toxicity
 
 
