@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.operators import inventory, ledger
 from tradewind.operators.periods import Anchors
+from tradewind.sources import star_schema
 
 END = day("2026-09-21")
 
@@ -128,3 +129,31 @@ def test_units_and_prices(spark):
     priced = ledger.price_orders(orders, skus).select("selling_price", "net_sales")
     assert rows(priced) == [(16.99, 33.98), (19.99, 59.97)]
     assert skus.select(ledger.unit_cost(F.col("base_price"))).first()[0] == 9.0
+
+
+def test_the_loaded_stock_table_is_whole_but_stored_as_runs(spark, tmp_path, monkeypatch):
+    """A NULL brand, a SKU without sales, sales on one day twice: every SKU on every day comes back."""
+    start = day("2026-01-01")
+    lines = [(1, 1, 1, 1.0, 9.0, 0.0, "N", 3), (1, 1, 2, 2.0, 9.0, 0.0, "N", 3), (2, 2, 1, 400.0, 9.0, 0.0, "R", 40), (3, None, 1, 5.0, 9.0, 0.0, "N", 60)]
+    spark.createDataFrame(
+        [(*row[:7], dt.datetime.combine(start, dt.time()) + dt.timedelta(days=row[7])) for row in lines],
+        "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+        "l_returnflag string, l_shipdate timestamp_ntz",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(
+        [(1, " B1 ", 3, 10.0), (2, None, 4, 20.0), (3, "B3", None, 30.0)], "p_partkey long, p_brand string, p_size int, p_retailprice double"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    span = star_schema.Clock(start, start, start, start + dt.timedelta(days=99), start, start)
+    written = []
+
+    def counted(frame):
+        written.append(frame.count())
+        return materialize(frame)
+
+    materialize = star_schema.materialize
+    monkeypatch.setattr(star_schema, "materialize", counted)
+    loaded = star_schema.loaded_inventory(spark, str(tmp_path), span)
+    want = star_schema.inventory(spark, str(tmp_path), span)
+    assert loaded.columns == want.columns and loaded.count() == 3 * 100
+    assert rows(loaded) == rows(want)
+    assert len(written) == 1 and written[0] < 20
