@@ -363,6 +363,16 @@ def test_texts_without_common_words_go(spark):
     assert all(r.word_distance < divergence.WORD_DISTANCE and not r.kept for r in rows[len(clean) :])
 
 
+def test_bpe_merges_short_words_as_long_ones(vocabulary, monkeypatch):
+    chance = random.Random(12)
+    tokens = list(vocabulary.id)
+    made = [b"".join(chance.choices(tokens, k=chance.randint(1, 5)))[: bpe.SHORT] for _ in range(3000)]
+    made += [b"", b"\xff\xfe", *(b"ab"[:n % 3] * n for n in range(1, 25))]
+    short = [vocabulary.merged(w) for w in made]
+    monkeypatch.setattr(bpe, "SHORT", -1)
+    assert short == [vocabulary.merged(w) for w in made]
+
+
 # 10. Licence scans
 
 

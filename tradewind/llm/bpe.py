@@ -34,6 +34,9 @@ from tradewind.llm.text import Texts, slices, texts, tidied
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Different chunks, and different words, kept between batches of a task.
 REMEMBERED = 300_000
+#: Most bytes of a word that is merged by looking through all its pairs; and more than any rank.
+SHORT = 48
+NEVER = 1 << 62
 _codes = np.arange(256)
 _BLANK = (_codes == 32) | ((_codes >= 9) & (_codes <= 13))
 #: Bytes after which a blank begins a chunk: printing ASCII, and ends of characters beyond it.
@@ -93,6 +96,10 @@ class Vocabulary:
         merges = (m.split(" ") if isinstance(m, str) else m for m in parsed["model"]["merges"])
         self.rank = {(read(a), read(b)): i for i, (a, b) in enumerate(merges)}
         size = max([*self.id.values(), *self.special.values()]) + 1
+        # The same by number: rank of two ids, and what they merge to by rank.
+        self.base, self.byte = size, {t[0]: i for t, i in self.id.items() if len(t) == 1}
+        self.number = {self.id[a] * size + self.id[b]: r for (a, b), r in self.rank.items() if a in self.id and b in self.id}
+        self.made = {r: self.id.get(a + b) for (a, b), r in self.rank.items()}
         self.bytes = [b""] * size
         for token, i in self.id.items():
             self.bytes[i] = token
@@ -113,6 +120,8 @@ class Vocabulary:
 
     def merged(self, word: bytes) -> list[int]:
         """The word's tokens by definition: merge the pair of least rank, the first of equal ones, until none is left."""
+        if len(word) <= SHORT:
+            return self._merged_short(word)
         part = [word[i : i + 1] for i in range(len(word))]
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(part, part[1:], strict=False)) if (r := self.rank.get((a, b))) is not None]
@@ -133,6 +142,21 @@ class Vocabulary:
                 heapq.heappush(queue, (r, h, part[h], part[i]))
         return [self.id[p] for p in part if p]
 
+    def _merged_short(self, word: bytes) -> list[int]:
+        """The same without a queue: looking through the ranks of a short word costs less."""
+        ids = [self.byte[b] for b in word]
+        get, base, made = self.number.get, self.base, self.made
+        ranks = [get(a * base + b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            ids[i] = here = made[least]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(here * base + ids[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * base + here, NEVER)
+        return ids
+
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         if (whole := self.id.get(word)) is not None:
