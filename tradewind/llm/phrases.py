@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.stored import stored
 from tradewind.llm.terms import numbered
-from tradewind.llm.text import LOWER, Words, hashes, mixed, slices, texts, words
+from tradewind.llm.text import LOWER, Words, hashes, mixed, slices, texts, tidied, words
 
 LEAST, FIRST, SHARDS = 10, 2000, 2
 LONGEST = 3
@@ -154,7 +154,7 @@ def _scan(rows: DataFrame, words_too: bool, before: tuple[Broadcast, ...], step:
                 key, when, many = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.record_batch({"key": key.view(np.int64), "since": when.astype(np.int32), "n": many})
 
-    return rows.mapInArrow(run, "key long, since int, n long")
+    return rows.mapInArrow(tidied(run), "key long, since int, n long")
 
 
 def _known(counted: DataFrame, lengths: tuple[int, ...], least: int) -> Known:
@@ -221,7 +221,7 @@ def counts(docs: DataFrame, known: Known) -> DataFrame:
             for langs, phrase, size, many in out:
                 yield pa.record_batch({"lang": langs, "phrase": phrase.cast(pa.string()), "size": size, "f": many})
 
-    found = _rows(docs).mapInArrow(run, "lang string, phrase string, size long, f long")
+    found = _rows(docs).mapInArrow(tidied(run), "lang string, phrase string, size long, f long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
 
 
