@@ -580,6 +580,26 @@ def test_suffix_tree_does_not_depend_on_what_tasks_hold(spark, monkeypatch):
     assert all(r.score > r.base_score + 20 for r in got)
 
 
+def test_long_contexts_are_looked_for_in_few_passages(spark, monkeypatch):
+    """Texts without an open context, and words beyond a rare pair, aren't read again; scores are those of the whole."""
+    chance = random.Random(11)
+    runs = [" ".join(f"{chance.choice('ab')} {' '.join(['x'] * chance.randint(1, 14))} y" for _ in range(6)) for _ in range(40)]
+    texts = [f"{' '.join(sentence(chance, 30, 10**6))} {t} {' '.join(sentence(chance, 30, 10**6))}" for t in runs]
+    docs = documents(spark, [*texts, *(" ".join(sentence(chance, 60, 10**6)) for _ in range(60)), "", None])
+    counts = suffixtree.vocabulary(docs)
+    want = {r.doc_id: r.score for r in suffixtree.score(docs, suffixtree.fit(docs, counts), counts).collect()}
+    left = []
+    narrowed = suffixtree._narrowed
+    monkeypatch.setattr(suffixtree, "_narrowed", lambda *given: left.append(narrowed(*given)) or left[-1])
+    monkeypatch.setattr(suffixtree, "AT_ONCE", 1)
+    monkeypatch.setattr(suffixtree, "NARROW", 1)
+    got = suffixtree.score(docs, suffixtree.fit(docs, counts), counts).collect()
+    assert {r.doc_id: pytest.approx(r.score) for r in got} == want
+    tokens = [sum(len(r.tokens) // 8 for r in rows.collect()) for rows in left]
+    whole = counts.agg(F.sum("n")).first()[0]
+    assert len(tokens) > 1 and tokens[-1] <= tokens[0] < whole / 2
+
+
 def test_long_contexts_are_worked_out_several_lengths_at_once(spark, monkeypatch):
     """Runs of one word end after few or many: each length of context tells something."""
     chance = random.Random(10)
