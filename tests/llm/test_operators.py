@@ -440,6 +440,45 @@ def test_kneser_ney(spark):
         assert (10.0 ** table[context // 64 * 64 : context // 64 * 64 + 64]).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_every_byte_is_a_symbol():
+    """Characters that differ only in the first byte are told apart."""
+    one, other = (perplexity._grams(pa.record_batch({"text": pa.array(["a " + c, None, "b"])})) for c in "\u00e9\u0129")
+    assert one[1].tolist() == other[1].tolist() == [0, 0, 0, 0, 2]
+    assert one[0][2:4].tolist() != other[0][2:4].tolist()
+
+
+def test_longer_n_grams_are_joined(spark, monkeypatch):
+    """Perplexities are those of a plain model of LONGEST symbols, whatever part of it tasks hold."""
+    chance = random.Random(13)
+    words = ["the cat", "a dog. ", "it ran", "\nBy 12", "\u00e9t\u00e9", "\u0434\u0430"]
+    learned = [" ".join(chance.choice(words) for _ in range(25)) for _ in range(8)]
+    counts = Counter(perplexity._grams(pa.record_batch({"text": pa.array(learned)}), perplexity.LONGEST)[0].tolist())
+    scored = [learned[0], "the dog ran by the cat", "\u0434\u0436 xyz", "t", "", None, learned[0]]
+    with monkeypatch.context() as longest:
+        longest.setattr(perplexity, "ORDER", perplexity.LONGEST)
+        plain = lambda c, known={}: known.setdefault(c, math.log10(plain_kneser_ney(counts, perplexity.LONGEST, c)))  # noqa: B006, E731
+        codes = [perplexity._grams(pa.record_batch({"text": pa.array([t], pa.string())}), perplexity.LONGEST)[0].tolist() for t in scored]
+        want = {3 * i: -sum(map(plain, c)) / len(c) if c else None for i, c in enumerate(codes)}
+    assert perplexity.LONGEST > perplexity.ORDER
+    table = spark.createDataFrame(list(counts.items()), "code long, n long")
+    for share in (perplexity.TASK_SHARE, 0.01, 1.0):
+        monkeypatch.setattr(perplexity, "TASK_SHARE", share)
+        model = perplexity._extended(table)
+        assert len(model["key"]) if model["rest"] is None else model["rest"].count()
+        got = {r.doc_id: r.log_perplexity for r in perplexity.score(documents(spark, scored), model).collect()}
+        assert {i: pytest.approx(p, rel=1e-5) for i, p in got.items() if p is not None} == {i: p for i, p in want.items() if p is not None}
+        assert got[12] is None and got[15] is None and len(got) == len(scored)
+
+
+def test_trusted_texts_that_were_learned_from_stay(spark):
+    """A small model knows the texts it has seen too well; they are no worse for that."""
+    chance = random.Random(14)
+    texts = ["".join(chance.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(300)]
+    docs = documents(spark, texts).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(3 * i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    assert sum(r.kept for r in perplexity.classify(docs, labels).collect()) >= 295
+
+
 def test_classifier_of_odd_documents(spark, none):
     docs = with_odd_ids(spark)
     labels = spark.createDataFrame([(3 * i, 1, 0) for i in range(20)] + [(3, 0, 1), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
