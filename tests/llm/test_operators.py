@@ -717,6 +717,32 @@ def test_toxicity(spark, none):
     assert toxicity.score(docs, toxicity.fit(docs, flipped)).where("score < 0.5").count() == 0
 
 
+def test_texts_that_share_a_passage_are_all_learned_from(spark):
+    """A word of many toxic texts counts in each, though they have a long passage in common; copies share one weight."""
+    chance = random.Random(15)
+    passage = " ".join(sentence(chance, 30, 10**6))
+
+    def least(text):
+        t = toxicity.texts(pa.array([text]))
+        w = toxicity.words(t, toxicity.ALNUM)
+        return toxicity.windows(toxicity.hashes(t.data, w, fold=True), w.owner, 5)[0].min()
+
+    # The least hash of each of these texts is one of the passage.
+    toxic = [t for t in (f"{passage} scum {' '.join(sentence(chance, 100, 10**6))}" for _ in range(6000)) if least(t) == least(passage)][:60]
+    assert len(toxic) == 60
+    clean = [" ".join(sentence(chance, 60, 10**6)) for _ in range(200)]
+    labels = spark.createDataFrame([(3 * i, 1, int(i < 60)) for i in range(260)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(documents(spark, toxic + clean), labels)
+    t = toxicity.texts(pa.array(["scum"]))
+    assert toxicity.hashes(t.data, toxicity.words(t, toxicity.ALNUM), fold=True)[0] in model.key
+    copies = [clean[0], clean[0], clean[0] + " .", clean[0] + " !", clean[1], "", None]
+    train = spark.createDataFrame([(t, 0) for t in [*copies, *toxic]], "text string, toxic int")
+    weights = {r.text: r.weight for r in toxicity._weighted(train).collect()}
+    assert len(weights) == len({*copies, *toxic}) and weights[clean[1]] == toxicity.WHOLE
+    assert all(weights[t] == toxicity.WHOLE // 3 for t in copies[1:4])
+    assert sum(weights[t] for t in toxic) > 40 * toxicity.WHOLE
+
+
 def last_by_hash(spark, n):
     """The rows of 0 to n - 1 outside the held-out fold, least hash of the id first."""
     ids = spark.range(n).withColumnRenamed("id", "doc_id").where(~toxicity.held_out(5))
