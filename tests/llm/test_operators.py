@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tradewind.llm import bpe, chat, decontamination, divergence, jaccard, licenses, perplexity, suffixtree, tokenfile, toxicity
-from tradewind.llm.components import components
+from tradewind.llm.components import _large_star, _small_star, components
 from tradewind.llm.queries import BYTE_BPE, CONTROL, WORD_BPE
 from tradewind.llm.stored import shared_folder, ship, stored
 
@@ -99,6 +99,12 @@ def test_groups_with_a_common_passage_and_many_copies(spark, monkeypatch):
     check_groups(spark, documents(spark, list(texts.values()), list(texts)).repartition(2), texts)
 
 
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark):
+    edges = stored(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
+    for frame in (jaccard.groups(documents(spark)), _large_star(edges), _small_star(edges)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 # 1. Benchmark decontamination
 
 
